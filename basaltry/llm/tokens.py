@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: A space next to another white-space character belongs to a run, which stays in one part.
 _RUN = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -42,16 +44,27 @@ class Encoder:
         self.single = Tokenizer.from_file(path)
         self.single.encode_special_tokens = True
         if self.by_parts:
-            self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            # pieces are sent as one text, a line each: far fewer objects than a text each
+            self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.line = self.single.encode("\n", add_special_tokens=False).ids
+            self.by_parts = len(self.line) == 1
         self.first: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {}
 
     def _encode_pieces(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            for p, e in zip(some, self.single.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.inner[p] = array("I", e.ids).tobytes()
+        plain = [p for p in pieces if "\n" not in p]
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            ids = np.array(self.single.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                self.inner[p] = raw[4 * start : 4 * end]
+                start = end + 1
+        for p in pieces:
+            if "\n" in p:
+                self.inner[p] = array("I", self.whole.encode(p, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, parts: list[str], known: dict[str, bytes], lead: str) -> None:
         """Encode parts, each behind lead, into known."""
@@ -84,9 +97,10 @@ class Encoder:
             except KeyError:
                 for some, known, lead in (((firsts,), self.first, ""), (rests, self.known, " ")):
                     new = {p for parts in some for p in parts if p not in known}
-                    if len(known) + len(new) > CACHE:
+                    if len(known) + len(new) > CACHE:  # keep what these texts use
+                        kept = {p: known[p] for parts in some for p in parts if p in known}
                         known.clear()
-                        new = {p for parts in some for p in parts}
+                        known.update(kept)
                     self._learn(list(new), known, lead)
                 out += self._joined(firsts, rests)
         return out
