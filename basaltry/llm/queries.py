@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import id_hash_mod
+from .language_id import fit_on, identify
 from .packing import pack_mixture
+from .pieces import round_trips
+from .simhash import near_duplicates
 from .token_output import token_output
 from .tokens import public_path
 
@@ -15,6 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_hash_mod("doc_id", 5) == 0
+    model = fit_on(docs.where(~held_out), public_path("byte_bpe_50k.json"))
+    return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
@@ -24,6 +44,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash": op2_simhash,
+    "op4_language_id": op4_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op7_token_output": op7_token_output,
     "op9_packing": op9_packing,
 }
