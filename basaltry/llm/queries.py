@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .common import id_hash_mod
 from .language_id import fit_on, identify
 from .packing import pack_mixture
@@ -43,12 +44,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_mixture(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = id_hash_mod("doc_id", 4) == 2
+    model = quality.fit_on(docs.where(~held_out), labels.where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
     "op8_sentencepiece": op8_sentencepiece,
     "op7_token_output": op7_token_output,
     "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,14 +1,74 @@
-"""A corpus pipeline of operators of the llm folder."""
+"""A corpus pipeline: language ID, quality, near-duplicates, packing.
+
+Every stage takes (spark, docs, sf_dir) and decides on all the documents that its predecessor kept.
+All but the last return the columns of documents; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basaltry.llm import quality as quality_vote
+from basaltry.llm.common import id_hash_mod, written
+from basaltry.llm.language_id import fit_on, identify
+from basaltry.llm.packing import pack_mixture
+from basaltry.llm.queries import table
+from basaltry.llm.simhash import near_duplicates
+from basaltry.llm.tokens import public_path
+
+#: A document goes if no language has at least this posterior probability.
+SURE = 0.5
+#: A document goes if the vote for good quality is lower.
+GOOD = 0.7
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: text without any letter, or in none of the learned languages with probability of SURE or more."""
+    model = fit_on(docs.where(id_hash_mod("doc_id", 5) != 0), public_path("byte_bpe_50k.json"))
+    found = identify(docs, model)
+    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < SURE))
+    return docs.join(bad.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: documents whose weighted vote for label 1 is under GOOD."""
+    learn = id_hash_mod("doc_id", 4) != 2
+    model = quality_vote.fit_on(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    bad = quality_vote.score(docs, model).where(F.col("score") < GOOD)
+    return docs.join(bad.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays, once if its row is repeated."""
+    groups = written(near_duplicates(docs), "pipeline-groups")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = groups.where("doc_id = component_id and copies > 1").groupBy("doc_id").count().where("count > 1")
+    return stay if repeated.isEmpty() else stay.where("doc_id is null").unionByName(stay.where("doc_id is not null").dropDuplicates(["doc_id"]))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences that the kept documents fill."""
+    return pack_mixture(docs, public_path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Fingerprints, votes and ids cannot be written in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """STAGES applied to documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
