@@ -16,12 +16,14 @@ from array import array
 import numpy as np
 
 #: A space next to another white-space character belongs to a run, which stays in one part.
-_RUN = re.compile(r"\s\s|\A\s|\s\Z")
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_RUNS = [r for c in _SPACES for r in (" " + c, c + " ")]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Contractions, words, numbers, other signs and spaces, as in the tokenizer file's pre-tokenizer.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-CACHE = 700_000
+#: Parts that a worker keeps, about 150 bytes each.
+CACHE = 1_000_000
 
 
 class Encoder:
@@ -48,69 +50,83 @@ class Encoder:
             self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.line = self.single.encode("\n", add_special_tokens=False).ids
             self.by_parts = len(self.line) == 1
-        self.first: dict[str, bytes] = {"": b""}
-        self.known: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+        self.known = _Known()
         self.inner: dict[str, bytes] = {}
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if "\n" not in p]
-        for at in range(0, len(plain), 256):
-            some = plain[at : at + 256]
-            ids = np.array(self.single.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _encode_lines(self, pieces: list[str], known: dict[str, bytes], lead: str) -> None:
+        """Ids of pieces, none of which holds a line end, each behind lead, into known."""
+        for at in range(0, len(pieces), 256):
+            some = pieces[at : at + 256]
+            ids = np.array(self.single.encode_batch_fast([lead + f"\n{lead}".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
             raw, start = ids.tobytes(), 0
             for p, end in zip(some, ends, strict=True):
-                self.inner[p] = raw[4 * start : 4 * end]
+                known[p] = raw[4 * start : 4 * end]
                 start = end + 1
-        for p in pieces:
-            if "\n" in p:
-                self.inner[p] = array("I", self.whole.encode(p, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, parts: list[str], known: dict[str, bytes], lead: str) -> None:
         """Encode parts, each behind lead, into known."""
+        plain = _PLAIN.fullmatch
+        self._encode_lines([p for p in parts if plain(p)], known, lead)
+        inner, findall = self.inner, self.pieces.findall
         for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            cut = [[lead + p] if _PLAIN.fullmatch(p) else self.pieces.findall(lead + p) for p in some]
-            new = {x for c in cut for x in c}
-            if len(self.inner) + len(new) > CACHE:
-                self.inner.clear()
-            self._encode_pieces([x for x in new if x not in self.inner])
-            for p, c in zip(some, cut, strict=True):
-                known[p] = b"".join([self.inner[x] for x in c])
-
-    def _joined(self, firsts: list[str], rests: list[list[str]]) -> list[bytes]:
-        get = self.known.__getitem__
-        return [self.first[f] + b"".join(map(get, parts)) for f, parts in zip(firsts, rests, strict=True)]
+            cut = [(p, findall(lead + p)) for p in parts[at : at + 20_000] if not plain(p)]
+            new = {x for _, c in cut for x in c if x not in inner}
+            if len(inner) + len(new) > CACHE:
+                inner.clear()
+                new = {x for _, c in cut for x in c}
+            self._encode_lines([x for x in new if "\n" not in x], inner, "")
+            for x in new:
+                if "\n" in x:
+                    inner[x] = array("I", self.whole.encode(x, add_special_tokens=False).ids).tobytes()
+            for p, c in cut:
+                known[p] = b"".join([inner[x] for x in c])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_parts:
             return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            firsts, rests = [], []
-            for t in texts[at : at + 64]:
-                parts = _split(t)
-                firsts.append(parts.pop(0) if parts else "")
-                rests.append(parts)
-            try:
-                out += self._joined(firsts, rests)
-            except KeyError:
-                for some, known, lead in (((firsts,), self.first, ""), (rests, self.known, " ")):
-                    new = {p for parts in some for p in parts if p not in known}
-                    if len(known) + len(new) > CACHE:  # keep what these texts use
-                        kept = {p: known[p] for parts in some for p in parts if p in known}
-                        known.clear()
-                        known.update(kept)
-                    self._learn(list(new), known, lead)
-                out += self._joined(firsts, rests)
+        for at in range(0, len(texts), 256):
+            some = [_split(t) for t in texts[at : at + 256]]
+            first, known = self.first, self.known
+            self._learn(list({f for f, _ in some if f not in first}), first, "")
+            made, again, get = [], [], known.__getitem__
+            for k, (f, parts) in enumerate(some):
+                before = len(known.missing)
+                made.append(first[f] + b"".join(map(get, parts)))
+                if len(known.missing) > before:
+                    again.append(k)
+            if again:
+                self._learn(list(dict.fromkeys(known.missing)), known, " ")
+                known.missing.clear()
+                for k in again:
+                    f, parts = some[k]
+                    made[k] = first[f] + b"".join(map(get, parts))
+            out += made
+            for cache in (first, known):
+                if len(cache) > CACHE:
+                    cache.clear()
         return out
 
 
-def _split(text: str | None) -> list[str]:
-    """Parts that give text when joined by single spaces."""
+class _Known(dict):
+    """Ids of parts; those asked for in vain are listed and count as empty until they are learned."""
+
+    def __init__(self):
+        self.missing: list[str] = []
+
+    def __missing__(self, part: str) -> bytes:
+        self.missing.append(part)
+        return b""
+
+
+def _split(text: str | None) -> tuple[str, list[str]]:
+    """The first part and the others; single spaces between them give text."""
     if not text:
-        return []
-    return text.split(" ") if not _RUN.search(text) else _CUT.split(text)
+        return "", []
+    first, *rest = _CUT.split(text) if any(r in text for r in _RUNS) else text.split(" ")
+    return first, rest
 
 
 _ENCODERS: dict[str, Encoder] = {}
