@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
+from .chat_format import mask_text, preference_pairs, swapped_endings
 from .common import id_hash_mod
 from .language_id import fit_on, identify
 from .packing import pack_mixture
@@ -32,6 +33,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference_pairs(swapped_endings(table(spark, sf_dir, "conversations")))
+    return pairs.select("pair_id", "block", "prompt", "chosen", "rejected", "prompt_turns", "chosen_turns", "rejected_turns", mask_text("chosen_mask").alias("chosen_mask"), mask_text("rejected_mask").alias("rejected_mask"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
 
@@ -54,10 +60,42 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
+    "op5_chat_format": op5_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
     "op7_token_output": op7_token_output,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": """
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
+ends AS (SELECT c.* FROM conversations c JOIN last USING (conv_id, turn)),
+turns AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT c.conv_id, 'rejected', c.turn, c.role, c.text FROM conversations c JOIN last l ON c.conv_id = l.conv_id AND c.turn < l.turn
+  UNION ALL
+  SELECT l.conv_id, 'rejected', l.turn, e.role, e.text FROM last l JOIN ends e ON e.conv_id = xor(l.conv_id, 1)),
+both_sides AS (
+  SELECT pair_id, turn,
+         max(CASE WHEN side = 'chosen' THEN role || chr(0) || text END) AS a,
+         max(CASE WHEN side = 'rejected' THEN role || chr(0) || text END) AS b
+  FROM turns GROUP BY pair_id, turn),
+differs AS (SELECT pair_id, coalesce(min(CASE WHEN a IS DISTINCT FROM b THEN turn END), 1000000) AS at FROM both_sides GROUP BY pair_id),
+parts AS (
+  SELECT t.pair_id, t.turn, CASE WHEN t.turn < d.at THEN 'prompt' ELSE t.side END AS part, t.side,
+         '<|' || t.role || '|>' || chr(10) AS head, t.text || '<|end|>' || chr(10) AS body, t.role
+  FROM turns t JOIN differs d USING (pair_id) WHERE t.turn >= d.at OR t.side = 'chosen')
+SELECT pair_id, CAST(0 AS BIGINT) AS block,
+       coalesce(string_agg(head || body, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+       CAST(count(*) FILTER (part = 'prompt') AS INT) AS prompt_turns,
+       CAST(count(*) FILTER (part = 'chosen') AS INT) AS chosen_turns,
+       CAST(count(*) FILTER (part = 'rejected') AS INT) AS rejected_turns,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || ':' || CAST(role = 'assistant' AS INT), ',' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen_mask,
+       coalesce(string_agg(length(head) || ':0,' || length(body) || ':' || CAST(role = 'assistant' AS INT), ',' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected_mask
+FROM parts GROUP BY pair_id
+""",
+}
