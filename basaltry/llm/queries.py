@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
+from .ann_search import approximate_neighbours
 from .chat_format import mask_text, preference_pairs, swapped_endings
 from .common import id_hash_mod
 from .language_id import fit_on, identify
@@ -16,12 +17,18 @@ from .pieces import round_trips
 from .simhash import near_duplicates
 from .token_output import token_output
 from .tokens import public_path
+from .topk_search import exact_topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return approximate_neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
@@ -58,16 +70,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
     "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
+    "op6_ann": op6_ann,
     "op7_token_output": op7_token_output,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 10
+""",
     "op5_chat_format": """
 WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY conv_id),
 ends AS (SELECT c.* FROM conversations c JOIN last USING (conv_id, turn)),
