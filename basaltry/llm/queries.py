@@ -12,6 +12,7 @@ from .ann_search import approximate_neighbours
 from .chat_format import mask_text, preference_pairs, swapped_endings
 from .common import id_hash_mod
 from .language_id import fit_on, identify
+from .lm_scoring import lm_scores
 from .packing import pack_mixture
 from .pieces import round_trips
 from .simhash import near_duplicates
@@ -33,6 +34,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scores(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), "n_backoff")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_hash_mod("doc_id", 5) == 0
@@ -72,6 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_simhash": op2_simhash,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_language_id": op4_language_id,
     "op5_chat_format": op5_chat_format,
     "op8_sentencepiece": op8_sentencepiece,
@@ -82,6 +89,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_lm_scoring": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+t AS (SELECT doc_id, i, words[i] AS a, CASE WHEN i > 1 THEN words[i - 1] END AS b, CASE WHEN i > 2 THEN words[i - 2] END AS c
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)),
+u AS (SELECT a, count(*) AS n FROM t GROUP BY a),
+bi AS (SELECT b, a, count(*) AS n FROM t WHERE i > 1 GROUP BY b, a),
+tri AS (SELECT c, b, a, count(*) AS n FROM t WHERE i > 2 GROUP BY c, b, a),
+total AS (SELECT count(*) AS n FROM t),
+s AS (SELECT t.doc_id, t.i,
+        CASE WHEN tri.n >= 2 THEN 2 WHEN bi.n >= 2 THEN 1 ELSE 0 END AS used, least(t.i - 1, 2) AS depth,
+        CASE WHEN tri.n >= 2 THEN ln(tri.n / ctx.n) WHEN bi.n >= 2 THEN ln(bi.n / cu.n) ELSE ln(u.n / total.n) END AS log
+      FROM t JOIN u ON t.a = u.a CROSS JOIN total
+      LEFT JOIN bi ON t.b = bi.b AND t.a = bi.a
+      LEFT JOIN tri ON t.c = tri.c AND t.b = tri.b AND t.a = tri.a
+      LEFT JOIN u cu ON t.b = cu.a
+      LEFT JOIN bi ctx ON t.c = ctx.b AND t.b = ctx.a),
+d AS (SELECT doc_id, sum(log + (depth - used) * ln(0.4)) AS v, count(*) FILTER (used < depth) AS n_backoff FROM s GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(v, 0), 3) AS log_score,
+       round(CASE WHEN len(words) > 0 THEN v / len(words) END, 6) AS mean_log_score, coalesce(n_backoff, 0) AS n_backoff
+FROM w LEFT JOIN d USING (doc_id)
+""",
     "op1_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
