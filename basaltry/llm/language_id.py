@@ -13,19 +13,19 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import record_batch
 from .trie import DoubleArrayTrie, by_length
 
-#: Documents of each language that the model is fitted on, those with the smallest hash of their id.
-SAMPLE_PER_LANGUAGE = 1500
+#: Documents of each language that the model is fitted on, on average: those whose hash is small enough.
+SAMPLE_PER_LANGUAGE = 600
 #: Pieces of more bytes are left out; words of more bytes are scored one at a time.
 LONGEST, SHORT = 12, 40
 ROUNDS, SMOOTH = 3, 0.05
@@ -190,7 +190,7 @@ def piece_lengths(trie: DoubleArrayTrie, n: int) -> np.ndarray:
     return out
 
 
-def fit(counts: list[tuple[str, str, int]], path: str, documents: dict[str, int], rounds: int = ROUNDS) -> LanguageModel:
+def fit(counts: Iterable[tuple[str, str, int]], path: str, documents: dict[str, int], rounds: int = ROUNDS) -> LanguageModel:
     """counts: (language, word, occurrences).  documents: training documents of each language, for the prior.
 
     Starts from pieces weighted by their length and raises the likelihood of the words over all segmentations.
@@ -230,18 +230,17 @@ def fit(counts: list[tuple[str, str, int]], path: str, documents: dict[str, int]
 
 
 def fit_on(docs: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on docs (doc_id, text, lang), lang not null: on per_language documents of each language at most, whole
-    texts, chosen by the hash of their ids; None without any document."""
-    named = docs.where("lang is not null and text is not null").select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    """Fit on docs (doc_id, text, lang), lang not null: on about per_language documents of each language,
+    whole texts, chosen by their hash; None without any document."""
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    named = docs.where("lang is not null and text is not null").select("lang", "text", u.alias("u"))
     documents = dict(named.groupBy("lang").count().collect())  # a row for each language
     if not documents:
         return None
-    chosen = named.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language)
-    top = dict(chosen.groupBy("lang").agg(F.max("h")).collect())
-    limit = F.create_map(*[F.lit(x) for kv in top.items() for x in kv])
-    words = named.where(F.col("h") <= limit[F.col("lang")]).select("lang", F.explode(F.split(F.lower("text"), r"[\s\x{0B}\x{85}\x{A0}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count().collect()  # words of a bounded number of documents
-    return fit([tuple(r) for r in counts], path, documents)
+    share = F.create_map(*[F.lit(x) for name, n in documents.items() for x in (name, min(1.0, per_language / n))])
+    words = named.where(F.col("u") < share[F.col("lang")]).select("lang", F.explode(F.split(F.lower("text"), r"[\s\x{0B}\x{85}\x{A0}]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("lang", "word").count().toPandas()  # words of a bounded number of documents
+    return fit(zip(counts["lang"], counts["word"], counts["count"], strict=True), path, documents)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

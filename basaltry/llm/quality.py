@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, utf8
+from .common import record_batch, utf8, written
 
 #: Labelled documents of each class that are kept as voters, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1024
@@ -120,11 +120,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     A document with both labels votes for both.
     """
     named = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    named = named.join(docs.select("doc_id"), "doc_id", "left_semi")
+    named = written(named.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
     totals = dict(named.groupBy("quality").count().collect())
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("doc_id", "quality")
-    few = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, quality int")  # 2 * per_class rows at most
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = [r for q in (0, 1) for r in named.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect()]
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")  # 2 * per_class rows at most
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "quality"])
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32()))])
 
