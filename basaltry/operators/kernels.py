@@ -210,3 +210,27 @@ def from_json(text: str) -> Kernel:
     return KERNELS[d.pop("kernel_type")](**{k: v for k, v in d.items() if k != "object_type"})
 
 
+
+
+#: Rows of y that may be broadcast as one block; beyond it pairs are joined.
+BROADCAST_ROWS = 20_000
+
+
+def against(x: DataFrame, y: DataFrame, block_fn) -> DataFrame | None:
+    """RowDF of block_fn(x, y), a row of the matrix each, for a y of few rows (its size is checked); else None."""
+    from .matrix import map_rows
+
+    few = y.orderBy("row_id").limit(BROADCAST_ROWS + 1).select("features").collect()
+    if len(few) > BROADCAST_ROWS:
+        return None
+    shared = x.sparkSession.sparkContext.broadcast(np.array([r[0] for r in few], dtype=np.float64))
+    return map_rows(x, lambda v: block_fn(v, shared.value))
+
+
+def row_summary(x: DataFrame, y: DataFrame, what: Kernel | str) -> DataFrame:
+    """(i, total, largest) over j of a kernel's or distance's matrix."""
+    fn = (lambda a, b: distance_block(what, a, b)) if isinstance(what, str) else what.block
+    if (rows := against(x, y, fn)) is not None:
+        return rows.select(F.col("row_id").alias("i"), F.aggregate("features", F.lit(0.0), lambda a, b: a + b).alias("total"), F.array_max("features").alias("largest"))
+    pairs = distance_matrix(x, y, what) if isinstance(what, str) else what.gram(x, y)
+    return pairs.groupBy("i").agg(F.sum("v").alias("total"), F.max("v").alias("largest"))

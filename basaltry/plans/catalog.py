@@ -1,10 +1,496 @@
-"""Registered queries over the driver's tables and their SQL twins."""
+"""Registered queries over the driver's tables and their SQL twins.
+
+Each query applies an operator of this engine to whole tables.  Where SQL can say the same, the twin is in
+ORACLE_SQL; both round, since sums may be added up in any order.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import rng
+from ..operators import admm, coding, graph, kernels, krr, krylov, losses, matrix, regression, sketch, svd
+from ..sources import text_formats
+from ..streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column | str, n: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, n) + F.lit(0.0)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix.row_df(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+
+
+X = "x AS (SELECT vec_id AS i, generate_subscripts(embedding, 1) - 1 AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+D = 64
+
+# -- sketches ---------------------------------------------------------------------------------------------
+
+
+def _hash_query(name: str, cls, S: int, sql_value: str, dimension: str, digits: int, **kw):
+    t = cls(1 << 40, S, 7, **kw) if dimension == "columnwise" else cls(D, S, 7, **kw)
+    k = "i" if dimension == "columnwise" else "j"
+    out = "bucket, j" if k == "i" else "i, bucket"
+    sql = f"WITH {X} SELECT {out}, round(sum(v), {digits}) + 0.0 AS v FROM (SELECT {rng.sql_bucket('7h0', k, S)} AS bucket, i, j, {sql_value.format(k=k)} * v AS v FROM x) GROUP BY {out}"
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        made = t.coords(matrix.to_coords(vectors(spark, sf_dir), True), dimension)
+        return made.select(*[F.col(c).alias("bucket" if c == k else c) for c in ("i", "j")], r("v", digits).alias("v"))
+
+
+def _sql_sign(k: str) -> str:
+    return rng.sql_sign("7v0", k)
+
+
+_WZT = "({s} * pow(1.0 / {e}, {p!r}))"
+_hash_query("countsketch_columnwise", sketch.CWT, 64, _sql_sign("{k}"), "columnwise", 6)
+_hash_query("countsketch_rowwise", sketch.CWT, 16, _sql_sign("{k}"), "rowwise", 6)
+_hash_query("cauchy_hash_sketch", sketch.MMT, 32, rng.sql_cauchy("7v0", "{k}"), "columnwise", 3)
+_hash_query("lp_hash_sketch", sketch.WZT, 32, _WZT.format(s=_sql_sign("{k}"), e=rng.sql_exponential("7e0", "{k}"), p=1 / 1.5), "columnwise", 3, p=1.5)
+
+
+def _dense(spark: SparkSession, seed: str, S: int, value: Callable[[str, Column], Column]) -> np.ndarray:
+    """Small dense matrix (S x D) of the portable stream, entry (s, j) being sample j * S + s."""
+    got = spark.range(D * S).select(value(seed, F.col("id"))).collect()
+    return np.array([x[0] for x in got]).reshape(D, S).T
+
+
+def _dense_rowwise(name: str, seed: str, S: int, value, sql_value: str, scale: float, digits: int):
+    sql = f"WITH {X}, w AS (SELECT n // {S} AS j, n % {S} AS s, {sql_value} * {scale!r} AS w FROM range({D * S}) t(n)) SELECT i, s, round(sum(v * w), {digits}) + 0.0 AS v FROM x JOIN w USING (j) GROUP BY i, s"
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        w = _dense(spark, seed, S, value) * scale
+        made = matrix.times(vectors(spark, sf_dir), w.T)
+        return matrix.to_coords(made, True).select("i", F.col("j").alias("s"), r("v", digits).alias("v"))
+
+
+_dense_rowwise("jlt_rowwise", "j1", 8, rng.normal, rng.sql_normal("j1", "n"), 1 / math.sqrt(8), 6)
+_dense_rowwise("cauchy_dense_rowwise", "c1", 8, rng.cauchy, rng.sql_cauchy("c1", "n"), 1 / 8, 4)
+
+
+@query("jlt_columnwise", f"WITH {X}, s AS (SELECT n AS s FROM range(8) t(n)) SELECT s, j, round(sum({rng.sql_normal('j2', 'i * 8 + s')} * v) / {math.sqrt(8)!r}, 5) + 0.0 AS v FROM x CROSS JOIN s GROUP BY s, j")
+def jlt_columnwise(spark, sf_dir):
+    """Entries are column expressions of (row id, s); the sums are partial before their one shuffle."""
+    rows = vectors(spark, sf_dir).select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s"))
+    w = rows.select("s", rng.normal("j2", F.col("row_id") * 8 + F.col("s")).alias("w"), "features")
+    return w.select(F.col("s").cast("long").alias("s"), "w", F.posexplode("features").alias("j", "v")).groupBy("s", F.col("j").cast("long").alias("j")).agg(r(F.sum(F.col("w") * F.col("v")) / math.sqrt(8), 5).alias("v"))
+
+
+def _features(name: str, seed: str, S: int, value, sql_value: str, freq: float, form: str):
+    if form == "cos":
+        sql_z = f"sqrt(2.0 / {S}) * cos(sum(v * w) + {2 * math.pi!r} * {rng.sql_uniform(seed + 'u', 's')})"
+    else:
+        sql_z = f"exp(-sum(abs(v) * w)) / sqrt({S})"
+    sql = f"WITH {X}, w AS (SELECT n // {S} AS j, n % {S} AS s, {sql_value} * {freq!r} AS w FROM range({D * S}) t(n)) SELECT i, s, round({sql_z}, 5) + 0.0 AS z FROM x JOIN w USING (j) GROUP BY i, s"
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        w = _dense(spark, seed, S, value).T * freq
+        b = np.array([x[0] for x in spark.range(S).select(rng.uniform(seed + "u", F.col("id"))).collect()]) * 2 * math.pi
+        if form == "cos":
+            made = matrix.map_rows(vectors(spark, sf_dir), lambda x: math.sqrt(2 / S) * np.cos(x @ w + b))
+        else:
+            made = matrix.map_rows(vectors(spark, sf_dir), lambda x: np.exp(-(np.abs(x) @ w)) / math.sqrt(S))
+        return matrix.to_coords(made, True).select("i", F.col("j").alias("s"), r("v", 5).alias("z"))
+
+
+_features("gaussian_rff", "g1", 16, rng.normal, rng.sql_normal("g1", "n"), 1 / 1.5, "cos")
+_features("laplacian_rff", "l1", 16, rng.cauchy, rng.sql_cauchy("l1", "n"), 1 / 4.0, "cos")
+_features("expsemigroup_rlf", "e1", 16, rng.levy, rng.sql_levy("e1", "n"), 0.001, "exp")
+
+
+def _mapped(name: str, make: Callable[[], sketch.Sketch]):
+    """A feature map without an SQL form: its mean and mean square for each output, over all rows."""
+
+    @query(name)
+    def run(spark, sf_dir):
+        z = matrix.to_coords(make().apply(vectors(spark, sf_dir), "rowwise"), True)
+        return z.groupBy("j").agg(r(F.avg("v"), 5).alias("mean"), r(F.avg(F.col("v") * F.col("v")), 5).alias("mean_square"))
+
+
+_mapped("matern_rff", lambda: sketch.MaternRFT(D, 32, 3, nu=1.5, l=1.0))
+_mapped("fastfood", lambda: sketch.FastGaussianRFT(D, 128, 3, sigma=1.0))
+_mapped("fast_matern", lambda: sketch.FastMaternRFT(D, 128, 3, nu=1.5, l=1.0))
+_mapped("gaussian_qrff", lambda: sketch.GaussianQRFT(D, 32, 3, sigma=1.0))
+_mapped("laplacian_qrff", lambda: sketch.LaplacianQRFT(D, 32, 3, sigma=4.0))
+_mapped("expsemigroup_rlt", lambda: sketch.ExpSemigroupRLT(D, 32, 3, beta=0.05))
+_mapped("expsemigroup_qrlt", lambda: sketch.ExpSemigroupQRLT(D, 32, 3, beta=0.05))
+_mapped("tensorsketch", lambda: sketch.PPT(D, 64, 3, q=2, gamma=1.0, c=1.0))
+_mapped("fjlt_rowwise", lambda: sketch.FJLT(D, 16, 3))
+_mapped("sparse_jlt", lambda: sketch.SJLT(D, 16, 3))
+_mapped("rfut", lambda: sketch.RFUT(D, D, 3))
+
+
+@query("fjlt_columnwise")
+def fjlt_columnwise(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return matrix.to_coords(sketch.FJLT(regression._height(x), 32, 3).apply(x, "columnwise"), True).select("i", "j", r("v", 5).alias("v"))
+
+
+@query("sketch_json", f"WITH {X} SELECT bucket, j, round(sum(v), 6) + 0.0 AS v FROM (SELECT {rng.sql_bucket('11h0', 'i', 24)} AS bucket, j, {rng.sql_sign('11v0', 'i')} * v AS v FROM x) GROUP BY bucket, j")
+def sketch_json(spark, sf_dir):
+    """A sketch that went through its JSON form."""
+    t = sketch.from_json(sketch.CWT(1 << 40, 24, 11).to_json())
+    return t.coords(matrix.to_coords(vectors(spark, sf_dir), True)).select(F.col("i").alias("bucket"), "j", r("v").alias("v"))
+
+
+# -- sampling -----------------------------------------------------------------------------------------------
+
+
+@query("uniform_sample_noreplace", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {rng.sql_word(5, 'o_orderkey')}, o_orderkey LIMIT 100")
+def uniform_sample_noreplace(spark, sf_dir):
+    return sketch.sample_rows(table(spark, sf_dir, "orders"), "o_orderkey", 100, 5).select("o_orderkey", "o_totalprice")
+
+
+@query("weighted_sample", f"""
+WITH c AS (SELECT c_custkey AS key, CAST(c_acctbal AS DOUBLE) AS w, {rng.sql_word('9b', 'c_custkey')} % 256 AS block FROM customer WHERE c_acctbal > 0),
+s AS (SELECT key, w, sum(w) OVER (ORDER BY block, key) AS upto, sum(w) OVER () AS total FROM c),
+d AS (SELECT n AS draw, {rng.sql_uniform('9d', 'n')} AS u FROM range(200) t(n))
+SELECT draw, key FROM d JOIN s ON u > (upto - w) / total AND u <= upto / total""")
+def weighted_sample(spark, sf_dir):
+    return sketch.weighted_sample(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", 200, 9)
+
+
+@query("uniform_sample_replace")
+def uniform_sample_replace(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    t = sketch.UST(regression._height(x), 64, 5)
+    return matrix.to_coords(t.apply(x, "columnwise"), True).groupBy("i").agg(r(F.sum("v"), 5).alias("total"))
+
+
+# -- distances and kernels ------------------------------------------------------------------------------
+
+
+def _pair_query(name: str, what, sql_value: str):
+    sql = f"""WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT a.i, {sql_value} AS v FROM e a CROSS JOIN e b)
+SELECT i, round(sum(v), 4) + 0.0 AS total, round(max(v), 5) + 0.0 AS largest FROM p GROUP BY i"""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        x = vectors(spark, sf_dir)
+        return kernels.row_summary(x, x, what).select("i", r("total", 4).alias("total"), r("largest", 5).alias("largest"))
+
+
+_EUC = "greatest(list_dot_product(a.x, a.x) + list_dot_product(b.x, b.x) - 2 * list_dot_product(a.x, b.x), 0)"
+_L1 = "list_sum(list_transform(list_zip(a.x, b.x), lambda t: abs(t[1] - t[2])))"
+_EXP = "list_sum(list_transform(list_zip(a.x, b.x), lambda t: sqrt(abs(t[1] + t[2]))))"
+_pair_query("dist_euclidean2", "euclidean", _EUC)
+_pair_query("dist_l1", "l1", _L1)
+_pair_query("dist_expsemigroup", "expsemigroup", _EXP)
+_pair_query("gram_linear", kernels.Linear(D), "list_dot_product(a.x, b.x)")
+_pair_query("gram_gaussian", kernels.Gaussian(D, 1.5), f"exp(-{_EUC} / 4.5)")
+_pair_query("gram_polynomial", kernels.Polynomial(D, 3, 1.0, 0.5), "pow(0.5 * list_dot_product(a.x, b.x) + 1, 3)")
+_pair_query("gram_laplacian", kernels.Laplacian(D, 10.0), f"exp(-{_L1} / 10)")
+_pair_query("gram_expsemigroup", kernels.ExpSemigroup(D, 0.05), f"exp(-0.05 * {_EXP})")
+_pair_query("gram_matern", kernels.Matern(D, 1.5, 1.0), f"(1 + sqrt({_EUC} * 3)) * exp(-sqrt({_EUC} * 3))")
+
+# -- matrix operations ----------------------------------------------------------------------------------
+
+A = "a AS (SELECT l_suppkey AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL HAVING sum(l_quantity) <> 0)"
+B = "b AS (SELECT l_suppkey AS i, CAST(month(l_shipdate) AS BIGINT) AS j, CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY ALL)"
+
+
+def _a(spark, sf_dir) -> DataFrame:
+    return matrix.coo_sum(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j"), F.col("l_quantity").alias("v")))
+
+
+def _b(spark, sf_dir) -> DataFrame:
+    return matrix.coo_sum(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.month("l_shipdate").cast("long").alias("j"), F.lit(1.0).alias("v")))
+
+
+query("coo_sum", f"WITH {A} SELECT i, j, round(v, 2) AS v FROM a")(lambda s, d: _a(s, d).select("i", "j", F.round("v", 2).alias("v")))
+query("sparse_transpose", f"WITH {A} SELECT j AS i, i AS j, round(v, 2) AS v FROM a")(lambda s, d: matrix.transpose(_a(s, d)).select("i", "j", F.round("v", 2).alias("v")))
+query("gemm_atb", f"WITH {A}, {B} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 2) AS v FROM a JOIN b USING (i) GROUP BY a.j, b.j")(lambda s, d: matrix.gemm(_a(s, d), _b(s, d), trans_a=True).select("i", "j", F.round("v", 2).alias("v")))
+query("gemm_scaled", f"WITH {A}, {B}, g AS (SELECT b.j AS i, a.j, -sum(a.v * b.v) AS v FROM b JOIN a USING (i) GROUP BY ALL UNION ALL SELECT j, j, 1.5 * sum(v) FROM a GROUP BY j) SELECT i, j, round(sum(v), 2) + 0.0 AS v FROM g GROUP BY i, j")(
+    lambda s, d: matrix.gemm(_b(s, d), _a(s, d), -1.0, 1.5, _a(s, d).groupBy(F.col("j").alias("i"), "j").agg(F.sum("v").alias("v")), trans_a=True).select("i", "j", r("v", 2).alias("v"))
+)
+query("gemv", f"WITH {A} SELECT i, round(sum(v / (1 + j)), 4) AS v FROM a GROUP BY i")(lambda s, d: matrix.gemv(_a(s, d), _a(s, d).select("j").distinct().select(F.col("j").alias("i"), (1.0 / (1 + F.col("j"))).alias("v"))).select("i", F.round("v", 4).alias("v")))
+query("symm", f"WITH {A}, {B}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM a JOIN a b USING (i) GROUP BY ALL), t AS (SELECT * FROM g WHERE i >= j UNION ALL SELECT j, i, v FROM g WHERE i > j) SELECT t.i, round(sum(t.v * t.j), 2) AS v FROM t GROUP BY t.i")(
+    lambda s, d: matrix.symm(matrix.gemm(_a(s, d), _a(s, d), trans_a=True), _a(s, d).select("j").distinct().select(F.col("j").alias("i"), F.lit(0).cast("long").alias("j"), F.col("j").cast("double").alias("v"))).select("i", F.round("v", 2).alias("v"))
+)
+query("column_norms", f"WITH {A} SELECT j, round(sqrt(sum(v * v)), 4) AS norm FROM a GROUP BY j")(lambda s, d: matrix.column_norms(_a(s, d)).select("j", F.round("norm", 4).alias("norm")))
+query("column_dots", f"WITH {A}, {B} SELECT a.j, round(sum(a.v * b.v), 2) AS dot FROM a JOIN b USING (i, j) GROUP BY a.j")(lambda s, d: matrix.column_dots(_a(s, d), _b(s, d)).select("j", F.round("dot", 2).alias("dot")))
+query("row_dots", f"WITH {A}, {B} SELECT a.i, round(sum(a.v * b.v), 2) AS dot FROM a JOIN b USING (i, j) GROUP BY a.i")(lambda s, d: matrix.row_dots(_a(s, d), _b(s, d)).select("i", F.round("dot", 2).alias("dot")))
+query("axpy", f"WITH {A}, {B}, u AS (SELECT i, j, 2.5 * v AS v FROM a UNION ALL SELECT * FROM b) SELECT i, j, round(sum(v), 2) AS v FROM u GROUP BY i, j")(lambda s, d: matrix.axpy(2.5, _a(s, d), _b(s, d)).select("i", "j", F.round("v", 2).alias("v")))
+query("axpy_columns", f"WITH {A}, {B}, u AS (SELECT i, j, j * v AS v FROM a UNION ALL SELECT * FROM b) SELECT i, j, round(sum(v), 2) AS v FROM u GROUP BY i, j")(lambda s, d: matrix.axpy(F.col("j").cast("double"), _a(s, d), _b(s, d)).select("i", "j", F.round("v", 2).alias("v")))
+query("hadamard", f"WITH {A}, {B} SELECT i, j, round(a.v * b.v, 2) AS v FROM a JOIN b USING (i, j)")(lambda s, d: matrix.hadamard(_a(s, d), _b(s, d)).select("i", "j", F.round("v", 2).alias("v")))
+query("symmetric_map", f"WITH {A} SELECT i, j, round(CASE WHEN i <= j THEN sqrt(v) ELSE v END, 4) AS v FROM a")(lambda s, d: matrix.symmetric_map(_a(s, d), F.sqrt).select("i", "j", F.round("v", 4).alias("v")))
+
+
+@query("gemm_ata", f"WITH {X} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j")
+def gemm_ata(spark, sf_dir):
+    g = matrix.gram(vectors(spark, sf_dir))
+    return matrix.to_coords(matrix.from_numpy(spark, g), True).select("i", "j", r("v", 5).alias("v"))
+
+
+@query("tsqr", f"WITH {X} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j")
+def tsqr(spark, sf_dir):
+    """R'R of the QR factors, which is A'A."""
+    _, t = matrix.tsqr(vectors(spark, sf_dir))
+    return matrix.to_coords(matrix.from_numpy(spark, t.T @ t), True).select("i", "j", r("v", 5).alias("v"))
+
+
+# -- least squares -----------------------------------------------------------------------------------------
+
+OLS = """WITH o AS (SELECT o_totalprice / 1000 AS y, o_custkey / 100.0 AS x1, CAST(month(o_orderdate) AS DOUBLE) AS x2 FROM orders),
+m AS (SELECT avg(y) my, avg(x1) m1, avg(x2) m2, var_pop(x1) v1, var_pop(x2) v2, covar_pop(x1, x2) c12, covar_pop(x1, y) c1y, covar_pop(x2, y) c2y FROM o),
+b AS (SELECT *, (c1y * v2 - c2y * c12) / (v1 * v2 - c12 * c12) AS b1, (c2y * v1 - c1y * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m)
+SELECT CAST(0 AS BIGINT) AS place, round(my - b1 * m1 - b2 * m2, 4) + 0.0 AS coefficient FROM b
+UNION ALL SELECT 1, round(b1, 4) + 0.0 FROM b UNION ALL SELECT 2, round(b2, 4) + 0.0 FROM b"""
+
+
+def _orders(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.array(F.lit(1.0), F.col("o_custkey") / 100.0, F.month("o_orderdate").cast("double")).alias("features"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
+def _coefficients(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(x[:, 0])], "place long, coefficient double").select("place", r("coefficient", 4).alias("coefficient"))
+
+
+for _method in ("normal", "semi_normal", "qr", "svd", "lsqr", "blendenpik", "lsrn"):
+    query(f"ols_{_method}", OLS)(lambda s, d, m=_method: _coefficients(s, regression.solve(regression.Problem(_orders(s, d), "y"), m)))
+
+
+@query("ols_chebyshev", OLS)
+def ols_chebyshev(spark, sf_dir):
+    rows = _orders(spark, sf_dir).persist()
+    g = matrix.gram(rows.select("features"))
+    scale = np.linalg.inv(np.linalg.cholesky(g)).T  # an exact preconditioner: all singular values are 1
+    return _coefficients(spark, krylov.chebyshev_ls(rows, "y", 0.99, 1.01, 1e-12, scale).x)
+
+
+@query("ols_cg", OLS)
+def ols_cg(spark, sf_dir):
+    rows = _orders(spark, sf_dir).persist()
+    b = matrix.gram(rows, "y")
+    scale = 1 / np.diag(matrix.gram(rows.select("features")))
+    return _coefficients(spark, krylov.cg(krylov.NormalOperator(rows), b, krylov.Params(1e-13, 60), lambda v: scale[:, None] * v).x)
+
+
+@query("ols_flexible_cg", OLS)
+def ols_flexible_cg(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    g, b = matrix.gram(rows.select("features")), matrix.gram(rows.select("features", "y"), "y")
+    return _coefficients(spark, krylov.async_fcg(g, b, krylov.Params(1e-14, 200)).x)
+
+
+@query("sketch_and_solve")
+def sketch_and_solve(spark, sf_dir):
+    return _coefficients(spark, regression.sketch_and_solve(_orders(spark, sf_dir), "y", 400, "CWT", 3))
+
+
+@query("svd_energy", f"WITH {X} SELECT CAST({D} AS INT) AS rank, round(sum(v * v), 4) AS energy FROM x")
+def svd_energy(spark, sf_dir):
+    """At full rank the squares of the singular values sum to those of the entries."""
+    _, s, _ = svd.approximate_svd(vectors(spark, sf_dir), D, svd.SVDParams(num_iterations=1))
+    return spark.createDataFrame([(D, float((s**2).sum()))], "rank int, energy double").select("rank", F.round("energy", 4).alias("energy"))
+
+
+@query("approximate_svd")
+def approximate_svd(spark, sf_dir):
+    _, s, _ = svd.approximate_svd(vectors(spark, sf_dir), 6, svd.SVDParams(num_iterations=4))
+    return spark.createDataFrame([(i, round(float(x), 3)) for i, x in enumerate(s)], "place int, sigma double")
+
+
+@query("symmetric_svd")
+def symmetric_svd(spark, sf_dir):
+    g = matrix.to_coords(matrix.from_numpy(spark, matrix.gram(vectors(spark, sf_dir))), True)
+    _, values = svd.approximate_symmetric_svd(g, D, 6, svd.SVDParams(num_iterations=10))
+    return spark.createDataFrame([(i, round(float(x), 3)) for i, x in enumerate(values)], "place int, eigenvalue double")
+
+
+@query("condest")
+def condest(spark, sf_dir):
+    c = svd.condest(vectors(spark, sf_dir))
+    return spark.createDataFrame([(float(c.sigma_max), float(c.sigma_min), float(c.cond), c.code)], "sigma_max double, sigma_min double, cond double, code int")
+
+
+# -- losses, regularizers, coding -----------------------------------------------------------------------
+
+Q = "q AS (SELECT doc_id, (n_chars % 7 - 3) / 2.0 AS o, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS t FROM labels JOIN documents USING (doc_id))"
+
+
+def _outputs(spark, sf_dir) -> DataFrame:
+    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return j.select("doc_id", ((F.col("n_chars") % 7 - 3) / 2.0).alias("o"), F.when(F.col("quality") == 1, 1.0).otherwise(-1.0).alias("t"))
+
+
+for _name, _sql in {"squared": "0.5 * (o - t) * (o - t)", "lad": "abs(o - t)", "hinge": "greatest(0, 1 - o * t)", "logistic": "ln(1 + exp(-o * t))"}.items():
+    query(f"loss_{_name}", f"WITH {Q} SELECT count(*) AS n, round(sum({_sql}), 4) AS loss FROM q")(lambda s, d, m=_name: _outputs(s, d).agg(F.count("*").alias("n"), F.round(F.sum(losses.LOSSES[m]().column(F.col("o"), F.col("t"))), 4).alias("loss")))
+
+for _name, _sql in {"squared": "(o + 0.7 * t) / 1.7", "lad": "t + sign(o - t) * greatest(abs(o - t) - 0.7, 0)", "hinge": "CASE WHEN o * t > 1 THEN o WHEN o * t < 0.3 THEN o + 0.7 * t ELSE t END", "logistic": None}.items():
+
+    def _prox(spark, sf_dir, m=_name):
+        rows = _outputs(spark, sf_dir).select(F.col("doc_id").alias("row_id"), F.array("o").alias("features"), "t")
+        made = matrix.map_rows(rows, lambda x, t: losses.LOSSES[m]().prox(x, 0.7, t), "t")
+        return made.select(F.col("row_id").alias("doc_id"), r(F.col("features")[0], 5).alias("prox"))
+
+    query(f"prox_{_name}", f"WITH {Q} SELECT doc_id, round({_sql}, 5) + 0.0 AS prox FROM q" if _sql else None)(_prox)
+
+for _name, _value, _sql in (("l1", "sum(abs(v))", "sign(v) * greatest(abs(v) - 0.05, 0)"), ("l2", "0.5 * sum(v * v)", "v / 1.05")):
+
+    def _reg(spark, sf_dir, m=_name):
+        g = losses.REGULARIZERS[m]()
+        both = matrix.map_rows(vectors(spark, sf_dir), lambda w: np.array([[g.evaluate(x[None]), g.prox(x, 0.05, np.zeros_like(x)).sum()] for x in w]))
+        return both.select("row_id", r(F.col("features")[0], 5).alias("value"), r(F.col("features")[1], 5).alias("prox_sum"))
+
+    query(f"reg_{_name}", f"WITH {X} SELECT i AS row_id, round({_value}, 5) + 0.0 AS value, round(sum({_sql}), 5) + 0.0 AS prox_sum FROM x GROUP BY i")(_reg)
+
+
+@query("dummy_coding", "WITH o AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS k FROM embeddings GROUP BY label) SELECT vec_id, o.k, CASE WHEN e.label = o.label THEN 1.0 ELSE -1.0 END AS v FROM embeddings e CROSS JOIN o")
+def dummy_coding(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    labels = coding.label_order(e, "label", "vec_id")
+    return e.select("vec_id", F.posexplode(coding.dummy_coding("label", labels)).alias("k", "v")).select("vec_id", F.col("k").cast("long").alias("k"), "v")
+
+
+@query("dummy_decode", "WITH e AS (SELECT vec_id, list_slice(embedding, 1, 10) AS s FROM embeddings) SELECT vec_id, CAST(list_position(s, list_max(s)) - 1 AS INT) AS label FROM e")
+def dummy_decode(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 10).alias("s"))
+    return e.select("vec_id", coding.dummy_decode("s", list(range(10))).alias("label"))
+
+
+@query("num_targets", "SELECT CAST(CASE WHEN min(label) = -1 THEN 1 ELSE max(label) + 1 END AS INT) AS targets FROM embeddings")
+def num_targets(spark, sf_dir):
+    return spark.createDataFrame([(coding.num_targets(table(spark, sf_dir, "embeddings"), "label"),)], "targets int")
+
+
+query("accuracy", f"WITH {Q} SELECT count(*) AS n, round(100.0 * avg(CASE WHEN sign(o) = t THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM q")(lambda s, d: coding.accuracy(_outputs(s, d).withColumn("p", F.signum("o")), "p", "t").select("n", F.round("accuracy", 6).alias("accuracy")))
+query("relative_error", f"WITH {Q} SELECT count(*) AS n, round(sqrt(sum((o - t) * (o - t)) / sum(t * t)), 6) AS relative_error FROM q")(lambda s, d: coding.relative_error(_outputs(s, d), "o", "t").select("n", F.round("relative_error", 6).alias("relative_error")))
+
+# -- kernel machines ------------------------------------------------------------------------------------
+
+
+def _accuracy(spark, sf_dir, model) -> DataFrame:
+    return coding.accuracy(model.predict(labelled(spark, sf_dir)), "prediction", "label").select("n", F.round("accuracy", 2).alias("accuracy"))
+
+
+_K = kernels.Gaussian(D, 1.0)
+for _method, _kw in {"exact": {}, "approximate": {"s": 200}, "sketched": {"s": 128}, "faster": {"s": 200}, "large": {"s": 128, "params": krr.KRRParams(1e-1, 3)}}.items():
+    query(f"rlsc_{_method}")(lambda s, d, m=_method, kw=_kw: _accuracy(s, d, krr.rlsc(labelled(s, d), "label", _K, 0.1, m, **kw)))
+
+
+@query("krr_exact")
+def krr_exact(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
+    model = krr.kernel_ridge(rows, "y", _K, 0.01)
+    return coding.relative_error(model.predict(rows), "prediction", "y").select("n", F.round("relative_error", 4).alias("relative_error"))
+
+
+query("nystrom_rls")(lambda s, d: _accuracy(s, d, krr.nystrom_rls(labelled(s, d), "label", 1.0, 1e-3, 100)))
+query("sketch_pcr")(lambda s, d: _accuracy(s, d, krr.sketch_pcr(labelled(s, d), "label", 60, 1.0, 128)))
+
+
+@query("admm_hinge")
+def admm_hinge(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    model, history = admm.train(rows, "label", _K, 128, admm.ADMMParams("hinge", iterations=4, data_blocks=4), labels=sorted(coding.label_order(rows, "label", "row_id")))
+    return _accuracy(spark, sf_dir, model).withColumn("falls", F.lit(bool(history[-1] < history[0])))
+
+
+# -- sources, graphs, streams ---------------------------------------------------------------------------
+
+
+@query("libsvm_lines", "SELECT p_partkey AS row_id, CAST(p_partkey % 5 AS VARCHAR) || ' 1:' || CAST(CAST(p_size AS DOUBLE) AS VARCHAR) || CASE WHEN p_partkey % 3 <> 0 THEN ' 2:' || CAST(CAST(p_partkey % 3 AS DOUBLE) AS VARCHAR) ELSE '' END || ' 3:0.5' AS value FROM part WHERE p_size <> 0")
+def libsvm_lines(spark, sf_dir):
+    p = table(spark, sf_dir, "part").where("p_size <> 0")
+    rows = p.select(F.col("p_partkey").alias("row_id"), (F.col("p_partkey") % 5).alias("y"), F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 3).cast("double"), F.lit(0.5)).alias("features"))
+    return text_formats.libsvm_lines(rows, "y")
+
+
+@query("arc_list_symmetrized", "WITH l AS (SELECT l_partkey % 97 AS i, l_suppkey AS j, l_quantity AS v FROM lineitem), h AS (SELECT i, j, v / 2 AS v FROM l UNION ALL SELECT j, i, v / 2 FROM l) SELECT i, j, round(sum(v), 2) AS v FROM h GROUP BY i, j")
+def arc_list_symmetrized(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("\t", F.col("l_partkey") % 97, "l_suppkey", "l_quantity").alias("value"))
+    return text_formats.read_arc_list(spark, lines, True).select("i", "j", F.round("v", 2).alias("v"))
+
+
+G = """e0 AS (SELECT l_suppkey AS a, l_partkey % 211 AS b FROM lineitem),
+e AS (SELECT a AS src, b AS dst FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b)"""
+
+
+def _graph(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", "l_suppkey", F.col("l_partkey") % 211).alias("value"))
+    return text_formats.read_graph(spark, lines, numeric=True)
+
+
+query("simple_graph", f"WITH {G} SELECT src, dst FROM e")(_graph)
+query("degrees", f"WITH {G} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src")(lambda s, d: graph.degrees(_graph(s, d)))
+
+
+@query("sweep_cut", f"""WITH {G}, d AS (SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src),
+k AS (SELECT vertex, degree, row_number() OVER (ORDER BY (1.0 / (1 + vertex)) / degree DESC, vertex) AS position FROM d),
+i AS (SELECT k.vertex, count(o.position) AS inside FROM k JOIN e ON e.src = k.vertex JOIN k o ON o.vertex = e.dst AND o.position < k.position GROUP BY k.vertex),
+s AS (SELECT position, k.vertex, CAST(sum(degree) OVER (ORDER BY position) AS BIGINT) AS volume, CAST(sum(degree - 2 * coalesce(inside, 0)) OVER (ORDER BY position) AS BIGINT) AS cut FROM k LEFT JOIN i ON k.vertex = i.vertex),
+t AS (SELECT CAST(count(*) AS BIGINT) AS total FROM e)
+SELECT CAST(position AS INT) AS position, vertex, volume, cut, round(CASE WHEN least(volume, total - volume) > 0 THEN cut / least(volume, total - volume) ELSE 1.0 END, 6) AS conductance FROM s CROSS JOIN t""")
+def sweep_cut(spark, sf_dir):
+    e = _graph(spark, sf_dir)
+    y = graph.degrees(e).select("vertex", (1.0 / (1 + F.col("vertex"))).alias("y"))
+    return graph.sweep(e, y).withColumn("conductance", F.round("conductance", 6))
+
+
+@query("time_dependent_ppr")
+def time_dependent_ppr(spark, sf_dir):
+    return graph.time_dependent_ppr(_graph(spark, sf_dir), {1: 1.0}, graph.PPRParams(epsilon=0.05)).select("vertex", r(F.col("y")[0], 6).alias("y"))
+
+
+@query("spectral_embedding")
+def spectral_embedding(spark, sf_dir):
+    _, values = graph.spectral_embedding(_graph(spark, sf_dir), 4, 10)
+    return spark.createDataFrame([(i, round(float(v), 2)) for i, v in enumerate(values)], "place int, eigenvalue double")
+
+
+@query("stream_count_sketch", f"SELECT {rng.sql_bucket('13h0', 'user_id', 32)} AS bucket, round(sum({rng.sql_sign('13v0', 'user_id')} * value), 3) + 0.0 AS v FROM events GROUP BY bucket")
+def stream_count_sketch(spark, sf_dir):
+    """events as a stream of one batch, sketched incrementally into a table in memory."""
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    name = path.rsplit("/", 1)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", name[1]).parquet(name[0]) if not _is_dir(spark, path) else spark.readStream.schema(schema).parquet(path)
+    sums = scoring.sketch_stream(stream, sketch.CWT(1 << 40, 32, 13), "user_id", "value")
+    scoring.to_memory(sums, "basaltry_count_sketch", "complete")
+    return spark.table("basaltry_count_sketch").select("bucket", r("v", 3).alias("v"))
+
+
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("random_matrix")
+def random_matrix(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").count()
+    x = text_formats.random_matrix(spark, n, 8, "normal", 3)
+    return matrix.to_coords(x, True).groupBy("j").agg(r(F.avg("v"), 4).alias("mean"), r(F.stddev("v"), 4).alias("deviation"))
