@@ -124,11 +124,11 @@ def time_dependent_ppr(edges: DataFrame, seeds: dict, params: PPRParams | None =
     # the frontier's state is small (a local method): it lives with the driver, edges stay where they are
     start = spark.createDataFrame([(v,) for v in seeds], f"vertex {kind}")
     degree = dict(deg.join(F.broadcast(start), "vertex").collect())
-    r = {v: np.concatenate([np.full(n - 1, -p.alpha * 0.0), [s]]) for v, s in seeds.items() if v in degree}
+    r = {v: np.concatenate([np.zeros(n - 1), [s]]) for v, s in seeds.items() if v in degree}
     y: dict = {}
     try:
-        for _ in range(p.rounds):
-            hot = {v: x for v, x in r.items() if np.abs(x).max() > c * degree[v]}
+        for k in range(p.rounds):
+            hot = {v: x for v, x in r.items() if not k or np.abs(x).max() > c * degree[v]}  # seeds always count
             if not hot:
                 break
             rows = []
