@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.rng import Context
-from .matrix import as_lists, block, from_numpy, map_rows, reduce_blocks, to_coords, to_rows, width_of
+from .matrix import block, from_numpy, map_rows, reduce_blocks, to_coords, to_rows, width_of
 
 REGISTRY: dict[str, type[Sketch]] = {}
 VERSION = "1"
@@ -554,4 +554,4 @@ class FastMaternRFT(FastGaussianRFT):
 ALIASES = {"SparseJLT": "SJLT", "FastJLT": "FJLT", "CountSketch": "CWT", "RRT": "GaussianRFT", "Fastfood": "FastGaussianRFT", "MaternFastfood": "FastMaternRFT", "TensorSketch": "PPT", "UniformSampler": "UST", "NonUniformSampler": "NURST"}
 
 
-__all__ = ["ALIASES", "REGISTRY", "Sketch", "create", "from_json", "as_lists", *REGISTRY]
+__all__ = ["ALIASES", "REGISTRY", "Sketch", "create", "from_json", *REGISTRY]
