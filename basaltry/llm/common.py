@@ -65,3 +65,14 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def utf8(x) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes; the column may be string or binary."""
     return x.cast(pa.binary()).to_pylist() if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x.to_pylist()
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores in front until no column of df has it (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import record_batch
 from .trie import DoubleArrayTrie, by_length
 
 #: Documents of each language that the model is fitted on, on average: those whose hash is small enough.
@@ -33,8 +33,6 @@ ROUNDS, SMOOTH = 3, 0.05
 SCALE = 64.0
 CACHE = 500_000
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("words", pa.int64())])
-
 
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, longest: int = LONGEST) -> DoubleArrayTrie:
@@ -248,8 +246,12 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
     `und` with score 0 for a null text, one without any letter, or where nothing could be learned.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
+
+def annotate(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "words")) -> DataFrame:
+    """All columns of docs and the three of identify(), under names that docs does not have; rows are not moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -257,9 +259,9 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             for k in range(0, b.num_rows, 2048):
                 part = b.slice(k, 2048)
                 texts = part["text"].to_pylist()
-                if m is None:
-                    yield record_batch(_OUT, part["doc_id"], ["und"] * len(texts), [0.0] * len(texts), [len(words_of(t or "")) for t in texts])
-                else:
-                    yield record_batch(_OUT, part["doc_id"], *m.classify(texts))
+                made = m.classify(texts) if m is not None else (["und"] * len(texts), np.zeros(len(texts)), [len(words_of(t or "")) for t in texts])
+                kinds = (pa.string(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in zip(made, kinds, strict=True))], names=[*part.schema.names, *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, words long")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.LongType()), strict=True))])
+    return docs.mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import record_batch, utf8, written
 
@@ -24,8 +25,6 @@ from .common import record_batch, utf8, written
 SAMPLE_PER_CLASS = 1024
 TERMS, REPEATS, RANK, NEIGHBOURS, SHARPNESS = 4096, 16, 48, 15, 20.0
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-
 
 def _classes() -> np.ndarray:
     out = np.full(256, 6, dtype=np.uint8)  # bytes of other characters than ASCII's
@@ -142,6 +141,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
 
 def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
     """(doc_id, score) for each row of docs (doc_id, text); null and empty texts get the prior."""
+    return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
+
+
+def annotate(docs: DataFrame, model: NeighbourVote, name: str = "score") -> DataFrame:
+    """All columns of docs and the score, under a name that docs does not have; rows are not moved."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * per_class voters at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +153,7 @@ def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                yield record_batch(_OUT, part["doc_id"], m.scores(np.array([term_counts(t) for t in utf8(part["text"])])))
+                made = m.scores(np.array([term_counts(t) for t in utf8(part["text"])]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import record_batch, written
-from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, top_of, usable
+from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, usable
 
 #: Pivots at most (they are broadcast), vectors and queries of a cell that one task holds, points of a leaf.
 PIVOTS, SAMPLE, BLOCK, QUERY_BLOCK, LEAF = 256, 8192, 2048, 2048, 64
@@ -226,6 +226,3 @@ def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
         chosen.append(int(d.argmax()))
         d = np.minimum(d, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
     return sample[chosen]
-
-
-__all__ = ["exact_topk", "cover_tree", "dual_tree", "top_of"]

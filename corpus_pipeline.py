@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basaltry.llm import quality as quality_vote
-from basaltry.llm.common import id_hash_mod, written
-from basaltry.llm.language_id import fit_on, identify
+from basaltry.llm.common import fresh_names, id_hash_mod, written
+from basaltry.llm.language_id import annotate, fit_on
 from basaltry.llm.packing import pack_mixture
 from basaltry.llm.queries import table
 from basaltry.llm.simhash import near_duplicates
@@ -28,17 +28,17 @@ GOOD = 0.7
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: text without any letter, or in none of the learned languages with probability of SURE or more."""
     model = fit_on(docs.where(id_hash_mod("doc_id", 5) != 0), public_path("byte_bpe_50k.json"))
-    found = identify(docs, model)
-    bad = found.where((F.col("lang_pred") == "und") | (F.col("score") < SURE))
-    return docs.join(bad.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    lang, score, words = fresh_names(docs, "lang_pred", "score", "words")
+    kept = annotate(docs, model, (lang, score, words)).where((F.col(lang) != "und") & (F.col(score) >= SURE))
+    return kept.select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Goes: documents whose weighted vote for label 1 is under GOOD."""
     learn = id_hash_mod("doc_id", 4) != 2
     model = quality_vote.fit_on(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
-    bad = quality_vote.score(docs, model).where(F.col("score") < GOOD)
-    return docs.join(bad.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    (score,) = fresh_names(docs, "score")
+    return quality_vote.annotate(docs, model, score).where(F.col(score) >= GOOD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
