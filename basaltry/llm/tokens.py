@@ -21,7 +21,8 @@ _RUNS = [r for c in _SPACES for r in (" " + c, c + " ")]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Contractions, words, numbers, other signs and spaces, as in the tokenizer file's pre-tokenizer.
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: A word of letters and a run of signs behind it (no apostrophe): two pieces at most, found without the pattern above.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Parts that a worker keeps, about 150 bytes each.
 CACHE = 1_000_000
 
@@ -67,11 +68,17 @@ class Encoder:
 
     def _learn(self, parts: list[str], known: dict[str, bytes], lead: str) -> None:
         """Encode parts, each behind lead, into known."""
-        plain = _PLAIN.fullmatch
-        self._encode_lines([p for p in parts if plain(p)], known, lead)
-        inner, findall = self.inner, self.pieces.findall
+        inner, findall, match = self.inner, self.pieces.findall, _WORD.fullmatch
         for at in range(0, len(parts), 20_000):
-            cut = [(p, findall(lead + p)) for p in parts[at : at + 20_000] if not plain(p)]
+            plain, cut = [], []
+            for p in parts[at : at + 20_000]:
+                if (m := match(p)) is None:
+                    cut.append((p, findall(lead + p)))
+                elif m[2]:
+                    cut.append((p, (lead + m[1], m[2])))
+                else:
+                    plain.append(p)
+            self._encode_lines(plain, known, lead)
             new = {x for _, c in cut for x in c if x not in inner}
             if len(inner) + len(new) > CACHE:
                 inner.clear()
