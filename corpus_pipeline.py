@@ -16,6 +16,7 @@ from basaltry.llm.common import fresh_names, id_hash_mod, written
 from basaltry.llm.language_id import annotate, fit_on
 from basaltry.llm.packing import pack_mixture
 from basaltry.llm.queries import table
+from basaltry.llm.similar import semi, without_similar
 from basaltry.llm.simhash import near_duplicates
 from basaltry.llm.tokens import public_path
 
@@ -44,12 +45,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays, once if its row is repeated."""
     groups = written(near_duplicates(docs), "pipeline-groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
+    stay = semi(docs, gone, "doc_id", "left_anti").select(docs.columns)
     repeated = groups.where("doc_id = component_id and copies > 1").groupBy("doc_id").count().where("count > 1")
     return stay if repeated.isEmpty() else stay.where("doc_id is null").unionByName(stay.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Goes: what near_dedup drops by fingerprint, then texts linked to one with a smaller doc_id by a Jaccard
+    similarity of 0.8 or more of their five-word shingles."""
+    return without_similar(written(near_dedup(spark, docs, sf_dir), "pipeline-fingerprints"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the sequences that the kept documents fill."""
     return pack_mixture(docs, public_path("byte_bpe_50k.json"))
@@ -58,7 +65,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("quality", quality),
-    ("near_dedup", near_dedup),
+    ("near_dedup", copies),
     ("packing", packing),
 ]
 
