@@ -105,6 +105,25 @@ def test_windows_hold_the_target_proportions():
     assert all((weighted.sent(w + 1) >= weighted.sent(w)).all() for w in range(weighted.n))
 
 
+@pytest.mark.parametrize("named", [False, True])
+def test_each_of_many_sources_has_its_share_of_every_window(spark, named):
+    docs = [(i, "a b c d e f", f"s{i % 1500}") for i in range(1500)] + [(i, "a b c d e f", s) for i, s in enumerate(["big"] * 600 + ["half"] * 600, 1500)]
+    rows = packing.pack_mixture(spark.createDataFrame(docs, "doc_id long, text string, source string"), BPE, seq_len=64, window=2048, proportions={"big": 1000.0, "half": 500.0, "s7": 1.0} if named else None).collect()
+    total, size = sum(r.length for r in rows), rows[0].doc_tokens
+    assert total == size * len(docs)
+    at = 0
+    for s, o, n in sorted((r.sequence_id, r.offset, r.length) for r in rows):
+        assert (s, o) == divmod(at, 64)
+        at += n
+    source, sent = {i: s for i, _, s in docs}, {}
+    for r in rows:
+        sent[r.window_id, source[r.doc_id]] = sent.get((r.window_id, source[r.doc_id]), 0) + r.length
+    for name, tokens, weight in (("big", 600 * size, 1000), ("half", 600 * size, 500), ("s7", size, 1), ("s8", size, 1)):
+        share = weight / 3000 if named else tokens / total  # the other 1499 sources get the smallest share named
+        upto = sum(sent.get((w, name), 0) for w in range(2))
+        assert abs(upto - share * 2 * 2048) <= 1
+
+
 def test_fingerprints_follow_their_definition():
     from xxhash import xxh64_intdigest
 
