@@ -26,8 +26,8 @@ from .trie import DoubleArrayTrie, by_length
 
 #: Documents of each language that the model is fitted on, on average: those whose hash is small enough.
 SAMPLE_PER_LANGUAGE = 600
-#: Pieces of more bytes are left out; words of more bytes are scored one at a time.
-LONGEST, SHORT = 12, 40
+#: Words of more bytes are fitted and scored one at a time, in logarithms.
+SHORT = 40
 ROUNDS, SMOOTH = 3, 0.05
 #: Scales every byte so that products of probabilities stay within doubles; taken out again at the end.
 SCALE = 64.0
@@ -35,13 +35,13 @@ CACHE = 500_000
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str, longest: int = LONGEST) -> DoubleArrayTrie:
-    """All single bytes and the vocabulary's pieces of up to longest bytes, from a tokenizer file with byte-level pieces."""
+def vocabulary(path: str) -> DoubleArrayTrie:
+    """All single bytes and the vocabulary's pieces of lower-case text without white space inside, from a tokenizer file with byte-level pieces."""
     with open(path, encoding="utf-8") as f:
         names = json.load(f)["model"]["vocab"]
     alphabet = _byte_alphabet()
     found = {bytes(alphabet[c] for c in name) for name in names if all(c in alphabet for c in name)}
-    lower = {p for p in found if p == p.lower() and len(p) <= longest and b" " not in p[1:] and b"\n" not in p}
+    lower = {p for p in found if p == p.lower() and b" " not in p[1:] and b"\n" not in p}
     return DoubleArrayTrie(sorted(lower | {bytes([b]) for b in range(256)}))
 
 
@@ -66,9 +66,11 @@ def forward(found: np.ndarray, probs: np.ndarray) -> np.ndarray:
     n, length, m = found.shape
     alpha = np.zeros((length + 1, n, probs.shape[1]))
     alpha[0] = 1.0
+    live = (found >= 0).any(axis=0)
     for e in range(1, length + 1):
         for k in range(min(m, e)):
-            alpha[e] += alpha[e - k - 1] * probs[found[:, e - k - 1, k]]
+            if live[e - k - 1, k]:
+                alpha[e] += alpha[e - k - 1] * probs[found[:, e - k - 1, k]]
     return alpha
 
 
@@ -76,12 +78,30 @@ def backward(found: np.ndarray, probs: np.ndarray) -> np.ndarray:
     n, length, m = found.shape
     beta = np.zeros((length + 1, n, probs.shape[1]))
     beta[length] = 1.0
+    live = (found >= 0).any(axis=0)
     for s in range(length - 1, -1, -1):
-        for k in range(min(m, length - s)):
+        for k in np.flatnonzero(live[s, : length - s]):
             beta[s] += beta[s + k + 1] * probs[found[:, s, k]]
     return beta
 
 
+def pieces_of(trie: DoubleArrayTrie, word: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece) of all pieces that one word of any length holds, by start."""
+    found = [(s, s + n, key) for s in range(len(word)) for n, key in trie.prefixes(word, s)]
+    return tuple(np.array(found, dtype=np.int64).reshape(-1, 3).T)
+
+
+def log_sums(start: np.ndarray, end: np.ndarray, logs: np.ndarray, length: int) -> np.ndarray:
+    """(length + 1, languages): logs of the sums over the segmentations of each prefix; logs (pieces found, languages)."""
+    order = np.argsort(end, kind="stable")
+    start, logs, edges = start[order], logs[order], np.searchsorted(end[order], np.arange(length + 2))
+    out = np.zeros((length + 1, logs.shape[1]))
+    for e in range(1, length + 1):
+        a, b = edges[e], edges[e + 1]
+        out[e] = np.logaddexp.reduce(out[start[a:b]] + logs[a:b], axis=0)
+    return out
+
+
 @dataclass
 class LanguageModel:
     path: str
@@ -106,24 +126,18 @@ class LanguageModel:
         return {}
 
     def _score_long(self, word: bytes) -> np.ndarray:
-        """Forward over one word of any length, rescaled as it goes."""
-        logs, k, m = np.zeros(len(self.languages)), len(self.languages), self.trie.longest
-        window = [np.ones(k)]  # alpha of the last m places
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(m + 1)]
-        for s in range(len(word)):
+        """Log of the sum over the segmentations of one word of any length."""
+        logs, longest = np.zeros((min(len(word), self.trie.longest) + 1, len(self.languages))), self.trie.longest
+        size, probs = len(logs), self.log_probs
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(longest + 1)]
+        for s in range(len(word)):  # logs holds the last places in a ring
             for n, key in self.trie.prefixes(word, s):
-                ends[(s + n) % (m + 1)].append((n, key))
-            at = (s + 1) % (m + 1)
-            new = np.zeros(k)
-            for n, key in ends[at]:
-                new += window[-n] * self.scaled[key]
-            ends[at] = []
-            window = [*window[-m:], new]
-            if not s % 8:
-                top = np.maximum(window, 0).max(axis=0)
-                logs += np.log(top)
-                window = [w / top for w in window]
-        return logs + np.log(window[-1]) - len(word) * np.log(SCALE)
+                ends[(s + n) % (longest + 1)].append((s % size, key))
+            here = ends[(s + 1) % (longest + 1)]
+            from_, keys = zip(*here, strict=True)
+            logs[(s + 1) % size] = np.logaddexp.reduce(logs[list(from_)] + probs[list(keys)], axis=0)
+            here.clear()
+        return logs[len(word) % size]
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """(words, languages): log of the sum over segmentations."""
@@ -203,6 +217,7 @@ def fit(counts: Iterable[tuple[str, str, int]], path: str, documents: dict[str,
     for w, x, c in cells:
         weight[w, x] += c
     raw = _as_bytes(list(words))
+    long = [(i, *pieces_of(trie, w), len(w)) for i, w in enumerate(raw) if len(w) > SHORT]
     raw = [w if len(w) <= SHORT else b"" for w in raw]
     lengths = piece_lengths(trie, n_pieces)
     probs = np.full((n_pieces, len(languages)), 1.0 / n_pieces)
@@ -213,13 +228,18 @@ def fit(counts: Iterable[tuple[str, str, int]], path: str, documents: dict[str,
             found = trie.match(matrix)
             alpha, beta = forward(found, scaled), backward(found, scaled)
             share = weight[places] / np.maximum(alpha[-1], 1e-300)
+            live = (found >= 0).any(axis=0)
             for s in range(matrix.shape[1]):
-                for k in range(min(found.shape[2], matrix.shape[1] - s)):
+                for k in np.flatnonzero(live[s, : matrix.shape[1] - s]):
                     key = found[:, s, k]
                     here = key >= 0
                     part = alpha[s][here] * scaled[key[here]] * beta[s + k + 1][here] * share[here]
                     for x in range(len(languages)):
                         expected[:, x] += np.bincount(key[here], part[:, x], n_pieces + 1)
+        for i, start, end, key, n in long:
+            logs = np.log(probs[key])
+            alpha, beta = log_sums(start, end, logs, n), log_sums(n - end, n - start, logs, n)[::-1]
+            np.add.at(expected, key, weight[i] * np.exp(alpha[start] + logs + beta[end] - alpha[n]))
         probs = expected[:n_pieces] + SMOOTH
         probs /= probs.sum(axis=0)
     total = sum(documents.values())

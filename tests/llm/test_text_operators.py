@@ -244,6 +244,28 @@ def test_language_id_on_held_out_and_odd_rows(spark, odd, none):
     assert language_id.identify(none, model).count() == 0
 
 
+def test_long_words_and_long_pieces_are_fitted():
+    trie = language_id.vocabulary(BPE)
+    assert trie.longest > 12 and any(n == 15 for n, _ in trie.prefixes(b" responsibility", 0))
+    rnd = random.Random(0)
+    scripts = {"ja": "日本語東京人大学生", "zh": "中国汉字北京们这说"}
+    line = lambda x: "".join(rnd.choices(scripts[x], k=40))
+    model = language_id.fit([(x, line(x), 1) for x in scripts for _ in range(30)], BPE, dict.fromkeys(scripts, 30))
+    names, scores, _ = model.classify([line(x) for x in scripts for _ in range(10)])
+    assert names == ["ja"] * 10 + ["zh"] * 10 and scores.min() > 0.99
+    # sums in logarithms are those of the short form, and expectations too
+    short, limit = [("ja", "thereupon", 2), ("zh", "thereafter", 1)], language_id.SHORT
+    one = language_id.fit(short, BPE, dict.fromkeys(scripts, 1))
+    language_id.SHORT = 3
+    try:
+        two = language_id.fit(short, BPE, dict.fromkeys(scripts, 1))
+        assert np.allclose(one.log_probs, two.log_probs, atol=1e-5)
+        in_logs = two.score_words(["thereupon", "x" * 500])
+    finally:
+        language_id.SHORT = limit
+    assert np.allclose(in_logs[0], one.score_words(["thereupon"])[0], atol=1e-4) and np.isfinite(in_logs).all()
+
+
 def test_unigram_pieces_agree_with_the_library():
     import sentencepiece
 
