@@ -25,8 +25,10 @@ from .vectors import best, first_of_equals, matrix, query_classes, salt, same_wi
 
 #: Pivots at most (they are broadcast), vectors and queries of a cell that one task holds, points of a leaf.
 PIVOTS, SAMPLE, BLOCK, QUERY_BLOCK, LEAF = 256, 8192, 2048, 2048, 64
-#: Components beyond this (after scaling) have no score that surely fits a long.
-LARGEST = 1 << 26
+#: Scores beyond this (either sign) count as this; it leaves a lower long to mark empty places.
+MOST = (1 << 63) - 2
+#: Components beyond this (after scaling; only doubles have them) count as this, so that bounds stay finite.
+HUGE = 1e150
 
 _FOUND = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 _FOUND_SQL = "q long, vec_id long, score long"
@@ -71,19 +73,20 @@ def dual_tree(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.n
 
     ids ascend, so that ties go to the smaller.  Node pairs are taken best bound first.
     """
-    top = np.full((len(q), k), -np.inf)
-    who = np.full((len(q), k), -1, dtype=np.int64)
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53
-    qi, xi = (q, x) if exact else (q.astype(np.int64), x.astype(np.int64))
+    empty = -np.inf if exact else -MOST - 1
+    top = np.full((len(q), k), empty, dtype=np.float64 if exact else np.int64)
+    who = np.full((len(q), k), -1, dtype=np.int64)
+    qi, xi = (q, x) if exact else (_longs(q), _longs(x))
     queries, data = cover_tree(q), cover_tree(x)
 
     def bound(a: Node, b: Node) -> float:
         na, nb = float(np.linalg.norm(a.centre)), float(np.linalg.norm(b.centre))
         v = float(a.centre @ b.centre) + na * b.radius + nb * a.radius + a.radius * b.radius
-        return v + 1e-9 * abs(v) + 1.0
+        return max(v + 1e-9 * abs(v) + 1e-12 * (na + a.radius) * (nb + b.radius) + 1.0, -float(MOST))
 
     def worst(a: Node) -> float:
-        return float(np.maximum(top[a.points, -1], floor[a.points]).min())
+        return float(np.maximum(np.where(who[a.points, -1] < 0, -np.inf, top[a.points, -1]), floor[a.points]).min())
 
     stack = [(queries, data)] if len(q) and len(x) else []
     while stack:
@@ -93,22 +96,32 @@ def dual_tree(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.n
         if not a.children and not b.children:
             for at in range(0, len(b.points), 4096):
                 part = np.sort(b.points[at : at + 4096])
-                s = (qi[a.points] @ xi[part].T).astype(np.float64 if exact else np.int64)
-                both = np.concatenate([top[a.points], s], axis=1) if exact else np.concatenate([np.where(np.isinf(top[a.points]), -(2.0**63), top[a.points]).astype(np.int64), s], axis=1)
+                s = qi[a.points] @ xi[part].T
+                if not exact:
+                    _mend(s, q[a.points], x[part])
+                both = np.concatenate([top[a.points], s], axis=1)
                 names = np.concatenate([who[a.points], np.broadcast_to(ids[part], s.shape)], axis=1)
                 order = np.lexsort((names, -both), axis=1)[:, :k] if both.shape[1] <= 4 * k else _select(both, names, k)
-                top[a.points] = np.where(np.take_along_axis(names, order, axis=1) < 0, -np.inf, np.take_along_axis(both, order, axis=1))
+                top[a.points] = np.take_along_axis(both, order, axis=1)
                 who[a.points] = np.take_along_axis(names, order, axis=1)
             continue
         pairs = [(c, b) for c in a.children] if a.children and (a.radius >= b.radius or not b.children) else [(a, c) for c in b.children]
         stack += sorted(pairs, key=lambda p: bound(*p))  # the best bound is on top
     ok = (who >= 0) & (top >= floor[:, None])
     rows, cols = np.nonzero(ok)
-    found = who[rows, cols]
-    position = {int(i): p for p, i in enumerate(ids)}
-    at = np.array([position[int(i)] for i in found], dtype=np.int64)
-    scores = (q[rows].astype(np.int64) * x[at].astype(np.int64)).sum(axis=1) if len(rows) else np.zeros(0, np.int64)
-    return rows, found, scores
+    return rows, who[rows, cols], top[rows, cols].astype(np.int64)
+
+
+def _longs(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 2.0**62, x, 0.0).astype(np.int64)
+
+
+def _mend(s: np.ndarray, q: np.ndarray, x: np.ndarray) -> None:
+    """Scores whose sums may leave the range of a long, anew in integers of any length."""
+    most = np.multiply.outer(np.abs(q).max(axis=1, initial=0), np.abs(x).max(axis=1, initial=0)) * max(1, x.shape[1])
+    most = np.maximum(most, np.maximum.outer(np.abs(q).max(axis=1, initial=0), np.abs(x).max(axis=1, initial=0)))
+    for i, j in np.argwhere(most >= 2.0**62).tolist():
+        s[i, j] = min(MOST, max(-MOST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))))
 
 
 def _select(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -125,12 +138,17 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
 
     Each component x counts as floor(scale * x).  A query's own id is no candidate.  Ties go to the
     smaller vec_id.  Left out are rows with a null id or vector, null or non-finite
-    components, or components that exceed 2^26 after scaling (their scores need not fit a long).
+    components.  Scores are exact; one beyond 2^63 - 2 (or under its negative) counts as that.
     Shorter vectors count as filled up with zeros.  Repeated rows (same id, same vector) count once; an id with
     two vectors is two candidates, and a query with each.  Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
-    whole = lambda df: usable(df).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v")).where(~F.exists("v", lambda x: F.abs(x) > LARGEST))
+
+    def count(x):
+        y = x * scale  # from 2^53 on doubles are whole
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(F.greatest(F.lit(-HUGE), F.least(F.lit(HUGE), y)))
+
+    whole = lambda df: usable(df).select("vec_id", F.transform("v", count).alias("v"))
     data = written(first_of_equals(whole(vectors).distinct(), k + 1), "topk-data")
     classes, members = query_classes(whole(queries).distinct())
     classes, members = written(classes, "topk-queries"), written(members, "topk-members")
@@ -197,7 +215,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
         for b in batches:
             x, c = same_width(matrix(b["v"]), p)
             floor, ids = b["floor"].to_numpy(), b["id"].to_numpy()
-            reach = x @ c.T + np.linalg.norm(x, axis=1)[:, None] * np.maximum(size, 0) * (1 + 1e-9) + 1.0
+            length, far = np.linalg.norm(x, axis=1)[:, None], np.maximum(size, 0)
+            reach = x @ c.T + length * far * (1 + 1e-9) + 1e-12 * length * (np.linalg.norm(c, axis=1) + far) + 1.0
+            reach = np.maximum(reach, -float(MOST))
             rows, into = np.nonzero((reach >= floor[:, None]) & (size >= 0))
             row = np.repeat(rows, [salts[int(i)] for i in into])
             cell = np.repeat(into, [salts[int(i)] for i in into])

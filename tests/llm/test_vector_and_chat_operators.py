@@ -58,6 +58,21 @@ def test_dual_tree_prunes_and_stays_exact():
     assert tree.children and all(((x[c.points] - c.centre) ** 2).sum(1).max() <= c.radius**2 * (1 + 1e-9) for c in tree.children)
 
 
+def test_exact_topk_of_large_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8) * (1 if i % 3 else 3e4)]) for i in range(200)]
+    rows += [(200 + i, [float(np.float32(x)) for x in rng.standard_normal(8) * 1e5]) for i in range(6)] + [(240, [1e5] * 8), (260, [-1e5] * 8), (280, [1e12] * 8), (300, [-1e12] * 8), (301, [3e38] + [0.0] * 7), (320, [3e38, -3e38] + [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in topk_search.exact_topk(df, df.where("vec_id % 20 = 0"), 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    data = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows}
+    most = 2**63 - 2
+    for q in (i for i in data if i % 20 == 0):
+        want = sorted((-max(-most, min(most, sum(a * b for a, b in zip(data[q], x, strict=True)))), i) for i, x in data.items() if i != q)[:10]
+        assert [t[1:] for t in sorted(got[q])] == want
+
+
 def test_neighbours_have_high_recall_and_exact_scores(odd):
     df, rows = odd
     got = {}
