@@ -29,6 +29,8 @@ from .tokens import encoder
 SEQ_LEN, WINDOW = 1024, 65_536
 #: Longs that a task keeps of the windows' tables (one for each source), and pieces that it sorts by window.
 TABLES, SORTED = 1 << 22, 65_536
+#: Places (one for each queue and block) that a join broadcasts at most.
+PLACES = 1 << 20
 
 _ENCODED = pa.schema([("queue", pa.string()), ("block", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 _PIECES = pa.schema([(x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window_id")])
@@ -152,6 +154,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window
             weights[r["q"]] = by_name[r["queue"]]
     shared = spark.sparkContext.broadcast(Schedule(totals, window, weights))
     before = sums.select("queue", "block", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("block")) - F.col("tokens")).alias("before")).join(numbered.select("queue", "q"), "queue")
+    before = written(before, "packing-before")
     dtype = "<u2" if encoder(tokenizer).vocab_size <= 1 << 16 else "<u4"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,5 +186,6 @@ def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window
                         spans = []
             yield from place(spans)
 
-    placed = encoded.join(before, ["queue", "block"]).select("q", "doc_id", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
+    # places are broadcast while they are few, so that ids stay where they are; else both sides are dealt by queue and block
+    placed = encoded.join(F.broadcast(before) if before.count() <= PLACES else before, ["queue", "block"]).select("q", "doc_id", (F.col("at") + F.col("before")).alias("at"), "n", "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window_id long")
