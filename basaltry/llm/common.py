@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,28 @@ def utf8(x) -> list[bytes | None]:
     return x.cast(pa.binary()).to_pylist() if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x.to_pylist()
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, forget: Callable[[], object]) -> None:
+    """A worker process keeps something between tasks of operator name; forget drops it."""
+    _KEPT[name] = forget
+
+
+def only(name: str) -> None:
+    """A task of operator name begins: what other operators keep in this process goes."""
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """names, each with underscores in front until no column of df has it (in any case)."""
     taken, out = {c.lower() for c in df.columns}, []

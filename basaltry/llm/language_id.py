@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import keeps, only, record_batch
 from .trie import DoubleArrayTrie, by_length
 
 #: Documents of each language that the model is fitted on, on average: those whose hash is small enough.
@@ -45,6 +46,9 @@ def vocabulary(path: str) -> DoubleArrayTrie:
     return DoubleArrayTrie(sorted(lower | {bytes([b]) for b in range(256)}))
 
 
+keeps("language_id", vocabulary.cache_clear)
+
+
 def _byte_alphabet() -> dict[str, int]:
     """Characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -274,10 +278,11 @@ def annotate(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("language_id")
         m = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
                 texts = part["text"].to_pylist()
                 made = m.classify(texts) if m is not None else (["und"] * len(texts), np.zeros(len(texts)), [len(words_of(t or "")) for t in texts])
                 kinds = (pa.string(), pa.float64(), pa.int64())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import record_batch, utf8, written
+from .common import only, record_batch, utf8, written
 
 #: Labelled documents of each class that are kept as voters, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1024
@@ -149,6 +149,7 @@ def annotate(docs: DataFrame, model: NeighbourVote, name: str = "score") -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * per_class voters at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         m = shared.value
         for b in batches:
             for k in range(0, b.num_rows, 512):

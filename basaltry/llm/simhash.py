@@ -30,25 +30,32 @@ TILE = 4096
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64 (seed 42); 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of each run of shingle words, repeats included; fewer words are one run, none give nothing."""
     from xxhash import xxh64_intdigest
 
     words = (text or b"").lower().split()  # bytes.lower touches A-Z alone, bytes.split cuts at x20 and x09-x0D
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
-    starts = [0, *[e + 1 for e in ends[:-shingle]]]
-    hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=True)], dtype="<u8")
+    starts = [0, *[e + 1 for e in ends[:-1]]]
+    last = min(shingle, len(words)) - 1
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[last:], strict=False)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 without any."""
     counts = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
         counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) for every row of docs (doc_id, text); fp is the fingerprint as a signed long."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])

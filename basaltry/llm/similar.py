@@ -1,51 +1,54 @@
-"""Near copies by word shingles: an exact set-similarity join (Jaccard 4/5 or more).
+"""Near copies by word shingles: the links of an exact set-similarity join (Jaccard 4/5 or more).
 
 Sets of similarity 4/5 share 4/5 of the larger one's members.  So with the members of every set in one
-common order, the first n - ceil(4 n / 5) + 1 members of the two sets meet: only texts that share
-such a member are candidates, and no pair is lost.  The order puts members that are common in
-a sample last, which keeps candidates few; it decides cost, never the result.  Of the candidates those
-are dropped whose 1024-bit parity sketches differ in more bits than such sets can differ in members; the
-rest are compared set by set.
+common order, the first n - ceil(4 n / 5) + 1 members of the two sets meet: texts that share no
+such member are not similar.  The order puts members last that many texts have, as counted
+in chunks over all texts; it decides cost, never the result.
+
+The texts that share a member form a group, whose smallest text names a block; a block is all texts
+that some group with this name holds.  Any two texts of a group are together in a block, and a text
+is in few blocks, since near copies share most of their members.  A block is searched twice.  First by parity
+sketches, which differ in no more bits than their sets in members: texts without a partner go.  Of the others the sets are
+compared, in the order of their sizes: pairs already joined by links are skipped, then those that sketches tell
+apart; what is left is compared exactly.  A block of more than TILE bytes is dealt over tasks as pairs of tiles.  What
+comes out joins all that similar pairs join, with less than one link for each text of a block: never all pairs.
 
 Texts are known by their XXH64, members by that of their words.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_names, record_batch, utf8, written
+from .common import fresh_names, in_parts, only, record_batch, utf8, written
 from .components import connected_components
+from .simhash import links, majority, shingle_hashes
 
-SHINGLE, SEED = 5, 42
-#: Documents in whose shingles the common ones are looked for.
-SAMPLE = 8192
+SHINGLE = 5
+#: Members of texts that are counted together, and members at most whose counts order the prefixes (they are broadcast).
+CHUNK, COMMON = 1 << 21, 1 << 20
 #: Keys that a join broadcasts at most; beyond it is shuffled.
 BROADCAST_ROWS = 1 << 20
-PARITY = 1024
-
-_PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+#: Bytes of sets that a tile holds, bits of a sketch, texts that a task remembers to leave out their copies.
+TILE, PARITY, SEEN = 32 << 20, 1024, 1 << 18
+
+_READ = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary()), ("counts", pa.binary())])
+_READ_SQL = "doc_id long, key long, fp long, n long, sketch binary, members binary, counts binary"
+_COUNT = pa.schema([("h", pa.int64()), ("c", pa.int64())])
+_PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64())])
+_SET = pa.schema([("key", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_MEMBER = pa.schema([("block", pa.int64()), ("key", pa.int64())])
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct shingles of shingle words as sorted hashes; fewer words are one shingle, none are an empty set."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    line = b" ".join(words)
-    ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
-    starts = [0, *[e + 1 for e in ends[:-1]]]
-    last = min(shingle, len(words)) - 1
-    return np.unique(np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends[last:], strict=False)], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def prefix(members: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -56,9 +59,15 @@ def prefix(members: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.nda
     return members[np.lexsort((members, rank))[: n + (-4 * n) // 5 + 1]]
 
 
-def parity(members: np.ndarray) -> bytes:
-    """A bit for each hash class: whether the set has an odd number of members in it."""
-    return np.packbits(np.bincount((members % PARITY).astype(np.int64), minlength=PARITY) & 1).tobytes()
+def parity(members: np.ndarray) -> np.ndarray:
+    """A bit for each hash class: whether the set has an odd number of members in it.  Large sets have longer sketches."""
+    bits = min(1 << 16, max(PARITY, 1 << int(2 * len(members)).bit_length()))
+    return np.packbits(np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The shorter sketch of the same set."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -66,119 +75,248 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
-    """A semi or anti join with written keys; up to BROADCAST_ROWS of them move no row of df."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
-
-
-def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several documents of a sample, sorted, and in how many."""
-    share = SAMPLE / max(1, texts.count())
-    some = texts.where(F.pmod(F.shiftright("key", 16), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
-    schema = pa.schema([("h", pa.int64())])
+def _near(n: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of sets in the order of their sizes n each one's later ones that sketches do not tell apart from it.
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in utf8(b["text"]):
-                yield record_batch(schema, shingles(t).view(np.int64))
-
-    seen = some.mapInArrow(members, "h long").groupBy("h").count().where("count > 1").toPandas()  # of a bounded number of documents
-    h, n = seen["h"].to_numpy(np.int64).view(np.uint64), seen["count"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _meet(key: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different keys whose sizes allow similarity 4/5."""
-    key, first = np.unique(key, return_index=True)
-    n = n[first]
+    What is sent back is a mask of the later ones that need no look (or nothing).
+    """
+    words = np.array([len(x) for x in sketches])
+    ends = np.searchsorted(4 * n, 5 * n, side="right")
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i in range(len(n)):
+        other = np.arange(i + 1, ends[i])
+        skip = yield i, other
+        other = other if skip is None else other[~skip]
+        if not len(other):
+            yield i, other
+            continue
+        w = int(words[i])
+        if w not in known:  # sizes of similar sets are so close that sketches are as long, or twice as long
+            held = np.flatnonzero((words == w) | (words == 2 * w))
+            place = np.full(len(n), -1)
+            place[held] = np.arange(len(held))
+            known[w] = place, np.array([fold(sketches[j], w) for j in held])
+        place, folded = known[w]
+        found = []
+        for at in range(0, len(other), 4096):
+            some = other[at : at + 4096]
+            apart = np.bitwise_count(folded[place[some]] ^ folded[place[i]]).sum(axis=1, dtype=np.int64)
+            found.append(some[9 * apart <= n[some] + n[i]])
+        yield i, np.concatenate(found)
+
+
+def block_partners(n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """Mask of the sets that have a partner which their sketches do not tell apart from them."""
     order = np.argsort(n, kind="stable")
-    key, n = key[order], n[order]
-    for i, end in enumerate(np.searchsorted(4 * n, 5 * n, side="right")):
-        other = key[i + 1 : end]
+    out = np.zeros(len(n), dtype=bool)
+    walk = _near(n[order], [sketches[i] for i in order])
+    for i, other in walk:
+        i, other = walk.send(out[order[other]]) if out[order[i]] else walk.send(np.zeros(len(other), dtype=bool))
         if len(other):
-            yield np.minimum(other, key[i]), np.maximum(other, key[i])
+            out[order[i]] = out[order[other]] = True
+    return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of h to the pairs of keys that share an h."""
-    kept = [np.zeros(0, dtype=np.int64)] * 3
-    for b in itertools.chain(batches, [None]):
-        now = kept if b is None else [np.concatenate([k, b[c].to_numpy()]) for k, c in zip(kept, ("h", "key", "n"), strict=True)]
-        h, key, n = now
-        if not len(h):
+def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (positions) that join all that pairs of similarity 4/5 or more join; fewer than there are sets."""
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    part, out = np.arange(len(sets)), []
+    walk = _near(n[order], [parity(sets[i]) for i in order])
+    for i, other in walk:
+        i, other = walk.send(part[other] == part[i])
+        for j in other.tolist():
+            if part[j] != part[i] and similar(sets[order[i]], sets[order[j]]):
+                part[part == part[j]] = part[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the columns by, as they stand."""
+    kept: pa.Table | None = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        now = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
+        if not now.num_rows:
             continue
-        edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-        if b is not None:  # the last run may go on in the next batch
-            kept = [x[edges[-2] :] for x in now]
-            edges = edges[:-1]
-        out, size = [], 0
-        for k in np.flatnonzero(np.diff(edges) > 1):
-            for pair in _meet(key[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]]):
-                out.append(pair)
-                size += len(pair[0])
-                if size >= 65_536:
-                    yield record_batch(_PAIR, *map(np.concatenate, zip(*out, strict=True)))
-                    out, size = [], 0
-        if out:
-            yield record_batch(_PAIR, *map(np.concatenate, zip(*out, strict=True)))
-
+        keys = np.stack([now[c].to_numpy() for c in by])
+        edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]).tolist()
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield now.slice(start, end - start)
+        kept = now.slice(edges[-1])  # the last run may go on in the next batch
+    if kept is not None:
+        yield kept
 
-def similar_pairs(texts: DataFrame) -> DataFrame:
-    """texts (key: long, text: binary; equal keys are equal texts) to all pairs (u < v) of keys whose shingle sets have a Jaccard similarity of 4/5 or more."""
-    shared = texts.sparkSession.sparkContext.broadcast(_common(texts))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part, out = b.slice(at, 256), []
-                for key, t in zip(part["key"].to_pylist(), utf8(part["text"]), strict=True):
-                    if len(m := shingles(t)):
-                        p = prefix(m, *shared.value)
-                        out.append((p.view(np.int64), np.full(len(p), key), np.full(len(p), len(m))))
-                if out:
-                    yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
-
-    dealt = texts.mapInArrow(prefixes, "h long, key long, n long").repartition("h").sortWithinPartitions("h")
-    pairs = written(dealt.mapInArrow(_candidates, "u long, v long").distinct(), "similar-candidates")
-    needed = written(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "similar-needed")
-    some = written(semi(texts, needed, "key", "left_semi").dropDuplicates(["key"]), "similar-texts")
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-        for b in batches:
-            sets = [shingles(t) for t in utf8(b["text"])]
-            yield record_batch(schema, b["key"], [len(m) for m in sets], [parity(m) for m in sets])
+def semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A semi, anti or left join with written keys; up to BROADCAST_ROWS of them move no row of df."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
-    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                bits = [np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(-1, PARITY // 8) for c in ("a", "b")]
-                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
-                yield b.select(["u", "v"]).filter(pa.array(9 * apart <= b["n"].to_numpy() + b["m"].to_numpy()))
 
-    def sure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read(docs: DataFrame) -> DataFrame:
+    """For each row of docs (doc_id, text) doc_id, key (of the text), fp (SimHash of its shingles) and n (their number);
+    besides, rows with a null key that count the members which several texts of a chunk have."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(sets), return_counts=True)
+        return record_batch(_READ, [None], [None], [None], [None], [None], [h[c > 1].tobytes()], [c[c > 1].astype("<u4").tobytes()])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size, seen = [], 0, set()
+        only("similar")
+        for b in in_parts(batches, 256):
+            prints, ns, sketches = np.zeros(b.num_rows, dtype=np.uint64), [], []
+            for i, (key, text) in enumerate(zip(b["key"].to_pylist(), utf8(b["text"]), strict=True)):
+                hashes = shingle_hashes(text, SHINGLE)
+                prints[i] = majority(hashes)
+                members = np.unique(hashes)
+                ns.append(len(members))
+                sketches.append(parity(members).tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    sets.append(members)
+                    size += len(members)
+                    if size >= CHUNK:
+                        yield counted(sets)
+                        sets, size, seen = [], 0, set()
+            none = [None] * b.num_rows
+            yield record_batch(_READ, b["doc_id"], b["key"], prints.view(np.int64), ns, sketches, none, none)
+        if sets:
+            yield counted(sets)
+
+    return keyed.mapInArrow(make, _READ_SQL)
+
+
+def _common(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members that are counted in table the most frequent ones (COMMON at most), sorted, and their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similar(shingles(x), shingles(y)) for x, y in zip(utf8(b["a"]), utf8(b["b"]), strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            for h, c in zip(b["members"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                yield record_batch(_COUNT, np.frombuffer(h, "<i8"), np.frombuffer(c, "<u4").astype(np.int64))
+
+    counts = table.where("members is not null").select("members", "counts").mapInArrow(rows, "h long, c long")
+    total = written(counts.groupBy("h").agg(F.sum("c").alias("c")), "similar-common")
+    held, least = 0, 1 << 20
+    for c, n in sorted(total.groupBy(F.least("c", F.lit(least)).alias("c")).count().collect(), reverse=True):  # a row for each count
+        held += n
+        if held > COMMON:
+            break
+        least = c
+    kept = total.where(F.col("c") >= least).limit(COMMON).toArrow()
+    h, c = kept["h"].to_numpy().view(np.uint64), kept["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order]
 
-    sketches = written(some.mapInArrow(sketched, "key long, n long, bits binary"), "similar-sketches")
-    left, right = sketches.toDF("u", "n", "a"), sketches.toDF("v", "m", "b")
-    close = written(pairs.join(left, "u").join(right, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(may, "u long, v long"), "similar-close")
-    left, right = some.select("key", "text").toDF("u", "a"), some.select("key", "text").toDF("v", "b")
-    return close.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(sure, "u long, v long")
 
+def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """Links (u, v: keys) that join the texts which pairs with a Jaccard similarity of 4/5 or more join.
 
-def without_similar(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, others) without the texts linked, over any number of similar pairs, to one with a smaller doc_id.
+    table: what read(docs) gave, written.  Equal texts are one; texts without words are in no link.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_common(table))
+    keyed = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text")).where("text is not null")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        """Key and set of each text; copies in one task mostly once."""
+        seen = set()
+        only("similar")
+        for b in in_parts(batches, 256):
+            for key, text in zip(b["key"].to_pylist(), utf8(b["text"]), strict=True):
+                if key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    if len(members := shingles(text)):
+                        yield key, members
 
-    Rows of one text stay or go together.  Texts without words are linked to none; null ids come after all others.
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for key, members in once(batches):
+            p = prefix(members, *shared.value)
+            out.append((p.view(np.int64), np.full(len(p), key)))
+            size += len(p)
+            if size >= 1 << 16:
+                yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
+                out, size = [], 0
+        if out:
+            yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
+
+    met = written(keyed.mapInArrow(prefixes, "h long, key long"), "similar-prefixes")
+    groups = met.groupBy("h").agg(F.min("key").alias("block"), F.max("key").alias("last")).where("block < last").select("h", "block")
+    sketches = table.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))  # rows of a key are equal
+    blocks = written(met.join(groups, "h").select("block", "key").distinct(), "similar-blocks")
+    by = ["block", "a", "b"]
+
+    def dealt(what: DataFrame, size: Column) -> DataFrame:
+        """Rows of blocks, each for every pair of tiles (a, b) that it stands in, sorted by block and pair."""
+        tiles = what.groupBy("block").agg(F.ceil(F.sum(size) / F.lit(TILE)).cast("int").alias("tiles"))
+        mine = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+        out = what.join(tiles, "block").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        out = out.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o")).drop("t", "o", "tiles")
+        return out.repartition(*by).sortWithinPartitions(*by)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, by):
+            if run.num_rows > 1:
+                keys = run["key"].combine_chunks()
+                mask = block_partners(run["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in run["sketch"].to_pylist()])
+                if mask.any():
+                    keys = keys.filter(pa.array(mask))
+                    yield record_batch(_MEMBER, [run["block"][0].as_py()] * len(keys), keys)
+
+    held = blocks.join(sketches, "key")
+    near = written(dealt(held, F.octet_length("sketch")).mapInArrow(paired, "block long, key long").distinct(), "similar-near")
+    needed = written(near.select("key").distinct(), "similar-needed")
+
+    def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, members in once(batches):
+            yield record_batch(_SET, [key], [members.tobytes()])
+
+    sets = semi(keyed, needed, "key", "left_semi").mapInArrow(make_sets, "key long, members binary").dropDuplicates(["key"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, by):
+            keys = run["key"].to_pylist()
+            if found := block_links([np.frombuffer(x, "<u8") for x in run["members"].to_pylist()]):
+                yield record_batch(_PAIR, [keys[i] for i, _ in found], [keys[j] for _, j in found])
+
+    return dealt(near.join(sets, "key"), F.octet_length("members")).mapInArrow(search, "u long, v long")
+
+
+def without_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
+    """docs (doc_id, text, others) with one row of each group of near copies.
+
+    Linked are texts whose SimHash fingerprints of five-word shingles differ in radius bits or fewer, and texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more; a group is what links reach.  The row that stays
+    is the one with the smallest doc_id (null ids last), of several texts with that id the one with
+    the smallest hash; of rows with this id and this text the first by their other columns as JSON.  Rows are judged by id and text
+    together, so another text with the same id is judged by itself.  Null texts, empty ones and those without words are copies of
+    each other.
     """
-    key = F.xxhash64("text")
-    texts = docs.where("text is not null").select(key.alias("key"), F.col("text").cast("binary").alias("text"))
-    roots = written(connected_components(similar_pairs(texts), "similar-links").toDF("key", "root"), "similar-roots")
-    first = docs.where("text is not null").select(key.alias("key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key")).alias("id"))
-    best = semi(first, roots.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).join(roots, "key").groupBy("root").agg(F.min("id").getField("key").alias("stays"))
-    gone = written(roots.join(best, "root").where("key <> stays").select("key"), "similar-gone")
-    (name,) = fresh_names(docs, "text_key")
-    return semi(docs.withColumn(name, key), gone.toDF(name), name, "left_anti").select(docs.columns)
+    table = written(read(docs), "near-read")
+    rows = table.where("key is not null")
+    low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    texts = written(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(low).alias("low"), F.count("*").alias("copies")), "near-texts")
+    first = texts.groupBy("fp").agg(F.min("key").alias("first"))
+    same = texts.join(first, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    first = written(first, "near-first")
+    near = links(first.select("fp"), radius).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = connected_components(same.unionByName(near).unionByName(similar_links(docs, table)), "near-links").toDF("key", "root")
+    named = texts.join(roots, "key", "left").select("key", "low", "copies", F.coalesce("root", "key").alias("root"))
+    stays = named.groupBy("root").agg(F.min(F.struct("low", "key")).alias("stays"), F.sum("copies").alias("rows")).where("rows > 1")
+    # of each text with anything to drop: the id of the row that stays, and whether any row does
+    text, kept, stay_id = fresh_names(docs, "text_key", "text_stays", "id_stays")
+    verdict = named.join(stays, "root").select(F.col("key").alias(text), (F.col("key") == F.col("stays.key")).alias(kept), F.col("low.doc_id").alias(stay_id))
+    left = semi(docs.withColumn(text, F.xxhash64("text")), written(verdict, "near-verdict"), text, "left")
+    id_ = F.col("doc_id").cast("long")
+    left = left.where(F.col(kept).isNull() | (F.col(kept) & id_.eqNullSafe(F.col(stay_id)))).select(*docs.columns, text)
+    again = written(rows.groupBy("doc_id", "key").count().where("count > 1").select("key").distinct().toDF(text), "near-again")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    (rank,) = fresh_names(left, "rank")
+    order = Window.partitionBy(id_, text).orderBy(F.to_json(F.struct(*docs.columns)))
+    few = semi(left, again, text, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return semi(left, again, text, "left_anti").select(docs.columns).unionByName(few.select(docs.columns))

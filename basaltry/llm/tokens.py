@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from .common import keeps, only
+
 #: A space next to another white-space character belongs to a run, which stays in one part.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _RUNS = [r for c in _SPACES for r in (" " + c, c + " ")]
@@ -137,10 +139,12 @@ def _split(text: str | None) -> tuple[str, list[str]]:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+keeps("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
+    only("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -143,56 +143,6 @@ def test_long_pairs_go_on_in_further_rows(spark):
     assert whole.chosen_turns == 2
 
 
-def test_pipeline_keeps_one_of_each_group_and_packs_the_rest(spark):
-    import corpus_pipeline as p
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert [n for n, _ in p.STAGES] == ["language_id", "quality", "near_dedup", "packing"]
-    extra = spark.createDataFrame([(10_000, None, "en", "s", 0), (10_001, "12 !! 34", "en", "s", 0)], docs.schema).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(10_002).cast("long")))
-    kept = p.language_id(spark, docs.unionByName(extra), sf)
-    ids = {r[0] for r in kept.select("doc_id").collect()}
-    assert kept.columns == docs.columns and 10_000 not in ids and 10_001 not in ids and 10_002 in ids
-    left = p.near_dedup(spark, kept, sf)
-    from basaltry.llm.simhash import fingerprint
-
-    rows = sorted((r.doc_id, fingerprint((r.text or "").encode())) for r in kept.collect())
-    group = {i: i for i, _ in rows}
-    changed = True
-    while changed:  # labels spread along links until they rest
-        changed = False
-        for a, x in rows:
-            for b, y in rows:
-                if (x ^ y).bit_count() <= 2 and group[b] < group[a]:
-                    group[a], changed = group[b], True
-    assert {r[0] for r in left.select("doc_id").collect()} == {i for i, g in group.items() if i == g}
-    twice = left.unionByName(left.limit(1))
-    assert p.near_dedup(spark, twice, sf).count() == left.count()
-
-
-def test_dedup_stage_drops_texts_of_similarity_four_fifths(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    words = [f"w{i}" for i in range(104)]  # 100 shingles; k changed words at the end change k of them: J = (100 - k) / (100 + k)
-    own = [(20_000, " ".join(words)), (20_001, " ".join([*words[:93], *"abcdefghijk"])), (20_002, " ".join([*words[:92], *"abcdefghijkl"])), (20_003, ""), (20_004, None), (20_005, "a few Words"), (20_006, "A few words")]
-    rows = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in own], docs.schema))
-    before = p.near_dedup(spark, rows, "").collect()
-    after = {r.doc_id for r in dict(p.STAGES)["near_dedup"](spark, rows, "").collect()}
-
-    def bag(text):
-        w = (text or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    bags, up = {r.doc_id: bag(r.text) for r in before}, {r.doc_id: r.doc_id for r in before}
-    links = [(a, b) for a in bags for b in bags if a < b and 10 * len(bags[a] & bags[b]) >= 8 * len(bags[a] | bags[b]) > 0]
-    for _ in bags:  # labels spread along links until they rest
-        for a, b in links:
-            up[a] = up[b] = min(up[a], up[b])
-    assert (1, 177) in links and (6, 145) in links and (20_000, 20_001) in links and (20_000, 20_002) not in links
-    assert after == {i for i, g in up.items() if i == g} and 177 not in after and 145 not in after
-
-
 def test_every_operator_has_a_query():
     names = {q.split("_")[0] for q in queries.QUERIES}
     assert names == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
