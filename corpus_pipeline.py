@@ -16,8 +16,7 @@ from basaltry.llm.common import fresh_names, id_hash_mod, written
 from basaltry.llm.language_id import annotate, fit_on
 from basaltry.llm.packing import pack_mixture
 from basaltry.llm.queries import table
-from basaltry.llm.similar import semi, without_similar
-from basaltry.llm.simhash import near_duplicates
+from basaltry.llm.similar import without_near_copies
 from basaltry.llm.tokens import public_path
 
 #: A document goes if no language has at least this posterior probability.
@@ -27,34 +26,31 @@ GOOD = 0.7
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: text without any letter, or in none of the learned languages with probability of SURE or more."""
+    """Goes: text without any letter, or in none of the learned languages with probability of SURE or more.
+
+    The probability is among the learned languages.  Where no document has a language, nothing can be learned and all stay.
+    """
     model = fit_on(docs.where(id_hash_mod("doc_id", 5) != 0), public_path("byte_bpe_50k.json"))
+    if model is None:
+        return docs
     lang, score, words = fresh_names(docs, "lang_pred", "score", "words")
     kept = annotate(docs, model, (lang, score, words)).where((F.col(lang) != "und") & (F.col(score) >= SURE))
     return kept.select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: documents whose weighted vote for label 1 is under GOOD."""
+    """Goes: documents whose weighted vote for label 1 is under GOOD.  Without labels of both kinds all stay."""
     learn = id_hash_mod("doc_id", 4) != 2
     model = quality_vote.fit_on(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
+    if len(set(model.votes.tolist())) < 2:
+        return docs
     (score,) = fresh_names(docs, "score")
     return quality_vote.annotate(docs, model, score).where(F.col(score) >= GOOD).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, once if its row is repeated."""
-    groups = written(near_duplicates(docs), "pipeline-groups")
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
-    stay = semi(docs, gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id = component_id and copies > 1").groupBy("doc_id").count().where("count > 1")
-    return stay if repeated.isEmpty() else stay.where("doc_id is null").unionByName(stay.where("doc_id is not null").dropDuplicates(["doc_id"]))
-
-
-def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Goes: what near_dedup drops by fingerprint, then texts linked to one with a smaller doc_id by a Jaccard
-    similarity of 0.8 or more of their five-word shingles."""
-    return without_similar(written(near_dedup(spark, docs, sf_dir), "pipeline-fingerprints"))
+    """One row of each group of near copies stays: SimHash links and five-word shingle similarity of 0.8 or more."""
+    return without_near_copies(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
     ("quality", quality),
-    ("near_dedup", copies),
+    ("near_dedup", near_dedup),
     ("packing", packing),
 ]
 
