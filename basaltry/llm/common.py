@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,6 +79,7 @@ def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 
 _KEPT: dict[str, Callable[[], object]] = {}
+_LAST = [""]
 
 
 def keeps(name: str, forget: Callable[[], object]) -> None:
@@ -84,10 +88,17 @@ def keeps(name: str, forget: Callable[[], object]) -> None:
 
 
 def only(name: str) -> None:
-    """A task of operator name begins: what other operators keep in this process goes."""
+    """A task of operator name begins: what other operators keep in this process goes, and freed memory back to the system."""
+    if _LAST[0] == name:
+        return
+    _LAST[0] = name
     for other, forget in _KEPT.items():
         if other != name:
             forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def fresh_names(df: DataFrame, *names: str) -> list[str]:

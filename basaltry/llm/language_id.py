@@ -32,7 +32,7 @@ SHORT = 40
 ROUNDS, SMOOTH = 3, 0.05
 #: Scales every byte so that products of probabilities stay within doubles; taken out again at the end.
 SCALE = 64.0
-CACHE = 500_000
+CACHE = 300_000
 
 
 @functools.lru_cache(maxsize=2)

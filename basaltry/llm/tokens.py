@@ -25,8 +25,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A word of letters and a run of signs behind it (no apostrophe): two pieces at most, found without the pattern above.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Parts that a worker keeps, about 150 bytes each.
-CACHE = 1_000_000
+#: Parts that a worker learns before it forgets those that it did not need meanwhile, about 250 bytes each.
+CACHE = 400_000
 
 
 class Encoder:
@@ -113,21 +113,34 @@ class Encoder:
                     f, parts = some[k]
                     made[k] = first[f] + b"".join(map(get, parts))
             out += made
-            for cache in (first, known):
-                if len(cache) > CACHE:
-                    cache.clear()
+            if len(first) > CACHE:
+                first.clear()
+            known.age()
         return out
 
 
 class _Known(dict):
-    """Ids of parts; those asked for in vain are listed and count as empty until they are learned."""
+    """Ids of parts; those asked for in vain are listed and count as empty until they are learned.
+
+    After CACHE new parts those of the time before go, unless they were asked for since.
+    """
 
     def __init__(self):
         self.missing: list[str] = []
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        self.missing.append(part)
-        return b""
+        ids = self.old.get(part)
+        if ids is None:
+            self.missing.append(part)
+            return b""
+        self[part] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
 
 
 def _split(text: str | None) -> tuple[str, list[str]]:
