@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from .common import record_batch, written
 from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, usable
 
-#: Pivots at most (they are broadcast), vectors and queries of a cell that one task holds, points of a leaf.
-PIVOTS, SAMPLE, BLOCK, QUERY_BLOCK, LEAF = 256, 8192, 2048, 2048, 64
+#: Pivots at most (they are broadcast), vectors and queries of a cell that one task holds, points of a leaf of data and of queries.
+PIVOTS, SAMPLE, BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 256, 8192, 2048, 4096, 64, 16
+#: Points that a query group looks at before its worst kth score is taken anew.
+STEP = 256
 #: Scores beyond this (either sign) count as this; it leaves a lower long to mark empty places.
 MOST = (1 << 63) - 2
 #: Components beyond this (after scaling; only doubles have them) count as this, so that bounds stay finite.
@@ -36,77 +38,114 @@ _FOUND_SQL = "q long, vec_id long, score long"
 
 @dataclass
 class Node:
+    """A centre (one of the points; of the root the mean), the largest distance of its points, their positions, and its children with their
+    centres, lengths and radii as arrays."""
+
     centre: np.ndarray
     radius: float
-    points: np.ndarray  # positions
+    points: np.ndarray
     children: list[Node] = field(default_factory=list)
+    centres: np.ndarray | None = None
+    lengths: np.ndarray | None = None
+    radii: np.ndarray | None = None
 
 
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """A cover tree of the rows of x: children of a node have half its radius and are centred on points
-    farther apart than that.  A node stays a leaf when it is small, or when its net of centres would be
-    almost as many as its points (then a product of the block is cheaper than its children)."""
+    """A cover tree of the rows of x: children of a node cover its points within half its radius, and are centred on points
+    farther apart than that.  Leaves have leaf points at most, or points that are all equal."""
 
-    def build(points: np.ndarray, centre: np.ndarray, depth: int) -> Node:
+    def build(points: np.ndarray, centre: np.ndarray) -> Node:
         d = np.sqrt(np.maximum(((x[points] - centre) ** 2).sum(axis=1), 0.0))
         node = Node(centre, float(d.max()) * (1 + 1e-12) if len(d) else 0.0, points)
-        if len(points) <= leaf or node.radius == 0 or depth > 60:
+        if len(points) <= leaf or node.radius == 0:
             return node
-        half, left, groups = node.radius / 2, np.arange(len(points)), []
-        most = max(2, len(points) // 16)
+        own, half = x[points], node.radius / 2
+        length = (own**2).sum(axis=1)
+        far = None if len(points) > 4096 else length[:, None] + length - 2 * own @ own.T
+        left, groups = np.arange(len(points)), []
         while len(left):
-            if len(groups) >= most:
-                return node
-            c = x[points[left[0]]]
-            near = ((x[points[left]] - c) ** 2).sum(axis=1) <= half * half
-            groups.append((points[left[near]], c))
+            first = left[0]
+            row = (far[first] if far is not None else length + length[first] - 2 * own @ own[first])[left]
+            near = row <= half * half
+            near[0] = True
+            groups.append(left[near])
             left = left[~near]
-        if len(groups) > 1:
-            node.children = [build(p, c, depth + 1) for p, c in groups]
+        if len(groups) == 1:  # all lie near the first point: go on from there
+            d = np.sqrt(np.maximum(((own - own[0]) ** 2).sum(axis=1), 0.0))
+            if float(d.max()) >= node.radius:
+                return node
+            return build(points, own[0])
+        node.children = [build(points[g], own[g[0]]) for g in groups]
+        node.centres = np.array([c.centre for c in node.children])
+        node.lengths = np.linalg.norm(node.centres, axis=1)
+        node.radii = np.array([c.radius for c in node.children])
         return node
 
-    return build(np.arange(len(x)), x.mean(axis=0) if len(x) else np.zeros(x.shape[1]), 0)
+    return build(np.arange(len(x)), x.mean(axis=0) if len(x) else np.zeros(x.shape[1]))
 
 
-def dual_tree(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query positions, ids, scores) of the k best rows of x for each row of q with scores of at least floor.
+def _parts(node: Node) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
+    if node.children:
+        return node.children, node.centres, node.lengths, node.radii
+    return [node], node.centre[None], np.array([np.linalg.norm(node.centre)]), np.array([node.radius])
 
-    ids ascend, so that ties go to the smaller.  Node pairs are taken best bound first.
+
+def dual_tree(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query positions, data positions, scores) of the k best rows of x for each row of q with scores of at least floor.
+
+    ids ascend, so that ties go to the smaller.  Of a pair of nodes the bounds of all pairs of children are found by one product;
+    pairs under the worst kth score of their query group are pruned, the others taken best first.
+    looked gets the number of scores that were computed.
     """
     exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1]) < 2**53
     empty = -np.inf if exact else -MOST - 1
     top = np.full((len(q), k), empty, dtype=np.float64 if exact else np.int64)
     who = np.full((len(q), k), -1, dtype=np.int64)
     qi, xi = (q, x) if exact else (_longs(q), _longs(x))
-    queries, data = cover_tree(q), cover_tree(x)
-
-    def bound(a: Node, b: Node) -> float:
-        na, nb = float(np.linalg.norm(a.centre)), float(np.linalg.norm(b.centre))
-        v = float(a.centre @ b.centre) + na * b.radius + nb * a.radius + a.radius * b.radius
-        return max(v + 1e-9 * abs(v) + 1e-12 * (na + a.radius) * (nb + b.radius) + 1.0, -float(MOST))
 
     def worst(a: Node) -> float:
         return float(np.maximum(np.where(who[a.points, -1] < 0, -np.inf, top[a.points, -1]), floor[a.points]).min())
 
-    stack = [(queries, data)] if len(q) and len(x) else []
+    def evaluate(a: Node, part: np.ndarray) -> None:
+        part = np.sort(part)
+        s = qi[a.points] @ xi[part].T
+        if looked is not None:
+            looked.append(s.size)
+        if not exact:
+            _mend(s, q[a.points], x[part])
+        both = np.concatenate([top[a.points], s], axis=1)
+        names = np.concatenate([who[a.points], np.broadcast_to(part, s.shape)], axis=1)
+        order = np.lexsort((names, -both), axis=1)[:, :k] if both.shape[1] <= 4 * k else _select(both, names, k)
+        top[a.points] = np.take_along_axis(both, order, axis=1)
+        who[a.points] = np.take_along_axis(names, order, axis=1)
+
+    stack = [(cover_tree(q, QUERY_LEAF), cover_tree(x), np.inf)] if len(q) and len(x) else []
     while stack:
-        a, b = stack.pop()
-        if bound(a, b) < worst(a):
+        a, b, reach = stack.pop()
+        if reach < worst(a):
             continue
         if not a.children and not b.children:
-            for at in range(0, len(b.points), 4096):
-                part = np.sort(b.points[at : at + 4096])
-                s = qi[a.points] @ xi[part].T
-                if not exact:
-                    _mend(s, q[a.points], x[part])
-                both = np.concatenate([top[a.points], s], axis=1)
-                names = np.concatenate([who[a.points], np.broadcast_to(ids[part], s.shape)], axis=1)
-                order = np.lexsort((names, -both), axis=1)[:, :k] if both.shape[1] <= 4 * k else _select(both, names, k)
-                top[a.points] = np.take_along_axis(both, order, axis=1)
-                who[a.points] = np.take_along_axis(names, order, axis=1)
+            evaluate(a, b.points)
             continue
-        pairs = [(c, b) for c in a.children] if a.children and (a.radius >= b.radius or not b.children) else [(a, c) for c in b.children]
-        stack += sorted(pairs, key=lambda p: bound(*p))  # the best bound is on top
+        mine, centres, lengths, radii = _parts(a)
+        theirs, c2, l2, r2 = _parts(b)
+        bound = centres @ c2.T + lengths[:, None] * r2 + radii[:, None] * l2 + radii[:, None] * r2
+        bound += 1e-9 * np.abs(bound) + 1e-12 * (lengths + radii)[:, None] * (l2 + r2) + 1.0
+        bound = np.maximum(bound, -float(MOST))
+        for i, group in enumerate(mine):
+            order = np.argsort(-bound[i], kind="stable")
+            order = order[bound[i, order] >= worst(group)]
+            leaves = [j for j in order.tolist() if not theirs[j].children] if not group.children else []
+            inner = [j for j in order.tolist() if theirs[j].children or group.children]
+            while leaves:  # the leaves with the best bounds first, some at a time
+                some, size = [], 0
+                while leaves and size < STEP:
+                    some.append(theirs[j := leaves.pop(0)].points)
+                    size += len(some[-1])
+                evaluate(group, np.concatenate(some))
+                least = worst(group)
+                leaves = [j for j in leaves if bound[i, j] >= least]
+            stack += [(group, theirs[j], float(bound[i, j])) for j in reversed(inner)]  # the best is on top
     ok = (who >= 0) & (top >= floor[:, None])
     rows, cols = np.nonzero(ok)
     return rows, who[rows, cols], top[rows, cols].astype(np.int64)
@@ -133,13 +172,13 @@ def _select(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024, block_size: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors, queries (vec_id, embedding) to query_id, rank (from 1), vec_id, score.
 
     Each component x counts as floor(scale * x).  A query's own id is no candidate.  Ties go to the
     smaller vec_id.  Left out are rows with a null id or vector, null or non-finite
     components.  Scores are exact; one beyond 2^63 - 2 (or under its negative) counts as that.
-    Shorter vectors count as filled up with zeros.  Repeated rows (same id, same vector) count once; an id with
+    Shorter vectors, empty ones too, count as filled up with zeros.  Repeated rows (same id, same vector) count once; an id with
     two vectors is two candidates, and a query with each.  Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
@@ -148,7 +187,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
         y = x * scale  # from 2^53 on doubles are whole
         return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(F.greatest(F.lit(-HUGE), F.least(F.lit(HUGE), y)))
 
-    whole = lambda df: usable(df).select("vec_id", F.transform("v", count).alias("v"))
+    whole = lambda df: usable(df, empty=True).select("vec_id", F.transform("v", count).alias("v"))
     data = written(first_of_equals(whole(vectors).distinct(), k + 1), "topk-data")
     classes, members = query_classes(whole(queries).distinct())
     classes, members = written(classes, "topk-queries"), written(members, "topk-members")
@@ -159,7 +198,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
     sample = np.zeros((len(some), width))
     for i, v in enumerate(some):
         sample[i, : len(v)] = v
-    pivots = _pivots(sample, min(PIVOTS, max(1, n // BLOCK)))
+    pivots = _pivots(sample, min(PIVOTS, max(1, n // block_size)))
     shared = spark.sparkContext.broadcast(pivots)
 
     home_schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("far", pa.float64()), ("v", pa.list_(pa.float64()))])
@@ -178,7 +217,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
     asked = written(classes.select(F.col("q").alias("id"), "v").mapInArrow(to_cells, cells), "topk-asked")
 
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()  # PIVOTS rows at most
-    salts = {r["cell"]: -(-r["n"] // BLOCK) for r in stats}
+    salts = {r["cell"]: -(-r["n"] // block_size) for r in stats}
     radius = {r["cell"]: r["radius"] for r in stats}
     salt_of = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv]) if salts else F.create_map(F.lit(-1), F.lit(1))
     block = placed.withColumn("salt", salt("id", F.coalesce(salt_of[F.col("cell")], F.lit(1))))
@@ -190,7 +229,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
         ids = right["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         rows, found, scores = dual_tree(q, x[order], ids[order], k + 1, left["floor"].to_numpy().astype(np.float64))
-        return pa.Table.from_batches([record_batch(_FOUND, left["id"].to_numpy()[rows], found, scores)])
+        return pa.Table.from_batches([record_batch(_FOUND, left["id"].to_numpy()[rows], ids[order][found], scores)])
 
     def joined(pairs: DataFrame) -> DataFrame:
         """pairs (id, floor, v, cell, salt, part: which block of queries) against the data of (cell, salt)."""
@@ -200,7 +239,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
         return pairs.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(search, _FOUND_SQL)
 
     # first pass: a block of the home cell for each query
-    n_queries = max(1, -(-asked.count() // QUERY_BLOCK))
+    n_queries = max(1, -(-asked.count() // query_block))
     first = asked.select("id", F.lit(float("-inf")).alias("floor"), "v", "cell", salt("id", F.coalesce(salt_of[F.col("cell")], F.lit(1))).alias("salt"), salt("id", n_queries).alias("part"))
     seeds = written(joined(first), "topk-first")
     floors = seeds.withColumn("r", F.row_number().over(_by_score())).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").cast("double").alias("floor"))
