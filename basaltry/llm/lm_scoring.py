@@ -1,32 +1,36 @@
 """LM scoring: stupid backoff over n-gram counts of the whole corpus.
 
-The relational plan is: explode documents into n-grams, count them by hash, join the counts to the
-exploded n-grams, sum by document.  Rows of single n-grams would outweigh the texts many times over, so
-rows hold blocks: a chunk of documents sends each hash range one row with its different n-grams' sorted
-hashes and counts; each hash range adds up what all chunks sent (the count table, partitioned by
-hash) and answers each chunk with the counts of its n-grams in the same order; the chunk joins
-them to its documents' n-grams by position and sums.  A frequent n-gram is sent once by a chunk
-however often it occurs, so no hash range is hot.
-
-An n-gram is known by 56 bits of its hash: among 10^11 different n-grams about one in a million shares
-its count with another.
+The plan is relational: documents explode into n-grams, a count table partitioned by hash is grouped from them,
+the counts are joined back to the exploded n-grams and summed by document.  A row for each n-gram would take several
+times the input's size in every exchange, so rows are blocks.  A chunk of documents is one row; it sends every
+hash range that its n-grams fall into one row with their sorted hashes and counts.  A hash range adds up what chunks
+sent (its part of the count table) and answers each with the counts of its n-grams in the same order; a chunk joins
+the answers to its documents' n-grams and sums.  A chunk sends an n-gram once however often it occurs, and a
+block for a range only where it has n-grams there, so rows are never more than chunks' different n-grams.
+
+An n-gram is known by 64 bits of hash: among 10^13 different ones about one in two million shares its count with another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import record_batch, utf8, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
-HASH_BITS = 56
-#: Text of a chunk, and text whose n-grams a hash range counts, in bytes.
-CHUNK, RANGE = 8 << 20, 24 << 20
+#: Text of a chunk (a longer document is one by itself), and text whose n-grams a hash range counts, in bytes.
+CHUNK, RANGE = 8 << 20, 16 << 20
 WORDS_KEPT = 400_000
 
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("train", pa.bool_()), ("score", pa.bool_())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("docs", pa.binary())])
 _SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("counts", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_sum", pa.float64()), ("n_unigram", pa.int64()), ("n_backoff", pa.int64()), ("train", pa.bool_()), ("score", pa.bool_())])
@@ -61,11 +65,11 @@ def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
             parts.append(np.fromiter(map(get, words), np.uint64, len(words)))
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    shift, out, run = np.uint64(64 - HASH_BITS), [], h
+    out, run = [], h
     for n in range(order):
         if n:
             run = np.concatenate([run[:1], _mix(run[:-1]) + h[1:]])
-        out.append(_mix(run + np.uint64(n + 1)) >> shift)
+        out.append(_mix(run + np.uint64(n + 1)))
     return sizes, place, out
 
 
@@ -91,10 +95,37 @@ def _keys(texts: list[bytes | None], order: int):
     return sizes, place, real, every
 
 
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each hash range begins in sorted keys."""
-    edges = np.array([(r << HASH_BITS) // ranges for r in range(ranges)] + [1 << HASH_BITS], dtype=np.uint64)
-    return np.searchsorted(keys, edges)
+def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The hash range of each key, ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in their order as rows of about CHUNK bytes of text each."""
+    first, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+    def row() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(held, schema=_DOCS).combine_chunks())
+        return record_batch(_CHUNK, [first + n], [size], [sink.getvalue().to_pybytes()])
+
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b["text"]), 0)
+        at = 0
+        for i, s in enumerate(sizes.to_pylist()):
+            if size and size + s > CHUNK:
+                held.append(b.slice(at, i - at).cast(_DOCS))
+                yield row()
+                at, n, held, size = i, n + 1, [], 0
+            size += s
+        held.append(b.slice(at).cast(_DOCS))
+    if sum(h.num_rows for h in held):
+        yield row()
+
+
+def _documents(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all()
 
 
 def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
@@ -109,25 +140,24 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     """
     flagged = lambda df, t, s: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(t).alias("train"), F.lit(s).alias("score"))
     rows = flagged(docs, True, True) if train is None else flagged(docs, False, True).unionByName(flagged(train, True, False))
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
-    chunks, ranges = max(1, -(-size // CHUNK)), max(1, -(-size // RANGE))
-    ranges = max(ranges, min(chunks, 12))
-    # copies of a document are told apart by their text's hash, so neither crowds one chunk
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition("chunk")
-
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        sizes, _, real, every = _keys(utf8(table["text"]), order)
-        trained = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-        weight = np.concatenate([trained[r] for r in real])
-        keys, inverse = np.unique(every, return_inverse=True)
-        counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype("<u4")
-        cuts = _cuts(keys, ranges)
-        out = []
-        for r in range(ranges):
-            a, b = cuts[r], cuts[r + 1]
-            if a < b:
-                out.append((r, key[0].as_py(), int(b - a), _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(counts[a:b])))
-        return pa.Table.from_batches([record_batch(_SENT, *zip(*out, strict=True))] if out else [], schema=_SENT)
+    chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, docs binary"), "lm-chunks")
+    ranges = min(1 << 31, max(12, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b["chunk"].to_pylist(), b["docs"], strict=True):
+                table = _documents(raw.as_py())
+                sizes, _, real, every = _keys(utf8(table["text"]), order)
+                trained = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                weight = np.concatenate([trained[r] for r in real])
+                keys, inverse = np.unique(every, return_inverse=True)
+                counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype("<u4")
+                into = _ranges(keys, ranges)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(into)) + 1, [len(keys)]])
+                for at in range(0, len(cuts) - 1, 4096):
+                    out = [(int(into[s]), name, int(e - s), _pack(np.diff(keys[s:e], prepend=np.uint64(0))), _pack(counts[s:e])) for s, e in zip(cuts[at : at + 4096].tolist(), cuts[at + 1 : at + 4097].tolist(), strict=False) if e > s]
+                    if out:
+                        yield record_batch(_SENT, *zip(*out, strict=True))
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         names, sizes = table["chunk"].to_pylist(), table["n"].to_pylist()
@@ -148,6 +178,7 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.Table.from_batches([], schema=_OUT)
+        left = _documents(left["docs"][0].as_py())
         sizes, place, real, every = _keys(utf8(left["text"]), order)
         _, inverse = np.unique(every, return_inverse=True)
         got = sorted(zip(right["range"].to_pylist(), right["counts"].to_pylist(), strict=True))
@@ -170,9 +201,9 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
         add = lambda w: np.bincount(doc, weights=w, minlength=left.num_rows)
         return pa.Table.from_batches([record_batch(_OUT, left["doc_id"].combine_chunks(), sizes, add(log), add(used == 0).astype(np.int64), add(used < depth).astype(np.int64), left["train"].combine_chunks(), left["score"].combine_chunks())])
 
-    sent = chunked.groupBy("chunk").applyInArrow(send, "range int, chunk long, n long, hashes binary, counts binary")
+    sent = chunks.select("chunk", "docs").mapInArrow(send, "range int, chunk long, n long, hashes binary, counts binary")
     back = sent.groupBy("range").applyInArrow(count, "chunk long, range int, counts binary")
-    summed = written(chunked.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_sum double, n_unigram long, n_backoff long, train boolean, score boolean"), "lm-scores")
+    summed = written(chunks.select("chunk", "docs").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_sum double, n_unigram long, n_backoff long, train boolean, score boolean"), "lm-scores")
     words = summed.where("train").agg(F.sum("n_words")).first()[0] or 1
     total = F.col("log_sum") - F.col("n_unigram") * float(np.log(max(words, 1)))
     return summed.where("score").select("doc_id", "n_words", total.alias("log_score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_score"), "n_backoff")
