@@ -23,13 +23,15 @@ from .common import record_batch, written
 from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, top_of, usable
 
 #: Vectors of a list on average, lists at most (they are broadcast), sample vectors a list, the whole sample at most.
-LIST, LISTS, PER_LIST, SAMPLE = 200, 1024, 48, 32_768
+LIST, LISTS, PER_LIST, SAMPLE = 200, 8192, 48, 131_072
 #: Lists that hold a vector at most, and the distance ratio up to which they do.
 REPLICAS, CLOSURE = 2, 1.25
 #: A query looks into lists up to this distance ratio, and into so many at least.
 RATIO, PROBES = 1.16, 8
-#: Vectors and queries that one task compares.
-BLOCK, QUERY_BLOCK = 16_384, 4096
+#: Vectors that one task compares, at least where there are so many and at most; its queries at most.
+LEAST, BLOCK, QUERY_BLOCK = 512, 16_384, 4096
+#: Distances that are held at a time.
+CELLS = 1 << 22
 DEGREE, RANDOM_LINKS, ENTRIES = 24, 4, 8
 
 _FOUND = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -79,15 +81,25 @@ class CentroidGraph:
         return d, ((d <= near * ratio) | (rank < least)) & np.isfinite(d)
 
 
+def _far(x: np.ndarray, c: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared distances of rows of x to all rows of c, some rows at a time."""
+    length, step = (c**2).sum(axis=1), max(1, CELLS // max(1, len(c)))
+    for at in range(0, len(x), step):
+        some = x[at : at + step]
+        yield slice(at, at + len(some)), (some**2).sum(axis=1)[:, None] + length - 2 * some @ c.T
+
+
 def balanced_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centroids by Lloyd rounds whose distances are raised for lists that are larger than the mean."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
-    size = np.full(k, len(x) / k)
+    size, near = np.full(k, len(x) / k), np.zeros(len(x))
     for _ in range(rounds):
-        far = (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T
-        push = 0.05 * max(float(np.mean(far.min(axis=1))), 0.0) * (size / (len(x) / k) - 1)
-        a = (far + np.clip(push, -1e30, 1e30)).argmin(axis=1)
+        push = 0.05 * max(float(near.mean()), 0.0) * (size / (len(x) / k) - 1)
+        a = np.empty(len(x), dtype=np.int64)
+        for rows, far in _far(x, c):
+            a[rows] = (far + push).argmin(axis=1)
+            near[rows] = far.min(axis=1)
         size = np.bincount(a, minlength=k).astype(float)
         total = np.zeros_like(c)
         np.add.at(total, a, x)
@@ -99,10 +111,13 @@ def centroid_graph(sample: np.ndarray, n: int, lift: float, seed: int = 7) -> Ce
     """sample: lifted vectors, distinct; n: all vectors."""
     k = int(min(LISTS, max(1, n // LIST), max(1, len(sample) // 4)))
     c = balanced_kmeans(sample, k)
-    d = (c**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * c @ c.T
-    np.fill_diagonal(d, np.inf)
     rng = np.random.default_rng(seed)
-    near = d.argsort(axis=1)[:, : min(DEGREE, max(k - 1, 1))]
+    degree = min(DEGREE, max(k - 1, 1))
+    near = np.zeros((k, degree), dtype=np.int64)
+    for rows, d in _far(c, c):
+        d[np.arange(len(d)), np.arange(rows.start, rows.stop)] = np.inf
+        some = np.argpartition(d, degree - 1, axis=1)[:, :degree]
+        near[rows] = np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, axis=1), axis=1, kind="stable"), axis=1)
     chain = (np.arange(k)[:, None] + 1) % k  # keeps the graph in one piece
     links = np.concatenate([near, rng.integers(0, k, (k, RANDOM_LINKS)), chain], axis=1)
     return CentroidGraph(c, links, rng.choice(k, min(ENTRIES, k), replace=False), lift)
@@ -138,8 +153,9 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            step = max(16, min(1024, CELLS // 4 // len(g.centroids)))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 d, _ = g.search(_lifted(matrix(part["v"]), lift, width, False), CLOSURE if len(g.centroids) < 3 else 1.0, REPLICAS)
                 order = d.argsort(axis=1)[:, :REPLICAS]
                 far = np.take_along_axis(d, order, axis=1)
@@ -149,21 +165,24 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
 
     lists = written(data.select("vec_id", "v").mapInArrow(assign, "list int, vec_id long, v array<double>"), "ann-lists")
     sizes = dict(lists.groupBy("list").count().collect())  # LISTS rows at most
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(LEAST, min(BLOCK, sum(sizes.values()) // tasks))
     base, salts, room = {}, {}, 0
     bucket = 0
     for name, size in sorted(sizes.items()):  # long lists get buckets of their own, short ones fill a bucket together
-        if size >= BLOCK or size > room:
+        if size >= most or size > room:
             bucket += 1
-            room = BLOCK
-        base[name], salts[name] = bucket, -(-size // BLOCK)
+            room = most
+        base[name], salts[name] = bucket, -(-size // most)
         bucket += salts[name] - 1
-        room = room - size if size < BLOCK else 0
+        room = room - size if size < most else 0
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            step = max(16, min(512, CELLS // 4 // len(g.centroids)))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 _, take = g.search(_lifted(matrix(part["v"]), lift, width, True), RATIO, PROBES)
                 rows, into, which = [], [], []
                 for i in range(len(take)):
