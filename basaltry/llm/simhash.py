@@ -26,6 +26,8 @@ from .components import connected_components
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of a slice that one task compares; more are split into tiles of at most so many.
 TILE = 4096
+#: Fingerprints whose names a join broadcasts at most.
+NAMES = 1 << 20
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -180,6 +182,16 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def _with_names(made: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of made with those of named (one for each fp).  Up to NAMES of named are broadcast; of more those with the most copies,
+    so few that they are no more than NAMES either, and the others are joined by fp: no fingerprint crowds a task."""
+    if named.count() <= NAMES:
+        return made.join(F.broadcast(named), "fp")
+    heavy = named.where(F.col("copies") > max(1 << 16, made.count() // NAMES))
+    rest = made.join(F.broadcast(heavy.select("fp")), "fp", "left_anti")
+    return made.join(F.broadcast(heavy), "fp").unionByName(rest.join(named, "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id, copies) for every row of docs (doc_id, text).
 
@@ -193,5 +205,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = connected_components(links(vertices.select("fp"), radius, tile), "simhash-links")
     linked = vertices.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     low = linked.where("root is not null").groupBy("root").agg(F.min("low").alias("component"))
-    named = linked.join(low, "root", "left").select("fp", "copies", F.coalesce("component", "low").alias("component_id"))
-    return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    named = written(linked.join(low, "root", "left").select("fp", "copies", F.coalesce("component", "low").alias("component_id")), "simhash-named")
+    return _with_names(made, named).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")

@@ -31,8 +31,9 @@ from .common import fresh_path, record_batch
 from .tokens import encoder
 
 MAGIC = b"BSLTOK1\n"
-#: Documents and ids of each that the dictionary is trained on, whatever the input's size.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 16_384, 65_536
+#: Documents and ids of each that the dictionary is trained on, whatever the input's size; longer documents give spans of SPAN ids from
+#: all over them.
+SAMPLE_DOCS, SAMPLE_IDS, SPAN, DICTIONARY_BYTES = 1000, 16_384, 1024, 65_536
 LEVEL = 3
 
 _MANIFEST = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64()), ("dictionary_sha256", pa.string())])
@@ -59,6 +60,14 @@ def train_dictionary(id_arrays: list[bytes], size: int = DICTIONARY_BYTES) -> by
         return b""
 
 
+def spans(ids: np.ndarray) -> np.ndarray:
+    """All ids, or SAMPLE_IDS of them in evenly spread spans."""
+    if len(ids) <= SAMPLE_IDS:
+        return ids
+    starts = np.linspace(0, len(ids) - SPAN, SAMPLE_IDS // SPAN).astype(np.int64)
+    return np.concatenate([ids[k : k + SPAN] for k in starts])
+
+
 def _zdict(raw: bytes):
     import zstandard
 
@@ -156,8 +165,9 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     The manifest has a row for each shard (path, first and last doc_id, documents, tokens, hash of
     the dictionary), in order.  Null texts count as empty; every document ends with end_id.  Rows of
     one doc_id stand side by side, in the order of their texts' hashes; null ids come first.  Empty
-    input makes no shard.  Documents are dealt by ranges of doc_id, so that a source or text
-    with many rows spreads over all tasks.
+    input makes no shard.  Documents are dealt by ranges of doc_id, of the texts' hashes and of the rows' places, so that a source,
+    text or id with many rows spreads over all tasks.  The dictionary is trained on whole ids of SAMPLE_DOCS documents (spans
+    of long ones); where they are too few or too short for one, frames have none, which the header's hash tells.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -171,10 +181,10 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [np.frombuffer(x, "<u4")[:SAMPLE_IDS].astype(dtype).tobytes() for x in enc.encode(b["text"].to_pylist())]})
+            yield pa.RecordBatch.from_pydict({"ids": [spans(np.frombuffer(x, "<u4")).astype(dtype).tobytes() for x in enc.encode(b["text"].to_pylist())]})
 
     some = docs.where(F.col("doc_id").isin(chosen)).select("text").limit(2 * SAMPLE_DOCS).repartition(8).mapInArrow(sampled, "ids binary").collect() if chosen else []
-    dictionary = train_dictionary([bytes(r[0]) for r in some])
+    dictionary = train_dictionary(sorted(bytes(r[0]) for r in some))
     sha = hashlib.sha256(dictionary).hexdigest()
     if dictionary:
         with fs.open_output_stream(f"{path}/dictionary-{sha}.zdict") as f:
@@ -190,7 +200,8 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if writer is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST.names, writer.close(), strict=True))], schema=_MANIFEST)
 
-    dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").sortWithinPartitions(*order, "text").select("doc_id", "text")
     rows = dealt.mapInArrow(shard, "path string, first_id long, last_id long, docs long, tokens long, dictionary_sha256 string").collect()
     return sorted(map(tuple, rows), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or 0, r[0]))
 
