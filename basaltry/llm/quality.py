@@ -1,7 +1,6 @@
 """Quality classifier: neighbours vote in a latent-semantic space.
 
-Terms are hashed triples of character classes (letters by case, digits, spaces, each sign), once as
-they stand and once with runs of a class collapsed, and a term for how often words repeat.  Counts
+Terms are hashed words (lower-cased), hashed triples of bytes as they stand, and a term for how often words repeat.  Counts
 are damped, weighted by inverse document frequency and projected on the leading singular vectors of
 a labelled sample.  Each document is compared with every labelled vector by exact blocked cosine
 products; its nearest labelled vectors vote, weighted by similarity and by their class's
@@ -10,6 +9,8 @@ share of all training labels.
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,43 +21,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import only, record_batch, utf8, written
+from .vectors import top_of
 
 #: Labelled documents of each class that are kept as voters, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1024
-TERMS, REPEATS, RANK, NEIGHBOURS, SHARPNESS = 4096, 16, 48, 15, 20.0
-
-
-def _classes() -> np.ndarray:
-    out = np.full(256, 6, dtype=np.uint8)  # bytes of other characters than ASCII's
-    out[:32], out[127] = 5, 5
-    out[97:123], out[65:91], out[48:58], out[32], out[10] = 0, 1, 2, 3, 4
-    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
-    out[signs] = 7 + np.arange(len(signs))
-    return out
-
-
-_CLASS = _classes()
-
-
-def _triples(classes: np.ndarray, salt: int, counts: np.ndarray) -> None:
-    for k in range(0, max(len(classes) - 2, 0), 1 << 20):
-        c = classes[k : k + (1 << 20) + 2].astype(np.uint32)
-        code = (c[:-2] << 12 | c[1:-1] << 6 | c[2:]) + np.uint32(salt << 18)
-        counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=TERMS)
+WORDS, TRIPLES, REPEATS, RANK, NEIGHBOURS, SHARPNESS = 2048, 4096, 16, 64, 15, 20.0
+TERMS = WORDS + TRIPLES + REPEATS
+#: Cosines are told apart to so many places; equal ones go to the voter that comes first.
+PLACES = 9
 
 
 def term_counts(text: bytes | None) -> np.ndarray:
-    counts = np.zeros(TERMS + REPEATS, dtype=np.float32)
+    """Counts of all terms of a whole text; none for a null or empty one."""
+    counts = np.zeros(TERMS, dtype=np.float32)
     if not text:
         return counts
-    c = _CLASS[np.frombuffer(text, np.uint8)]
-    hashed = np.zeros(TERMS, dtype=np.int64)
-    _triples(c, 0, hashed)
-    _triples(c[np.concatenate([[True], c[1:] != c[:-1]])], 1, hashed)
-    counts[:TERMS] = hashed
+    raw, triples = np.frombuffer(text, np.uint8), np.zeros(TRIPLES, dtype=np.int64)
+    for k in range(0, max(len(raw) - 2, 0), 1 << 20):
+        c = raw[k : k + (1 << 20) + 2].astype(np.uint32)
+        code = (c[:-2] << np.uint32(16) | c[1:-1] << np.uint32(8) | c[2:]) * np.uint32(2654435761)
+        triples += np.bincount(code >> np.uint32(20), minlength=TRIPLES)
+    counts[WORDS : WORDS + TRIPLES] = triples
     if words := text.lower().split():
+        hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        counts[:WORDS] = np.bincount(hashes % np.uint32(WORDS), minlength=WORDS)
         share = len(set(words)) / len(words) ** 0.85  # new words come ever more slowly
-        counts[TERMS + min(REPEATS - 1, int(share * REPEATS / 1.5))] = len(words)
+        counts[WORDS + TRIPLES + min(REPEATS - 1, int(share * REPEATS / 1.5))] = len(words)
     return counts
 
 
@@ -70,11 +60,18 @@ class NeighbourVote:
     weights: np.ndarray
     prior: float
 
+    @functools.cached_property
+    def centre(self) -> np.ndarray:
+        return self.mean @ self.axes
+
     def vectors(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        z = (x / np.maximum(norm, 1e-9) - self.mean) @ self.axes
-        z[norm[:, 0] == 0] = 0
+        """Unit vectors in the latent space; zero for a document without any term.  Each document is projected by itself."""
+        z = np.zeros((len(counts), self.axes.shape[1]))
+        for i, c in enumerate(counts):
+            held = np.flatnonzero(c)
+            if len(held):
+                x = np.log1p(c[held].astype(np.float64)) * self.idf[held]
+                z[i] = x @ self.axes[held] / np.sqrt(x @ x) - self.centre
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
@@ -83,10 +80,10 @@ class NeighbourVote:
             return np.full(len(counts), self.prior)
         z = self.vectors(counts)
         k = min(NEIGHBOURS, len(self.voters))
-        cosine = z @ self.voters.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        w = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1).astype(np.float64) - 1.0)) * self.weights[near]
-        out = (w * self.votes[near]).sum(axis=1) / w.sum(axis=1)
+        cosine = np.round(z @ self.voters.T, PLACES)
+        near = top_of(cosine, np.arange(len(self.voters)), k)[1].reshape(len(z), k)
+        w = np.exp(SHARPNESS * (np.take_along_axis(cosine, near, axis=1) - 1.0)) * self.weights[near]
+        out = np.round((w * self.votes[near]).sum(axis=1) / w.sum(axis=1), 9)
         return np.where((z == 0).all(axis=1), self.prior, np.clip(out, 0.0, 1.0))
 
 
@@ -95,28 +92,29 @@ def fit(counts: np.ndarray, labels: np.ndarray, totals: dict[int, int]) -> Neigh
     every = sum(totals.values())
     prior = totals.get(1, 0) / every if every else 0.5
     if len(counts) < 2:
-        return NeighbourVote(np.ones(TERMS + REPEATS, np.float32), np.zeros(TERMS + REPEATS, np.float32), np.zeros((TERMS + REPEATS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(counts) * idf
+        return NeighbourVote(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    x = np.log1p(counts) * idf.astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    mean = x.mean(axis=0)
-    x -= mean
+    mean = x.mean(axis=0, dtype=np.float64)
+    x -= mean.astype(np.float32)
     # leading right singular vectors, from the smaller Gram matrix
     values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
     keep = np.argsort(-values)[: min(RANK, len(values))]
     keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    axes = (x.T @ left[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    z = x @ axes
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    axes = x.T.astype(np.float64) @ left[:, keep] / np.sqrt(values[keep])
     share = {q: totals[q] / max(1, int((labels == q).sum())) for q in totals}
     weights = np.array([share[int(q)] for q in labels])
-    return NeighbourVote(idf, mean, axes, z.astype(np.float32), labels.astype(np.float64), weights / weights.max(), prior)
+    made = NeighbourVote(idf, mean, axes, np.zeros((0, axes.shape[1])), labels.astype(np.float64), weights / weights.max(), prior)
+    made.voters = made.vectors(counts)
+    return made
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> NeighbourVote:
     """docs (doc_id, text), labels (doc_id, quality): 0 or 1, other values and nulls left out; labels without a document too.
 
-    A document with both labels votes for both.
+    A document with both labels votes for both; of several texts with one id that with the smallest hash is learned from.
+    Voters stand in the order of their ids.
     """
     named = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     named = written(named.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
@@ -124,7 +122,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [r for q in (0, 1) for r in named.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect()]
     few = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")  # 2 * per_class rows at most
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "quality"])
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32()))])
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +132,18 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
             yield record_batch(schema, b["doc_id"], b["quality"], [np.flatnonzero(c).tolist() for c in made], [c[c > 0].tolist() for c in made])
 
     rows = sorted(texts.mapInArrow(terms, "doc_id long, quality int, term array<int>, count array<float>").collect(), key=lambda r: r[:2])
-    counts = np.zeros((len(rows), TERMS + REPEATS), dtype=np.float32)
+    counts = np.zeros((len(rows), TERMS), dtype=np.float32)
     for i, r in enumerate(rows):
         counts[i, r[2]] = r[3]
     return fit(counts, np.array([r[1] for r in rows]), totals)
 
 
 def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
-    """(doc_id, score) for each row of docs (doc_id, text); null and empty texts get the prior."""
+    """(doc_id, score) for each row of docs (doc_id, text), repeated rows and null ids as they stand.
+
+    Null and empty texts get the prior.  Long texts count whole.  Cosines count to PLACES places and ties go to the voter with the
+    smaller id, so that a score does not depend on which documents share its batch.
+    """
     return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 
 
@@ -152,8 +155,8 @@ def annotate(docs: DataFrame, model: NeighbourVote, name: str = "score") -> Data
         only("quality")
         m = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
                 made = m.scores(np.array([term_counts(t) for t in utf8(part["text"])]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, name])
 
