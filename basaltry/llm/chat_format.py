@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a pair that stand in one row; a longer pair goes on in further rows (block 1, 2, ...).
-BLOCK = 256
+#: Turn numbers of a pair that stand in one row; a longer pair goes on in further rows (block 1, 2, ...).
+BLOCK = 65_536
 HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
 
 
@@ -76,13 +76,15 @@ def mask_text(mask: str) -> Column:
 def swapped_endings(conversations: DataFrame) -> DataFrame:
     """Preference turns from plain conversations (conv_id, turn, role, text).
 
-    Each conversation is the chosen side of a pair; on the rejected side its last turn is that of
-    its neighbour, the conversation whose id differs in the lowest bit (nothing, if there is none).
+    Each conversation is the chosen side of a pair.  On the rejected side the turns of its last number are those of its
+    neighbour, the conversation whose id differs in the lowest bit (nothing, if there is none).  Rows that repeat a turn
+    number stay side by side; a null turn number comes first, and is the last one of a conversation without others.  Rows with
+    a null conv_id are left out; null roles and texts stay null; an empty table gives no rows; other columns are ignored.
     """
-    c = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text")
-    last = c.groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("last"))
-    kept = c.join(last.select("pair_id", F.col("last.turn").alias("end")), "pair_id").where(F.col("turn") < F.col("end")).drop("end")
-    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last").alias("theirs"))
-    ending = last.join(other, "pair_id").select("pair_id", "last.turn", "theirs.role", "theirs.text")
-    side = lambda df, s: df.select("pair_id", F.lit(s).alias("side"), "turn", "role", "text")
-    return side(c, "chosen").unionByName(side(kept, "rejected")).unionByName(side(ending, "rejected"))
+    c = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    ends = c.groupBy("pair_id").agg(F.max("turn").alias("end"))
+    placed = c.join(ends, "pair_id")
+    sides = F.when(F.col("turn") < F.col("end"), F.array(F.lit("chosen"), F.lit("rejected"))).otherwise(F.array(F.lit("chosen")))
+    own = placed.select("pair_id", F.explode(sides).alias("side"), "turn", "role", "text")
+    theirs = placed.where("turn = end").select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), "role", "text").join(ends, "pair_id")
+    return own.unionByName(theirs.select("pair_id", F.lit("rejected").alias("side"), F.col("end").alias("turn"), "role", "text"))

@@ -112,7 +112,7 @@ FROM w LEFT JOIN d USING (doc_id)
 """,
     "op1_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
@@ -129,8 +129,8 @@ turns AS (
   SELECT l.conv_id, 'rejected', l.turn, e.role, e.text FROM last l JOIN ends e ON e.conv_id = xor(l.conv_id, 1)),
 both_sides AS (
   SELECT pair_id, turn,
-         max(CASE WHEN side = 'chosen' THEN role || chr(0) || text END) AS a,
-         max(CASE WHEN side = 'rejected' THEN role || chr(0) || text END) AS b
+         string_agg(role || chr(0) || text, chr(1) ORDER BY role, text) FILTER (side = 'chosen') AS a,
+         string_agg(role || chr(0) || text, chr(1) ORDER BY role, text) FILTER (side = 'rejected') AS b
   FROM turns GROUP BY pair_id, turn),
 differs AS (SELECT pair_id, coalesce(min(CASE WHEN a IS DISTINCT FROM b THEN turn END), 1000000) AS at FROM both_sides GROUP BY pair_id),
 parts AS (
