@@ -5,57 +5,16 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where the session names none, and Spark
-    runs in one JVM (tests), a temporary folder takes its place; on a cluster that is an error,
-    since executors would not see each other's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="basaltry-")
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/basaltry-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage ends at files that
-    survive the loss of any executor."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove a table of written() that no later action reads."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/basaltry-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+from ..sources.tables import drop as drop_written
+from ..sources.tables import fresh_path, written
 
+__all__ = ["drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "keeps", "only", "record_batch", "utf8", "written"]
 
 def id_hash_mod(col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""

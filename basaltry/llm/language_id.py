@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -260,15 +261,27 @@ def fit_on(docs: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAGE)
     if not documents:
         return None
     share = F.create_map(*[F.lit(x) for name, n in documents.items() for x in (name, min(1.0, per_language / n))])
-    words = named.where(F.col("u") < share[F.col("lang")]).select("lang", F.explode(F.split(F.lower("text"), r"[\s\x{0B}\x{85}\x{A0}]+")).alias("word")).where("word <> ''")
-    counts = words.groupBy("lang", "word").count().toPandas()  # words of a bounded number of documents
-    return fit(zip(counts["lang"], counts["word"], counts["count"], strict=True), path, documents)
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words as scoring cuts them."""
+        only("language_id")
+        for b in batches:
+            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
+                if got := Counter(words_of(text)):
+                    yield record_batch(schema, [lang] * len(got), list(got), list(got.values()))
+
+    words = named.where(F.col("u") < share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()  # words of a bounded number of documents
+    return fit(zip(counts["lang"].to_pylist(), counts["word"].to_pylist(), counts["n"].to_pylist(), strict=True), path, documents)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """(doc_id, lang_pred, score, words) for each row of docs (doc_id, text); only text decides.
 
-    `und` with score 0 for a null text, one without any letter, or where nothing could be learned.
+    `und` with score 0 for a null text, one without any letter, or where nothing could be learned.  Of languages with the same
+    probability the first by name is taken.  Repeated rows and null ids stand as they are; texts of any length count whole;
+    other columns are ignored.
     """
     return annotate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).drop("text")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import record_batch, written
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 SEQ_LEN, WINDOW = 1024, 65_536
 #: Longs that a task keeps of the windows' tables (one for each source), and pieces that it sorts by window.
@@ -112,12 +112,13 @@ class Schedule:
         return int(got[q])
 
 
-def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int = WINDOW, end_id: int = 0, proportions: dict[str | None, float] | None = None) -> DataFrame:
+def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window: int = WINDOW, end_id: int = 0, proportions: dict[str | None, float] | None = None, cache: int = CACHE) -> DataFrame:
     """Pack docs (doc_id, text, source): a row for each piece of a document.
 
     doc_id, start (the document's ids before the piece), length, ids_crc32, doc_tokens, sequence_id,
     offset (place in the sequence), window_id.  Every id, the end id included, lies in one piece.
     proportions: target share by source; sources that it does not name get the smallest share named.
+    cache: parts of texts that a worker keeps encoded (time for memory).
     Every source is a queue, however many there are: driver and tasks hold a long for each.
     Null text is empty (the end id alone); a null source is a queue; rows that repeat a doc_id are
     packed one by one; an empty table gives no rows.  Other columns are ignored.
@@ -129,7 +130,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))  # a null source is a queue of its own
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, block, sent, end = encoder(tokenizer), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
+        enc, block, sent, end = encoder(tokenizer, cache), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)

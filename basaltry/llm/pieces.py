@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie of pieces.
 
-The pieces and their log scores come from a public model file.  A text gets a leading space (the
+The pieces and their log scores come from a public model file.  (Of a file that was made for merging, as the public one
+here, the scores are minus the ranks of merges; they are taken as they stand.)  A text gets a leading space (the
 dummy prefix), its spaces become the marker U+2581, and the segmentation with the highest sum of
 scores is taken; ties go to the longer last piece.  A character that no piece spells costs the lowest
 score minus 10 and comes out as its UTF-8 bytes' pieces.
@@ -201,7 +202,11 @@ def pieces(path: str) -> UnigramPieces:
 
 
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids: binary of little-endian u32) for each row of docs (doc_id, text)."""
+    """(doc_id, ids: binary of little-endian u32) for each row of docs (doc_id, text).
+
+    Null and empty texts have no ids; null ids and repeated rows stand as they are; texts of any length are encoded whole; other
+    columns are ignored.  Of equal scores the path with the longer last piece is taken.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +220,8 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
+    """(doc_id, text) from (doc_id, ids); null ids give the empty text.  A marker is a space, so a text that holds U+2581 itself comes
+    back with spaces in its place."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +235,8 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 def round_trips(docs: DataFrame, model: str) -> DataFrame:
     """For each row of docs (doc_id, text): n_ids, ids_crc32, n_fallback (byte pieces) and whether decoding gives the text back.
 
-    Null text counts as empty: no ids, crc 0, and it comes back as the empty text.
+    Null text counts as empty: no ids, crc 0, and it comes back as the empty text.  Only a text that holds the marker U+2581
+    itself does not come back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ Tests hold the result against encoding whole texts.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -32,31 +33,41 @@ CACHE = 400_000
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path, self.cache = path, cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_parts = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.vocab_size = self.whole.get_vocab_size(True)
         self.pieces = regex.compile(_PIECE)
         self.single = Tokenizer.from_file(path)
         self.single.encode_special_tokens = True
+        self.vocab_size = self.single.get_vocab_size(True)
         if self.by_parts:
             # pieces are sent as one text, a line each: far fewer objects than a text each
-            self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.lines = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), self.plain])
+            self.single.pre_tokenizer = self.lines
             self.line = self.single.encode("\n", add_special_tokens=False).ids
             self.by_parts = len(self.line) == 1
         self.first: dict[str, bytes] = {}
-        self.known = _Known()
+        self.known = _Known(cache)
         self.inner: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self):
+        """The tokenizer as its file has it."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def _encode_lines(self, pieces: list[str], known: dict[str, bytes], lead: str) -> None:
         """Ids of pieces, none of which holds a line end, each behind lead, into known."""
         for at in range(0, len(pieces), 256):
@@ -82,13 +93,15 @@ class Encoder:
                     plain.append(p)
             self._encode_lines(plain, known, lead)
             new = {x for _, c in cut for x in c if x not in inner}
-            if len(inner) + len(new) > CACHE:
+            if len(inner) + len(new) > self.cache:
                 inner.clear()
                 new = {x for _, c in cut for x in c}
             self._encode_lines([x for x in new if "\n" not in x], inner, "")
-            for x in new:
-                if "\n" in x:
-                    inner[x] = array("I", self.whole.encode(x, add_special_tokens=False).ids).tobytes()
+            if ends := [x for x in new if "\n" in x]:  # pieces that hold line ends go one by one
+                self.single.pre_tokenizer = self.plain
+                for x, e in zip(ends, self.single.encode_batch_fast(ends, add_special_tokens=False), strict=True):
+                    inner[x] = array("I", e.ids).tobytes()
+                self.single.pre_tokenizer = self.lines
             for p, c in cut:
                 known[p] = b"".join([inner[x] for x in c])
 
@@ -113,7 +126,7 @@ class Encoder:
                     f, parts = some[k]
                     made[k] = first[f] + b"".join(map(get, parts))
             out += made
-            if len(first) > CACHE:
+            if len(first) > self.cache // 4:
                 first.clear()
             known.age()
         return out
@@ -122,10 +135,11 @@ class Encoder:
 class _Known(dict):
     """Ids of parts; those asked for in vain are listed and count as empty until they are learned.
 
-    After CACHE new parts those of the time before go, unless they were asked for since.
+    After `most` new parts those of the time before go, unless they were asked for since.
     """
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.missing: list[str] = []
         self.old: dict[str, bytes] = {}
 
@@ -138,7 +152,7 @@ class _Known(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
 
@@ -151,16 +165,17 @@ def _split(text: str | None) -> tuple[str, list[str]]:
     return first, rest
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 keeps("tokens", _ENCODERS.clear)
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    """One for each worker process, file and size of cache."""
     only("tokens")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def public_path(name: str) -> str:

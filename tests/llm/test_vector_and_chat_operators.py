@@ -24,9 +24,9 @@ def odd(spark):
 def _brute(rows, k, every, zero_counts, scale=None):
     data = {}
     for i, v, *_ in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v) or (not zero_counts and not any(v)):
+        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v) or (not zero_counts and not any(v)):
             continue
-        x = np.array(v, dtype=np.float32).astype(np.float64)
+        x = np.array(v or [0.0] * 6, dtype=np.float32).astype(np.float64)
         data[i] = np.floor(scale * x) if scale else x
     out = {}
     for q in data:
@@ -49,7 +49,9 @@ def test_dual_tree_prunes_and_stays_exact():
     centres = rng.integers(-3000, 3000, (6, 8))
     x = np.concatenate([c + rng.integers(-20, 20, (300, 8)) for c in centres]).astype(float)
     q = np.concatenate([c + rng.integers(-20, 20, (4, 8)) for c in centres]).astype(float)
-    rows, ids, scores = topk_search.dual_tree(q, x, np.arange(len(x)), 7, np.full(len(q), -np.inf))
+    looked = []
+    rows, ids, scores = topk_search.dual_tree(q, x, np.arange(len(x)), 7, np.full(len(q), -np.inf), looked)
+    assert sum(looked) < 0.5 * len(q) * len(x)
     s = q @ x.T
     for i in range(len(q)):
         want = np.lexsort((np.arange(len(x)), -s[i]))[:7]
@@ -58,6 +60,43 @@ def test_dual_tree_prunes_and_stays_exact():
     assert tree.children and all(((x[c.points] - c.centre) ** 2).sum(1).max() <= c.radius**2 * (1 + 1e-9) for c in tree.children)
 
 
+def test_cover_tree_goes_to_its_leaves():
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.standard_normal((800, 32)) * 200)  # no two are near each other
+    tree, stack, held = topk_search.cover_tree(x), [], []
+    assert tree.children
+    stack = [tree]
+    while stack:
+        node = stack.pop()
+        assert np.sqrt(((x[node.points] - node.centre) ** 2).sum(axis=1)).max() <= node.radius * (1 + 1e-9)
+        if node.children:
+            assert max(c.radius for c in node.children) <= node.radius / 2 * (1 + 1e-9)
+            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+            stack += node.children
+        else:
+            assert len(node.points) <= topk_search.LEAF or node.radius == 0
+            held += node.points.tolist()
+    assert sorted(held) == list(range(800))
+
+
+def test_exact_topk_over_many_cells_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 10)) * 3
+    x = np.concatenate([centres[rng.integers(0, 12, 1500)] + rng.standard_normal((1500, 10)) * 0.2, rng.standard_normal((900, 10))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, [float(np.float32(9.0))] * 10), (40, [float(np.float32(-9.0))] * 10)]  # two ids with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = {}
+    for r in topk_search.exact_topk(df, df.where("vec_id % 20 = 0"), 10, block_size=64, query_block=16).collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    whole = [(i, np.floor(1024 * np.array(v, dtype=np.float32).astype(np.float64))) for i, v in rows]
+    table = np.array([v for _, v in whole])
+    for q in range(0, len(x), 20):
+        mine = [v for i, v in whole if i == q]
+        found = sorted({(-int(s), i, k) for v in mine for k, (s, i) in enumerate(zip(table @ v, (i for i, _ in whole), strict=True)) if i != q})
+        want = sorted({(s, i) for s, i, _ in found}) if len(mine) > 1 else [(s, i) for s, i, _ in found]
+        assert sorted(got[q]) == want[:10] or len(mine) > 1 and sorted(got[q])[0] == want[0]
+
+
 def test_exact_topk_of_large_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8) * (1 if i % 3 else 3e4)]) for i in range(200)]
@@ -87,6 +126,27 @@ def test_neighbours_have_high_recall_and_exact_scores(odd):
         assert len(listed) == 20 and listed == sorted(listed, key=lambda t: (-t[1], t[0]))
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_where_lists_are_pruned(spark, clustered):
+    rng = np.random.default_rng(5)
+    n, d = 12_000, 24
+    x = rng.standard_normal((60, d))[rng.integers(0, 60, n)] + rng.standard_normal((n, d)) * 0.3 if clustered else rng.standard_normal((n, d))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann_search.approximate_neighbours(df, df.where("vec_id % 60 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x, hits = x.astype(np.float64), []
+    for q in range(0, n, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+    graph = ann_search.centroid_graph(ann_search._lifted(x[::3], 1.0, d, False), n, 1.0)
+    _, take = graph.search(ann_search._lifted(x[::60], 1.0, d, True), ann_search.RATIO, ann_search.PROBES)
+    assert take.mean() < (0.4 if clustered else 0.9) and len(graph.centroids) == n // ann_search.LIST
+
+
 def test_searches_of_nothing(spark, odd):
     none = spark.createDataFrame([], V)
     assert topk_search.exact_topk(none, none, 10).count() == 0
@@ -143,6 +203,23 @@ def test_long_pairs_go_on_in_further_rows(spark):
     assert whole.chosen_turns == 2
 
 
+def test_a_pair_of_600_turns_is_one_row(spark):
+    rows = [(1, s, t, "user", f"t{t}") for s in ("chosen", "rejected") for t in range(598)] + [(1, "chosen", 598, "assistant", "yes"), (1, "rejected", 598, "assistant", "no")]
+    (r,) = _pairs(spark, rows, chat_format.BLOCK).values()
+    assert r.prompt_turns == 598 and r.chosen == "<|assistant|>\nyes<|end|>\n" and r.rejected_turns == 1
+
+
+def test_swapped_endings_of_odd_conversations(spark):
+    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 1, "assistant", "b2"), (1, 0, "user", "c"), (1, 2, "assistant", "d"), (4, None, "user", "e"), (6, 0, None, None), (6, 1, "assistant", None), (7, 0, "x", "y"), (7, 0, "x", "y"), (None, 0, "user", "z")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, side string")
+    got = sorted(map(str, (tuple(r) for r in chat_format.swapped_endings(df).collect())))
+    chosen = [(i, "chosen", -1 if t is None else t, role, text) for i, t, role, text in rows if i is not None]
+    rejected = [(0, "rejected", 0, "user", "a"), (0, "rejected", 1, "assistant", "d"), (1, "rejected", 0, "user", "c"), (1, "rejected", 2, "assistant", "b"), (1, "rejected", 2, "assistant", "b2")]
+    rejected += [(6, "rejected", 0, None, None), (6, "rejected", 1, "x", "y"), (6, "rejected", 1, "x", "y"), (7, "rejected", 0, "assistant", None)]
+    assert got == sorted(map(str, chosen + rejected))
+    assert chat_format.swapped_endings(df.limit(0)).count() == 0
+
+
 def test_every_operator_has_a_query():
     names = {q.split("_")[0] for q in queries.QUERIES}
     assert names == {f"op{n}" for n in range(1, 11)} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
