@@ -23,6 +23,8 @@ from basaltry.llm.tokens import public_path
 SURE = 0.5
 #: A document goes if the vote for good quality is lower.
 GOOD = 0.7
+#: Parts of texts that a worker keeps encoded: few, since other stages ran in the same executors before.
+PARTS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the sequences that the kept documents fill."""
-    return pack_mixture(docs, public_path("byte_bpe_50k.json"))
+    return pack_mixture(docs, public_path("byte_bpe_50k.json"), cache=PARTS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
