@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop as drop_written
 from ..sources.tables import fresh_path, written
 
-__all__ = ["drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "keeps", "only", "record_batch", "utf8", "written"]
+__all__ = ["bounded", "drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "keeps", "only", "record_batch", "utf8", "written"]
 
 def id_hash_mod(col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
@@ -30,6 +30,19 @@ def utf8(x) -> list[bytes | None]:
     return x.cast(pa.binary()).to_pylist() if pa.types.is_string(x.type) or pa.types.is_large_string(x.type) else x.to_pylist()
 
 
+#: Bytes of a batch of texts between the JVM and Python.
+BATCH, SPARKS_OWN = 4 << 20, "67108864b"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df; from now on the session's Arrow batches hold BATCH bytes at most (or one row), unless the session names its own bound.
+    By rows alone a batch has 10,000, whatever their length."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) == SPARKS_OWN:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def in_parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most so many rows, so that few texts are Python objects at a time."""
     for b in batches:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import functools
 import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keeps, only, record_batch
+from ..operators.matrix import reduce_blocks
+from .common import bounded, in_parts, keeps, only, record_batch, written
 from .trie import DoubleArrayTrie, by_length
 
 #: Documents of each language that the model is fitted on, on average: those whose hash is small enough.
@@ -207,73 +208,103 @@ def piece_lengths(trie: DoubleArrayTrie, n: int) -> np.ndarray:
     return out
 
 
-def fit(counts: Iterable[tuple[str, str, int]], path: str, documents: dict[str, int], rounds: int = ROUNDS) -> LanguageModel:
-    """counts: (language, word, occurrences).  documents: training documents of each language, for the prior.
+def expected_counts(words: list[str], weight: np.ndarray, probs: np.ndarray, trie: DoubleArrayTrie) -> np.ndarray:
+    """(pieces, languages): how often each piece is expected in words of weight (words, languages), over all segmentations."""
+    n_pieces, languages = probs.shape
+    raw = _as_bytes(words)
+    scaled = np.vstack([probs * SCALE ** piece_lengths(trie, n_pieces)[:, None].astype(float), np.zeros(languages)])
+    out = np.zeros((n_pieces + 1, languages))
+    for places, matrix in by_length([w if len(w) <= SHORT else b"" for w in raw], 2_000_000, trie.longest):
+        found = trie.match(matrix)
+        alpha, beta = forward(found, scaled), backward(found, scaled)
+        share = weight[places] / np.maximum(alpha[-1], 1e-300)
+        live = (found >= 0).any(axis=0)
+        for s in range(matrix.shape[1]):
+            for k in np.flatnonzero(live[s, : matrix.shape[1] - s]):
+                key = found[:, s, k]
+                here = key >= 0
+                part = alpha[s][here] * scaled[key[here]] * beta[s + k + 1][here] * share[here]
+                for x in range(languages):
+                    out[:, x] += np.bincount(key[here], part[:, x], n_pieces + 1)
+    for i, w in enumerate(raw):
+        if len(w) > SHORT:
+            start, end, key = pieces_of(trie, w)
+            logs, n = np.log(probs[key]), len(w)
+            alpha, beta = log_sums(start, end, logs, n), log_sums(n - end, n - start, logs, n)[::-1]
+            np.add.at(out, key, weight[i] * np.exp(alpha[start] + logs + beta[end] - alpha[n]))
+    return out[:n_pieces]
 
-    Starts from pieces weighted by their length and raises the likelihood of the words over all segmentations.
-    """
-    trie = vocabulary(path)
-    languages = sorted(documents)
-    n_pieces = int(trie.value.max()) + 1
-    place = {x: i for i, x in enumerate(languages)}
-    words: dict[str, int] = {}
-    cells = [(words.setdefault(w, len(words)), place[x], c) for x, w, c in counts]
-    weight = np.zeros((len(words), len(languages)))
-    for w, x, c in cells:
-        weight[w, x] += c
-    raw = _as_bytes(list(words))
-    long = [(i, *pieces_of(trie, w), len(w)) for i, w in enumerate(raw) if len(w) > SHORT]
-    raw = [w if len(w) <= SHORT else b"" for w in raw]
-    lengths = piece_lengths(trie, n_pieces)
-    probs = np.full((n_pieces, len(languages)), 1.0 / n_pieces)
+
+def _fit(expect: Callable[[np.ndarray], np.ndarray], path: str, documents: dict[str, int], rounds: int) -> LanguageModel:
+    """Starts from equal pieces and raises the likelihood of the words, expect giving the pieces' expected counts."""
+    n_pieces = int(vocabulary(path).value.max()) + 1
+    probs = np.full((n_pieces, len(documents)), 1.0 / n_pieces)
     for _ in range(rounds):
-        scaled = np.vstack([probs * SCALE ** lengths[:, None].astype(float), np.zeros(len(languages))])
-        expected = np.zeros((n_pieces + 1, len(languages)))
-        for places, matrix in by_length(raw, 2_000_000, trie.longest):
-            found = trie.match(matrix)
-            alpha, beta = forward(found, scaled), backward(found, scaled)
-            share = weight[places] / np.maximum(alpha[-1], 1e-300)
-            live = (found >= 0).any(axis=0)
-            for s in range(matrix.shape[1]):
-                for k in np.flatnonzero(live[s, : matrix.shape[1] - s]):
-                    key = found[:, s, k]
-                    here = key >= 0
-                    part = alpha[s][here] * scaled[key[here]] * beta[s + k + 1][here] * share[here]
-                    for x in range(len(languages)):
-                        expected[:, x] += np.bincount(key[here], part[:, x], n_pieces + 1)
-        for i, start, end, key, n in long:
-            logs = np.log(probs[key])
-            alpha, beta = log_sums(start, end, logs, n), log_sums(n - end, n - start, logs, n)[::-1]
-            np.add.at(expected, key, weight[i] * np.exp(alpha[start] + logs + beta[end] - alpha[n]))
-        probs = expected[:n_pieces] + SMOOTH
+        probs = expect(probs) + SMOOTH
         probs /= probs.sum(axis=0)
     total = sum(documents.values())
-    prior = np.log([max(documents[x], 1) / max(total, 1) for x in languages])
-    return LanguageModel(path, languages, prior, np.log(probs).astype(np.float32))
+    prior = np.log([max(documents[x], 1) / max(total, 1) for x in sorted(documents)])
+    return LanguageModel(path, sorted(documents), prior, np.log(probs).astype(np.float32))
+
 
+def _weighted(rows: Iterable[tuple[str, str, int]], languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """Words and their counts by language."""
+    place = {x: i for i, x in enumerate(languages)}
+    words: dict[str, int] = {}
+    cells = [(words.setdefault(w, len(words)), place[x], n) for x, w, n in rows]
+    weight = np.zeros((len(words), len(languages)))
+    for w, x, n in cells:
+        weight[w, x] += n
+    return list(words), weight
 
-def fit_on(docs: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
+
+def fit(counts: Iterable[tuple[str, str, int]], path: str, documents: dict[str, int], rounds: int = ROUNDS) -> LanguageModel:
+    """counts: (language, word, occurrences).  documents: training documents of each language, for the prior."""
+    words, weight = _weighted(counts, sorted(documents))
+    return _fit(lambda probs: expected_counts(words, weight, probs, vocabulary(path)), path, documents, rounds)
+
+
+def fit_on(docs: DataFrame, path: str, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> LanguageModel | None:
     """Fit on docs (doc_id, text, lang), lang not null: on about per_language documents of each language,
-    whole texts, chosen by their hash; None without any document."""
+    whole texts, chosen by their hash; None without any document.
+
+    Words stay on executors: a round is one pass over them that adds up expected counts.
+    """
+    spark = bounded(docs).sparkSession
     u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
     named = docs.where("lang is not null and text is not null").select("lang", "text", u.alias("u"))
     documents = dict(named.groupBy("lang").count().collect())  # a row for each language
     if not documents:
         return None
     share = F.create_map(*[F.lit(x) for name, n in documents.items() for x in (name, min(1.0, per_language / n))])
+    languages = sorted(documents)
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words as scoring cuts them."""
         only("language_id")
-        for b in batches:
+        for b in in_parts(batches, 64):
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if got := Counter(words_of(text)):
                     yield record_batch(schema, [lang] * len(got), list(got), list(got.values()))
 
-    words = named.where(F.col("u") < share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()  # words of a bounded number of documents
-    return fit(zip(counts["lang"].to_pylist(), counts["word"].to_pylist(), counts["n"].to_pylist(), strict=True), path, documents)
+    sample = named.where(F.col("u") < share[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    parts = max(1, min(64, spark.sparkContext.defaultParallelism))
+    table = written(sample.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(parts, "word").sortWithinPartitions("word", "lang"), "language-words")
+
+    def expect(probs: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(probs)
+
+        def part(b: pa.RecordBatch) -> np.ndarray:
+            only("language_id")
+            rows = zip(*(b[c].to_pylist() for c in ("lang", "word", "n")), strict=True)
+            return expected_counts(*_weighted(rows, languages), shared.value, vocabulary(path))
+
+        total = reduce_blocks(table, part, probs.shape)
+        shared.unpersist()
+        return total
+
+    return _fit(expect, path, documents, rounds)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -288,7 +319,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 def annotate(docs: DataFrame, model: LanguageModel | None, names: tuple[str, str, str] = ("lang_pred", "score", "words")) -> DataFrame:
     """All columns of docs and the three of identify(), under names that docs does not have; rows are not moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("language_id")

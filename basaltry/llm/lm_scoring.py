@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, utf8, written
+from .common import bounded, record_batch, utf8, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Text of a chunk (a longer document is one by itself), and text whose n-grams a hash range counts, in bytes.
@@ -139,7 +139,7 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     as they stand; a null doc_id is scored like any other.
     """
     flagged = lambda df, t, s: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(t).alias("train"), F.lit(s).alias("score"))
-    rows = flagged(docs, True, True) if train is None else flagged(docs, False, True).unionByName(flagged(train, True, False))
+    rows = flagged(bounded(docs), True, True) if train is None else flagged(docs, False, True).unionByName(flagged(train, True, False))
     chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, docs binary"), "lm-chunks")
     ranges = min(1 << 31, max(12, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE)))
 

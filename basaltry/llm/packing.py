@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import record_batch, written
+from .common import bounded, record_batch, written
 from .tokens import CACHE, encoder
 
 SEQ_LEN, WINDOW = 1024, 65_536
@@ -126,7 +126,7 @@ def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window
     Ids are made once and written with their place in (queue, block), a block being a partition.
     Places in a whole queue are sums over blocks; no task holds more than a document.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))  # a null source is a queue of its own
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

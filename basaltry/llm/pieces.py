@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch
+from .common import bounded, record_batch
 from .trie import DoubleArrayTrie, by_length
 
 MARK = "▁"
@@ -216,7 +216,7 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
                 part = b.slice(k, 512)
                 yield record_batch(schema, part["doc_id"], p.encode(part["text"].to_pylist()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -248,4 +248,4 @@ def round_trips(docs: DataFrame, model: str) -> DataFrame:
                 ids = [np.frombuffer(x, "<u4") for x in p.encode(texts)]
                 yield record_batch(_OUT, part["doc_id"], list(map(len, ids)), [zlib.crc32(x) for x in ids], [int(p.is_byte[x].sum()) for x in ids], [p.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_fallback long, round_trip boolean")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_fallback long, round_trip boolean")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, record_batch, utf8, written
+from .common import bounded, only, record_batch, utf8, written
 from .vectors import top_of
 
 #: Labelled documents of each class that are kept as voters, those with the smallest hash of their id.
@@ -94,15 +94,17 @@ def fit(counts: np.ndarray, labels: np.ndarray, totals: dict[int, int]) -> Neigh
     if len(counts) < 2:
         return NeighbourVote(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = np.log1p(counts) * idf.astype(np.float32)
+    x = np.log1p(counts)
+    x *= idf.astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     mean = x.mean(axis=0, dtype=np.float64)
     x -= mean.astype(np.float32)
     # leading right singular vectors, from the smaller Gram matrix
-    values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
+    values, left = np.linalg.eigh(x @ x.T)
     keep = np.argsort(-values)[: min(RANK, len(values))]
     keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    axes = x.T.astype(np.float64) @ left[:, keep] / np.sqrt(values[keep])
+    axes = (x.T @ (left[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float64)
+    del x, left
     share = {q: totals[q] / max(1, int((labels == q).sum())) for q in totals}
     weights = np.array([share[int(q)] for q in labels])
     made = NeighbourVote(idf, mean, axes, np.zeros((0, axes.shape[1])), labels.astype(np.float64), weights / weights.max(), prior)
@@ -124,18 +126,20 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     few = docs.sparkSession.createDataFrame(chosen, "doc_id long, quality int")  # 2 * per_class rows at most
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id")
     texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("term", pa.list_(pa.int32())), ("count", pa.list_(pa.float32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("term", pa.binary()), ("count", pa.binary())])
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [term_counts(t) for t in utf8(b["text"])]
-            yield record_batch(schema, b["doc_id"], b["quality"], [np.flatnonzero(c).tolist() for c in made], [c[c > 0].tolist() for c in made])
+            yield record_batch(schema, b["doc_id"], b["quality"], [np.flatnonzero(c).astype("<i4").tobytes() for c in made], [c[c > 0].tobytes() for c in made])
 
-    rows = sorted(texts.mapInArrow(terms, "doc_id long, quality int, term array<int>, count array<float>").collect(), key=lambda r: r[:2])
+    rows = sorted(map(tuple, texts.mapInArrow(terms, "doc_id long, quality int, term binary, count binary").collect()), key=lambda r: r[:2])
     counts = np.zeros((len(rows), TERMS), dtype=np.float32)
     for i, r in enumerate(rows):
-        counts[i, r[2]] = r[3]
-    return fit(counts, np.array([r[1] for r in rows]), totals)
+        counts[i, np.frombuffer(r[2], "<i4")] = np.frombuffer(r[3], np.float32)
+    kinds = np.array([r[1] for r in rows])
+    del rows
+    return fit(counts, kinds, totals)
 
 
 def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
@@ -149,7 +153,7 @@ def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
 
 def annotate(docs: DataFrame, model: NeighbourVote, name: str = "score") -> DataFrame:
     """All columns of docs and the score, under a name that docs does not have; rows are not moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * per_class voters at most
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(model)  # 2 * per_class voters at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("quality")

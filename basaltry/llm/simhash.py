@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, utf8, written
+from .common import bounded, record_batch, utf8, written
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             prints = np.array([fingerprint(t, shingle) for t in utf8(b["text"])], dtype=np.uint64)
             yield record_batch(schema, b["doc_id"], prints.view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(make, "doc_id long, fp long")
 
 
 def _slices(radius: int) -> list[tuple[int, int]]:

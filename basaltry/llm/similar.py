@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_names, in_parts, only, record_batch, utf8, written
+from .common import bounded, fresh_names, in_parts, only, record_batch, utf8, written
 from .components import connected_components
 from .simhash import links, majority, shingle_hashes
 
@@ -157,7 +157,7 @@ def semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
 def read(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text) doc_id, key (of the text), fp (SimHash of its shingles) and n (their number);
     besides, rows with a null key that count the members which several texts of a chunk have."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(sets), return_counts=True)

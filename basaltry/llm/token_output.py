@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, record_batch
+from .common import bounded, fresh_path, record_batch
 from .tokens import encoder
 
 MAGIC = b"BSLTOK1\n"
@@ -169,7 +169,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     text or id with many rows spreads over all tasks.  The dictionary is trained on whole ids of SAMPLE_DOCS documents (spans
     of long ones); where they are too few or too short for one, frames have none, which the header's hash tells.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
