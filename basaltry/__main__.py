@@ -19,7 +19,8 @@ from .sources import text_formats
 
 def _read(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """row_id, features and label (first target) from LIBSVM text or a Parquet twin."""
-    df = text_formats.read(spark, a.input, a.format, **({"min_d": a.min_d} if a.format.startswith("libsvm") else {}))
+    kw = {"min_d": a.min_d, "max_n": getattr(a, "partial", None)} if a.format.startswith("libsvm") else {}
+    df = text_formats.read(spark, a.input, a.format, **kw)
     return df if "label" in df.columns or "labels" not in df.columns else df.withColumn("label", F.get("labels", F.lit(0)))
 
 
@@ -74,7 +75,7 @@ def run_krr(spark, a):
     rows = _sampled(_read(spark, a), a)
     kernel = _kernel(a, matrix.width_of(rows))
     tolerance, limit = a.tolerance or (1e-1 if a.algorithm == "large" else 1e-3), a.iterations or (20 if a.algorithm == "large" else 1000)
-    p = krr.KRRParams(tolerance, limit, a.seed, a.features_kind, a.max_split)
+    p = krr.KRRParams(tolerance, limit, a.seed, a.features_kind, a.max_split, a.sketch_rows)
     kw = {} if a.algorithm == "exact" else {"s": a.features, "params": p}
     if a.regression:
         model = krr.SOLVERS[a.algorithm](rows, "label", kernel, a.lam, **kw)
@@ -91,14 +92,28 @@ def run_admm(spark, a):
     if labels and labels != [-1, 1]:
         rows = rows.withColumn("label", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1)
     kernel = None if a.kernel == "none" else _kernel(a, matrix.width_of(rows))
-    p = admm.ADMMParams(a.loss, a.regularizer, a.lam, a.rho, a.iterations or 20, a.data_blocks, a.feature_blocks, seed=a.seed, tolerance=a.tolerance)
-    model, history = admm.train(rows, "label", kernel, a.features, p, labels)
+    p = admm.ADMMParams(a.loss, a.regularizer, a.lam, a.rho, a.iterations or 20, a.feature_blocks, seed=a.seed, tolerance=a.tolerance)
+    held_out = None
+    if a.validation:
+        held_out = _read(spark, argparse.Namespace(**{**vars(a), "input": a.validation, "min_d": matrix.width_of(rows)}))
+    model, history = admm.train(rows, "label", kernel, a.features, p, labels, held_out)
     models.save(model, a.model)
-    print(json.dumps({"objective": history}))
+    print(json.dumps({"objective": history} if held_out is None else {"objective": [x[0] for x in history], "validation": [x[1] for x in history]}))
 
 
 def run_predict(spark, a):
     model = models.load(a.model)
+    if a.input == "-":  # one LIBSVM line after another from standard input
+        d = model.maps[0].N if getattr(model, "maps", None) else model.kernel.N if hasattr(model, "kernel") else len(model.weights[0])
+        for line in sys.stdin:
+            pairs = [t.split(":") for t in line.split() if ":" in t]
+            x = np.zeros((1, d))
+            for j, v in pairs:
+                x[0, int(j) - 1] = float(v)
+            scores = model.decision(x)[0]
+            answer = scores.tolist() if a.decisions or model.labels is None else model.labels[int(scores.argmax())] if len(scores) > 1 else 1 if scores[0] >= 0 else -1
+            print(json.dumps(answer), flush=True)
+        return
     rows = _read(spark, a)
     (model.decisions(rows) if a.decisions else model.predict(rows)).write.parquet(a.output)
     if "label" in rows.columns and not a.decisions:
@@ -109,11 +124,27 @@ def run_community(spark, a):
     edges = text_formats.read_graph(spark, a.input, a.numeric).persist()
     p = graph.PPRParams(a.alpha, a.gamma, a.epsilon)
     names = dict(text_formats.read_index(spark, a.index).collect()) if a.index else {}
-    seeds = [r[0] for r in graph.degrees(edges).select("vertex").collect()] if a.all else [names.get(s, int(s) if a.numeric else s) for s in a.seeds]
-    groups = [[s] for s in seeds] if a.all else [seeds]
-    for s in groups:
-        cluster, conductance = graph.local_cluster(edges, s, p, a.recursive)
-        print(json.dumps({"seeds": s, "cluster": sorted(cluster), "conductance": conductance}))
+    if a.all:
+        for r in graph.communities(edges, None, p, a.recursive).toLocalIterator():
+            print(json.dumps({"seeds": [r["seed"]], "cluster": r["cluster"], "conductance": r["conductance"]}))
+        return
+
+    def vertex(name: str):
+        return names.get(name, int(name) if a.numeric else name)
+
+    lines = ([a.seeds] if a.seeds else []) if not a.interactive else (line.split() for line in sys.stdin)
+    for line in lines:
+        seeds = [vertex(s) for s in line]
+        if seeds:
+            cluster, conductance = graph.local_cluster(edges, seeds, p, a.recursive)
+            print(json.dumps({"seeds": seeds, "cluster": sorted(cluster), "conductance": conductance}), flush=True)
+
+
+def run_compare(spark, a):
+    """Every least-squares solver on the same rows: seconds and residual."""
+    rows = _read(spark, a).persist()
+    for name, seconds, residual in regression.compare(rows, "label"):
+        print(json.dumps({"solver": name, "seconds": round(seconds, 3), "residual": residual}))
 
 
 def run_embed(spark, a):
@@ -165,27 +196,31 @@ def parser() -> argparse.ArgumentParser:
     p = add("linear", run_linear)
     p.add_argument("--high-precision", "-p", action="store_true")
     p.add_argument("--prefix", default="out")
+    add("compare", run_compare)
     p = add("krr", run_krr)
     learner(p)
     p.add_argument("--algorithm", default="faster", choices=list(krr.SOLVERS))
     p.add_argument("--features-kind", default="regular", choices=["regular", "fast", "quasi", "sparse"])
     p.add_argument("--max-split", type=int, default=0)
     p.add_argument("--sample", type=int)
+    p.add_argument("--partial", type=int, help="read only so many rows")
+    p.add_argument("--sketch-rows", action="store_true")
     p.add_argument("--test")
     p = add("admm", run_admm)
     learner(p)
     p.add_argument("--loss", default="squared", choices=["squared", "lad", "hinge", "logistic"])
     p.add_argument("--regularizer", default="none", choices=["none", "l2", "l1"])
     p.add_argument("--rho", type=float, default=1.0)
-    p.add_argument("--data-blocks", type=int, default=8)
+    p.add_argument("--validation")
     p.add_argument("--feature-blocks", type=int, default=1)
     p = add("predict", run_predict)
     p.add_argument("--model", required=True)
-    p.add_argument("--output", required=True)
+    p.add_argument("--output", help="not needed with input -, which reads lines and prints answers")
     p.add_argument("--decisions", action="store_true")
     p = add("community", run_community, data=False)
     p.add_argument("--seeds", nargs="*", default=[])
     p.add_argument("--all", action="store_true")
+    p.add_argument("--interactive", action="store_true", help="a line of seeds after another from standard input")
     p.add_argument("--recursive", action="store_true")
     p.add_argument("--numeric", action="store_true")
     p.add_argument("--index")

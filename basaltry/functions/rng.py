@@ -2,11 +2,12 @@
 
 Two streams.  `Context` is Threefry2x64-13 in numpy, for dense blocks made where their rows are.  The
 portable stream is an md5 column expression, the same in Spark SQL and other engines, for sketches
-that stay in Catalyst.  Neither depends on partitioning.
+that stay in Catalyst; `Portable` makes the same values in numpy.  Neither depends on partitioning.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -119,6 +120,38 @@ class Context:
         return np.argsort(self.words(self.allocate(n), np.arange(n)), kind="stable")
 
 
+class Portable(Context):
+    """The portable stream in numpy: the values of the column expressions below, at index base + i.
+
+    It is slower than Threefry, and the same in Spark SQL and other engines.
+    """
+
+    def _words(self, tag: str, base: int, index: np.ndarray) -> np.ndarray:
+        places = np.asarray(index, dtype=np.int64) + base
+        digits = (hashlib.md5(f"{self.seed}{tag}:{i}".encode()).hexdigest()[:8] for i in places.ravel().tolist())
+        return np.array([int(x, 16) for x in digits], dtype=np.uint64).reshape(places.shape)
+
+    def words(self, base, index):
+        return self._words("", base, index)
+
+    def _uniform(self, tag: str, base: int, index: np.ndarray) -> np.ndarray:
+        return (self._words(tag, base, index).astype(np.float64) + 0.5) / 4294967296.0
+
+    def uniform(self, base, index):
+        return self._uniform("", base, index)
+
+    def sample(self, dist, base, index):
+        if dist == "rademacher":
+            return np.where(self._words("s", base, index) % np.uint64(2) == 0, 1.0, -1.0)
+        if dist in ("normal", "levy"):
+            z = np.sqrt(-2.0 * np.log(self._uniform("a", base, index))) * np.cos(2.0 * math.pi * self._uniform("b", base, index))
+            return z if dist == "normal" else 1.0 / (z * z)
+        return quantile(dist, self.uniform(base, index))
+
+
+STREAMS: dict[str, type[Context]] = {"threefry": Context, "portable": Portable}
+
+
 def primes(n: int) -> list[int]:
     out: list[int] = []
     c = 2
@@ -213,3 +246,12 @@ def sql_exponential(seed: str | int, index: str) -> str:
 def sql_levy(seed: str | int, index: str) -> str:
     z = sql_normal(seed, index)
     return f"(1.0 / ({z} * {z}))"
+
+
+def sql_chi_square(seed: str | int, dof: int, base: str) -> str:
+    """Sum of dof squared normals from place base on."""
+    return "(" + " + ".join(f"pow({sql_normal(seed, f'({base} + {d})')}, 2)" for d in range(dof)) + ")"
+
+
+def sql_integer(seed: str | int, index: str, high: int | str) -> str:
+    return f"least(CAST(floor({sql_uniform(seed, index)} * {high}) AS BIGINT), {high} - 1)"

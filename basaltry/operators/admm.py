@@ -1,152 +1,139 @@
-"""Block-splitting ADMM: a loss over data blocks, feature maps over feature blocks.
+"""Regularised learning by graph-form ADMM (Parikh and Boyd 2014): a loss of outputs, a penalty of weights.
 
-The number of data blocks is a parameter, so results do not depend on the cluster.  Each block's state (its
-outputs, duals and weights) is one record of a written table; an iteration maps blocks against the
-broadcast consensus weights and adds up their new weights.  State goes to the shared folder each iteration
-and the table before the last is removed.
+With features Z the problem is to minimise loss(o) + lambda penalty(w) over the graph o = Z w.  An iteration is
+
+    prox        (p, q) = prox of penalty and loss at (w - r, o - s)
+    projection  (w, o) = the point of the graph nearest to (p + r, q + s)
+    duals       (r, s) = (p + r - w, q + s - o)
+
+The projection solves (I + Z'Z) w = (p + r) + Z'(q + s).  Its matrix is summed once; then an iteration needs only
+the sum Z'(q + s), one pass over the rows.  Everything of a row's own (o, q, s) follows from the weights
+so far, so rows carry no state: a pass takes the latest weights as a broadcast and runs the row's part of the
+recursion anew.  So that this does not grow with the iterations, every EPOCH of them the rows' sums q + s are
+written beside the rows, and the recursion goes on from there.  Nothing depends on partitioning.
 """
 
 from __future__ import annotations
 
-import io
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rng
+from ..sources.tables import fresh_path, remove
+from .coding import accuracy, relative_error
 from .kernels import Kernel
-from .losses import LOSSES, REGULARIZERS
-from .matrix import as_lists, block, width_of
+from .losses import LOSSES, REGULARIZERS, Loss
+from .matrix import as_lists, block, reduce_blocks, width_of
 from .models import FeatureModel
 
+#: Iterations whose weights a pass goes through again.
+EPOCH = 32
+
 
 @dataclass(frozen=True)
 class ADMMParams:
+    """feature_blocks: feature maps that s is dealt over, each with a seed of its own."""
+
     loss: str = "squared"
     regularizer: str = "l2"
     lam: float = 0.01
     rho: float = 1.0
     iterations: int = 20
-    data_blocks: int = 4
     feature_blocks: int = 1
     scaled: bool = True
     seed: int = 12345
     tolerance: float | None = None
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="basaltry-")
-    return f"{base.rstrip('/')}/basaltry-admm-{uuid.uuid4().hex}"
-
-
-def _dump(**arrays: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def _sizes(total: int, blocks: int) -> list[int]:
-    out = []
-    for left in range(blocks, 0, -1):
-        out.append(total // left)
-        total -= out[-1]
-    return out
+def _unroll(z: np.ndarray, y: np.ndarray, sums: np.ndarray, weights: list[np.ndarray], loss: Loss, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' sums q + s after the iterations of weights, from the sums before them, and the last outputs."""
+    k = sums.shape[1]
+    outputs = z @ np.concatenate(weights, axis=1)
+    for t in range(len(weights)):
+        o = outputs[:, t * k : (t + 1) * k]
+        s = sums - o
+        sums = loss.prox(o - s, step, y) + s
+    return sums, o
 
 
-def train(rows: DataFrame, label: str, kernel: Kernel | None, s: int, params: ADMMParams | None = None, labels: list | None = None) -> tuple[FeatureModel, list[float]]:
-    """Returns the model and the objective after each iteration.
+def train(rows: DataFrame, label: str, kernel: Kernel | None, s: int, params: ADMMParams | None = None, labels: list | None = None, validation: DataFrame | None = None) -> tuple[FeatureModel, list]:
+    """The model and the objective of the weights that each iteration began with; with validation rows pairs of
+    the objective and the accuracy (without labels: the relative error) of those weights on them.
 
-    label holds class numbers 0..k-1 (k > 2 or multinomial losses), +1/-1, or a real target.  s features in
-    feature_blocks maps of the kernel; without a kernel the model is linear.
+    label holds class numbers 0..k-1 (k > 2 or multinomial losses), +1/-1, or a real target.  s random features
+    of the kernel; without a kernel the model is linear.  tolerance ends the iterations when the objective
+    changes by a smaller share.  The driver holds the square matrix of all features.
     """
     p, spark = params or ADMMParams(), rows.sparkSession
-    loss, reg, d = LOSSES[p.loss](), REGULARIZERS[p.regularizer](), width_of(rows)
+    loss, penalty, d = LOSSES[p.loss](), REGULARIZERS[p.regularizer](), width_of(rows)
     k = len(labels) if labels is not None and len(labels) > 2 else 1
-    maps = [kernel.features(n, "regular", p.seed + 1000 * j) for j, n in enumerate(_sizes(s, p.feature_blocks))] if kernel else []
+    sizes = [len(part) for part in np.array_split(np.arange(s), p.feature_blocks)]
+    maps = [kernel.features(n, "regular", p.seed + 1000 * j) for j, n in enumerate(sizes)] if kernel else []
     model = FeatureModel(maps, [np.zeros((m.S, k)) for m in maps] or [np.zeros((d, k))], scaled=p.scaled and bool(maps), total=d, labels=labels)
-    widths = [len(w) for w in model.weights]
-    cuts, J, P = np.cumsum(widths)[:-1], len(widths), p.data_blocks
-
-    packed = rows.select((rng.word(p.seed, F.col("row_id")) % P).cast("int").alias("block"), "features", F.col(label).cast("double").alias("y"))
-    start = "block int, x binary, y binary, state binary"
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        x, y = block(t["features"].combine_chunks()), t["y"].to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([_dump(x=x)], pa.binary()), "y": pa.array([_dump(y=y)], pa.binary()), "state": pa.array([b""], pa.binary())})
-
-    folder = _folder(spark)
-    packed.groupBy("block").applyInArrow(gather, start).write.parquet(f"{folder}/data")
-    data = spark.read.parquet(f"{folder}/data").select("block", "x", "y")
-    total = sum(widths)
-    w_bar, mu, w_root = np.zeros((total, k)), np.zeros((total, k)), np.zeros((total, k))
-    history: list[float] = []
-    schema = "block int, state binary, w array<double>, loss double"
-    before = None
-
-    for it in range(p.iterations):
-        w_root = reg.prox(w_bar, p.lam / p.rho, mu)
-        shared = spark.sparkContext.broadcast((w_bar, model))
-
-        def step(batches, shared=shared):
-            wb, m = shared.value
-            for b in batches:
-                for name, xs, ys, st in zip(*(b[c].to_pylist() for c in ("block", "x", "y", "state")), strict=True):
-                    x, y = np.load(io.BytesIO(xs))["x"], np.load(io.BytesIO(ys))["y"]
-                    n = len(x)
-                    zs = [m.features(j, x) for j in range(J)]
-                    if st:
-                        state = dict(np.load(io.BytesIO(st)))
-                    else:
-                        state = {"o_bar": np.zeros((n, k)), "nu": np.zeros((n, k)), "del_o": np.zeros((n, k)), "mu": np.zeros((total, k)), "zto": np.zeros((total, k))}
-                        state |= {f"c{j}": np.linalg.inv(z.T @ z + np.eye(z.shape[1])) for j, z in enumerate(zs)}
-                    mus = state["mu"] - wb
-                    o_bar = state["o_bar"] - state["nu"]
-                    o = loss.prox(o_bar, 1 / p.rho, y)
-                    out, s_o = np.zeros((n, k)), np.zeros((n, k))
-                    new_w, new_mu, new_zto = [], [], []
-                    for j, z in enumerate(zs):
-                        wj, mj, tj = (np.split(a, cuts)[j] for a in (wb, mus, state["zto"]))
-                        out += z @ wj
-                        rhs = wj - mj + tj + z.T @ (state["del_o"] / (J + 1) + state["nu"])
-                        v = state[f"c{j}"] @ rhs
-                        oj = z @ v
-                        new_w.append(v)
-                        new_mu.append(mj + v)
-                        new_zto.append(z.T @ oj)
-                        s_o += oj
-                    del_o = o - s_o
-                    o_bar = o - del_o / (J + 1)
-                    keep = {c: a for c, a in state.items() if c.startswith("c")}
-                    st = _dump(o_bar=o_bar, nu=state["nu"] + o - o_bar, del_o=del_o, mu=np.concatenate(new_mu), zto=np.concatenate(new_zto), **keep)
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([st], pa.binary()), as_lists(np.concatenate(new_w).reshape(1, -1)), pa.array([loss.evaluate(out, y)])], names=["block", "state", "w", "loss"])
-
-        now = f"{folder}/state-{it}"
-        joined = data.withColumn("state", F.lit(b"")) if before is None else data.join(spark.read.schema(schema).parquet(before).select("block", "state"), "block")
-        joined.mapInArrow(step, schema).write.parquet(now)
-        if before is not None:
-            _remove(spark, before)
-        before = now
-        got = spark.read.schema(schema).parquet(now).select("w", "loss").collect()  # data_blocks weight vectors
-        history.append(sum(r[1] for r in got) + p.lam * reg.evaluate(w_bar))
-        w_bar = (sum(np.array(r[0]).reshape(total, k) for r in got) + w_root) / (P + 1)
-        mu = mu + w_root - w_bar
-        model.weights = np.split(w_bar, cuts)
-        shared.unpersist()
-        if p.tolerance is not None and it and abs(history[-2] - history[-1]) <= p.tolerance * abs(history[-2]):
-            break
-    _remove(spark, folder)
+    cuts = np.cumsum([len(x) for x in model.weights])[:-1]
+    total = sum(len(x) for x in model.weights)
+    bare = spark.sparkContext.broadcast(model)
+
+    def features(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([bare.value.features(j, x) for j in range(len(bare.value.weights))], axis=1)
+
+    named = rows.select("row_id", "features", F.col(label).cast("double").alias("y"))
+    frame = named.withColumn("sums", F.array_repeat(F.lit(0.0), k))
+    square = reduce_blocks(frame.select("features"), lambda b: (z := features(block(b["features"]))).T @ z, (total, total))
+    factor = np.linalg.cholesky(np.eye(total) + square)
+    w, r = np.zeros((total, k)), np.zeros((total, k))
+    since: list[np.ndarray] = []
+    history: list = []
+    state = None
+    try:
+        for it in range(p.iterations):
+            since.append(w)
+            shared = spark.sparkContext.broadcast(list(since))
+
+            def gather(b, shared=shared):
+                z, y = features(block(b["features"])), b["y"].to_numpy(zero_copy_only=False)
+                sums, out = _unroll(z, y, block(b["sums"]), shared.value, loss, 1 / p.rho)
+                lost = np.zeros((1, k))
+                lost[0, 0] = loss.evaluate(out, y)
+                return np.concatenate([z.T @ sums, lost])
+
+            got = reduce_blocks(frame, gather, (total + 1, k))
+            value = float(got[-1, 0]) + p.lam * penalty.evaluate(w)
+            model.weights = np.split(w, cuts)
+            history.append(value if validation is None else (value, _measure(model, validation, label)))
+            pull = penalty.prox(w, p.lam / p.rho, r) + r
+            w = np.linalg.solve(factor.T, np.linalg.solve(factor, pull + got[:-1]))
+            r = pull - w
+            model.weights = np.split(w, cuts)
+            now = history[-1] if validation is None else history[-1][0]
+            if p.tolerance is not None and it and abs(before - now) <= p.tolerance * abs(before):
+                break
+            before = now
+            if len(since) == EPOCH and it + 1 < p.iterations:
+                def advance(batches, shared=shared, names=tuple(frame.columns)):
+                    for b in batches:
+                        if b.num_rows:
+                            y = b["y"].to_numpy(zero_copy_only=False)
+                            sums, _ = _unroll(features(block(b["features"])), y, block(b["sums"]), shared.value, loss, 1 / p.rho)
+                            yield pa.RecordBatch.from_arrays([b["row_id"], b["features"], b["y"], as_lists(sums)], names=names)
+
+                path = fresh_path(spark, "admm")
+                frame.mapInArrow(advance, frame.schema).write.parquet(path)
+                frame, since = spark.read.schema(frame.schema).parquet(path), []
+                if state is not None:
+                    remove(spark, state)
+                state = path
+            else:
+                shared.unpersist()
+    finally:
+        if state is not None:
+            remove(spark, state)
     return model, history
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _measure(model: FeatureModel, rows: DataFrame, label: str) -> float:
+    out = model.predict(rows)
+    return float((relative_error if model.labels is None else accuracy)(out, "prediction", label).first()[1])

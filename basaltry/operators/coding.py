@@ -23,6 +23,11 @@ def dummy_decode(scores: str, labels: list) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in labels]), place)
 
 
+def indicator(label: str, classes: int, first: int = 1, positive: float = 1.0, negative: float = -1.0) -> Column:
+    """Dummy coding of whole-number labels first, first + 1, ...: an array of `classes` places."""
+    return F.transform(F.sequence(F.lit(first), F.lit(first + classes - 1)), lambda c: F.when(F.col(label) == c, positive).otherwise(negative))
+
+
 def num_targets(df: DataFrame, label: str) -> int:
     """1 for labels -1 and 1, else the largest label + 1."""
     low, high = df.agg(F.min(label), F.max(label)).first()

@@ -10,10 +10,12 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .svd import SVDParams, approximate_symmetric_svd, chebyshev_diff
+from ..sources.tables import written
+from .svd import SVDParams, chebyshev_diff, symmetric_svd_rows
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -25,12 +27,31 @@ def num_edges(edges: DataFrame) -> int:
     return edges.count()
 
 
+def _in_order(rows: DataFrame, order: list, name: str, count: str) -> DataFrame:
+    """rows, written, with a column count: their places from 0 in the order.  Ranges of rows are numbered by themselves, and
+    the ranges' sizes (one number each) are added."""
+    placed = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), name)
+    return _summed(placed.withColumn(count, F.lit(1)), order, [count]).withColumn(count, F.col(count) - 1)
+
+
+def _summed(placed: DataFrame, order: list, columns: list[str]) -> DataFrame:
+    """Running sums of columns in the order, over all ranges of _in_order."""
+    totals = placed.groupBy("range").agg(*[F.sum(c) for c in columns]).orderBy("range").collect()  # a row for each range
+    before, rows = [0] * len(columns), []
+    for r in totals:
+        rows.append((r[0], *before))
+        before = [a + b for a, b in zip(before, r[1:], strict=True)]
+    kinds = ", ".join(f"before_{c} long" for c in columns)
+    offsets = placed.sparkSession.createDataFrame(rows, f"range int, {kinds}")
+    run = Window.partitionBy("range").orderBy(*order)
+    out = placed.join(F.broadcast(offsets), "range")
+    return out.select(*[(F.col(f"before_{c}") + F.sum(c).over(run)).cast("long").alias(c) if c in columns else F.col(c) for c in placed.columns])
+
+
 def vertex_index(edges: DataFrame) -> DataFrame:
-    """(vertex, id): ids from 0 in the order of vertices; places within sorted blocks plus the blocks' sizes."""
+    """(vertex, id): ids from 0 in the order of vertices."""
     v = edges.select(F.col("src").alias("vertex")).distinct()
-    blocks = v.repartitionByRange("vertex").select("vertex", F.spark_partition_id().alias("p")).persist()
-    sizes = blocks.groupBy("p").agg(F.count("*").alias("n")).select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    return blocks.join(sizes, "p").select("vertex", (F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("vertex")) - 1).cast("long").alias("id"))
+    return _in_order(v, ["vertex"], "vertices", "id").select("vertex", "id")
 
 
 def adjacency(edges: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -50,16 +71,16 @@ def sweep(edges: DataFrame, scores: DataFrame, total: int | None = None) -> Data
     that is 0).  An edge into the prefix lowers the cut by one, any other raises it.
     """
     total = num_edges(edges) if total is None else total
-    deg = degrees(edges)
-    ranked = scores.join(deg, "vertex").withColumn("position", F.row_number().over(Window.orderBy(F.desc(F.col("y") / F.col("degree")), "vertex")))
-    place = ranked.select(F.col("vertex").alias("dst"), F.col("position").alias("other"))
+    by = [F.desc("rank"), F.asc("vertex")]
+    scored = scores.join(degrees(edges), "vertex").select("vertex", "degree", (F.col("y") / F.col("degree")).alias("rank"))
+    ranked = written(_in_order(scored, by, "sweep", "place"), "sweep-ranked")
+    place = ranked.select(F.col("vertex").alias("dst"), F.col("place").alias("other"))
     inner = edges.join(place, "dst").select(F.col("src").alias("vertex"), "other")
-    back = ranked.join(inner, "vertex").where("other < position").groupBy("vertex").agg(F.count("*").alias("inside"))
-    run = Window.orderBy("position")
-    out = ranked.join(back, "vertex", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
-    out = out.withColumn("volume", F.sum("degree").over(run)).withColumn("cut", F.sum(F.col("degree") - 2 * F.col("inside")).over(run))
+    back = ranked.select("vertex", "place").join(inner, "vertex").where("other < place").groupBy("vertex").agg(F.count("*").alias("inside"))
+    steps = ranked.join(back, "vertex", "left").withColumn("volume", F.col("degree")).withColumn("cut", F.col("degree") - 2 * F.coalesce("inside", F.lit(0)))
+    out = _summed(written(steps.select("range", "place", "vertex", "volume", "cut"), "sweep-steps"), ["place"], ["volume", "cut"])
     low = F.least(F.col("volume"), F.lit(total) - F.col("volume"))
-    return out.select("position", "vertex", "volume", "cut", F.when(low > 0, F.col("cut") / low).otherwise(1.0).alias("conductance"))
+    return out.select((F.col("place") + 1).cast("int").alias("position"), "vertex", "volume", "cut", F.when(low > 0, F.col("cut") / low).otherwise(1.0).alias("conductance"))
 
 
 # -- time-dependent personalised PageRank -----------------------------------------------------------
@@ -105,18 +126,27 @@ def _diffusion_matrix(n: int, gamma: float) -> np.ndarray:
     return out
 
 
+def _residual_bound(p: PPRParams) -> float:
+    """The residual that a vertex may keep for each of its edges."""
+    lam = 1 + 2 / math.pi * math.log(collocation_size(p) - 1)
+    return (1 - p.alpha) * p.epsilon / ((1 - math.exp((p.alpha - 1) * p.gamma)) * lam) if p.alpha < 1 else p.epsilon / (p.gamma * lam)
+
+
 def time_dependent_ppr(edges: DataFrame, seeds: dict, params: PPRParams | None = None) -> DataFrame:
     """(vertex, y: array of `times` values): diffusion from the seeds at times gamma, ..., gamma / times.
 
     Residuals live on the vertices that the diffusion has touched.  In each round every vertex whose
     residual exceeds its bound is solved for and passes its change on along its edges (a join of the
     frontier with the edges and a grouped sum); the rounds end when no residual is over its bound.
+
+    The method is local: a vertex is solved for only while its residual exceeds its share of epsilon, and each time the sum of residuals
+    falls by that much, so the edges of all touched vertices number in the order of gamma / epsilon, whatever the
+    graph's size.  That bounds the state on the driver and what is broadcast.  If `rounds` do not suffice, it raises.
     """
     p, spark = params or PPRParams(), edges.sparkSession
     n = collocation_size(p)
     m = _diffusion_matrix(n, p.gamma)
-    lam = 1 + 2 / math.pi * math.log(n - 1)
-    c = (1 - p.alpha) * p.epsilon / ((1 - math.exp((p.alpha - 1) * p.gamma)) * lam) if p.alpha < 1 else p.epsilon / (p.gamma * lam)
+    c = _residual_bound(p)
     kind = dict(edges.dtypes)["src"]
     deg = degrees(edges)
     edge = edges.join(deg.withColumnRenamed("vertex", "src"), "src").persist()
@@ -131,6 +161,8 @@ def time_dependent_ppr(edges: DataFrame, seeds: dict, params: PPRParams | None =
             hot = {v: x for v, x in r.items() if not k or np.abs(x).max() > c * degree[v]}  # seeds always count
             if not hot:
                 break
+            if k == p.rounds - 1:
+                raise RuntimeError(f"the diffusion has not come to rest after {p.rounds} rounds: raise epsilon or rounds")
             rows = []
             for v, x in hot.items():
                 delta = m @ x
@@ -175,9 +207,107 @@ def local_cluster(edges: DataFrame, seeds: list, params: PPRParams | None = None
             return best, cond
 
 
-def communities(edges: DataFrame, seeds: list, params: PPRParams | None = None) -> dict:
-    """The local cluster of every seed."""
-    return {s: local_cluster(edges, [s], params) for s in seeds}
+#: Directed edges up to which a graph is broadcast as an array of neighbours (eight bytes each).
+HELD_EDGES = 1 << 25
+
+
+class _Held:
+    """A graph as arrays: the neighbours of vertex i are ends[starts[i]:starts[i + 1]]."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends = starts, ends
+        self.degree = np.diff(starts)
+
+    def diffuse(self, seeds: dict[int, float], p: PPRParams) -> tuple[np.ndarray, np.ndarray]:
+        """Touched vertices and their values at the diffusion's times: the rounds of time_dependent_ppr."""
+        n, c = collocation_size(p), _residual_bound(p)
+        solve = _diffusion_matrix(n, p.gamma)
+        place = {v: i for i, v in enumerate(seeds)}
+        names = list(seeds)
+        left, y = np.zeros((len(names), n)), np.zeros((len(names), n))
+        left[:, n - 1] = list(seeds.values())
+        for k in range(p.rounds):
+            degree = self.degree[names]
+            hot = np.arange(len(names)) if not k else np.flatnonzero(np.abs(left).max(axis=1) > c * degree)
+            if not len(hot):
+                break
+            if k == p.rounds - 1:
+                raise RuntimeError(f"the diffusion has not come to rest after {p.rounds} rounds: raise epsilon or rounds")
+            delta = left[hot] @ solve.T
+            y[hot] += delta
+            left[hot] = 0.0
+            sent = delta[:, : n - 1] * (p.alpha / degree[hot])[:, None]
+            near = [self.ends[self.starts[names[i]] : self.starts[names[i] + 1]] for i in hot]
+            for v in np.unique(np.concatenate(near)).tolist():
+                if v not in place:
+                    place[v] = len(names)
+                    names.append(v)
+            grow = len(names) - len(left)
+            left, y = (np.vstack([a, np.zeros((grow, n))]) for a in (left, y))
+            for x, ends in zip(sent, near, strict=True):
+                left[[place[v] for v in ends.tolist()], : n - 1] += x  # neighbours are distinct
+        times = [t * n // p.times for t in range(p.times)]
+        kept = y[:, 0] != 0
+        return np.array(names)[kept], y[kept][:, times]
+
+    def best_cut(self, vertices: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float] | None:
+        order = np.lexsort((vertices, -y / self.degree[vertices]))
+        total, inside, volume, cut, best = len(self.ends), set(), 0, 0, None
+        for k, v in enumerate(vertices[order].tolist()):
+            ends = self.ends[self.starts[v] : self.starts[v + 1]].tolist()
+            volume += len(ends)
+            cut += len(ends) - 2 * sum(e in inside for e in ends)
+            inside.add(v)
+            low = min(volume, total - volume)
+            value = cut / low if low > 0 else 1.0
+            if best is None or value < best[1]:
+                best = k, value
+        return None if best is None else (vertices[order][: best[0] + 1], best[1])
+
+    def cluster(self, seed: int, p: PPRParams, recursive: bool) -> tuple[list[int], float]:
+        chosen, value = [seed], None
+        while True:
+            vertices, y = self.diffuse(dict.fromkeys(chosen, 1.0 / len(chosen)), p)
+            found = None
+            for t in range(p.times):
+                cut = self.best_cut(vertices, y[:, t])
+                if cut is not None and (value is None or cut[1] < 0.999999 * value):
+                    found, value = cut[0].tolist(), cut[1]
+            if found is None:
+                return chosen, 1.0 if value is None else value
+            chosen = found
+            if not recursive:
+                return chosen, value
+
+
+def communities(edges: DataFrame, seeds: list | None = None, params: PPRParams | None = None, recursive: bool = False) -> DataFrame:
+    """(seed, cluster, conductance): the local cluster of every seed, of every vertex if none are named; seeds without edges are left out.
+
+    A graph of up to HELD_EDGES edges is broadcast, and seeds are dealt over tasks.  For a larger one the driver takes seed after seed by
+    local_cluster, whose steps are distributed themselves.
+    """
+    p, spark, kind = params or PPRParams(), edges.sparkSession, dict(edges.dtypes)["src"]
+    edges = written(edges.select("src", "dst"), "community-edges")
+    schema = f"seed {kind}, cluster array<{kind}>, conductance double"
+    index = written(vertex_index(edges), "community-index")
+    wanted = index if seeds is None else index.join(F.broadcast(spark.createDataFrame([(s,) for s in seeds], f"vertex {kind}")), "vertex", "left_semi")
+    if edges.count() > HELD_EDGES:
+        rows = ((r[0], *local_cluster(edges, [r[0]], p, recursive)) for r in wanted.select("vertex").toLocalIterator())
+        return spark.createDataFrame(rows, schema)
+    arcs, _ = adjacency(edges, index)
+    table = arcs.select("i", "j").orderBy("i", "j").toArrow()
+    starts = np.searchsorted(table["i"].to_numpy(), np.arange(index.count() + 1))
+    shared = spark.sparkContext.broadcast(_Held(starts, table["j"].to_numpy()))
+
+    def run(batches):
+        for b in batches:
+            for seed in b["id"].to_pylist():
+                cluster, value = shared.value.cluster(seed, p, recursive)
+                yield pa.RecordBatch.from_arrays([pa.array([seed] * len(cluster)), pa.array(cluster, pa.int64()), pa.array([value] * len(cluster))], names=["s", "v", "conductance"])
+
+    found = wanted.select("id").repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "s long, v long, conductance double")
+    named = found.join(index.toDF("seed", "s"), "s").join(index.toDF("vertex", "v"), "v")
+    return named.groupBy("seed").agg(F.sort_array(F.collect_list("vertex")).alias("cluster"), F.max("conductance").alias("conductance"))
 
 
 def spectral_embedding(edges: DataFrame, rank: int, iterations: int = 2, seed: int = 0, absolute: bool = False) -> tuple[DataFrame, np.ndarray]:
@@ -185,12 +315,12 @@ def spectral_embedding(edges: DataFrame, rank: int, iterations: int = 2, seed: i
 
     Negative eigenvalues count as 0 with a warning, or by their absolute value.
     """
-    a, index = adjacency(edges)
-    index = index.persist()
-    v, values = approximate_symmetric_svd(a, index.count(), rank, SVDParams(num_iterations=iterations), seed)
+    edges = written(edges, "embedding-edges")
+    index = written(vertex_index(edges), "embedding-index")
+    a, _ = adjacency(edges, index)
+    v, values = symmetric_svd_rows(a, index.count(), rank, SVDParams(num_iterations=iterations), seed)
     if (values < 0).any() and not absolute:
         warnings.warn("negative eigenvalues are taken as 0", stacklevel=2)
-    x = v * np.sqrt(np.abs(values) if absolute else np.maximum(values, 0))
-    spark = edges.sparkSession
-    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
-    return index.join(rows, "id").select("vertex", "x"), values
+    scale = np.sqrt(np.abs(values) if absolute else np.maximum(values, 0))
+    x = F.zip_with("features", F.array(*map(F.lit, scale.tolist())), lambda a, b: a * b)
+    return v.select(F.col("row_id").alias("id"), x.alias("x")).join(index, "id").select("vertex", "x"), values

@@ -92,8 +92,8 @@ class Kernel:
     def symmetric_gram(self, x: DataFrame) -> DataFrame:
         return self.gram(x, x).where("i >= j")
 
-    def features(self, S: int, kind: str = "regular", seed: int = 0, counter: int = 0) -> sketch.Sketch:
-        """A feature map z with z(x).z(y) near the kernel; kind: regular, fast or quasi."""
+    def features(self, S: int, kind: str = "regular", seed: int = 0, counter: int = 0, stream: str = "threefry") -> sketch.Sketch:
+        """A feature map z with z(x).z(y) near the kernel; kind: regular, fast or quasi; stream: that of its random numbers."""
         raise ValueError(f"{type(self).__name__} has no {kind} feature map")
 
     def to_json(self) -> str:
@@ -108,8 +108,8 @@ class Linear(Kernel):
     def block(self, x, y):
         return x @ y.T
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return {"regular": sketch.JLT, "fast": sketch.FJLT, "sparse": sketch.CWT}[kind](self.N, S, seed, counter)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return {"regular": sketch.JLT, "fast": sketch.FJLT, "sparse": sketch.CWT}[kind](self.N, S, seed, counter, stream=stream)
 
 
 @dataclass(frozen=True)
@@ -122,8 +122,8 @@ class Gaussian(Kernel):
     def block(self, x, y):
         return np.exp(-distance_block("euclidean", x, y) / (2 * self.sigma**2))
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return {"regular": sketch.GaussianRFT, "fast": sketch.FastGaussianRFT, "quasi": sketch.GaussianQRFT}[kind](self.N, S, seed, counter, sigma=self.sigma)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return {"regular": sketch.GaussianRFT, "fast": sketch.FastGaussianRFT, "quasi": sketch.GaussianQRFT}[kind](self.N, S, seed, counter, sigma=self.sigma, stream=stream)
 
 
 @dataclass(frozen=True)
@@ -138,8 +138,8 @@ class Polynomial(Kernel):
     def block(self, x, y):
         return (self.gamma * x @ y.T + self.c) ** self.q
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return sketch.PPT(self.N, S, seed, counter, q=self.q, gamma=self.gamma, c=self.c)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return sketch.PPT(self.N, S, seed, counter, q=self.q, gamma=self.gamma, c=self.c, stream=stream)
 
 
 @dataclass(frozen=True)
@@ -152,8 +152,8 @@ class Laplacian(Kernel):
     def block(self, x, y):
         return np.exp(-distance_block("l1", x, y) / self.sigma)
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return {"regular": sketch.LaplacianRFT, "quasi": sketch.LaplacianQRFT}[kind](self.N, S, seed, counter, sigma=self.sigma)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return {"regular": sketch.LaplacianRFT, "quasi": sketch.LaplacianQRFT}[kind](self.N, S, seed, counter, sigma=self.sigma, stream=stream)
 
 
 @dataclass(frozen=True)
@@ -169,8 +169,8 @@ class ExpSemigroup(Kernel):
     def symmetric_gram(self, x):
         raise ValueError("this kernel has no symmetric Gram matrix")
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return {"regular": sketch.ExpSemigroupRLT, "quasi": sketch.ExpSemigroupQRLT}[kind](self.N, S, seed, counter, beta=self.beta)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return {"regular": sketch.ExpSemigroupRLT, "quasi": sketch.ExpSemigroupQRLT}[kind](self.N, S, seed, counter, beta=self.beta, stream=stream)
 
 
 @dataclass(frozen=True)
@@ -194,8 +194,8 @@ class Matern(Kernel):
             raise ValueError("this nu has feature maps alone")
         return forms[self.nu]
 
-    def features(self, S, kind="regular", seed=0, counter=0):
-        return {"regular": sketch.MaternRFT, "fast": sketch.FastMaternRFT}[kind](self.N, S, seed, counter, nu=self.nu, l=self.l)
+    def features(self, S, kind="regular", seed=0, counter=0, stream="threefry"):
+        return {"regular": sketch.MaternRFT, "fast": sketch.FastMaternRFT}[kind](self.N, S, seed, counter, nu=self.nu, l=self.l, stream=stream)
 
 
 KERNELS = {k.__name__.lower(): k for k in (Linear, Gaussian, Polynomial, Laplacian, ExpSemigroup, Matern)}

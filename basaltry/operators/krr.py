@@ -1,7 +1,9 @@
 """Kernel ridge regression and regularised least-squares classification, five ways each.
 
-Rows are a RowDF with a target column.  `kernel_ridge` and `faster_kernel_ridge` hold the n x n Gram
-matrix on the driver (n is checked); the others see the rows only through passes that sum s x s moments.
+Rows are a RowDF with a target column.  The models of `kernel_ridge` and `faster_kernel_ridge` are the rows themselves with
+coefficients, so the driver holds the rows (SUPPORT bytes at most).  Up to GRAM_ROWS rows it also holds their Gram matrix; beyond,
+products with that matrix are made on executors, block by block and anew each time.  The other solvers see the rows
+only through passes that sum s x s moments.
 """
 
 from __future__ import annotations
@@ -11,17 +13,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import krylov, sketch
 from .coding import dummy_coding, label_order
 from .kernels import Gaussian, Kernel
-from .matrix import as_lists, block, reduce_blocks, to_numpy, width_of
+from .matrix import as_lists, block, map_rows, reduce_blocks, to_numpy, width_of
 from .models import FeatureModel, KernelModel
 
-#: Rows up to which a Gram matrix is formed on the driver (12,000 squared doubles are 1.2 GB).
-GRAM_ROWS = 12_000
+#: Rows up to which a Gram matrix is formed on the driver (8,000 squared doubles are 0.5 GB); bytes of rows that a kernel model holds.
+GRAM_ROWS, SUPPORT = 8_000, 2 << 30
+#: Rows and columns of a block of the Gram matrix that a task makes at a time.
+TALL, WIDE = 256, 8192
 
 
 @dataclass(frozen=True)
@@ -33,26 +37,69 @@ class KRRParams:
     max_split: int = 0
     sketch_rows: bool = False
     sketch_kind: str = "CWT"
+    stream: str = "threefry"
 
 
-def _small(rows: DataFrame, target: str) -> tuple[np.ndarray, np.ndarray]:
-    got = rows.select("row_id", "features", _array(rows, target).alias("t")).orderBy("row_id").limit(GRAM_ROWS + 1).collect()
-    if len(got) > GRAM_ROWS:
-        raise ValueError(f"more than {GRAM_ROWS} rows: use a feature-map solver")
-    return np.array([r[1] for r in got], float), np.array([r[2] for r in got], float)
+def _support(rows: DataFrame, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """All rows and targets in row_id order, the support of a kernel model; its size is checked first."""
+    d, n = width_of(rows), rows.count()
+    if 8 * n * (d or 1) > SUPPORT:
+        raise ValueError(f"a kernel model of these rows takes {8 * n * d >> 20} MB, more than {SUPPORT >> 20}: use a feature-map solver")
+    got = rows.select("row_id", "features", _array(rows, target).alias("t")).orderBy("row_id").toArrow().combine_chunks()
+    return block(got["features"].combine_chunks()), block(got["t"].combine_chunks())
+
+
+def gram_product(spark: SparkSession, kernel: Kernel, x: np.ndarray, shift: float):
+    """v -> (K(x, x) + shift I) v for n x k blocks v: tasks make blocks of K and forget them."""
+    sc = spark.sparkContext
+    support = sc.broadcast(x)
+    n, parts = len(x), max(1, min(-(-len(x) // TALL), 4 * sc.defaultParallelism))
+
+    def product(v: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(v)
+
+        def run(batches):
+            x, v = support.value, shared.value
+            for b in batches:
+                for at in b["id"].to_pylist():
+                    some = x[at : at + TALL]
+                    made = sum(kernel.block(some, x[j : j + WIDE]) @ v[j : j + WIDE] for j in range(0, len(x), WIDE))
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([np.ascontiguousarray(made).tobytes()], pa.binary())], names=["at", "made"])
+
+        out = shift * v
+        for at, raw in spark.range(0, n, TALL, parts).mapInArrow(run, "at long, made binary").collect():
+            out[at : at + TALL] += np.frombuffer(raw).reshape(-1, v.shape[1])
+        shared.unpersist()
+        return out
+
+    return product
 
 
 def _array(rows: DataFrame, target: str):
     return F.col(target) if dict(rows.dtypes)[target].startswith("array") else F.array(F.col(target).cast("double"))
 
 
-def kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float) -> KernelModel:
-    """(K + lambda I) a = y by a Cholesky factor."""
-    x, y = _small(rows, target)
+def kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int = 512) -> KernelModel:
+    """(K + lambda I) a = y, by a Cholesky factor; beyond GRAM_ROWS rows by conjugate gradients to a relative residual of 1e-12
+    with s random features as preconditioner (where the kernel has such, else none)."""
+    x, y = _support(rows, target)
+    if len(x) > GRAM_ROWS:
+        try:
+            z = kernel.features(s, "regular", 0).map_block(x)
+        except ValueError:
+            z = None
+        product = gram_product(rows.sparkSession, kernel, x, lam)
+        return KernelModel(kernel, x, krylov.cg(product, y, krylov.Params(1e-12, 10 * len(x)), _woodbury(z, lam) if z is not None else None).x)
     l = np.linalg.cholesky(kernel.block(x, x) + lam * np.eye(len(x)))  # noqa: E741
     return KernelModel(kernel, x, np.linalg.solve(l.T, np.linalg.solve(l, y)))
 
 
+def _woodbury(z: np.ndarray, lam: float):
+    """r -> (lambda I + Z Z')^-1 r for n x s features."""
+    inner = lam * np.eye(z.shape[1]) + z.T @ z
+    return lambda r: (r - z @ np.linalg.solve(inner, z.T @ r)) / lam
+
+
 def _moments(rows: DataFrame, target: str, z) -> tuple[np.ndarray, np.ndarray]:
     """Z'Z and Z'Y in one pass; z maps a block of features."""
     frame = rows.select("features", _array(rows, target).alias("t"))
@@ -90,7 +137,7 @@ def _ridge(a: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray:
 def approximate_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int, params: KRRParams | None = None) -> FeatureModel:
     """Ridge regression on s random features; with sketch_rows, on a sketch of the rows."""
     p = params or KRRParams()
-    t = kernel.features(s, p.feature_kind, p.seed)
+    t = kernel.features(s, p.feature_kind, p.seed, stream=p.stream)
     if p.sketch_rows:
         z, y = _row_sketched(rows, target, t.map_block, s, p)
         return FeatureModel([t], [_ridge(z.T @ z, z.T @ y, lam)])
@@ -105,7 +152,7 @@ def _splits(s: int, d: int, max_split: int) -> list[int]:
 
 
 def _maps(kernel: Kernel, s: int, d: int, p: KRRParams) -> list[sketch.Sketch]:
-    return [kernel.features(n, p.feature_kind, p.seed + 1000 * j) for j, n in enumerate(_splits(s, d, p.max_split))]
+    return [kernel.features(n, p.feature_kind, p.seed + 1000 * j, stream=p.stream) for j, n in enumerate(_splits(s, d, p.max_split))]
 
 
 def sketched_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int, params: KRRParams | None = None) -> FeatureModel:
@@ -123,13 +170,14 @@ def sketched_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: flo
 def faster_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int, params: KRRParams | None = None) -> KernelModel:
     """CG on K + lambda I, preconditioned by (lambda I + Z Z')^-1 of s random features (Woodbury)."""
     p = params or KRRParams()
-    x, y = _small(rows, target)
-    k = kernel.block(x, x) + lam * np.eye(len(x))
-    z = kernel.features(s, p.feature_kind, p.seed).map_block(x)
-    l = np.linalg.cholesky(np.eye(z.shape[1]) + z.T @ z / lam)  # noqa: E741
-    u = np.linalg.solve(l, z.T) / lam
-    got = krylov.cg(lambda v: k @ v, y, krylov.Params(p.tolerance, p.iter_lim), lambda r: r / lam - u.T @ (u @ r))
-    return KernelModel(kernel, x, got.x)
+    x, y = _support(rows, target)
+    if len(x) > GRAM_ROWS:
+        product = gram_product(rows.sparkSession, kernel, x, lam)
+    else:
+        k = kernel.block(x, x) + lam * np.eye(len(x))
+        product = lambda v: k @ v
+    z = kernel.features(s, p.feature_kind, p.seed, stream=p.stream).map_block(x)
+    return KernelModel(kernel, x, krylov.cg(product, y, krylov.Params(p.tolerance, p.iter_lim), _woodbury(z, lam)).x)
 
 
 def large_scale_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int, params: KRRParams | None = None) -> FeatureModel:
@@ -189,21 +237,30 @@ def rls(rows: DataFrame, label: str, sigma: float = 1.0, lam: float = 1e-3) -> K
     return rlsc(rows, label, Gaussian(width_of(rows), sigma), lam)
 
 
-def sketch_rls(rows: DataFrame, label: str, sigma: float = 1.0, lam: float = 1e-3, s: int = 100, seed: int = 0) -> FeatureModel:
-    return rlsc(rows, label, Gaussian(width_of(rows), sigma), lam, "approximate", s=s, params=KRRParams(seed=seed))
+def sketch_rls(rows: DataFrame, label: str, sigma: float = 1.0, lam: float = 1e-3, s: int = 100, seed: int = 0, stream: str = "threefry") -> FeatureModel:
+    """Regularised least squares on random features of a Gaussian kernel."""
+    return rlsc(rows, label, Gaussian(width_of(rows), sigma), lam, "approximate", s=s, params=KRRParams(seed=seed, stream=stream))
 
 
 def nystrom_rls(rows: DataFrame, label: str, sigma: float = 1.0, lam: float = 1e-3, s: int = 100, seed: int = 0, probabilities: str = "uniform") -> KernelModel:
-    """Landmarks drawn uniformly or by approximate leverage; normal equations of K(X, landmarks) in one pass."""
+    """Landmarks drawn uniformly, or with replacement with probabilities by ridge leverage: the scores of all rows against a uniform
+    pool of 4 s rows, one pass.  Normal equations of K(X, landmarks) in one pass."""
     from ..functions import rng
 
     kernel = Gaussian(width_of(rows), sigma)
-    pool = [r[0] for r in rows.orderBy(rng.word(seed, F.col("row_id")), "row_id").limit(s if probabilities == "uniform" else 10 * s).select("features").collect()]
+    pool = [r[0] for r in rows.orderBy(rng.word(seed, F.col("row_id")), "row_id").limit(s if probabilities == "uniform" else 4 * s).select("features").collect()]
     x = np.array(pool, float)
-    if probabilities == "leverage":  # leverage scores within a pool of 10 s rows
-        k = kernel.block(x, x)
-        lev = np.einsum("ij,ji->i", k, np.linalg.inv(k + lam * len(x) * np.eye(len(x))))
-        x = x[np.argsort(-lev, kind="stable")[:s]]
+    if probabilities == "leverage":
+        shift = lam * rows.count()
+        inverse = np.linalg.inv(kernel.block(x, x) + shift * np.eye(len(x)))
+
+        def leverage(v: np.ndarray) -> np.ndarray:
+            k = kernel.block(v, x)
+            return (np.maximum(1.0 - np.einsum("ij,ji->i", k, inverse @ k.T), 0.0) / shift)[:, None]
+
+        scored = map_rows(rows.select("row_id", "features"), leverage).select("row_id", F.col("features")[0].alias("leverage"))
+        drawn = sketch.weighted_sample(scored, "row_id", "leverage", s, seed).select(F.col("key").alias("row_id")).distinct()
+        x = np.array([r[0] for r in rows.join(F.broadcast(drawn), "row_id").orderBy("row_id").select("features").collect()], float)
     labels = label_order(rows, label, "row_id")
     coded = rows.withColumn("target", dummy_coding(label, labels))
     a, b = _moments(coded, "target", lambda v: kernel.block(v, x))
@@ -211,11 +268,11 @@ def nystrom_rls(rows: DataFrame, label: str, sigma: float = 1.0, lam: float = 1e
     return KernelModel(kernel, x, w, labels=labels)
 
 
-def sketch_pcr(rows: DataFrame, label: str, rank: int, sigma: float = 1.0, s: int = 100, seed: int = 0) -> FeatureModel:
+def sketch_pcr(rows: DataFrame, label: str, rank: int, sigma: float = 1.0, s: int = 100, seed: int = 0, stream: str = "threefry") -> FeatureModel:
     """Principal component regression on random features: least squares within the leading eigenspace of Z'Z."""
     kernel = Gaussian(width_of(rows), sigma)
     labels = label_order(rows, label, "row_id")
-    t = kernel.features(s, "regular", seed)
+    t = kernel.features(s, "regular", seed, stream=stream)
     a, b = _moments(rows.withColumn("target", dummy_coding(label, labels)), "target", t.map_block)
     values, vectors = np.linalg.eigh(a)
     v = vectors[:, np.argsort(-values)[:rank]]

@@ -118,44 +118,67 @@ class Tall:
 
         return reduce_blocks(self.frame, part, (self.n + 1, self.k))
 
+    def step(self, d: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A'A d, A'(u - A x) and the squared norm of each column of u - A x, in one pass."""
+        shared = self.rows.sparkSession.sparkContext.broadcast((d, x))
+
+        def part(b):
+            d, x = shared.value
+            a = block(b["features"])
+            left = block(b["u"]) - a @ x
+            return np.vstack([a.T @ (a @ d), a.T @ left, (left * left).sum(axis=0)])
+
+        out = reduce_blocks(self.frame, part, (2 * self.n + 1, self.k))
+        shared.unpersist()
+        return out[: self.n], out[self.n : -1], out[-1]
+
 
 def lsqr(rows: DataFrame, target: str, params: Params | None = None, precondition: np.ndarray | None = None) -> Result:
     """min |A x - b| for several right sides, x = N y for a right preconditioner N.
 
-    The iterates are LSQR's, computed in the conjugate-gradient form of least squares: only n-vectors are
-    carried, and each step is one pass over the rows.  Codes: 0 zero gradient, -2 small gradient, -3 small
-    residual, -4 ill-conditioned, -5 stagnation, -6 iteration limit.
+    The iterates are LSQR's, in the conjugate-gradient form of least squares: only n-vectors are carried, and each step is
+    one pass over the rows.  The pass that applies A'A to the direction also makes the gradient A'(b - A x) and the
+    residual's norm anew from the rows, so that rounding does not build up.  The recursion's coefficients are the
+    Lanczos matrix of A'A, whose extreme eigenvalues tell the condition.  Codes: 0 zero gradient, -2 small gradient,
+    -3 small residual, -4 ill-conditioned (over 1 / eps), -5 stagnation, -6 iteration limit.
     """
     p_ = params or Params()
     tall = Tall(rows, target)
-    one = np.ones(tall.k)
-    start = tall.transposed(one)
-    atb, bb = start[:-1], start[-1]
+    start = tall.transposed(np.ones(tall.k))
+    bb = start[-1]
     n_ = np.eye(tall.n) if precondition is None else precondition
-    normal = NormalOperator(rows)
-    g = n_.T @ atb
-    first = np.linalg.norm(g, axis=0)
+    s = n_.T @ start[:-1]
+    first = np.linalg.norm(s, axis=0)
     if not first.any():
         return Result(np.zeros((tall.n, tall.k)), 0, 0)
-    y, d, s = np.zeros((n_.shape[1], tall.k)), g.copy(), g.copy()
-    gamma, still, resid = (g * g).sum(axis=0), 0, bb.copy()
+    y, d, gamma, still = np.zeros((n_.shape[1], tall.k)), s.copy(), (s * s).sum(axis=0), 0
+    diagonal, beside = [], []
+    carry = np.zeros(tall.k)
     for it in range(p_.iter_lim):
-        z = n_.T @ normal(n_ @ d)
-        dz = (d * z).sum(axis=0)
-        alpha = _ratio(gamma, dz)
+        z, exact, left = tall.step(n_ @ d, n_ @ y)
+        z, exact = n_.T @ z, n_.T @ exact
+        alpha = _ratio(gamma, (d * z).sum(axis=0))
         step = alpha * d
-        y, s = y + step, s - alpha * z
-        resid = np.maximum(resid - alpha * gamma, 0.0)
+        y, s = y + step, exact - alpha * z
         new = (s * s).sum(axis=0)
+        resid = np.maximum(left - alpha * gamma, 0.0)
+        beta = _ratio(new, gamma)
+        inverse = _ratio(np.ones_like(alpha), alpha)
+        diagonal.append(inverse + carry)
+        beside.append(np.sqrt(beta) * inverse)
+        carry = beta * inverse
         p_.log.append(float(np.sqrt(new).max()))
         if (np.sqrt(new) < p_.tolerance * first).all():
             return Result(n_ @ y, -2, it + 1)
         if (resid <= (EPS * np.sqrt(bb)) ** 2).all():
             return Result(n_ @ y, -3, it + 1)
+        lanczos = np.linalg.eigvalsh(np.diag([x[0] for x in diagonal]) + np.diag([x[0] for x in beside[:-1]], 1) + np.diag([x[0] for x in beside[:-1]], -1))
+        if lanczos[0] > 0 and math.sqrt(lanczos[-1] / lanczos[0]) > 1 / EPS:
+            return Result(n_ @ y, -4, it + 1)
         still = still + 1 if (np.linalg.norm(step, axis=0) <= EPS * np.linalg.norm(y, axis=0)).all() else 0
         if still == 3:
             return Result(n_ @ y, -5, it + 1)
-        d, gamma = s + _ratio(new, gamma) * d, new
+        d, gamma = s + beta * d, new
     return Result(n_ @ y, -6, p_.iter_lim)
 
 

@@ -7,9 +7,11 @@ and duplicates summed.  Small matrices (features x features, sketch x features)
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,19 @@ def coo_sum(coords: DataFrame) -> DataFrame:
 
 
 def to_rows(coords: DataFrame, width: int) -> DataFrame:
-    """RowDF of the rows that have entries; a row's entries become one array of width places."""
-    cells = coords.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct(F.col("j").cast("int"), "v"))).alias("m"))
-    return cells.select(F.col("i").alias("row_id"), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("features"))
+    """RowDF of the rows that have entries; a row's entries (each place once) become one array of width places."""
+    cells = coords.groupBy("i").agg(F.collect_list(F.col("j").cast("int")).alias("at"), F.collect_list(F.col("v").cast("double")).alias("v"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((b.num_rows, width))
+            row = np.repeat(np.arange(b.num_rows), np.diff(b["at"].offsets.to_numpy()))
+            at, v = b["at"].flatten().to_numpy(zero_copy_only=False), b["v"].flatten().to_numpy(zero_copy_only=False)
+            ok = (at >= 0) & (at < width)
+            out[row[ok], at[ok]] = v[ok]
+            yield pa.RecordBatch.from_arrays([b["row_id"], as_lists(out)], names=["row_id", "features"])
+
+    return cells.withColumnRenamed("i", "row_id").mapInArrow(fill, "row_id long, features array<double>")
 
 
 def transpose(coords: DataFrame) -> DataFrame:
@@ -46,6 +58,24 @@ def from_numpy(spark: SparkSession, a: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(np.atleast_2d(a))], "row_id long, features array<double>")
 
 
+def from_function(spark: SparkSession, m: int, n: int, fn: Callable[[Column, Column], Column]) -> DataFrame:
+    """RowDF whose entry (i, j) is the column expression fn(i, j), made where the rows are."""
+    rows = spark.range(m).select(F.col("id").alias("row_id"))
+    return rows.select("row_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda j: fn(F.col("row_id"), j).cast("double")).alias("features"))
+
+
+def from_csr(spark: SparkSession, data: np.ndarray, indices: np.ndarray, indptr: np.ndarray) -> DataFrame:
+    """CoordDF from the three arrays of a compressed sparse row matrix."""
+    i = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
+    return coo_sum(spark.createDataFrame(pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(np.asarray(indices), pa.int64()), "v": pa.array(np.asarray(data, dtype=np.float64))})))
+
+
+def to_csr(coords: DataFrame, height: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(data, indices, indptr) of a CoordDF; for matrices known to be small."""
+    t = coo_sum(coords).orderBy("i", "j").select("i", "j", "v").toArrow()
+    return t["v"].to_numpy(), t["j"].to_numpy(), np.searchsorted(t["i"].to_numpy(), np.arange(height + 1))
+
+
 def to_numpy(rows: DataFrame) -> np.ndarray:
     """The whole matrix in row_id order; for results known to be small."""
     got = rows.select("row_id", "features").orderBy("row_id").collect()
@@ -87,13 +117,24 @@ def as_lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel()))
 
 
+@dataclass
+class Tuning:
+    """block_rows: rows that dense maps work on at a time; it bounds memory and never changes a result."""
+
+    block_rows: int = 10_000
+
+
+TUNING = Tuning()
+
+
 def map_rows(rows: DataFrame, fn: Callable[..., np.ndarray], *more: str) -> DataFrame:
     """Replace features by fn(block of features, *other columns as numpy); other columns stay.  No shuffle."""
-    schema = rows.schema
+    schema, step = rows.schema, TUNING.block_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 made = as_lists(fn(block(b["features"]), *[b[c].to_numpy(zero_copy_only=False) for c in more]))
                 yield pa.RecordBatch.from_arrays([made if f.name == "features" else b[f.name] for f in schema], names=schema.names)
 
@@ -106,24 +147,43 @@ def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
     return map_rows(rows, lambda x: x @ shared.value)
 
 
+#: Groups that tasks' partial sums are added up in, and numbers that the driver takes of them together.
+GROUPS, TO_DRIVER = 32, 1 << 23
+
+
 def reduce_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """Sum of fn(batch) over all batches, a small matrix: sums within tasks, then row by row over tasks."""
+    """Sum of fn(batch) over all batches, a small matrix: sums within tasks, then within GROUPS groups of
+    tasks, then on the driver; a matrix that is too large for that by slices on executors.  Sums are
+    taken one partial matrix after another, so no task holds many."""
     n, m = shape
+    cut = max(1, (1 << 20) // max(1, m))
+    schema = "at int, place int, part binary"
+
+    def rows(total: np.ndarray | None, place: int) -> pa.RecordBatch:
+        starts = range(0, n, cut) if total is not None else []
+        return pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([place] * len(starts), pa.int32()), pa.array([total[k : k + cut].tobytes() for k in starts], pa.binary())], names=["at", "place", "part"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total = None
         for b in batches:
             if b.num_rows:
-                total += fn(b)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), as_lists(total)], names=["k", "part"])
+                total = fn(b) if total is None else total + fn(b)
+        yield rows(total, TaskContext.get().partitionId())
 
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "part": as_lists(block(t["part"].combine_chunks()).sum(axis=0)[None])})
-
-    parts = df.mapInArrow(partial, "k int, part array<double>").groupBy("k").applyInArrow(merge, "k int, part array<double>").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, part in zip(b["at"].to_pylist(), b["part"].to_pylist(), strict=True):
+                x = np.frombuffer(part, np.float64)
+                sums[at] = sums[at] + x if at in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["at", "place", "part"])
+
+    parts = df.mapInArrow(partial, schema).repartition("at", F.col("place") % GROUPS).mapInArrow(add, schema)
+    if n * m * GROUPS > TO_DRIVER:
+        parts = parts.repartition("at").mapInArrow(add, schema)
     out = np.zeros(shape)
-    for k, v in parts:
-        out[k] = v
+    for at, _, raw in parts.collect():
+        out[at : at + cut] += np.frombuffer(raw, np.float64).reshape(-1, m)
     return out
 
 
@@ -163,10 +223,13 @@ def symm(triangle: DataFrame, b: DataFrame, lower: bool = True, **kw) -> DataFra
     return gemm(mirror(triangle, lower), b, **kw)
 
 
-def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, trans: bool = False) -> DataFrame:
-    """alpha op(A) x for a CoordDF A and a vector (i, v)."""
+def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, trans: bool = False, beta: float = 0.0, y: DataFrame | None = None) -> DataFrame:
+    """alpha op(A) x + beta y for a CoordDF A and vectors (i, v)."""
     a = transpose(a) if trans else a
-    return a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg((alpha * F.sum(F.col("v") * F.col("x"))).alias("v"))
+    terms = a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").select("i", (alpha * F.col("v") * F.col("x")).alias("v"))
+    if y is not None and beta:
+        terms = terms.unionByName(y.select("i", (beta * F.col("v")).alias("v")))
+    return terms.groupBy("i").agg(F.sum("v").alias("v"))
 
 
 # -- reductions and maps -----------------------------------------------------------------------------

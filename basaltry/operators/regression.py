@@ -6,6 +6,7 @@ Rows are a RowDF with a target column (a number or an array).  Solutions are fea
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import krylov, sketch
-from .matrix import gram, to_numpy, tsqr, width_of
+from .matrix import block, gram, reduce_blocks, to_numpy, tsqr, width_of
 
 
 @dataclass(frozen=True)
@@ -80,9 +81,9 @@ def _height(rows: DataFrame) -> int:
     return (rows.agg(F.max("row_id")).first()[0] or 0) + 1
 
 
-def sketch_and_solve(rows: DataFrame, target: str, S: int | None = None, kind: str = "CWT", seed: int = 0) -> np.ndarray:
+def sketch_and_solve(rows: DataFrame, target: str, S: int | None = None, kind: str = "CWT", seed: int = 0, stream: str = "threefry") -> np.ndarray:
     """min |S A x - S b|; row ids are the places that are sketched."""
-    sa, sb = _sketched(rows, target, sketch.create(kind, _height(rows), S or 4 * width_of(rows), seed=seed))
+    sa, sb = _sketched(rows, target, sketch.create(kind, _height(rows), S or 4 * width_of(rows), seed=seed, stream=stream))
     return np.linalg.lstsq(sa, sb, rcond=None)[0]
 
 
@@ -124,9 +125,9 @@ def lsrn(rows: DataFrame, target: str, oversample: int = 4, seed: int = 0, delta
     return krylov.chebyshev_ls(rows, target, low, high, 1e-12, m).x
 
 
-def approximate_least_squares(rows: DataFrame, target: str, seed: int = 0) -> np.ndarray:
+def approximate_least_squares(rows: DataFrame, target: str, seed: int = 0, stream: str = "threefry") -> np.ndarray:
     """Sketch-and-solve with a mixed and sampled sketch of 4 n rows."""
-    return sketch_and_solve(rows, target, kind="FJLT", seed=seed)
+    return sketch_and_solve(rows, target, kind="FJLT", seed=seed, stream=stream)
 
 
 def faster_least_squares(rows: DataFrame, target: str, seed: int = 0) -> np.ndarray:
@@ -139,3 +140,25 @@ SOLVERS = {"normal": normal_equations, "semi_normal": semi_normal, "qr": exact_q
 
 def solve(problem: Problem, method: str = "qr", **kw) -> np.ndarray:
     return SOLVERS[method](problem.rows, problem.target, **kw)
+
+
+def residual(rows: DataFrame, target: str, x: np.ndarray) -> float:
+    """|A x - b| over all rows and targets."""
+    shared = rows.sparkSession.sparkContext.broadcast(x)
+
+    def part(b):
+        t = b["t"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        return np.array([[((block(b["features"]) @ shared.value - t) ** 2).sum()]])
+
+    t = F.col(target) if dict(rows.dtypes)[target].startswith("array") else F.array(F.col(target).cast("double"))
+    return math.sqrt(reduce_blocks(rows.select("features", t.alias("t")), part, (1, 1))[0, 0])
+
+
+def compare(rows: DataFrame, target: str, methods: list[str] | None = None) -> list[tuple[str, float, float]]:
+    """(solver, seconds, residual) of every solver on the same rows."""
+    out = []
+    for name in methods or SOLVERS:
+        began = time.perf_counter()
+        x = SOLVERS[name](rows, target)
+        out.append((name, time.perf_counter() - began, residual(rows, target, x)))
+    return out

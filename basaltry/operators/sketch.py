@@ -36,19 +36,21 @@ def register(cls):
 
 @dataclass(frozen=True)
 class Sketch:
-    """N: dimension that is compressed; S: its new size; seed and counter: where its samples begin."""
+    """N: dimension that is compressed; S: its new size; seed and counter: where its samples begin; stream: the random
+    numbers' kind, 'threefry' or 'portable'."""
 
     N: int
     S: int
     seed: int = 0
     counter: int = 0
+    stream: str = field(default="threefry", kw_only=True)
 
     def to_json(self) -> str:
         return json.dumps({"object_type": "sketch", "sketch_type": type(self).__name__, "version": VERSION, **self.__dict__})
 
     @property
     def context(self) -> Context:
-        return Context(self.seed, self.counter)
+        return rng.STREAMS[self.stream](self.seed, self.counter)
 
     def matrix(self, columns: np.ndarray | None = None) -> np.ndarray:
         """W, S x N, or only some of its columns."""
@@ -56,7 +58,7 @@ class Sketch:
 
     def map_block(self, x: np.ndarray) -> np.ndarray:
         """Rows of x (n x N) to n x S."""
-        return x @ self.matrix().T
+        return x @ _whole(self).T
 
     def apply(self, rows: DataFrame, dimension: str = "columnwise") -> DataFrame:
         if dimension == "rowwise":
@@ -82,6 +84,12 @@ class Sketch:
         return self.apply(rows, "rowwise")
 
 
+@functools.lru_cache(maxsize=8)
+def _whole(t: Sketch) -> np.ndarray:
+    """W of a transform, made once in each process."""
+    return t.matrix()
+
+
 def from_json(text: str) -> Sketch:
     d = json.loads(text)
     cls = REGISTRY[d.pop("sketch_type")]
@@ -175,9 +183,15 @@ class Hashing(Sketch):
             raise ValueError("dimension is 'rowwise' or 'columnwise'")
         if (d := width_of(rows)) != self.N:
             raise ValueError(f"rows have {d} features; the transform takes {self.N}")
-        w = self.matrix()
-        shared = rows.sparkSession.sparkContext.broadcast(w)  # S x N, the size of the transform
-        return map_rows(rows, lambda x: x @ shared.value.T)
+        got = self.table(rows.sparkSession).orderBy("n").toArrow()  # two numbers for each feature of a row
+        shared = rows.sparkSession.sparkContext.broadcast((got["bucket"].to_numpy(), got["value"].to_numpy()))
+
+        def add(x: np.ndarray) -> np.ndarray:
+            out = np.zeros((self.S, len(x)))
+            np.add.at(out, shared.value[0], (x * shared.value[1]).T)
+            return out.T
+
+        return map_rows(rows, add)
 
 
 @register
@@ -300,7 +314,7 @@ class FJLT(Sketch):
     """sqrt(N / S) times S coordinates, drawn with replacement, of a mixed vector."""
 
     def _mixer(self) -> RFUT:
-        return RFUT(self.N, self.N, self.seed, self.counter)
+        return RFUT(self.N, self.N, self.seed, self.counter, stream=self.stream)
 
     def samples(self) -> np.ndarray:
         return self.context.integers(self.N, self.counter + self.N, np.arange(self.S))
@@ -323,14 +337,17 @@ class FJLT(Sketch):
 @register
 @dataclass(frozen=True)
 class UST(Sketch):
-    """Uniform sampling of S of N places, with or without replacement."""
+    """Uniform sampling of S of N places, with or without replacement.
+
+    Without replacement the sample are the places with the smallest portable words, in their order; of rows they are found as a distributed top-S.
+    """
 
     replace: bool = True
 
     def samples(self) -> np.ndarray:
         if self.replace:
             return self.context.integers(self.N, self.counter, np.arange(self.S))
-        return Context(self.seed, self.counter).permutation(self.N)[: self.S]
+        return np.argsort(rng.Portable(self.seed).words(0, np.arange(self.N)), kind="stable")[: self.S]
 
     def map_block(self, x):
         return x[:, self.samples()]
@@ -340,9 +357,18 @@ class UST(Sketch):
         w[np.arange(self.S), self.samples()] = 1.0
         return w if columns is None else w[:, columns]
 
+    def drawn(self, rows: DataFrame) -> DataFrame:
+        """(k, row_id) of the S draws."""
+        if not self.replace:
+            word = rng.word(self.seed, F.col("row_id"))
+            top = rows.select("row_id", word.alias("w")).orderBy("w", "row_id").limit(self.S)
+            return top.select((F.row_number().over(Window.orderBy("w", "row_id")) - 1).cast("long").alias("k"), "row_id")
+        return rows.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(self.samples())], "k long, row_id long")
+
     def _columnwise(self, rows):
-        drawn = rows.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(self.samples())], "k long, row_id long")
-        return rows.join(F.broadcast(drawn), "row_id").select(F.col("k").alias("row_id"), "features") if self.S <= 1_000_000 else rows.join(drawn, "row_id").select(F.col("k").alias("row_id"), "features")
+        drawn = self.drawn(rows)
+        drawn = F.broadcast(drawn) if self.S <= 1_000_000 else drawn
+        return rows.join(drawn, "row_id").select(F.col("k").alias("row_id"), "features")
 
 
 @register
@@ -355,17 +381,19 @@ class URST(UST):
 
 @register
 @dataclass(frozen=True)
-class NURST(Sketch):
-    """Sampling with given probabilities, with replacement."""
+class NURST(UST):
+    """Sampling with given probabilities (any positive scale), with replacement.  They stand in the JSON form; for
+    probabilities that are a column of many rows see weighted_sample."""
 
-    probabilities: list = field(default_factory=list)
+    probabilities: tuple = ()
+
+    def __post_init__(self):
+        object.__setattr__(self, "probabilities", tuple(self.probabilities))
 
     def samples(self) -> np.ndarray:
         edges = np.cumsum(self.probabilities) / np.sum(self.probabilities)
         return np.minimum(np.searchsorted(edges, self.context.uniform(self.counter, np.arange(self.S)), side="right"), self.N - 1)
 
-    map_block, matrix, _columnwise = UST.map_block, UST.matrix, UST._columnwise
-
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement: those with the smallest hashed keys (a distributed top-n)."""
@@ -427,7 +455,8 @@ class Features(Sketch):
         return self.context.uniform(self.counter + 4 * self.N * self.S, np.arange(self.S)) * 2 * math.pi
 
     def map_block(self, x):
-        return math.sqrt(2.0 / self.S) * np.cos(x @ self.frequencies().T + self.shifts())
+        frequencies, shifts = _waves(self)
+        return math.sqrt(2.0 / self.S) * np.cos(x @ frequencies.T + shifts)
 
     def _columnwise(self, rows):
         raise ValueError("feature maps work on rows: dimension 'rowwise'")
@@ -436,6 +465,19 @@ class Features(Sketch):
         return self.context.sample(dist, self.counter, np.arange(self.N)[None, :] * self.S + np.arange(self.S)[:, None])
 
 
+@functools.lru_cache(maxsize=64)
+def _waves(t: Features) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and shifts of a feature map, made once in each process."""
+    return t.frequencies(), t.shifts()
+
+
+def _degrees(nu: float) -> int:
+    """Degrees of freedom of a Matern map's scales."""
+    if nu <= 0 or 2 * nu != round(2 * nu):
+        raise ValueError("2 nu is a positive whole number")
+    return round(2 * nu)
+
+
 @register
 @dataclass(frozen=True)
 class GaussianRFT(Features):
@@ -461,7 +503,7 @@ class MaternRFT(Features):
     l: float = 1.0  # noqa: E741
 
     def frequencies(self):
-        chi = self.context.chi_square(round(2 * self.nu), self.counter + 2 * self.N * self.S, np.arange(self.S))
+        chi = self.context.chi_square(_degrees(self.nu), self.counter + 2 * self.N * self.S, np.arange(self.S))
         return self._draw("normal") / self.l * np.sqrt(2 * self.nu / chi)[:, None]
 
 
@@ -507,7 +549,7 @@ class ExpSemigroupRLT(Features):
         return self._draw("levy") * self.beta**2 / 2
 
     def map_block(self, x):
-        return np.exp(-(x @ self.frequencies().T)) / math.sqrt(self.S)
+        return np.exp(-(x @ _waves(self)[0].T)) / math.sqrt(self.S)
 
 
 @register
@@ -527,17 +569,20 @@ class FastGaussianRFT(Features):
     def _row_scale(self, blocks: int) -> np.ndarray:
         return np.full((blocks, self.N), 1.0 / (self.sigma * math.sqrt(self.N)))
 
-    def map_block(self, x):
+    def frequencies(self):
+        """For each block its signs, scales of the middle, permutation and scales of the outputs."""
         blocks, ctx, n = -(-self.S // self.N), self.context, self.N
         scale, out = self._row_scale(blocks), []
         for k in range(blocks):
             at = self.counter + k * 4 * n
-            b = ctx.sample("rademacher", at, np.arange(n))
-            g = ctx.sample("normal", at + n, np.arange(n))
-            p = Context(self.seed, at + 2 * n).permutation(n)
-            out.append(dct(dct(x * b)[:, p] * g) * math.sqrt(n) * math.sqrt(n) * scale[k])
-        w = np.concatenate(out, axis=1)[:, : self.S]
-        return math.sqrt(2.0 / self.S) * np.cos(w + self.shifts())
+            p = rng.STREAMS[self.stream](self.seed, at + 2 * n).permutation(n)
+            out.append((ctx.sample("rademacher", at, np.arange(n)), ctx.sample("normal", at + n, np.arange(n)), p, n * scale[k]))
+        return out
+
+    def map_block(self, x):
+        blocks, shifts = _waves(self)
+        w = np.concatenate([dct(dct(x * b)[:, p] * g) * scale for b, g, p, scale in blocks], axis=1)[:, : self.S]
+        return math.sqrt(2.0 / self.S) * np.cos(w + shifts)
 
 
 @register
@@ -547,7 +592,7 @@ class FastMaternRFT(FastGaussianRFT):
     l: float = 1.0  # noqa: E741
 
     def _row_scale(self, blocks):
-        chi = self.context.chi_square(round(2 * self.nu), self.counter + 5 * blocks * self.N, np.arange(blocks * self.N)).reshape(blocks, self.N)
+        chi = self.context.chi_square(_degrees(self.nu), self.counter + 5 * blocks * self.N, np.arange(blocks * self.N)).reshape(blocks, self.N)
         return np.sqrt(2 * self.nu / chi) / (self.l * math.sqrt(self.N))
 
 

@@ -6,12 +6,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.rng import Context
 from . import sketch
 from .krylov import NormalOperator
-from .matrix import gram, mirror, reduce_blocks, times, tsqr, width_of
+from ..sources.tables import written
+from .matrix import as_lists, from_numpy, gram, mirror, reduce_blocks, times, to_rows, tsqr, width_of
 
 
 @dataclass(frozen=True)
@@ -30,24 +33,31 @@ def _orth(a: np.ndarray) -> np.ndarray:
     return np.linalg.qr(a)[0]
 
 
-def power_iteration(rows: DataFrame, v: np.ndarray, iterations: int, orthogonalize: bool = True) -> np.ndarray:
-    """(A'A)^iterations v, one pass over the rows for each."""
+def power_iteration(rows: DataFrame, v: np.ndarray | str, iterations: int, orthogonalize: bool = True, start: str = "right", result: str = "right") -> np.ndarray | DataFrame:
+    """Power steps, one pass over the rows for each.
+
+    From the right v is a block of n-vectors, from the left the name of an array column of the rows, of which A'v is taken first.
+    The result is (A'A)^iterations v, n-vectors, or on the left A times that, a RowDF.
+    """
     normal = NormalOperator(rows)
+    if start == "left":
+        v = gram(rows.select("features", v), v)
     for _ in range(iterations):
         v = normal(_orth(v) if orthogonalize else v)
-    return v
+    return v if result == "right" else times(rows.select("row_id", "features"), v)
 
 
 def approximate_svd(rows: DataFrame, rank: int, params: SVDParams | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """U (RowDF), s, V of the leading rank triplets: a Gaussian range finder on the right, power steps, TSQR.
 
-    U carries the rows' ids.  Columns are signed so that V's largest component is positive.
+    U carries the rows' ids.  Columns are signed so that V's largest component is positive.  Wide matrices are taken as
+    they are: a row, and so all rows of a wide matrix, fit into memory; the subspace is never larger than the smaller dimension.
     """
     p, n = params or SVDParams(), width_of(rows)
     m = rows.count()
     if rank > min(m, n):
         raise ValueError("the rank exceeds the smaller dimension")
-    k = _size(rank, n, p)
+    k = _size(rank, min(m, n), p)
     rows = rows.select("row_id", "features").persist()
     try:
         omega = sketch.JLT(n, k, seed).matrix().T
@@ -97,68 +107,134 @@ def approximate_symmetric_svd(triangle: DataFrame, n: int, rank: int, params: SV
     return out * np.sign(out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])]), values[top]
 
 
+#: Numbers of a block of vectors that are held by the driver and each task; beyond it vectors are rows.
+HELD = 1 << 23
+
+
+def symmetric_svd_rows(triangle: DataFrame, n: int, rank: int, params: SVDParams | None = None, seed: int = 0, lower: bool = True) -> tuple[DataFrame, np.ndarray]:
+    """approximate_symmetric_svd with V as a RowDF.
+
+    Blocks of up to HELD numbers go to every task with the product.  Larger ones stay rows: a product is a join of the
+    entries with the rows and a grouped sum, and a basis is made by TSQR, so no task or driver holds n numbers.
+    """
+    p, spark = params or SVDParams(), triangle.sparkSession
+    k = _size(rank, n, p)
+    if n * k <= HELD:
+        v, values = approximate_symmetric_svd(triangle, n, rank, p, seed, lower)
+        return from_numpy(spark, v), values
+    full = written(mirror(triangle, lower), "symmetric")
+
+    def start(batches):
+        for b in batches:
+            i = b["id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([b["id"], as_lists(Context(seed).sample("normal", 0, i[:, None] * k + np.arange(k)))], names=["row_id", "features"])
+
+    def product(v: DataFrame) -> DataFrame:
+        parts = full.join(v.withColumnRenamed("row_id", "j"), "j").select("i", "v", F.posexplode("features").alias("at", "x"))
+        sums = parts.groupBy("i", "at").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+        return written(to_rows(sums.select("i", F.col("at").alias("j"), "v"), k), "symmetric-product")
+
+    v = product(spark.range(n).mapInArrow(start, "row_id long, features array<double>"))
+    for _ in range(p.num_iterations):
+        v = product(tsqr(v)[0])
+    q = written(tsqr(v)[0], "symmetric-basis")
+    both = q.join(product(q).withColumnRenamed("features", "image"), "row_id")
+    small = gram(both, "image")
+    values, w = np.linalg.eigh((small + small.T) / 2)
+    top = np.argsort(-values)[:rank]
+    return times(q, w[:, top]), values[top]
+
+
 @dataclass(frozen=True)
 class Condition:
+    """cond = sigma_max / sigma_min with certificates: unit vectors with A v = sigma u; lower: a lower value for sigma_min (the
+    smallest singular value of the bidiagonal matrix of the least-squares recursion)."""
+
     cond: float
     sigma_max: float
     sigma_min: float
     code: int
+    lower: float = 0.0
+    v_max: np.ndarray | None = None
+    v_min: np.ndarray | None = None
 
 
 def condest(rows: DataFrame, power_steps: int = 300, iter_lim: int = 1000, seed: int = 0, tol: float = 1e-8) -> Condition:
-    """Condition number: the largest singular value by power steps, the smallest from the least-squares error.
+    """Condition number of A by way of the triangle R of its QR factors, which has A's singular values and right singular vectors.
 
-    x is random of unit length and b = A x; iterates x_k of least squares leave errors d = x - x_k that turn
-    towards the smallest right singular vector, so |A d| / |d| certifies an upper bound for the
-    smallest value.  Codes: -1 solved exactly, -2 small residual, -3 small error, -4 ill-conditioned,
-    -6 limit.  Only products with A'A are needed, a pass each; they are formed once.
+    The largest value comes by power steps with R'R.  For the smallest, x is random of unit length and b = R x; the iterates of least
+    squares by Golub-Kahan bidiagonalisation leave errors d = x - x_k that turn towards the smallest right singular
+    vector, so |R d| / |d| certifies an upper bound for the smallest value.  R is made by orthogonal steps alone, so nothing is squared.
+    Codes: -1 solved exactly, -2 small residual, -3 small error, -4 ill-conditioned, -6 limit.
     """
     n = width_of(rows)
-    g = gram(rows.select("features"))
+    _, r = tsqr(rows.select("row_id", "features"))
     ctx = Context(seed)
     v = ctx.sample("normal", ctx.allocate(n), np.arange(n))
+    v /= np.linalg.norm(v)
     for _ in range(power_steps):
-        w = g @ v
+        w = r.T @ (r @ v)
         if not (size := np.linalg.norm(w)):
             return Condition(math.inf, 0.0, 0.0, -1)
         v, old = w / size, v
         if np.linalg.norm(v - old) < 1e-15:
             break
-    sigma_max = math.sqrt(float(v @ g @ v))
+    sigma_max = float(np.linalg.norm(r @ v))
     x = ctx.sample("normal", ctx.allocate(n), np.arange(n))
     x /= np.linalg.norm(x)
+    b = r @ x
+    size = float(np.linalg.norm(b))
+    if not size:
+        return Condition(math.inf, sigma_max, 0.0, -1, v_max=v, v_min=x)
     eps = float(np.finfo(float).eps)
-    xk, r = np.zeros(n), g @ x
-    p, rho, low, code = r.copy(), float(r @ r), math.inf, -6
-    c1, c2, c3 = 8 * eps, 1e-3, 64 / eps
-    tau = math.sqrt(2) * c2 / max(1.0, math.sqrt(n))
-    more = None
+    residual_bound, error_bound, cond_bound = 8 * eps, 1e-3, 64 / eps
+    tau = math.sqrt(2) * error_bound / max(1.0, math.sqrt(n))
+    u, xk = b / size, np.zeros(n)
+    t = r.T @ u
+    alpha = float(np.linalg.norm(t))
+    t = t / alpha if alpha else t
+    direction, phi, rho = t.copy(), size, alpha
+    alphas, betas = [alpha], []
+    low, best, code, more = math.inf, x, -6, None
     for it in range(iter_lim):
-        q = g @ p
-        pq = float(p @ q)
-        if pq <= 0:
+        u = r @ t - alpha * u
+        beta = float(np.linalg.norm(u))
+        u = u / beta if beta else u
+        t = r.T @ u - beta * t
+        alpha = float(np.linalg.norm(t))
+        t = t / alpha if alpha else t
+        turned = math.hypot(rho, beta)
+        if not turned:
             code = -1
             break
-        a = rho / pq
-        xk, r = xk + a * p, r - a * q
+        c, s_ = rho / turned, beta / turned
+        xk = xk + (c * phi / turned) * direction
+        direction = t - (s_ * alpha / turned) * direction
+        phi, rho = s_ * phi, -c * alpha
+        betas.append(beta)
+        alphas.append(alpha)
         d = x - xk
-        nd = float(np.linalg.norm(d))
-        nad = math.sqrt(max(float(d @ g @ d), 0.0))
-        if not nd:
+        error = float(np.linalg.norm(d))
+        if not error:
             code = -1
             break
-        low = min(low, nad / nd)
+        image = float(np.linalg.norm(r @ d))
+        if image / error < low:
+            low, best = image / error, d / error
         if more is None:
-            hit = -2 if nad <= c1 * sigma_max * (np.linalg.norm(xk) + 1) else -3 if nd <= tau else -4 if low and sigma_max / low >= c3 else 0
-            if hit:
-                code, more = hit, it + max(1, (it + 1) // 4)
+            small = image <= residual_bound * (sigma_max * float(np.linalg.norm(xk)) + size)
+            code = -2 if small else -3 if error <= tau else -4 if low and sigma_max / low >= cond_bound else -6
+            if code != -6:
+                more = it + max(1, (it + 1) // 4)  # a quarter more steps refine the bound
         elif it >= more:
             break
-        new = float(r @ r)
-        if not new:
+        if not beta or not alpha:
             break
-        p, rho = r + new / rho * p, new
-    return Condition(sigma_max / low if low else math.inf, sigma_max, low, code)
+    k = len(betas)
+    bidiagonal = np.zeros((k + 1, k))
+    bidiagonal[np.arange(k), np.arange(k)], bidiagonal[np.arange(1, k + 1), np.arange(k)] = alphas[:k], betas
+    lower = float(np.linalg.svd(bidiagonal, compute_uv=False)[-1]) if k else 0.0
+    return Condition(sigma_max / low if low else math.inf, sigma_max, low, code, lower, v, best)
 
 
 def chebyshev_points(n: int, a: float = -1.0, b: float = 1.0) -> np.ndarray:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import admm, coding, graph, kernels, krr, krylov, losses, matrix, regression, sketch, svd
+from ..operators import coding, graph, kernels, krylov, losses, matrix, regression, sketch, svd
 from ..sources import text_formats
+from ..sources.tables import written
 from ..streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,85 +80,147 @@ _hash_query("cauchy_hash_sketch", sketch.MMT, 32, rng.sql_cauchy("7v0", "{k}"),
 _hash_query("lp_hash_sketch", sketch.WZT, 32, _WZT.format(s=_sql_sign("{k}"), e=rng.sql_exponential("7e0", "{k}"), p=1 / 1.5), "columnwise", 3, p=1.5)
 
 
-def _dense(spark: SparkSession, seed: str, S: int, value: Callable[[str, Column], Column]) -> np.ndarray:
-    """Small dense matrix (S x D) of the portable stream, entry (s, j) being sample j * S + s."""
-    got = spark.range(D * S).select(value(seed, F.col("id"))).collect()
-    return np.array([x[0] for x in got]).reshape(D, S).T
+# Dense sketches and feature maps take the portable stream, which SQL can follow.
+P = {"stream": "portable"}
 
 
-def _dense_rowwise(name: str, seed: str, S: int, value, sql_value: str, scale: float, digits: int):
-    sql = f"WITH {X}, w AS (SELECT n // {S} AS j, n % {S} AS s, {sql_value} * {scale!r} AS w FROM range({D * S}) t(n)) SELECT i, s, round(sum(v * w), {digits}) + 0.0 AS v FROM x JOIN w USING (j) GROUP BY i, s"
+def _dense_rowwise(name: str, t: sketch.Sketch, entry: str, digits: int):
+    """Sketch by features; entry is W[s, j] in SQL."""
+    sql = f"WITH {X}, w AS (SELECT j, s, {entry} AS w FROM range({D}) a(j), range({t.S}) b(s)) SELECT i, s, round(sum(v * w), {digits}) + 0.0 AS v FROM x JOIN w USING (j) GROUP BY i, s"
 
     @query(name, sql)
     def run(spark, sf_dir):
-        w = _dense(spark, seed, S, value) * scale
-        made = matrix.times(vectors(spark, sf_dir), w.T)
-        return matrix.to_coords(made, True).select("i", F.col("j").alias("s"), r("v", digits).alias("v"))
+        return matrix.to_coords(vectors(spark, sf_dir) / t, True).select("i", F.col("j").alias("s"), r("v", digits).alias("v"))
 
 
-_dense_rowwise("jlt_rowwise", "j1", 8, rng.normal, rng.sql_normal("j1", "n"), 1 / math.sqrt(8), 6)
-_dense_rowwise("cauchy_dense_rowwise", "c1", 8, rng.cauchy, rng.sql_cauchy("c1", "n"), 1 / 8, 4)
+def _at(s: int) -> str:
+    """The stream's place of entry (s, j)."""
+    return f"(j * {s} + s)"
 
 
-@query("jlt_columnwise", f"WITH {X}, s AS (SELECT n AS s FROM range(8) t(n)) SELECT s, j, round(sum({rng.sql_normal('j2', 'i * 8 + s')} * v) / {math.sqrt(8)!r}, 5) + 0.0 AS v FROM x CROSS JOIN s GROUP BY s, j")
-def jlt_columnwise(spark, sf_dir):
-    """Entries are column expressions of (row id, s); the sums are partial before their one shuffle."""
-    rows = vectors(spark, sf_dir).select("row_id", "features", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("s"))
-    w = rows.select("s", rng.normal("j2", F.col("row_id") * 8 + F.col("s")).alias("w"), "features")
-    return w.select(F.col("s").cast("long").alias("s"), "w", F.posexplode("features").alias("j", "v")).groupBy("s", F.col("j").cast("long").alias("j")).agg(r(F.sum(F.col("w") * F.col("v")) / math.sqrt(8), 5).alias("v"))
+_dense_rowwise("jlt_rowwise", sketch.JLT(D, 8, 21, **P), f"{rng.sql_normal(21, _at(8))} / sqrt(8)", 6)
+_dense_rowwise("cauchy_dense_rowwise", sketch.CT(D, 8, 22, C=2.0, **P), f"{rng.sql_cauchy(22, _at(8))} * 2.0 / 8", 4)
+_dense_rowwise("sparse_jlt", sketch.create("SparseJLT", D, 16, seed=23, **P), f"CASE WHEN {rng.sql_uniform(23, _at(16))} < 1.0 / 6 THEN -1 WHEN {rng.sql_uniform(23, _at(16))} < 1.0 / 3 THEN 1 ELSE 0 END / sqrt(16 / 3.0)", 6)
+_MIX = f"CASE WHEN {{k}} = 0 THEN sqrt(1.0 / {{n}}) ELSE sqrt(2.0 / {{n}}) END * cos({math.pi!r} * (2 * {{j}} + 1) * {{k}} / (2.0 * {{n}}))"
+_dense_rowwise("rfut", sketch.RFUT(D, D, 24, **P), f"{rng.sql_sign(24, 'j')} * {_MIX.format(k='s', j='j', n=D)}", 6)
+_dense_rowwise("rfut_hartley", sketch.RFUT(D, D, 24, transform="dht", **P), f"{rng.sql_sign(24, 'j')} * (cos({2 * math.pi!r} * j * s / {D}) + sin({2 * math.pi!r} * j * s / {D})) / sqrt({D})", 6)
+_PICK = rng.sql_integer(25, f"({D} + s)", D)
+_dense_rowwise("fjlt_rowwise", sketch.create("FastJLT", D, 16, seed=25, **P), f"sqrt({D} / 16.0) * {rng.sql_sign(25, 'j')} * {_MIX.format(k=_PICK, j='j', n=D)}", 6)
+_dense_rowwise("nonuniform_columns", sketch.create("NonUniformSampler", D, 16, seed=26, probabilities=range(1, D + 1), **P), f"CASE WHEN j = (SELECT count(*) FROM range({D}) e(n) WHERE (n + 1) * (n + 2) / {D * (D + 1)}.0 <= {rng.sql_uniform(26, 's')}) THEN 1 ELSE 0 END", 6)
+_dense_rowwise("uniform_columns", sketch.create("UniformSampler", D, 16, seed=27, **P), f"CASE WHEN j = {rng.sql_integer(27, 's', D)} THEN 1 ELSE 0 END", 6)
 
 
-def _features(name: str, seed: str, S: int, value, sql_value: str, freq: float, form: str):
-    if form == "cos":
-        sql_z = f"sqrt(2.0 / {S}) * cos(sum(v * w) + {2 * math.pi!r} * {rng.sql_uniform(seed + 'u', 's')})"
-    else:
-        sql_z = f"exp(-sum(abs(v) * w)) / sqrt({S})"
-    sql = f"WITH {X}, w AS (SELECT n // {S} AS j, n % {S} AS s, {sql_value} * {freq!r} AS w FROM range({D * S}) t(n)) SELECT i, s, round({sql_z}, 5) + 0.0 AS z FROM x JOIN w USING (j) GROUP BY i, s"
+@query("rfut_inverse", f"WITH {X} SELECT i, j, round(v, 6) + 0.0 AS v FROM x")
+def rfut_inverse(spark, sf_dir):
+    """Mixing and back."""
+    t = sketch.RFUT(D, D, 3)
+    return matrix.to_coords(t.apply_inverse(t.apply(vectors(spark, sf_dir), "rowwise")), True).select("i", "j", r("v").alias("v"))
+
+
+@query("walsh_hadamard", f"WITH {X} SELECT i, k, round(sum(v * CASE WHEN bit_count(xor(0, j & k)) % 2 = 0 THEN 1 ELSE -1 END) / sqrt({D}), 6) + 0.0 AS v FROM x, range({D}) t(k) GROUP BY i, k")
+def walsh_hadamard(spark, sf_dir):
+    return matrix.to_coords(matrix.map_rows(vectors(spark, sf_dir), sketch.wht), True).select("i", F.col("j").alias("k"), r("v").alias("v"))
+
+
+def _columnwise(name: str, make: Callable[[int], sketch.Sketch], entry: str, S: int, digits: int):
+    """Sketch by rows; entry is W[s, i] in SQL, with n the height."""
+    sql = f"WITH {X}, h AS (SELECT max(vec_id) + 1 AS n FROM embeddings), w AS (SELECT i, s, {entry} AS w FROM (SELECT DISTINCT vec_id AS i FROM embeddings), h, range({S}) t(s)) SELECT s, j, round(sum(w * v), {digits}) + 0.0 AS v FROM x JOIN w USING (i) GROUP BY s, j"
 
     @query(name, sql)
     def run(spark, sf_dir):
-        w = _dense(spark, seed, S, value).T * freq
-        b = np.array([x[0] for x in spark.range(S).select(rng.uniform(seed + "u", F.col("id"))).collect()]) * 2 * math.pi
-        if form == "cos":
-            made = matrix.map_rows(vectors(spark, sf_dir), lambda x: math.sqrt(2 / S) * np.cos(x @ w + b))
-        else:
-            made = matrix.map_rows(vectors(spark, sf_dir), lambda x: np.exp(-(np.abs(x) @ w)) / math.sqrt(S))
-        return matrix.to_coords(made, True).select("i", F.col("j").alias("s"), r("v", 5).alias("z"))
+        x = vectors(spark, sf_dir)
+        return matrix.to_coords(make(regression._height(x)) * x, True).select(F.col("i").alias("s"), "j", r("v", digits).alias("v"))
 
 
-_features("gaussian_rff", "g1", 16, rng.normal, rng.sql_normal("g1", "n"), 1 / 1.5, "cos")
-_features("laplacian_rff", "l1", 16, rng.cauchy, rng.sql_cauchy("l1", "n"), 1 / 4.0, "cos")
-_features("expsemigroup_rlf", "e1", 16, rng.levy, rng.sql_levy("e1", "n"), 0.001, "exp")
+_columnwise("jlt_columnwise", lambda n: sketch.JLT(n, 8, 31, **P), f"{rng.sql_normal(31, '(i * 8 + s)')} / sqrt(8)", 8, 5)
+_columnwise("cauchy_dense_columnwise", lambda n: sketch.CT(n, 8, 32, **P), f"{rng.sql_cauchy(32, '(i * 8 + s)')} / 8", 8, 3)
+_ROW = rng.sql_integer(33, "(n + s)", "n")
+_columnwise("fjlt_columnwise", lambda n: sketch.FJLT(n, 32, 33, **P), f"sqrt(n / 32.0) * {rng.sql_sign(33, 'i')} * {_MIX.format(k=_ROW, j='i', n='n')}", 32, 5)
 
 
-def _mapped(name: str, make: Callable[[], sketch.Sketch], absolute: bool = False):
-    """A feature map without an SQL form: its mean and mean square for each output, over all rows."""
+def _features(name: str, t: sketch.Features, entry: str, form: str = "cos", tables: str = "", shift: str | None = None, digits: int = 5):
+    """A feature map; entry is W[s, j] in SQL."""
+    shift = shift or f"{2 * math.pi!r} * {rng.sql_uniform(t.seed, f'({4 * D * t.S} + s)')}"
+    z = f"sqrt(2.0 / {t.S}) * cos(sum(v * w) + any_value(b))" if form == "cos" else f"exp(-sum(abs(v) * w)) / sqrt({t.S})"
+    sql = f"WITH {X}{tables}, w AS (SELECT j, s, {entry} AS w, {shift} AS b FROM range({D}) a(j), range({t.S}) c(s)) SELECT i, s, round({z}, {digits}) + 0.0 AS z FROM x JOIN w USING (j) GROUP BY i, s"
 
-    @query(name)
+    @query(name, sql)
     def run(spark, sf_dir):
         x = vectors(spark, sf_dir)
-        x = x.withColumn("features", F.transform("features", F.abs)) if absolute else x
-        z = matrix.to_coords(make().apply(x, "rowwise"), True)
-        return z.groupBy("j").agg(r(F.avg("v"), 5).alias("mean"), r(F.avg(F.col("v") * F.col("v")), 5).alias("mean_square"))
-
-
-_mapped("matern_rff", lambda: sketch.MaternRFT(D, 32, 3, nu=1.5, l=1.0))
-_mapped("fastfood", lambda: sketch.FastGaussianRFT(D, 128, 3, sigma=1.0))
-_mapped("fast_matern", lambda: sketch.FastMaternRFT(D, 128, 3, nu=1.5, l=1.0))
-_mapped("gaussian_qrff", lambda: sketch.GaussianQRFT(D, 32, 3, sigma=1.0))
-_mapped("laplacian_qrff", lambda: sketch.LaplacianQRFT(D, 32, 3, sigma=4.0))
-_mapped("expsemigroup_rlt", lambda: sketch.ExpSemigroupRLT(D, 32, 3, beta=0.05), True)
-_mapped("expsemigroup_qrlt", lambda: sketch.ExpSemigroupQRLT(D, 32, 3, beta=0.05), True)
-_mapped("tensorsketch", lambda: sketch.PPT(D, 64, 3, q=2, gamma=1.0, c=1.0))
-_mapped("fjlt_rowwise", lambda: sketch.FJLT(D, 16, 3))
-_mapped("sparse_jlt", lambda: sketch.SJLT(D, 16, 3))
-_mapped("rfut", lambda: sketch.RFUT(D, D, 3))
-
-
-@query("fjlt_columnwise")
-def fjlt_columnwise(spark, sf_dir):
-    x = vectors(spark, sf_dir)
-    return matrix.to_coords(sketch.FJLT(regression._height(x), 32, 3).apply(x, "columnwise"), True).select("i", "j", r("v", 5).alias("v"))
+        x = x if form == "cos" else x.withColumn("features", F.transform("features", F.abs))
+        return matrix.to_coords(t.apply(x, "rowwise"), True).select("i", F.col("j").alias("s"), r("v", digits).alias("z"))
+
+
+_features("gaussian_rff", sketch.create("RRT", D, 16, seed=41, sigma=1.5, **P), f"{rng.sql_normal(41, _at(16))} / 1.5")
+_features("laplacian_rff", sketch.LaplacianRFT(D, 16, 42, sigma=4.0, **P), f"{rng.sql_cauchy(42, _at(16))} / 4.0")
+_features("expsemigroup_rlf", sketch.ExpSemigroupRLT(D, 16, 43, beta=0.05, **P), f"{rng.sql_levy(43, _at(16))} * {0.05**2 / 2!r}", "exp")
+_features("matern_rff", sketch.MaternRFT(D, 16, 44, nu=1.5, l=1.0, **P), f"{rng.sql_normal(44, _at(16))} * sqrt(3.0 / {rng.sql_chi_square(44, 3, f'({2 * D * 16} + s * 3)')})")
+
+# leaped Halton points: coordinate d of point s is the radical inverse of n = s * leap + 1 in the prime of d
+_LEAP = rng.primes(D + 2)[-1]
+_HALTON = f"""primes(d, p) AS (VALUES {', '.join(f'({d}, {p})' for d, p in enumerate(rng.primes(D + 1)))}),
+halton AS (SELECT s, d, sum((CAST(floor((s * {_LEAP} + 1) / pow(p, k)) AS BIGINT) % p) / pow(p, k + 1)) AS u FROM range({{S}}) a(s), primes, range(16) b(k) WHERE pow(p, k) <= s * {_LEAP} + 1 GROUP BY s, d)"""
+
+
+@query("halton_points", f"WITH {_HALTON.format(S=64)} SELECT s, CAST(d AS BIGINT) AS d, round(u, 9) AS u FROM halton")
+def halton_points(spark, sf_dir):
+    points = matrix.from_numpy(spark, rng.halton(np.arange(64), D + 1))
+    return matrix.to_coords(points, True).select(F.col("i").alias("s"), F.col("j").alias("d"), F.round("v", 9).alias("u"))
+
+
+_features("laplacian_qrff", sketch.LaplacianQRFT(D, 16, 3, sigma=4.0), f"(SELECT tan({math.pi!r} * (u - 0.5)) / 4.0 FROM halton h WHERE h.s = c.s AND h.d = a.j)", tables=f", {_HALTON.format(S=16)}", shift=f"(SELECT {2 * math.pi!r} * u FROM halton h WHERE h.s = c.s AND h.d = {D})")
+
+
+def _fastfood(name: str, t: sketch.FastGaussianRFT, scale: str):
+    """Blocks of scale H G P H B x, each H an orthonormal cosine transform times sqrt(N)."""
+    n, blocks, s = D, t.S // D, t.seed
+    sql = f"""WITH {X}, h AS (SELECT k, j, {_MIX.format(k='k', j='j', n=n)} AS h FROM range({n}) a(k), range({n}) b(j)),
+g AS (SELECT b, j, {rng.sql_sign(s, f'(b * {4 * n} + j)')} AS sign, {rng.sql_normal(s, f'(b * {4 * n} + {n} + j)')} AS g, {rng.sql_word(s, f'(b * {4 * n} + {2 * n} + j)')} AS word FROM range({blocks}) c(b), range({n}) d(j)),
+p AS (SELECT b, j AS taken, row_number() OVER (PARTITION BY b ORDER BY word, j) - 1 AS place FROM g),
+first AS (SELECT x.i, g.b, h.k, sum(h.h * x.v * g.sign) AS y FROM x JOIN g ON g.j = x.j JOIN h ON h.j = x.j GROUP BY x.i, g.b, h.k),
+middle AS (SELECT f.i, f.b, p.place, f.y * g.g AS y FROM first f JOIN p ON p.b = f.b AND p.taken = f.k JOIN g ON g.b = p.b AND g.j = p.place),
+last AS (SELECT m.i, m.b * {n} + h.k AS s, sum(h.h * m.y) * {n} AS y FROM middle m JOIN h ON h.j = m.place GROUP BY m.i, m.b, h.k)
+SELECT i, s, round(sqrt(2.0 / {t.S}) * cos(y * {scale} + {2 * math.pi!r} * {rng.sql_uniform(s, f'({4 * n * t.S} + s)')}), 5) + 0.0 AS z FROM last"""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return matrix.to_coords(t.apply(vectors(spark, sf_dir), "rowwise"), True).select("i", F.col("j").alias("s"), r("v", 5).alias("z"))
+
+
+_fastfood("fastfood", sketch.create("Fastfood", D, 2 * D, seed=51, sigma=1.0, **P), f"(1.0 / sqrt({D}))")
+_fastfood("fast_matern", sketch.create("MaternFastfood", D, 2 * D, seed=52, nu=1.5, l=1.0, **P), f"(sqrt(3.0 / {rng.sql_chi_square(52, 3, f'({10 * D} + s * 3)')}) / sqrt({D}))")
+
+
+@query("tensorsketch", f"""WITH {X}, y AS (SELECT i, CAST(j AS BIGINT) AS j, v * sqrt(0.5) AS v FROM x UNION ALL SELECT DISTINCT vec_id, {D}, sqrt(2.0) FROM embeddings),
+t AS (SELECT q, i, {rng.sql_integer(53, f'(q * {2 * D + 2} + j)', 32)} AS b, v * {rng.sql_sign(53, f'(q * {2 * D + 2} + {D + 1} + j)')} AS v FROM y, range(2) a(q))
+SELECT a.i, (a.b + c.b) % 32 AS s, round(sum(a.v * c.v), 5) + 0.0 AS z FROM t a JOIN t c ON a.i = c.i WHERE a.q = 0 AND c.q = 1 GROUP BY a.i, (a.b + c.b) % 32""")
+def tensorsketch(spark, sf_dir):
+    """Terms of (x, sqrt c) with itself, hashed by the sum of two buckets."""
+    t = sketch.create("TensorSketch", D, 32, seed=53, q=2, gamma=0.5, c=2.0, **P)
+    z = matrix.to_coords(t.apply(vectors(spark, sf_dir), "rowwise"), True)
+    return z.select("i", F.col("j").alias("s"), r("v", 5).alias("z"))
+
+
+def _quantiles(t: sketch.Sketch, value: Callable[[float], float]) -> str:
+    """Frequencies by quantiles of the Halton points, which SQL lacks: from the standard library's normal distribution."""
+    points = np.clip(rng.halton(np.arange(t.S), D + 1), 1e-12, 1 - 1e-12)
+    rows = ", ".join(f"({s}, {j}, {value(float(points[s, j]))!r})" for s in range(t.S) for j in range(D))
+    return f", {_HALTON.format(S=t.S)}, quantile(s, d, w) AS (VALUES {rows})"
+
+
+_INVERSE = NormalDist().inv_cdf
+_FROM_QUANTILES = {"shift": f"(SELECT {2 * math.pi!r} * u FROM halton h WHERE h.s = c.s AND h.d = {D})"}
+_NORMAL, _LEVY = sketch.GaussianQRFT(D, 16, 3, sigma=2.0), sketch.ExpSemigroupQRLT(D, 16, 3, beta=0.05)
+_features("gaussian_qrff", _NORMAL, "(SELECT w FROM quantile z WHERE z.s = c.s AND z.d = a.j)", tables=_quantiles(_NORMAL, lambda u: _INVERSE(u) / 2.0), **_FROM_QUANTILES)
+_features("expsemigroup_qrlt", _LEVY, "(SELECT w FROM quantile z WHERE z.s = c.s AND z.d = a.j)", "exp", tables=_quantiles(_LEVY, lambda u: 0.05**2 / 2 / _INVERSE(1 - u / 2) ** 2), **_FROM_QUANTILES)
+
+
+@query("countsketch_dense_rowwise", ORACLE_SQL["countsketch_rowwise"])
+def countsketch_dense_rowwise(spark, sf_dir):
+    """The rowwise count sketch of rows that are arrays."""
+    made = sketch.create("CountSketch", D, 16, seed=7).apply(vectors(spark, sf_dir), "rowwise")
+    used = spark.range(D).select(sketch.CWT(D, 16, 7).bucket(F.col("id")).alias("bucket")).distinct()
+    return matrix.to_coords(made, True).select("i", F.col("j").alias("bucket"), r("v").alias("v")).join(used, "bucket").select("i", "bucket", "v")
 
 
 @query("sketch_json", f"WITH {X} SELECT bucket, j, round(sum(v), 6) + 0.0 AS v FROM (SELECT {rng.sql_bucket('11h0', 'i', 24)} AS bucket, j, {rng.sql_sign('11v0', 'i')} * v AS v FROM x) GROUP BY bucket, j")
@@ -169,8 +233,15 @@ def sketch_json(spark, sf_dir):
 # -- sampling -----------------------------------------------------------------------------------------------
 
 
-@query("uniform_sample_noreplace", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {rng.sql_word(5, 'o_orderkey')}, o_orderkey LIMIT 100")
+@query("uniform_sample_noreplace", f"SELECT row_number() OVER (ORDER BY w, vec_id) - 1 AS k, vec_id, label FROM (SELECT vec_id, label, {rng.sql_word(5, 'vec_id')} AS w FROM embeddings) ORDER BY w, vec_id LIMIT 100")
 def uniform_sample_noreplace(spark, sf_dir):
+    x = labelled(spark, sf_dir)
+    drawn = sketch.URST(regression._height(x), 100, 5).drawn(x)
+    return x.join(drawn, "row_id").select("k", F.col("row_id").alias("vec_id"), "label")
+
+
+@query("uniform_rows", f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {rng.sql_word(5, 'o_orderkey')}, o_orderkey LIMIT 100")
+def uniform_rows(spark, sf_dir):
     return sketch.sample_rows(table(spark, sf_dir, "orders"), "o_orderkey", 100, 5).select("o_orderkey", "o_totalprice")
 
 
@@ -183,11 +254,11 @@ def weighted_sample(spark, sf_dir):
     return sketch.weighted_sample(table(spark, sf_dir, "customer"), "c_custkey", "c_acctbal", 200, 9)
 
 
-@query("uniform_sample_replace")
+@query("uniform_sample_replace", f"WITH {X}, h AS (SELECT max(vec_id) + 1 AS n FROM embeddings), d AS (SELECT s, {rng.sql_integer(5, 's', 'n')} AS i FROM range(64) t(s), h) SELECT s, j, round(v, 5) + 0.0 AS v FROM d JOIN x USING (i)")
 def uniform_sample_replace(spark, sf_dir):
     x = vectors(spark, sf_dir)
-    t = sketch.UST(regression._height(x), 64, 5)
-    return matrix.to_coords(t.apply(x, "columnwise"), True).groupBy("i").agg(r(F.sum("v"), 5).alias("total"))
+    t = sketch.UST(regression._height(x), 64, 5, **P)
+    return matrix.to_coords(t.apply(x, "columnwise"), True).select(F.col("i").alias("s"), "j", r("v", 5).alias("v"))
 
 
 # -- distances and kernels ------------------------------------------------------------------------------
@@ -238,6 +309,9 @@ query("gemm_scaled", f"WITH {A}, {B}, g AS (SELECT b.j AS i, a.j, -sum(a.v * b.v
     lambda s, d: matrix.gemm(_b(s, d), _a(s, d), -1.0, 1.5, _a(s, d).groupBy(F.col("j").alias("i"), "j").agg(F.sum("v").alias("v")), trans_a=True).select("i", "j", r("v", 2).alias("v"))
 )
 query("gemv", f"WITH {A} SELECT i, round(sum(v / (1 + j)), 4) AS v FROM a GROUP BY i")(lambda s, d: matrix.gemv(_a(s, d), _a(s, d).select("j").distinct().select(F.col("j").alias("i"), (1.0 / (1 + F.col("j"))).alias("v"))).select("i", F.round("v", 4).alias("v")))
+query("gemv_scaled", f"WITH {A}, t AS (SELECT i, -2.0 * v / (1 + j) AS v FROM a UNION ALL SELECT i, 0.5 * i FROM (SELECT DISTINCT i FROM a)) SELECT i, round(sum(v), 4) + 0.0 AS v FROM t GROUP BY i")(
+    lambda s, d: matrix.gemv(_a(s, d), _a(s, d).select("j").distinct().select(F.col("j").alias("i"), (1.0 / (1 + F.col("j"))).alias("v")), -2.0, False, 0.5, _a(s, d).select("i", F.col("i").cast("double").alias("v")).distinct()).select("i", r("v", 4).alias("v"))
+)
 query("symm", f"WITH {A}, {B}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM a JOIN a b USING (i) GROUP BY ALL), t AS (SELECT * FROM g WHERE i >= j UNION ALL SELECT j, i, v FROM g WHERE i > j) SELECT t.i, round(sum(t.v * t.j), 2) AS v FROM t GROUP BY t.i")(
     lambda s, d: matrix.symm(matrix.gemm(_a(s, d), _a(s, d), trans_a=True), _a(s, d).select("j").distinct().select(F.col("j").alias("i"), F.lit(0).cast("long").alias("j"), F.col("j").cast("double").alias("v"))).select("i", F.round("v", 2).alias("v"))
 )
@@ -256,11 +330,12 @@ def gemm_ata(spark, sf_dir):
     return matrix.to_coords(matrix.from_numpy(spark, g), True).select("i", "j", r("v", 5).alias("v"))
 
 
-@query("tsqr", f"WITH {X} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j")
+@query("tsqr", f"WITH {X} SELECT 'QR' AS what, i, j, round(v, 6) + 0.0 AS v FROM x UNION ALL SELECT 'Q''Q', a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END FROM range({D}) t(a), range({D}) u(b)")
 def tsqr(spark, sf_dir):
-    """R'R of the QR factors, which is A'A."""
-    _, t = matrix.tsqr(vectors(spark, sf_dir))
-    return matrix.to_coords(matrix.from_numpy(spark, t.T @ t), True).select("i", "j", r("v", 5).alias("v"))
+    """Q R is A, and Q'Q the identity."""
+    q, t = matrix.tsqr(vectors(spark, sf_dir))
+    back, square = matrix.times(q, t), matrix.from_numpy(spark, matrix.gram(q.select("features")))
+    return matrix.to_coords(back, True).withColumn("what", F.lit("QR")).unionByName(matrix.to_coords(square, True).withColumn("what", F.lit("Q'Q"))).select("what", "i", "j", r("v", 6).alias("v"))
 
 
 # -- least squares -----------------------------------------------------------------------------------------
@@ -287,30 +362,101 @@ for _method in ("normal", "semi_normal", "qr", "svd", "lsqr", "blendenpik", "lsr
 
 @query("ols_chebyshev", OLS)
 def ols_chebyshev(spark, sf_dir):
-    rows = _orders(spark, sf_dir).persist()
-    g = matrix.gram(rows.select("features"))
-    scale = np.linalg.inv(np.linalg.cholesky(g)).T  # an exact preconditioner: all singular values are 1
-    return _coefficients(spark, krylov.chebyshev_ls(rows, "y", 0.99, 1.01, 1e-12, scale).x)
+    rows = _orders(spark, sf_dir)
+    some = matrix.gram(rows.where("row_id % 4 = 0").select("features")) * 4  # of a quarter of the rows: near, not exact
+    scale = np.linalg.inv(np.linalg.cholesky(some)).T
+    spread = np.sqrt(np.linalg.eigvalsh(scale.T @ matrix.gram(rows.select("features")) @ scale))
+    return _coefficients(spark, krylov.chebyshev_ls(rows, "y", 0.99 * spread[0], 1.01 * spread[-1], 1e-12, scale).x)
 
 
 @query("ols_cg", OLS)
 def ols_cg(spark, sf_dir):
-    rows = _orders(spark, sf_dir).persist()
+    rows = _orders(spark, sf_dir)
     b = matrix.gram(rows, "y")
-    scale = 1 / np.diag(matrix.gram(rows.select("features")))
-    return _coefficients(spark, krylov.cg(krylov.NormalOperator(rows), b, krylov.Params(1e-13, 60), lambda v: scale[:, None] * v).x)
+    scale = np.diag(1 / np.diag(matrix.gram(rows.select("features"))))
+    return _coefficients(spark, krylov.cg(krylov.NormalOperator(rows), b, krylov.Params(1e-13, 60), krylov.dense_preconditioner(scale)).x)
 
 
 @query("ols_flexible_cg", OLS)
 def ols_flexible_cg(spark, sf_dir):
+    """Products are passes over the rows; the preconditioner is that of a sketch, and changes with every step."""
+    rows = _orders(spark, sf_dir)
+    b = matrix.gram(rows.select("features", "y"), "y")
+    near = matrix.gram(rows.where("row_id % 4 = 0").select("features")) * 4
+    sweep = lambda v: krylov.block_gauss_seidel(near, v, 3, int(abs(v).sum()) % 97, 0.0).x
+    return _coefficients(spark, krylov.flexible_cg(krylov.NormalOperator(rows), b, krylov.Params(1e-13, 60), sweep).x)
+
+
+@query("ols_async_cg", OLS)
+def ols_async_cg(spark, sf_dir):
     rows = _orders(spark, sf_dir)
     g, b = matrix.gram(rows.select("features")), matrix.gram(rows.select("features", "y"), "y")
     return _coefficients(spark, krylov.async_fcg(g, b, krylov.Params(1e-14, 200)).x)
 
 
-@query("sketch_and_solve")
+@query("ols_gauss_seidel", OLS)
+def ols_gauss_seidel(spark, sf_dir):
+    """Coordinate steps on the normal equations, columns scaled to unit length."""
+    rows = _orders(spark, sf_dir)
+    g, b = matrix.gram(rows.select("features")), matrix.gram(rows.select("features", "y"), "y")
+    scale = 1 / np.sqrt(np.diag(g))
+    return _coefficients(spark, scale[:, None] * krylov.block_gauss_seidel(g * scale * scale[:, None], scale[:, None] * b, 5000, 3, 1e-13).x)
+
+
+query("ols_blendenpik_mixed", OLS)(lambda s, d: _coefficients(s, regression.blendenpik(_orders(s, d), "y", "FJLT")))
+query("faster_least_squares", OLS)(lambda s, d: _coefficients(s, regression.faster_least_squares(_orders(s, d), "y")))
+
+# a, b, c: the columns of three unknowns in a table of sketched rows (a0, a1, a2, y); by Cramer's rule
+_SOLVE = """m AS (SELECT sum(a0 * a0) a, sum(a0 * a1) b, sum(a0 * a2) c, sum(a1 * a1) d, sum(a1 * a2) e, sum(a2 * a2) f, sum(a0 * y) p, sum(a1 * y) q, sum(a2 * y) s FROM sketched),
+o AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM m)
+SELECT CAST(0 AS BIGINT) AS place, round((p * (d * f - e * e) - b * (q * f - e * s) + c * (q * e - d * s)) / det, 3) + 0.0 AS coefficient FROM o
+UNION ALL SELECT 1, round((a * (q * f - e * s) - p * (b * f - c * e) + c * (b * s - c * q)) / det, 3) + 0.0 FROM o
+UNION ALL SELECT 2, round((a * (d * s - e * q) - b * (b * s - c * q) + p * (b * e - c * d)) / det, 3) + 0.0 FROM o"""
+_RAW = "raw AS (SELECT o_orderkey AS i, 1.0 AS a0, o_custkey / 100.0 AS a1, CAST(month(o_orderdate) AS DOUBLE) AS a2, o_totalprice / 1000 AS y FROM orders)"
+
+
+def _rough(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(x[:, 0])], "place long, coefficient double").select("place", r("coefficient", 3).alias("coefficient"))
+
+
+@query("sketch_and_solve", f"WITH {_RAW}, sketched AS (SELECT sum(s * a0) a0, sum(s * a1) a1, sum(s * a2) a2, sum(s * y) y FROM (SELECT *, {rng.sql_bucket('3h0', 'i', 400)} AS bucket, {rng.sql_sign('3v0', 'i')} AS s FROM raw) GROUP BY bucket), {_SOLVE}")
 def sketch_and_solve(spark, sf_dir):
-    return _coefficients(spark, regression.sketch_and_solve(_orders(spark, sf_dir), "y", 400, "CWT", 3))
+    return _rough(spark, regression.sketch_and_solve(_orders(spark, sf_dir), "y", 400, "CWT", 3))
+
+
+@query("approximate_least_squares", f"WITH {_RAW}, h AS (SELECT max(i) + 1 AS n FROM raw), k AS (SELECT s, {rng.sql_integer(3, '(n + s)', 'n')} AS k, n FROM range(12) t(s), h), sketched AS (SELECT sum(w * a0) a0, sum(w * a1) a1, sum(w * a2) a2, sum(w * y) y FROM (SELECT raw.*, k.s AS row, {rng.sql_sign(3, 'i')} * {_MIX.format(k='k.k', j='i', n='k.n')} AS w FROM raw, k) GROUP BY row), {_SOLVE}")
+def approximate_least_squares(spark, sf_dir):
+    """A mixed and sampled sketch of four rows for each feature."""
+    return _rough(spark, regression.approximate_least_squares(_orders(spark, sf_dir), "y", 3, stream="portable"))
+
+
+_BACK = f"WITH {X} SELECT i, j, round(v, 4) + 0.0 AS v FROM x"
+_SQUARE = f"WITH {X} SELECT CAST(a.j AS BIGINT) AS i, CAST(b.j AS BIGINT) AS j, round(sum(a.v * b.v), 3) + 0.0 AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j"
+
+
+@query("approximate_svd", _BACK)
+def approximate_svd(spark, sf_dir):
+    """U S V' at full rank is A again."""
+    u, s, v = svd.approximate_svd(vectors(spark, sf_dir), D, svd.SVDParams(num_iterations=1))
+    return matrix.to_coords(matrix.times(u, (v * s).T), True).select("i", "j", r("v", 4).alias("v"))
+
+
+@query("approximate_svd_wide", f"WITH {X} SELECT i, j, round(v, 4) + 0.0 AS v FROM x WHERE i < 40")
+def approximate_svd_wide(spark, sf_dir):
+    """A matrix with fewer rows (40) than columns."""
+    u, s, v = svd.approximate_svd(vectors(spark, sf_dir).where("row_id < 40"), 40, svd.SVDParams(num_iterations=1))
+    return matrix.to_coords(matrix.times(u, (v * s).T), True).select("i", "j", r("v", 4).alias("v"))
+
+
+def _square(spark, sf_dir) -> DataFrame:
+    return matrix.to_coords(matrix.from_numpy(spark, matrix.gram(vectors(spark, sf_dir))), True)
+
+
+@query("symmetric_svd", _SQUARE)
+def symmetric_svd(spark, sf_dir):
+    """V L V' at full rank is the matrix again."""
+    v, values = svd.approximate_symmetric_svd(_square(spark, sf_dir), D, D, svd.SVDParams(num_iterations=1))
+    return matrix.to_coords(matrix.from_numpy(spark, v * values @ v.T), True).select("i", "j", r("v", 3).alias("v"))
 
 
 @query("svd_energy", f"WITH {X} SELECT CAST({D} AS INT) AS rank, round(sum(v * v), 4) AS energy FROM x")
@@ -320,23 +466,51 @@ def svd_energy(spark, sf_dir):
     return spark.createDataFrame([(D, float((s**2).sum()))], "rank int, energy double").select("rank", F.round("energy", 4).alias("energy"))
 
 
-@query("approximate_svd")
-def approximate_svd(spark, sf_dir):
-    _, s, _ = svd.approximate_svd(vectors(spark, sf_dir), 6, svd.SVDParams(num_iterations=4))
-    return spark.createDataFrame([(i, round(float(x), 3)) for i, x in enumerate(s)], "place int, sigma double")
+_POWER = f"""WITH {X}, v0 AS (SELECT CAST(j AS BIGINT) AS j, 1.0 / (1 + j) AS y FROM range({D}) t(j)),
+u1 AS (SELECT i, sum(v * y) AS y FROM x JOIN v0 USING (j) GROUP BY i), v1 AS (SELECT j, sum(v * y) AS y FROM x JOIN u1 USING (i) GROUP BY j),
+u2 AS (SELECT i, sum(v * y) AS y FROM x JOIN v1 USING (j) GROUP BY i), v2 AS (SELECT j, sum(v * y) AS y FROM x JOIN u2 USING (i) GROUP BY j),
+u3 AS (SELECT i, sum(v * y) AS y FROM x JOIN v2 USING (j) GROUP BY i)
+"""
 
 
-@query("symmetric_svd")
-def symmetric_svd(spark, sf_dir):
-    g = matrix.to_coords(matrix.from_numpy(spark, matrix.gram(vectors(spark, sf_dir))), True)
-    _, values = svd.approximate_symmetric_svd(g, D, 6, svd.SVDParams(num_iterations=10))
-    return spark.createDataFrame([(i, round(float(x), 3)) for i, x in enumerate(values)], "place int, eigenvalue double")
+@query("power_iteration", f"{_POWER} SELECT CAST(j AS BIGINT) AS place, round(y, 2) AS y FROM v2")
+def power_iteration(spark, sf_dir):
+    v = svd.power_iteration(vectors(spark, sf_dir), 1.0 / (1 + np.arange(D))[:, None], 2, False)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v[:, 0])], "place long, y double").select("place", F.round("y", 2).alias("y"))
+
+
+@query("power_iteration_left", f"{_POWER} SELECT i, round(y, 2) AS y FROM u3")
+def power_iteration_left(spark, sf_dir):
+    """From the left to the left: A (A'A) A'u with u = A v."""
+    x = vectors(spark, sf_dir)
+    start = matrix.times(x, 1.0 / (1 + np.arange(D))[:, None]).select("row_id", F.col("features").alias("u"))
+    y = svd.power_iteration(x.join(start, "row_id"), "u", 1, False, "left", "left")
+    return y.select(F.col("row_id").alias("i"), F.round(F.col("features")[0], 2).alias("y"))
+
+
+@query("symmetric_power", f"WITH {X}, g AS (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (i) GROUP BY ALL), u AS (SELECT i, sum(v / (1 + j)) AS y FROM g GROUP BY i) SELECT CAST(g.i AS BIGINT) AS place, round(sum(g.v * u.y), 2) AS y FROM g JOIN u ON g.j = u.i GROUP BY g.i")
+def symmetric_power(spark, sf_dir):
+    product = svd.symmetric_product(_square(spark, sf_dir), D)
+    v = product(product(1.0 / (1 + np.arange(D))[:, None]))
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(v[:, 0])], "place long, y double").select("place", F.round("y", 2).alias("y"))
 
 
-@query("condest")
+@query("condest", """WITH m AS (SELECT sum(a * a) p, sum(a * b) q, sum(b * b) s FROM (SELECT 1.0 AS a, l_quantity / 10 AS b FROM lineitem)),
+e AS (SELECT (p + s) / 2 + sqrt((p - s) * (p - s) / 4 + q * q) AS high, (p + s) / 2 - sqrt((p - s) * (p - s) / 4 + q * q) AS low FROM m)
+SELECT round(sqrt(high), 0) AS sigma_max, round(sqrt(low), 0) AS sigma_min, round(sqrt(high / low), 1) AS cond FROM e""")
 def condest(spark, sf_dir):
-    c = svd.condest(vectors(spark, sf_dir))
-    return spark.createDataFrame([(float(c.sigma_max), float(c.sigma_min), float(c.cond), c.code)], "sigma_max double, sigma_min double, cond double, code int")
+    """Two columns, whose singular values SQL can tell."""
+    rows = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("row_id"), F.array(F.lit(1.0), F.col("l_quantity") / 10).alias("features"))
+    c = svd.condest(rows)
+    return spark.createDataFrame([(float(c.sigma_max), float(c.sigma_min), float(c.cond))], "sigma_max double, sigma_min double, cond double").select(F.round("sigma_max", 0).alias("sigma_max"), F.round("sigma_min", 0).alias("sigma_min"), F.round("cond", 1).alias("cond"))
+
+
+@query("chebyshev_matrix", f"""WITH p AS (SELECT i, cos({math.pi!r} * i / 11) AS x, CASE WHEN i IN (0, 11) THEN 2.0 ELSE 1.0 END * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END AS c FROM range(12) t(i)),
+d AS (SELECT a.i, b.i AS j, a.c / b.c / (a.x - b.x) * 2 / 5 AS v FROM p a JOIN p b ON a.i <> b.i)
+SELECT i, j, round(v, 6) + 0.0 AS v FROM d UNION ALL SELECT i, i, round(-sum(v), 6) + 0.0 FROM d GROUP BY i""")
+def chebyshev_matrix(spark, sf_dir):
+    """The differentiation matrix on 12 Chebyshev points of [0, 5]."""
+    return matrix.to_coords(matrix.from_numpy(spark, svd.chebyshev_diff(12, 0.0, 5.0)), True).select("i", "j", r("v").alias("v"))
 
 
 # -- losses, regularizers, coding -----------------------------------------------------------------------
@@ -359,7 +533,10 @@ for _name, _sql in {"squared": "(o + 0.7 * t) / 1.7", "lad": "t + sign(o - t) *
         made = matrix.map_rows(rows, lambda x, t: losses.LOSSES[m]().prox(x, 0.7, t), "t")
         return made.select(F.col("row_id").alias("doc_id"), r(F.col("features")[0], 5).alias("prox"))
 
-    query(f"prox_{_name}", f"WITH {Q} SELECT doc_id, round({_sql}, 5) + 0.0 AS prox FROM q" if _sql else None)(_prox)
+    _newton = f"""WITH RECURSIVE {Q}, n(k, doc_id, x, t, o) AS (SELECT 0, doc_id, o, t, o FROM q
+UNION ALL SELECT k + 1, doc_id, x, t, o - (-t / (1 + exp(o * t)) + (o - x) / 0.7) / ((1 / (1 + exp(o * t))) * (1 - 1 / (1 + exp(o * t))) + 1 / 0.7) FROM n WHERE k < 40)
+SELECT doc_id, round(o, 5) + 0.0 AS prox FROM n WHERE k = 40"""
+    query(f"prox_{_name}", f"WITH {Q} SELECT doc_id, round({_sql}, 5) + 0.0 AS prox FROM q" if _sql else _newton)(_prox)
 
 for _name, _value, _sql in (("l1", "sum(abs(v))", "sign(v) * greatest(abs(v) - 0.05, 0)"), ("l2", "0.5 * sum(v * v)", "v / 1.05")):
 
@@ -392,36 +569,6 @@ def num_targets(spark, sf_dir):
 query("accuracy", f"WITH {Q} SELECT count(*) AS n, round(100.0 * avg(CASE WHEN sign(o) = t THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM q")(lambda s, d: coding.accuracy(_outputs(s, d).withColumn("p", F.signum("o")), "p", "t").select("n", F.round("accuracy", 6).alias("accuracy")))
 query("relative_error", f"WITH {Q} SELECT count(*) AS n, round(sqrt(sum((o - t) * (o - t)) / sum(t * t)), 6) AS relative_error FROM q")(lambda s, d: coding.relative_error(_outputs(s, d), "o", "t").select("n", F.round("relative_error", 6).alias("relative_error")))
 
-# -- kernel machines ------------------------------------------------------------------------------------
-
-
-def _accuracy(spark, sf_dir, model) -> DataFrame:
-    return coding.accuracy(model.predict(labelled(spark, sf_dir)), "prediction", "label").select("n", F.round("accuracy", 2).alias("accuracy"))
-
-
-_K = kernels.Gaussian(D, 1.0)
-for _method, _kw in {"exact": {}, "approximate": {"s": 200}, "sketched": {"s": 128}, "faster": {"s": 200}, "large": {"s": 128, "params": krr.KRRParams(1e-1, 3)}}.items():
-    query(f"rlsc_{_method}")(lambda s, d, m=_method, kw=_kw: _accuracy(s, d, krr.rlsc(labelled(s, d), "label", _K, 0.1, m, **kw)))
-
-
-@query("krr_exact")
-def krr_exact(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumn("y", F.col("label").cast("double"))
-    model = krr.kernel_ridge(rows, "y", _K, 0.01)
-    return coding.relative_error(model.predict(rows), "prediction", "y").select("n", F.round("relative_error", 4).alias("relative_error"))
-
-
-query("nystrom_rls")(lambda s, d: _accuracy(s, d, krr.nystrom_rls(labelled(s, d), "label", 1.0, 1e-3, 100)))
-query("sketch_pcr")(lambda s, d: _accuracy(s, d, krr.sketch_pcr(labelled(s, d), "label", 60, 1.0, 128)))
-
-
-@query("admm_hinge")
-def admm_hinge(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    model, history = admm.train(rows, "label", _K, 128, admm.ADMMParams("hinge", iterations=4, data_blocks=4), labels=sorted(coding.label_order(rows, "label", "row_id")))
-    return _accuracy(spark, sf_dir, model).withColumn("falls", F.lit(bool(history[-1] < history[0])))
-
-
 # -- sources, graphs, streams ---------------------------------------------------------------------------
 
 
@@ -444,7 +591,7 @@ e AS (SELECT a AS src, b AS dst FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 W
 
 def _graph(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", "l_suppkey", F.col("l_partkey") % 211).alias("value"))
-    return text_formats.read_graph(spark, lines, numeric=True)
+    return written(text_formats.read_graph(spark, lines, numeric=True), "graph")
 
 
 query("simple_graph", f"WITH {G} SELECT src, dst FROM e")(_graph)
@@ -463,36 +610,100 @@ def sweep_cut(spark, sf_dir):
     return graph.sweep(e, y).withColumn("conductance", F.round("conductance", 6))
 
 
-@query("time_dependent_ppr")
+# the diffusion u' = -(1 - alpha P) u from one seed, at time 5, by its series
+_DIFFUSION = f"""WITH RECURSIVE {G}, d AS (SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src),
+step AS (SELECT e.src, e.dst, 0.85 / degree AS w FROM e JOIN d ON d.vertex = e.src),
+terms(k, vertex, y) AS (SELECT 0, CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE) UNION ALL SELECT k + 1, dst, sum(y * w * 5.0 / (k + 1)) FROM terms JOIN step ON src = vertex WHERE k < 40 GROUP BY k, dst),
+u AS (SELECT vertex, exp(-5.0) * sum(y) AS y FROM terms GROUP BY vertex)"""
+
+
+@query("time_dependent_ppr", f"{_DIFFUSION} SELECT vertex, round(y, 4) + 0.0 AS y FROM u WHERE abs(y) >= 0.00005")
 def time_dependent_ppr(spark, sf_dir):
-    return graph.time_dependent_ppr(_graph(spark, sf_dir), {1: 1.0}, graph.PPRParams(epsilon=1e-3)).select("vertex", r(F.col("y")[0], 6).alias("y"))
+    y = graph.time_dependent_ppr(_graph(spark, sf_dir), {1: 1.0}, graph.PPRParams(epsilon=1e-7)).select("vertex", r(F.col("y")[0], 4).alias("y"))
+    return y.where("y <> 0")
+
+
+@query("adjacency_spectrum", f"WITH {G} SELECT src, dst, 1.0 AS v FROM e")
+def adjacency_spectrum(spark, sf_dir):
+    """V L V' of all eigenpairs is the adjacency matrix again."""
+    edges = _graph(spark, sf_dir)
+    a, index = graph.adjacency(edges)
+    n = index.count()
+    v, values = svd.symmetric_svd_rows(a, n, n, svd.SVDParams(num_iterations=1))
+    other = matrix.to_numpy(v)
+    back = matrix.to_coords(matrix.times(v, (other * values).T), True).select("i", "j", F.round("v", 3).alias("v")).where("v <> 0")
+    names = index.select(F.col("id").alias("i"), F.col("vertex").alias("src"))
+    return back.join(names, "i").join(names.toDF("j", "dst"), "j").select("src", "dst", "v")
 
 
 @query("spectral_embedding")
 def spectral_embedding(spark, sf_dir):
-    _, values = graph.spectral_embedding(_graph(spark, sf_dir), 4, 10)
-    return spark.createDataFrame([(i, round(float(v), 2)) for i, v in enumerate(values)], "place int, eigenvalue double")
+    x, _ = graph.spectral_embedding(_graph(spark, sf_dir), 4, 10, absolute=True)
+    return x.select("vertex", F.posexplode("x").alias("place", "x")).select("vertex", "place", r("x", 3).alias("x"))
+
+
+_LOCAL = graph.PPRParams(epsilon=1e-8)
+_N = graph.collocation_size(_LOCAL)
+_TIMES = ", ".join(f"({k}, {float(svd.chebyshev_points(_N, 0.0, _LOCAL.gamma)[k * _N // _LOCAL.times])!r})" for k in range(_LOCAL.times))
+
+
+@query("local_cluster", f"""WITH RECURSIVE {G}, d AS (SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src),
+step AS (SELECT e.src, e.dst, 0.85 / degree AS w FROM e JOIN d ON d.vertex = e.src), times(t, time) AS (VALUES {_TIMES}),
+terms(k, vertex, p) AS (SELECT 0, CAST(1 AS BIGINT), CAST(1.0 AS DOUBLE) UNION ALL SELECT k + 1, dst, sum(p * w) FROM terms JOIN step ON src = vertex WHERE k < 45 GROUP BY k, dst),
+u AS (SELECT t, vertex, sum(p * exp(-time) * pow(time, k) / gamma(k + 1)) AS y FROM terms, times GROUP BY t, vertex),
+k AS (SELECT t, u.vertex, degree, row_number() OVER (PARTITION BY t ORDER BY y / degree DESC, u.vertex) AS position FROM u JOIN d ON d.vertex = u.vertex),
+i AS (SELECT k.t, k.vertex, count(*) AS inside FROM k JOIN e ON e.src = k.vertex JOIN k o ON o.t = k.t AND o.vertex = e.dst AND o.position < k.position GROUP BY k.t, k.vertex),
+s AS (SELECT k.t, position, k.vertex, sum(degree) OVER w AS volume, sum(degree - 2 * coalesce(inside, 0)) OVER w AS cut FROM k LEFT JOIN i ON i.t = k.t AND i.vertex = k.vertex WINDOW w AS (PARTITION BY k.t ORDER BY position)),
+c AS (SELECT t, position, vertex, CASE WHEN least(volume, total - volume) > 0 THEN cut / least(volume, total - volume) ELSE 1.0 END AS conductance FROM s, (SELECT count(*) AS total FROM e)),
+best AS (SELECT t, position, conductance FROM c ORDER BY round(conductance, 9), t, position LIMIT 1)
+SELECT c.vertex, round(best.conductance, 6) AS conductance FROM c JOIN best ON c.t = best.t AND c.position <= best.position""")
+def local_cluster(spark, sf_dir):
+    """The best sweep cut over the diffusion's times from one seed: its vertices and conductance."""
+    cluster, conductance = graph.local_cluster(_graph(spark, sf_dir), [1], _LOCAL)
+    return spark.createDataFrame([(v, round(conductance, 6)) for v in cluster], "vertex long, conductance double")
 
 
 @query("stream_count_sketch", f"SELECT {rng.sql_bucket('13h0', 'user_id', 32)} AS bucket, round(sum({rng.sql_sign('13v0', 'user_id')} * value), 3) + 0.0 AS v FROM events GROUP BY bucket")
 def stream_count_sketch(spark, sf_dir):
     """events as a stream of one batch, sketched incrementally into a table in memory."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    name = path.rsplit("/", 1)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name[1]).parquet(name[0]) if not _is_dir(spark, path) else spark.readStream.schema(schema).parquet(path)
-    sums = scoring.sketch_stream(stream, sketch.CWT(1 << 40, 32, 13), "user_id", "value")
+    sums = scoring.sketch_stream(_stream(spark, sf_dir, "events"), sketch.CWT(1 << 40, 32, 13), "user_id", "value")
     scoring.to_memory(sums, "basaltry_count_sketch", "complete")
     return spark.table("basaltry_count_sketch").select("bucket", r("v", 3).alias("v"))
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return reader.parquet(path) if _is_dir(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("random_matrix")
+# Threefry2x64-13 under key (3, 0) in whole numbers of any length
+_THREEFRY = f"""WITH RECURSIVE keys AS (SELECT CAST(3 AS HUGEINT) AS k0, CAST(0 AS HUGEINT) AS k1, CAST({3 ^ rng.PARITY} AS HUGEINT) AS k2),
+rounds(i, r, x0, x1) AS (SELECT i, 0, CAST(i + 3 AS HUGEINT), CAST(0 AS HUGEINT) FROM range({{n}}) t(i)
+UNION ALL SELECT i, r + 1,
+  (a + CASE WHEN r % 4 <> 3 THEN 0 ELSE CASE ((r + 1) // 4) % 3 WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END END) % 18446744073709551616,
+  (b + CASE WHEN r % 4 <> 3 THEN 0 ELSE CASE ((r + 1) // 4 + 1) % 3 WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END + (r + 1) // 4 END) % 18446744073709551616
+  FROM (SELECT i, r, a, xor((x1 * p) % 18446744073709551616 + x1 // (18446744073709551616 // p), a) AS b
+        FROM (SELECT i, r, x1, (x0 + x1) % 18446744073709551616 AS a, CAST(pow(2, list_extract({list(rng.ROTATIONS)}, r % 8 + 1)) AS HUGEINT) AS p FROM rounds WHERE r < 13)), keys),
+words AS (SELECT i, x0 FROM rounds WHERE r = 13)"""
+
+
+@query("threefry_words", f"{_THREEFRY.format(n=512)} SELECT i, CAST(x0 AS VARCHAR) AS word FROM words")
+def threefry_words(spark, sf_dir):
+    made = rng.Context(3).words(0, np.arange(512))
+    return spark.createDataFrame([(i, str(w)) for i, w in enumerate(made.tolist())], "i long, word string")
+
+
+@query("random_matrix", f"{_THREEFRY.format(n=800)} SELECT i % 100 AS i, i // 100 AS j, round((x0 // 2048 + 0.5) / 9007199254740992.0, 9) AS v FROM words")
 def random_matrix(spark, sf_dir):
-    n = table(spark, sf_dir, "customer").count()
-    x = text_formats.random_matrix(spark, n, 8, "normal", 3)
-    return matrix.to_coords(x, True).groupBy("j").agg(r(F.avg("v"), 4).alias("mean"), r(F.stddev("v"), 4).alias("deviation"))
+    x = text_formats.random_matrix(spark, 100, 8, "uniform", 3)
+    return matrix.to_coords(x, True).select("i", "j", F.round("v", 9).alias("v"))
+
+
+from . import catalog_learning, catalog_sources  # noqa: E402, F401  (they register their queries)

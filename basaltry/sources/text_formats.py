@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import Context
@@ -12,9 +12,10 @@ from ..operators.matrix import as_lists, coo_sum
 # -- LIBSVM ----------------------------------------------------------------------------------------------
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines of a text source with row_id in file order: a count of each block first, then a place within the block."""
+def _numbered(lines: DataFrame, kept: Column | None = None) -> DataFrame:
+    """Lines of a text source (those that are kept) with row_id in file order: a count of each block first, then a place within the block."""
     m = lines.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    m = m if kept is None else m.where(kept)
     sizes = m.groupBy("f", "b").agg(F.count("*").alias("size"), F.min("n").alias("first"))
     before = sizes.select("f", "b", "first", (F.sum("size").over(Window.orderBy("f", "b")) - F.col("size")).alias("before"))
     place = F.row_number().over(Window.partitionBy("f", "b").orderBy("n")) - 1
@@ -47,12 +48,16 @@ def read_libsvm(spark: SparkSession, path: str | list[str], sparse: bool = False
     d = max(min_d, (parsed.agg(F.max(F.array_max(F.transform("e", lambda p: p["j"])))).first()[0] or -1) + 1)
     if sparse:
         return parsed.select("row_id", "labels", F.lit(d).alias("size"), F.transform("e", lambda p: p["j"]).alias("indices"), F.transform("e", lambda p: p["v"]).alias("values"))
-    zeros = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda _: F.lit(0.0)) if d else F.array().cast("array<double>")
-    ordered = F.array_sort("e")
-    summed = F.aggregate(ordered, F.create_map().cast("map<int,double>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["j"]), F.create_map(p["j"], F.coalesce(F.try_element_at(m, p["j"]), F.lit(0.0)) + p["v"])))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0))) if d else zeros
-    unique = F.size(F.array_distinct(F.transform("e", lambda p: p["j"]))) == F.size("e")
-    return parsed.withColumn("m", F.when(unique, F.map_from_entries("e")).otherwise(summed)).select("row_id", "labels", dense.alias("features"))
+    def fill(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out, entries = np.zeros((b.num_rows, d)), b["e"].flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(b["e"].offsets.to_numpy()))
+            np.add.at(out, (row, entries.field("j").to_numpy(zero_copy_only=False)), entries.field("v").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b["row_id"], b["labels"], as_lists(out)], names=["row_id", "labels", "features"])
+
+    return parsed.mapInArrow(fill, "row_id long, labels array<double>, features array<double>")
 
 
 def libsvm_coords(sparse_rows: DataFrame) -> DataFrame:
@@ -134,8 +139,8 @@ def write_matrix(df: DataFrame, path: str, text: bool = False) -> None:
 
 def read_model_text(spark: SparkSession, path: str) -> DataFrame:
     """RowDF from text: a header '# Dimensions m n' and rows of numbers."""
-    rows = _numbered(spark.read.text(path)).where("trim(value) <> '' and not startswith(value, '#')")
-    return rows.select((F.row_number().over(Window.orderBy("row_id")) - 1).cast("long").alias("row_id"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("features"))
+    rows = _numbered(spark.read.text(path), (F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
+    return rows.select("row_id", F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("features"))
 
 
 FORMATS = ("libsvm_dense", "libsvm_sparse", "parquet_dense", "parquet_sparse")

@@ -19,7 +19,7 @@ def sketch_stream(stream: DataFrame, transform: Hashing, key: str, value: str, t
 
     With a time column there is one sketch for each window, rows later than the watermark being left out.
     """
-    rows = stream.select(*([F.col(time).alias("time")] if time else []), transform.bucket(F.col(key)).alias("bucket"), (transform.value(F.col(key)) * F.col(value)).alias("v"))
+    rows = stream.select(*([F.col(time).cast("timestamp").alias("time")] if time else []), transform.bucket(F.col(key)).alias("bucket"), (transform.value(F.col(key)) * F.col(value)).alias("v"))
     if time:
         rows = rows.withWatermark("time", late)
         return rows.groupBy(F.window("time", window), "bucket").agg(F.sum("v").alias("v"))

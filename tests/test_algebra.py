@@ -161,12 +161,122 @@ def test_nystrom_and_pcr(classes):
 
 
 def test_admm(classes, tmp_path):
-    model, history = admm.train(classes, "label", kernels.Gaussian(6, 3.0), 60, admm.ADMMParams("hinge", iterations=6, data_blocks=2, feature_blocks=2), labels=[0, 1, 2])
-    assert history[-1] < 0.5 * history[0] and hits(model, classes) > 90
+    model, history = admm.train(classes, "label", kernels.Gaussian(6, 3.0), 60, admm.ADMMParams("hinge", iterations=6, feature_blocks=2), [0, 1, 2], classes)
+    assert history[-1][0] < 0.5 * history[0][0] and history[-1][1] > 90 and hits(model, classes) > 90
     models.save(model, str(tmp_path / "m.json"))
     assert hits(models.load(str(tmp_path / "m.json")), classes) == hits(model, classes)
 
 
+@pytest.mark.parametrize("loss", ["squared", "lad", "hinge", "logistic"])
+def test_admm_finds_the_smallest_objective(classes, loss):
+    """No step from the end lowers the objective."""
+    rows = classes.selectExpr("row_id", "features", "case when label = 1 then 1.0 else -1.0 end as y")
+    model, history = admm.train(rows, "y", None, 0, admm.ADMMParams(loss, "l2", 5.0, 1.0, 150), [-1, 1])
+    got = rows.orderBy("row_id").collect()
+    x, y, w = np.array([r.features for r in got]), np.array([r.y for r in got]), model.weights[0]
+    value = lambda v: losses.LOSSES[loss]().evaluate(x @ v, y) + 5.0 * losses.L2().evaluate(v)
+    assert history[-1] == pytest.approx(value(w), rel=1e-3)
+    rng = np.random.default_rng(0)
+    assert all(value(w) <= value(w + 0.02 * rng.standard_normal(w.shape)) + 1e-4 * value(w) for _ in range(60))
+
+
+def test_admm_goes_on_from_written_sums(classes, monkeypatch):
+    p = admm.ADMMParams("lad", "l1", 0.5, iterations=9)
+    rows = classes.selectExpr("row_id", "features", "cast(label as double) as y")
+    whole, first = admm.train(rows, "y", None, 0, p)
+    monkeypatch.setattr(admm, "EPOCH", 2)
+    parts, second = admm.train(rows, "y", None, 0, p)
+    assert np.allclose(whole.weights[0], parts.weights[0]) and np.allclose(first, second)
+
+
+def _conditioned(spark, cond, m=300, n=6):
+    rng = np.random.default_rng(3)
+    u, v = np.linalg.qr(rng.standard_normal((m, n)))[0], np.linalg.qr(rng.standard_normal((n, n)))[0]
+    a = u * np.geomspace(1, 1 / cond, n) @ v.T
+    x = rng.standard_normal(n)
+    return a, x, spark.createDataFrame([(i, a[i].tolist(), float(a[i] @ x)) for i in range(m)], "row_id long, features array<double>, y double").repartition(3)
+
+
+def test_condition_of_ill_conditioned_rows(spark):
+    for cond in (1e3, 1e10):
+        a, _, rows = _conditioned(spark, cond)
+        c = svd.condest(rows)
+        assert 0.9 < c.cond / cond <= 1.1 and c.lower <= c.sigma_min * 1.01
+        assert np.linalg.norm(a @ c.v_min) == pytest.approx(c.sigma_min, rel=0.05) and np.linalg.norm(a @ c.v_max) == pytest.approx(c.sigma_max, rel=1e-3)
+    zero = spark.createDataFrame([(i, [0.0, 0.0]) for i in range(5)], "row_id long, features array<double>")
+    assert svd.condest(zero).cond == np.inf
+
+
+def test_lsqr_keeps_its_digits(spark):
+    a, x, rows = _conditioned(spark, 1e6)
+    _, r = np.linalg.qr(a)
+    got = krylov.lsqr(rows, "y", krylov.Params(1e-15, 60), np.linalg.inv(r * (1 + 1e-3)))
+    assert np.linalg.norm(got.x[:, 0] - x) < 1e-8 and got.code in (-2, -3, -5)
+    flat = krylov.lsqr(rows, "y", krylov.Params(1e-15, 200))
+    assert np.linalg.norm(a @ flat.x[:, 0] - a @ x) < 1e-9
+
+
+def test_power_steps_from_both_sides(tall):
+    a, b, rows = tall
+    v = np.ones((8, 2))
+    assert np.allclose(svd.power_iteration(rows, v, 2, False), a.T @ a @ a.T @ a @ v)
+    left = M.to_numpy(svd.power_iteration(rows, "t", 1, False, "left", "left"))
+    assert np.allclose(left, a @ (a.T @ a) @ a.T @ b)
+    q = np.linalg.qr(svd.power_iteration(rows, v, 30, True))[0]
+    top = np.linalg.svd(a)[2][:1].T
+    assert np.abs(q[:, :1].T @ top).max() > 0.99 or np.linalg.norm(q.T @ top) > 0.99
+
+
+def test_wide_svd(spark):
+    a = np.random.default_rng(5).standard_normal((7, 30))
+    u, s, v = svd.approximate_svd(M.from_numpy(spark, a), 7, svd.SVDParams(num_iterations=1))
+    assert np.allclose(M.to_numpy(u) * s @ v.T, a) and np.allclose(s, np.linalg.svd(a)[1])
+
+
+def test_symmetric_svd_as_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    g = rng.standard_normal((12, 12))
+    g = g + g.T + np.diag(np.arange(12) * 6.0)
+    triangle, p = coords(spark, np.tril(g)), svd.SVDParams(num_iterations=12)
+    held, values = svd.symmetric_svd_rows(triangle, 12, 3, p)
+    monkeypatch.setattr(svd, "HELD", 1)
+    apart, others = svd.symmetric_svd_rows(triangle, 12, 3, p)
+    assert np.allclose(values, others, atol=1e-4) and np.allclose(values, np.linalg.eigvalsh(g)[::-1][:3], atol=1e-3)
+    a, b = M.to_numpy(held), M.to_numpy(apart)
+    assert np.allclose(np.abs((a * b).sum(axis=0)), 1, atol=1e-3)
+
+
+def test_sums_by_slices(tall, monkeypatch):
+    a, _, rows = tall
+    monkeypatch.setattr(M, "TO_DRIVER", 1)
+    assert np.allclose(M.gram(rows.select("features")), a.T @ a)
+
+
+@pytest.mark.parametrize("solver", [krr.kernel_ridge, lambda *x: krr.faster_kernel_ridge(*x, 40, krr.KRRParams(1e-12))])
+def test_kernel_ridge_without_its_gram_matrix(classes, monkeypatch, solver):
+    rows = classes.withColumn("y", classes.label.cast("double"))
+    whole = solver(rows, "y", kernels.Gaussian(6, 3.0), 0.1)
+    for name, size in (("GRAM_ROWS", 10), ("TALL", 32), ("WIDE", 50)):
+        monkeypatch.setattr(krr, name, size)
+    apart = solver(rows, "y", kernels.Gaussian(6, 3.0), 0.1)
+    assert np.allclose(whole.coefficients, apart.coefficients, atol=1e-6)
+    monkeypatch.setattr(krr, "SUPPORT", 100)
+    with pytest.raises(ValueError, match="feature-map"):
+        solver(rows, "y", kernels.Gaussian(6, 3.0), 0.1)
+
+
+def test_adapters(spark):
+    a = np.array([[0.0, 2.0, 0.0], [0.0, 0.0, 0.0], [1.0, 0.0, 3.0]])
+    data, indices, indptr = M.to_csr(coords(spark, a), 3)
+    assert data.tolist() == [2, 1, 3] and indices.tolist() == [1, 0, 2] and indptr.tolist() == [0, 1, 1, 3]
+    assert np.array_equal(dense(M.from_csr(spark, data, indices, indptr), (3, 3)), a)
+    made = M.to_numpy(M.from_function(spark, 4, 3, lambda i, j: i * 10 + j))
+    assert np.array_equal(made, np.arange(4)[:, None] * 10.0 + np.arange(3))
+    y = spark.createDataFrame([(0, 1.0), (5, 2.0)], "i long, v double")
+    x = spark.createDataFrame([(j, 1.0) for j in range(3)], "i long, v double")
+    assert {r.i: r.v for r in M.gemv(coords(spark, a), x, 2.0, beta=-1.0, y=y).collect()} == {0: 3.0, 2: 8.0, 5: -2.0}
+
+
 def test_coding(spark):
     df = spark.createDataFrame([(2, "b"), (1, "a"), (3, "b")], "o int, y string")
     assert coding.label_order(df, "y", "o") == ["a", "b"]

@@ -57,6 +57,54 @@ def test_two_triangles(edges):
     assert set(cluster) == {"A1", "A2", "A3"} and conductance == pytest.approx(1 / 7)
 
 
+def _ring_of_cliques(spark, cliques=4, size=6):
+    rows = [(c * size + i, c * size + j) for c in range(cliques) for i in range(size) for j in range(i)]
+    rows += [(c * size, (c + 1) % cliques * size + 1) for c in range(cliques)]
+    return T.simple_graph(spark.createDataFrame(rows, "src long, dst long"))
+
+
+def test_clusters_of_all_vertices(spark, edges):
+    got = {r.seed: (r.cluster, r.conductance) for r in graph.communities(edges).collect()}
+    assert len(got) == 6 and got["B2"][0] == ["B1", "B2", "B3"] and got["A1"][1] == pytest.approx(1 / 7)
+    ring = _ring_of_cliques(spark)
+    for recursive in (False, True):
+        some = {r.seed: (r.cluster, r.conductance) for r in graph.communities(ring, [2, 9, 999], None, recursive).collect()}
+        assert set(some) == {2, 9}
+        for seed, (cluster, value) in some.items():
+            apart, other = graph.local_cluster(ring, [seed], None, recursive)
+            assert sorted(apart) == cluster and other == pytest.approx(value)
+    assert some[9][0] == list(range(6, 12))
+
+
+def test_large_graphs_go_seed_by_seed(spark, edges, monkeypatch):
+    monkeypatch.setattr(graph, "HELD_EDGES", 1)
+    assert sorted(graph.communities(edges, ["A2"]).first().cluster) == ["A1", "A2", "A3"]
+
+
+def test_diffusion_solves_its_equation(spark):
+    """Against the exponential of the dense matrix."""
+    import numpy as np
+
+    ring = _ring_of_cliques(spark)
+    a = np.zeros((24, 24))
+    for r in ring.collect():
+        a[r.src, r.dst] = 1
+    step = -(np.eye(24) - 0.85 * (a / a.sum(axis=1, keepdims=True)).T)
+    exact, term = np.eye(24), np.eye(24)
+    for k in range(1, 80):
+        term = term @ step * 5.0 / k
+        exact = exact + term
+    y = {r.vertex: r.y[0] for r in graph.time_dependent_ppr(ring, {3: 1.0}, graph.PPRParams(epsilon=1e-9)).collect()}
+    assert max(abs(y.get(i, 0.0) - exact[i, 3]) for i in range(24)) < 1e-7
+    with pytest.raises(RuntimeError):
+        graph.time_dependent_ppr(ring, {3: 1.0}, graph.PPRParams(epsilon=1e-9, rounds=2))
+
+
+def test_vertex_numbers_follow_their_order(spark):
+    ring = _ring_of_cliques(spark).repartition(5)
+    assert sorted(map(tuple, graph.vertex_index(ring).collect())) == [(i, i) for i in range(24)]
+
+
 def test_sweep_of_everything_is_guarded(spark, edges):
     y = graph.degrees(edges).selectExpr("vertex", "1.0 as y")
     last = graph.sweep(edges, y).orderBy("position").collect()[-1]
@@ -77,6 +125,16 @@ def test_collocation_size():
     assert graph.bessel_i(0, 1.0) == pytest.approx(1.2660658777520084) and graph.bessel_i(3, 5.0) == pytest.approx(10.331150169151138)
 
 
+def test_parquet_twins_of_matrix_files(spark, tmp_path):
+    """Dense X with Y, and sparse X, written and read again."""
+    rows = spark.createDataFrame([(0, 1.0, [0.5, 0.0, 2.0]), (1, -1.0, [0.0, 1.25, 0.0]), (2, 3.0, [0.0, 0.0, 0.0])], "row_id long, label double, features array<double>")
+    T.write_matrix(rows, str(tmp_path / "d"))
+    assert sorted(map(tuple, T.read(spark, str(tmp_path / "d"), "parquet_dense").collect())) == sorted(map(tuple, rows.collect()))
+    T.write_matrix(M.to_coords(rows), str(tmp_path / "s"))
+    back = T.read(spark, str(tmp_path / "s"), "parquet_sparse")
+    assert M.same_matrix(back, M.to_coords(rows)) and back.count() == 3
+
+
 def test_every_twin_has_a_query():
     import __spark_entry__ as e
 
