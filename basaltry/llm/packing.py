@@ -132,10 +132,10 @@ def pack_mixture(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, window
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block, sent, end = encoder(tokenizer, cache), TaskContext.get().partitionId(), {}, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
                 queues, ats, ns, ids = part["queue"].to_pylist(), [], [], []
-                for q, x in zip(queues, enc.encode(part["text"].to_pylist()), strict=True):
+                for q, x in zip(queues, enc.encode(part["text"]), strict=True):
                     a = np.frombuffer(x + end, "<u4")
                     ats.append(sent.get(q, 0))
                     ns.append(len(a))

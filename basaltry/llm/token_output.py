@@ -181,7 +181,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"ids": [spans(np.frombuffer(x, "<u4")).astype(dtype).tobytes() for x in enc.encode(b["text"].to_pylist())]})
+            yield pa.RecordBatch.from_pydict({"ids": [spans(np.frombuffer(x, "<u4")).astype(dtype).tobytes() for x in enc.encode(b["text"])]})
 
     some = docs.where(F.col("doc_id").isin(chosen)).select("text").limit(2 * SAMPLE_DOCS).repartition(8).mapInArrow(sampled, "ids binary").collect() if chosen else []
     dictionary = train_dictionary(sorted(bytes(r[0]) for r in some))
@@ -195,7 +195,7 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         for b in batches:
             if writer is None and b.num_rows:
                 writer = ShardWriter(f"{folder}/shard-{TaskContext.get().partitionId():06d}.tok", dictionary, dtype)
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), enc.encode(b["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), enc.encode(b["text"]), strict=True):
                 writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(_MANIFEST.names, writer.close(), strict=True))], schema=_MANIFEST)
