@@ -89,7 +89,9 @@ def run_krr(spark, a):
 def run_admm(spark, a):
     rows = _read(spark, a)
     labels = None if a.loss in ("squared", "lad") and a.regression else sorted(coding.label_order(rows, "label", "row_id"))
-    if labels and labels != [-1, 1]:
+    if labels and len(labels) == 2:
+        rows = rows.withColumn("label", F.when(F.col("label") == labels[1], 1.0).otherwise(-1.0))
+    elif labels:
         rows = rows.withColumn("label", F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1)
     kernel = None if a.kernel == "none" else _kernel(a, matrix.width_of(rows))
     p = admm.ADMMParams(a.loss, a.regularizer, a.lam, a.rho, a.iterations or 20, a.feature_blocks, seed=a.seed, tolerance=a.tolerance)
@@ -111,7 +113,7 @@ def run_predict(spark, a):
             for j, v in pairs:
                 x[0, int(j) - 1] = float(v)
             scores = model.decision(x)[0]
-            answer = scores.tolist() if a.decisions or model.labels is None else model.labels[int(scores.argmax())] if len(scores) > 1 else 1 if scores[0] >= 0 else -1
+            answer = scores.tolist() if a.decisions or model.labels is None else model.labels[int(scores.argmax()) if len(scores) > 1 else int(scores[0] >= 0)]
             print(json.dumps(answer), flush=True)
         return
     rows = _read(spark, a)

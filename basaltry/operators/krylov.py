@@ -151,17 +151,19 @@ def lsqr(rows: DataFrame, target: str, params: Params | None = None, preconditio
     first = np.linalg.norm(s, axis=0)
     if not first.any():
         return Result(np.zeros((tall.n, tall.k)), 0, 0)
-    y, d, gamma, still = np.zeros((n_.shape[1], tall.k)), s.copy(), (s * s).sum(axis=0), 0
+    y, d, still = np.zeros((n_.shape[1], tall.k)), s.copy(), 0
     diagonal, beside = [], []
     carry = np.zeros(tall.k)
     for it in range(p_.iter_lim):
         z, exact, left = tall.step(n_ @ d, n_ @ y)
+        if (left <= (EPS * np.sqrt(bb)) ** 2).all():
+            return Result(n_ @ y, -3, it)
         z, exact = n_.T @ z, n_.T @ exact
-        alpha = _ratio(gamma, (d * z).sum(axis=0))
+        gamma = (exact * exact).sum(axis=0)
+        alpha = _ratio((d * exact).sum(axis=0), (d * z).sum(axis=0))
         step = alpha * d
         y, s = y + step, exact - alpha * z
         new = (s * s).sum(axis=0)
-        resid = np.maximum(left - alpha * gamma, 0.0)
         beta = _ratio(new, gamma)
         inverse = _ratio(np.ones_like(alpha), alpha)
         diagonal.append(inverse + carry)
@@ -170,15 +172,13 @@ def lsqr(rows: DataFrame, target: str, params: Params | None = None, preconditio
         p_.log.append(float(np.sqrt(new).max()))
         if (np.sqrt(new) < p_.tolerance * first).all():
             return Result(n_ @ y, -2, it + 1)
-        if (resid <= (EPS * np.sqrt(bb)) ** 2).all():
-            return Result(n_ @ y, -3, it + 1)
         lanczos = np.linalg.eigvalsh(np.diag([x[0] for x in diagonal]) + np.diag([x[0] for x in beside[:-1]], 1) + np.diag([x[0] for x in beside[:-1]], -1))
         if lanczos[0] > 0 and math.sqrt(lanczos[-1] / lanczos[0]) > 1 / EPS:
             return Result(n_ @ y, -4, it + 1)
         still = still + 1 if (np.linalg.norm(step, axis=0) <= EPS * np.linalg.norm(y, axis=0)).all() else 0
         if still == 3:
             return Result(n_ @ y, -5, it + 1)
-        d, gamma = s + beta * d, new
+        d = s + beta * d
     return Result(n_ @ y, -6, p_.iter_lim)
 
 

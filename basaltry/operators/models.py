@@ -19,7 +19,8 @@ HEADER = "# basaltry model\n"
 
 @dataclass
 class Model:
-    """decision(block) gives scores (n, k); labels names the k classes, or is None for regression."""
+    """decision(block) gives scores (n, k); labels names the k classes (of one score the two classes under and from zero on), or is None
+    for regression."""
 
     labels: list | None = field(default=None, kw_only=True)
 
@@ -38,7 +39,8 @@ class Model:
             value = F.when(F.size("scores") == 1, F.col("scores")[0])
             return out.withColumn("prediction", value).drop("scores") if self._targets() == 1 else out.withColumnRenamed("scores", "prediction")
         if self._targets() == 1:
-            return out.withColumn("prediction", F.when(F.col("scores")[0] >= 0, 1).otherwise(-1)).drop("scores")
+            low, high = self.labels
+            return out.withColumn("prediction", F.when(F.col("scores")[0] >= 0, F.lit(high)).otherwise(F.lit(low))).drop("scores")
         best = F.array_position("scores", F.array_max("scores")).cast("int")
         return out.withColumn("prediction", F.element_at(F.array(*[F.lit(x) for x in self.labels]), best)).drop("scores")
 

@@ -38,7 +38,7 @@ def test_options_of_learners(spark, tmp_path, capsys, monkeypatch):
     assert json.loads(capsys.readouterr().out.splitlines()[-1])["accuracy"] > 80
     main(["admm", str(f), "--model", str(tmp_path / "a"), "--loss", "hinge", "--regularizer", "l2", "-g", "3", "-f", "40", "--iterations", "8", "--validation", str(f)], spark)
     out = json.loads(capsys.readouterr().out.splitlines()[-1])
-    assert out["objective"][-1] < out["objective"][0] and out["validation"][-1] > 90
+    assert out["objective"][-1] < out["objective"][0] and out["validation"][-1] > 85
     monkeypatch.setattr(sys, "stdin", io.StringIO("0 1:3 2:3 3:3 4:3\n0 1:0.1\n"))
     main(["predict", "-", "--model", str(tmp_path / "a")], spark)
     assert [json.loads(x) for x in capsys.readouterr().out.splitlines()[-2:]] == [1, 0]
