@@ -8,11 +8,12 @@ sent (its part of the count table) and answers each with the counts of its n-gra
 the answers to its documents' n-grams and sums.  A chunk sends an n-gram once however often it occurs, and a
 block for a range only where it has n-grams there, so rows are never more than chunks' different n-grams.
 
-An n-gram is known by 64 bits of hash: among 10^13 different ones about one in two million shares its count with another.
+An n-gram is known by 62 bits of hash: among 10^13 different ones about one in half a million shares its count with another.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import bounded, record_batch, utf8, written
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+HASH_BITS = 62
 #: Text of a chunk (a longer document is one by itself), and text whose n-grams a hash range counts, in bytes.
-CHUNK, RANGE = 8 << 20, 16 << 20
+CHUNK, RANGE = 8 << 20, 8 << 20
 WORDS_KEPT = 400_000
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("train", pa.bool_()), ("score", pa.bool_())])
-_CHUNK = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("docs", pa.binary())])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary())])
 _SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("counts", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_sum", pa.float64()), ("n_unigram", pa.int64()), ("n_backoff", pa.int64()), ("train", pa.bool_()), ("score", pa.bool_())])
@@ -69,7 +71,7 @@ def ngrams(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarra
     for n in range(order):
         if n:
             run = np.concatenate([run[:1], _mix(run[:-1]) + h[1:]])
-        out.append(_mix(run + np.uint64(n + 1)))
+        out.append(_mix(run + np.uint64(n + 1)) >> np.uint64(64 - HASH_BITS))
     return sizes, place, out
 
 
@@ -97,7 +99,7 @@ def _keys(texts: list[bytes | None], order: int):
 
 def _ranges(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The hash range of each key, ascending with the keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    return ((keys >> np.uint64(HASH_BITS - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(pa.Table.from_batches(held, schema=_DOCS).combine_chunks())
-        return record_batch(_CHUNK, [first + n], [size], [sink.getvalue().to_pybytes()])
+        return record_batch(_CHUNK, [first + n], [sink.getvalue().to_pybytes()])
 
     for b in batches:
         sizes = pc.fill_null(pc.binary_length(b["text"]), 0)
@@ -139,25 +141,28 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     as they stand; a null doc_id is scored like any other.
     """
     flagged = lambda df, t, s: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(t).alias("train"), F.lit(s).alias("score"))
-    rows = flagged(bounded(docs), True, True) if train is None else flagged(docs, False, True).unionByName(flagged(train, True, False))
-    chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, docs binary"), "lm-chunks")
-    ranges = min(1 << 31, max(12, -(-(chunks.agg(F.sum("size")).first()[0] or 0) // RANGE)))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, raw in zip(b["chunk"].to_pylist(), b["docs"], strict=True):
-                table = _documents(raw.as_py())
-                sizes, _, real, every = _keys(utf8(table["text"]), order)
-                trained = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                weight = np.concatenate([trained[r] for r in real])
-                keys, inverse = np.unique(every, return_inverse=True)
-                counts = np.bincount(inverse, weights=weight, minlength=len(keys)).astype("<u4")
-                into = _ranges(keys, ranges)
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(into)) + 1, [len(keys)]])
-                for at in range(0, len(cuts) - 1, 4096):
-                    out = [(int(into[s]), name, int(e - s), _pack(np.diff(keys[s:e], prepend=np.uint64(0))), _pack(counts[s:e])) for s, e in zip(cuts[at : at + 4096].tolist(), cuts[at + 1 : at + 4097].tolist(), strict=False) if e > s]
-                    if out:
-                        yield record_batch(_SENT, *zip(*out, strict=True))
+    rows = flagged(bounded(docs), True, True) if train is None else flagged(bounded(docs), False, True).unionByName(flagged(train, True, False))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(1 << 31, max(12, -(-size // RANGE)))
+    chunks = rows.mapInArrow(_to_chunks, "chunk long, docs binary").repartition("chunk")  # one exchange, read by both passes
+
+    def send(key: tuple, table: pa.Table) -> pa.Table:
+        table = _documents(table["docs"][0].as_py())
+        sizes, _, real, every = _keys(utf8(table["text"]), order)
+        train_ = table["train"].to_numpy(zero_copy_only=False)
+        if train_.all():
+            every.sort()
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            keys, counts = every[first], np.diff(np.append(first, len(every))).astype("<u4")
+        else:
+            trained = np.repeat(train_.astype(np.int64), sizes)
+            keys, inverse = np.unique(every, return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([trained[r] for r in real]), minlength=len(keys)).astype("<u4")
+        into = _ranges(keys, ranges)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(into)) + 1, [len(keys)]]).tolist()
+        name = key[0].as_py()
+        out = [(int(into[s]), name, e - s, _pack(np.diff(keys[s:e], prepend=np.uint64(0))), _pack(counts[s:e])) for s, e in itertools.pairwise(cuts) if e > s]
+        return pa.Table.from_batches([record_batch(_SENT, *zip(*out, strict=True))] if out else [], schema=_SENT)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         names, sizes = table["chunk"].to_pylist(), table["n"].to_pylist()
@@ -201,9 +206,9 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
         add = lambda w: np.bincount(doc, weights=w, minlength=left.num_rows)
         return pa.Table.from_batches([record_batch(_OUT, left["doc_id"].combine_chunks(), sizes, add(log), add(used == 0).astype(np.int64), add(used < depth).astype(np.int64), left["train"].combine_chunks(), left["score"].combine_chunks())])
 
-    sent = chunks.select("chunk", "docs").mapInArrow(send, "range int, chunk long, n long, hashes binary, counts binary")
+    sent = chunks.groupBy("chunk").applyInArrow(send, "range int, chunk long, n long, hashes binary, counts binary")
     back = sent.groupBy("range").applyInArrow(count, "chunk long, range int, counts binary")
-    summed = written(chunks.select("chunk", "docs").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_sum double, n_unigram long, n_backoff long, train boolean, score boolean"), "lm-scores")
+    summed = written(chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_sum double, n_unigram long, n_backoff long, train boolean, score boolean"), "lm-scores")
     words = summed.where("train").agg(F.sum("n_words")).first()[0] or 1
     total = F.col("log_sum") - F.col("n_unigram") * float(np.log(max(words, 1)))
     return summed.where("score").select("doc_id", "n_words", total.alias("log_score"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_score"), "n_backoff")
