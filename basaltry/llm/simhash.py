@@ -26,8 +26,8 @@ from .components import connected_components
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of a slice that one task compares; more are split into tiles of at most so many.
 TILE = 4096
-#: Fingerprints whose names a join broadcasts at most.
-NAMES = 1 << 20
+#: Fingerprints whose names a join broadcasts at most (some MB).
+NAMES = 1 << 16
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -187,7 +187,7 @@ def _with_names(made: DataFrame, named: DataFrame) -> DataFrame:
     so few that they are no more than NAMES either, and the others are joined by fp: no fingerprint crowds a task."""
     if named.count() <= NAMES:
         return made.join(F.broadcast(named), "fp")
-    heavy = named.where(F.col("copies") > max(1 << 16, made.count() // NAMES))
+    heavy = named.where(F.col("copies") > max(1 << 12, made.count() // NAMES))
     rest = made.join(F.broadcast(heavy.select("fp")), "fp", "left_anti")
     return made.join(F.broadcast(heavy), "fp").unionByName(rest.join(named, "fp"))
 

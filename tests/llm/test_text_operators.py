@@ -165,7 +165,9 @@ def test_links_lose_no_pair(spark, tile):
     assert {x: got.get(x, x) for x in signed} == want
 
 
-def test_near_duplicates_of_odd_rows(spark, odd, none):
+@pytest.mark.parametrize("names", [1 << 16, 1])
+def test_near_duplicates_of_odd_rows(spark, odd, none, monkeypatch, names):
+    monkeypatch.setattr(simhash, "NAMES", names)
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)
     by = {r.doc_id: r for r in rows}
