@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop as drop_written
 from ..sources.tables import fresh_path, written
 
-__all__ = ["bounded", "drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "keeps", "only", "record_batch", "utf8", "written"]
+__all__ = ["bounded", "drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "join_named", "keeps", "only", "record_batch", "runs_of", "small", "utf8", "written"]
 
 def id_hash_mod(col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
@@ -82,3 +84,46 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+#: Rows that a join of these operators broadcasts at most (some MB).
+NAMES = 1 << 16
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (written, or cheap to make), to be broadcast if it has NAMES rows or fewer."""
+    return F.broadcast(df) if df.count() <= NAMES else df
+
+
+def join_named(rows: DataFrame, named: DataFrame, on: list[str], copies: str) -> DataFrame:
+    """rows joined with named (written; one row for each key on, nulls are keys too; copies: rows that have the key).
+
+    Up to NAMES of named are broadcast.  Of more those whose key has more than a NAMES-th of all rows, so fewer than NAMES, and
+    only the others meet their rows in a shuffle: no key crowds a task.
+    """
+    keys = fresh_names(rows, *[f"key_{c}" for c in on])
+    right = named.withColumnsRenamed(dict(zip(on, keys, strict=True)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)])
+    n, total = named.agg(F.count("*"), F.sum(copies)).first()
+    if n <= NAMES:
+        return rows.join(F.broadcast(right), same).drop(*keys)
+    hot = F.col(copies) > max(1 << 12, (total or 0) // NAMES)
+    rest = rows.join(F.broadcast(right.where(hot).select(keys)), same, "left_anti")
+    return rows.join(F.broadcast(right.where(hot)), same).unionByName(rest.join(right.where(~hot), same)).drop(*keys)
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the columns by, as they stand."""
+    kept: pa.Table | None = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        now = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
+        if not now.num_rows:
+            continue
+        keys = np.stack([now[c].to_numpy() for c in by])
+        edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]).tolist()
+        for start, end in zip(edges, edges[1:], strict=False):
+            yield now.slice(start, end - start)
+        kept = now.slice(edges[-1])  # the last run may go on in the next batch
+    if kept is not None:
+        yield kept

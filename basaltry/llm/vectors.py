@@ -7,11 +7,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def finite(v: Column) -> Column:
+    """Whether an array is not null and holds neither null nor non-finite components."""
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return F.coalesce(v.isNotNull() & ~F.exists(v, bad), F.lit(False))
+
+
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", empty: bool = False) -> DataFrame:
     """(vec_id, v: array<double>) of rows with an id and a vector of finite components, with empty also without any."""
     v = F.col(vec_col)
-    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
-    ok = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) >= (0 if empty else 1)) & ~F.exists(v, bad)
+    ok = F.col(id_col).isNotNull() & finite(v) & (F.size(v) >= (0 if empty else 1))
     return vectors.where(F.coalesce(ok, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
 
 
