@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import record_batch, written
+from .common import record_batch, small, written
 from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, top_of, usable
 
 #: Vectors of a list on average, lists at most (they are broadcast), sample vectors a list, the whole sample at most.
@@ -135,13 +135,14 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
 
     Every vector is indexed.  A query's own id is no candidate; ties go to the smaller vec_id.  Left out
     are rows with a null id, null or zero vectors and null or non-finite components.  Shorter vectors count
-    as filled up with zeros; repeated rows count once.  Fewer candidates than k give fewer rows.
+    as filled up with zeros; repeated rows count once; an id with two vectors is two candidates, and a query with each: it
+    gets the best of what they find.  Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
     zero = F.forall("v", lambda x: x == 0)
     data = written(first_of_equals(usable(vectors).where(~zero).distinct(), k + 1), "ann-data")
-    classes, members = query_classes(usable(queries).where(~zero).distinct())
-    classes, members = written(classes, "ann-queries"), written(members, "ann-members")
+    classes, members, own = query_classes(usable(queries).where(~zero).distinct())
+    deep = k + own
     stats = data.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     n, width, lift = stats[0], stats[1] or 1, float(np.sqrt(stats[2] or 1.0))
     some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE, max(64, PER_LIST * (n // LIST)))).select("v").toPandas()["v"].tolist()
@@ -193,13 +194,17 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
                     rows += [i] * len(wanted)
                     into += list(wanted)
                     which += list(wanted.values())
-                yield pa.RecordBatch.from_arrays([part["q"].take(pa.array(rows, pa.int64())), part["v"].take(pa.array(rows, pa.int64())), pa.array(into, pa.int32()), pa.array(which, pa.list_(pa.int32()))], names=["q", "v", "bucket", "lists"])
-
-    parts = max(1, -(-classes.count() // QUERY_BLOCK))
-    probes = classes.mapInArrow(probe, "q long, v array<double>, bucket int, lists array<int>").withColumn("part", salt("q", parts))
+                yield pa.RecordBatch.from_arrays([part["q"].take(pa.array(rows, pa.int64())), pa.array(into, pa.int32()), pa.array(which, pa.list_(pa.int32()))], names=["q", "bucket", "lists"])
+
+    probes = written(classes.select("q", "v").mapInArrow(probe, "q long, bucket int, lists array<int>"), "ann-probes")
+    # a bucket that many queries look into is compared with some of them at a time; only such buckets are copied
+    asked = probes.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("parts")).where("parts > 1")
+    asked = small(written(asked, "ann-parts"))
+    shared_out = lambda df: df.join(asked, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    probes = shared_out(probes).withColumn("part", salt("q", F.col("parts"))).drop("parts").join(classes.select("q", "v"), "q")
     pairs = lambda m: F.create_map(*[F.lit(x) for kv in (m or {-1: 1}).items() for x in kv])
     placed = lists.withColumn("bucket", pairs(base)[F.col("list")] + salt("vec_id", pairs(salts)[F.col("list")]))
-    dealt = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = shared_out(placed).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -216,7 +221,7 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
             if not len(rows):
                 continue
             scores = q[rows] @ x[at].T
-            r, c = top_of(scores, ids[at], k + 1)
+            r, c = top_of(scores, ids[at], deep)
             top[name] = rows[r], at[c], scores[r, c]
         if not top:
             return pa.Table.from_batches([], schema=_FOUND)
@@ -226,10 +231,10 @@ def approximate_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> Da
         again = np.concatenate([[False], (rows[1:] == rows[:-1]) & (ids[cols[1:]] == ids[cols[:-1]])])
         rows, cols = rows[~again], cols[~again]
         start = np.concatenate([[True], rows[1:] != rows[:-1]])
-        keep = np.arange(len(rows)) - np.maximum.accumulate(np.where(start, np.arange(len(rows)), 0)) <= k
+        keep = np.arange(len(rows)) - np.maximum.accumulate(np.where(start, np.arange(len(rows)), 0)) < deep
         rows, cols = rows[keep], cols[keep]
         return pa.Table.from_batches([record_batch(_FOUND, q_ids[rows], ids[cols], np.add.reduce(q[rows] * x[cols], axis=1))])
 
     by = ["bucket", "part"]
     found = probes.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInArrow(compare, "q long, vec_id long, score double")
-    return best(found, members, k)
+    return best(found, classes, members, k, deep)

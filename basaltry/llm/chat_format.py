@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of a pair that stand in one row; a longer pair goes on in further rows (block 1, 2, ...).
-BLOCK = 65_536
+from .common import small, written
+
+#: Turns of a side that stand in one row; a longer pair goes on in further rows (block 1, 2, ...).
+BLOCK = 4096
 HEAD, TAIL = "<|{role}|>\n", "<|end|>\n"
 
 
@@ -34,6 +36,29 @@ def _mask(turns: Column) -> Column:
     return F.flatten(F.transform(turns, lambda t: F.array(run(_head(t), F.lit(False)), run(_body(t), F.coalesce(t["role"] == "assistant", F.lit(False))))))
 
 
+def _pieces(rows: DataFrame, block: int) -> tuple[DataFrame, bool]:
+    """rows (pair_id, side, turn, role, text) with the piece that a turn stands in: its place on its side, divided by block;
+    and whether there is any piece but the first.
+
+    Places are asked for only where a side has more turns than block.  Those rows are dealt by range and
+    sorted; with the row count of each partition and side, no task holds a side.
+    """
+    by, order = ["pair_id", "side"], ["turn", "role", "text"]
+    large = written(rows.groupBy(*by).count().where(F.col("count") > block).select(*by), "chat-large")
+    if large.isEmpty():
+        return rows.withColumn("block", F.lit(0).cast("long")), False
+    large = small(large)
+    dealt = rows.join(large, by, "left_semi").repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    table = written(dealt.withColumn("mark", F.monotonically_increasing_id()), "chat-sorted")
+    part = F.shiftright("mark", 33).alias("part")
+    runs = table.groupBy(*by, part).agg(F.count("*").alias("rows"), F.min("mark").alias("first"))
+    before = F.sum("rows").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = written(runs.select(*by, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")), "chat-runs")
+    placed = table.withColumn("part", part).join(small(runs), [*by, "part"])
+    cut = placed.withColumn("block", F.floor((F.col("mark") + F.col("shift")) / F.lit(block))).select(*rows.columns, "block")
+    return rows.join(large, by, "left_anti").withColumn("block", F.lit(0).cast("long")).unionByName(cut), True
+
+
 def preference_pairs(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """turns (pair_id, side: 'chosen' or 'rejected', turn, role, text) to a row for each pair.
 
@@ -42,23 +67,22 @@ def preference_pairs(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     is common if turn number, role and text are equal on both sides; repeated rows of a turn
     are turns of their own, in the order of role and text.  Null role and text render as nothing, a null turn
     number comes first; rows with a null pair_id or another side belong to no pair.  A pair of which
-    one side is missing has an empty prompt.  A pair with turn numbers of block or more goes on
-    in further rows, whose texts follow on those of the row before; so no row outgrows block turn numbers.
+    one side is missing has an empty prompt.  A side's first block turns stand in the row with block 0, the next ones in
+    that with block 1, and so on, whatever their numbers; a row's texts follow on those of the row before.
     """
     number = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     rows = turns.where("pair_id is not null and side in ('chosen', 'rejected')").select("pair_id", "side", number.alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    many = not rows.where((F.col("turn") >= block) | (F.col("turn") < -1)).isEmpty()
-    cell = F.floor(F.col("turn") / F.lit(block)) if many else F.lit(0)
     one = F.struct("turn", "role", "text")
-    sides = rows.groupBy("pair_id", cell.cast("long").alias("block")).agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, one))).alias(s) for s in ("chosen", "rejected")])
+    pieces, several = _pieces(rows, block)
+    sides = pieces.groupBy("pair_id", "block").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, one))).alias(s) for s in ("chosen", "rejected")])
     same = F.zip_with("chosen", "rejected", lambda a, b: a.eqNullSafe(b))
     differs = F.array_position(same, F.lit(False)).cast("int")
-    n = F.when(differs == 0, F.size(same)).otherwise(differs - 1)
-    out = sides.withColumn("n", n)
-    if many:
-        before = Window.partitionBy("pair_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    out = sides.withColumn("n", F.when(differs == 0, F.size(same)).otherwise(differs - 1))
+    # the first row of a pair that holds a difference; in later ones nothing is common
+    if several:
         whole = (F.col("n") == F.size("chosen")) & (F.col("n") == F.size("rejected"))
-        out = out.withColumn("n", F.when(F.coalesce(F.min(whole).over(before), F.lit(True)), F.col("n")).otherwise(0))
+        more = written(out.groupBy("pair_id").agg(F.max("block").alias("last"), F.min(F.when(~whole, F.col("block"))).alias("differs_in")).where("last > 0").select(F.col("pair_id").alias("long_pair"), "differs_in"), "chat-long")
+        out = out.join(small(more), F.col("pair_id") == F.col("long_pair"), "left").withColumn("n", F.when(F.col("block") > F.col("differs_in"), 0).otherwise(F.col("n")))
     rest = lambda s: F.slice(s, F.col("n") + 1, F.greatest(F.size(s) - F.col("n"), F.lit(0)))
     parts = out.select("pair_id", "block", F.slice("chosen", 1, F.col("n")).alias("p"), rest("chosen").alias("c"), rest("rejected").alias("r"))
     return parts.select(

@@ -95,19 +95,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= NAMES else df
 
 
-def join_named(rows: DataFrame, named: DataFrame, on: list[str], copies: str) -> DataFrame:
+def join_named(rows: DataFrame, named: DataFrame, on: list[str], copies: str, most: int = NAMES) -> DataFrame:
     """rows joined with named (written; one row for each key on, nulls are keys too; copies: rows that have the key).
 
-    Up to NAMES of named are broadcast.  Of more those whose key has more than a NAMES-th of all rows, so fewer than NAMES, and
+    Up to most of named are broadcast.  Of more those whose key has more than a most-th of all rows, so fewer than most, and
     only the others meet their rows in a shuffle: no key crowds a task.
     """
     keys = fresh_names(rows, *[f"key_{c}" for c in on])
     right = named.withColumnsRenamed(dict(zip(on, keys, strict=True)))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)])
     n, total = named.agg(F.count("*"), F.sum(copies)).first()
-    if n <= NAMES:
+    if n <= most:
         return rows.join(F.broadcast(right), same).drop(*keys)
-    hot = F.col(copies) > max(1 << 12, (total or 0) // NAMES)
+    hot = F.col(copies) > max(1 << 12, (total or 0) // most)
     rest = rows.join(F.broadcast(right.where(hot).select(keys)), same, "left_anti")
     return rows.join(F.broadcast(right.where(hot)), same).unionByName(rest.join(right.where(~hot), same)).drop(*keys)
 

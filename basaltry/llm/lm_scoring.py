@@ -34,7 +34,8 @@ WORDS_KEPT = 400_000
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("train", pa.bool_()), ("score", pa.bool_())])
 _CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.binary())])
 _SENT = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("counts", pa.binary())])
+#: seal: XXH64 of the n-grams that the counts are of, in their order.
+_BACK = pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("seal", pa.int64()), ("counts", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_sum", pa.float64()), ("n_unigram", pa.int64()), ("n_backoff", pa.int64()), ("train", pa.bool_()), ("score", pa.bool_())])
 
 
@@ -126,6 +127,12 @@ def _to_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _seal(keys: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return int(np.uint64(xxh64_intdigest(np.ascontiguousarray(keys, dtype="<u8").tobytes())).view(np.int64))
+
+
 def _documents(raw: bytes) -> pa.Table:
     return pa.ipc.open_stream(raw).read_all()
 
@@ -138,7 +145,8 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
     is count(n-gram) / count(context) for the longest n-gram of at most order words with a count of
     min_count or more, times alpha for each order left out; single words count from 1, unknown words as 1; they
     are divided by the number of words.  Null and empty texts have log_score 0 and a null mean; rows that repeat count as often
-    as they stand; a null doc_id is scored like any other.
+    as they stand; a null doc_id is scored like any other.  Counts come back to a chunk of documents with a seal of the n-grams they are
+    of; should a lost executor's chunk have been made anew with other documents (input in an order that is not fixed), the job fails.
     """
     flagged = lambda df, t, s: df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(t).alias("train"), F.lit(s).alias("score"))
     rows = flagged(bounded(docs), True, True) if train is None else flagged(bounded(docs), False, True).unionByName(flagged(train, True, False))
@@ -166,7 +174,8 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         names, sizes = table["chunk"].to_pylist(), table["n"].to_pylist()
-        keys = np.concatenate([np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in table["hashes"].to_pylist()])
+        own = [np.cumsum(_unpack(x, "<u8"), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+        keys = np.concatenate(own)
         counts = np.concatenate([_unpack(x, "<u4") for x in table["counts"].to_pylist()])
         order_ = np.argsort(keys, kind="stable")
         first = np.concatenate([[True], np.diff(keys[order_]) != 0])
@@ -175,8 +184,8 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
         mine = np.empty(len(keys), dtype="<u8")
         mine[order_] = total[group]
         out, at = [], 0
-        for name, n in zip(names, sizes, strict=True):
-            out.append((name, key[0].as_py(), _pack(mine[at : at + n])))
+        for name, n, k in zip(names, sizes, own, strict=True):
+            out.append((name, key[0].as_py(), _seal(k), _pack(mine[at : at + n])))
             at += n
         return pa.Table.from_batches([record_batch(_BACK, *zip(*out, strict=True))])
 
@@ -185,9 +194,16 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
             return pa.Table.from_batches([], schema=_OUT)
         left = _documents(left["docs"][0].as_py())
         sizes, place, real, every = _keys(utf8(left["text"]), order)
-        _, inverse = np.unique(every, return_inverse=True)
-        got = sorted(zip(right["range"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        table = np.concatenate([_unpack(x, "<u8") for _, x in got]) if got else np.zeros(0, "<u8")
+        keys, inverse = np.unique(every, return_inverse=True)
+        got = sorted(zip(right["range"].to_pylist(), right["seal"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        answers, at = [_unpack(x, "<u8") for *_, x in got], 0
+        for (_, seal, _), x in zip(got, answers, strict=True):
+            if _seal(keys[at : at + len(x)]) != seal:
+                raise ValueError("counts of other n-grams than this chunk's: the input does not come in the same order twice, write it first")
+            at += len(x)
+        if at != len(keys):
+            raise ValueError("counts are missing for n-grams of this chunk: the input does not come in the same order twice, write it first")
+        table = np.concatenate(answers) if got else np.zeros(0, "<u8")
         mine, c, at = table[inverse].astype(np.float64), [], 0
         for r in real:
             k = np.zeros(len(place))
@@ -207,7 +223,7 @@ def lm_scores(docs: DataFrame, train: DataFrame | None = None, order: int = ORDE
         return pa.Table.from_batches([record_batch(_OUT, left["doc_id"].combine_chunks(), sizes, add(log), add(used == 0).astype(np.int64), add(used < depth).astype(np.int64), left["train"].combine_chunks(), left["score"].combine_chunks())])
 
     sent = chunks.groupBy("chunk").applyInArrow(send, "range int, chunk long, n long, hashes binary, counts binary")
-    back = sent.groupBy("range").applyInArrow(count, "chunk long, range int, counts binary")
+    back = sent.groupBy("range").applyInArrow(count, "chunk long, range int, seal long, counts binary")
     summed = written(chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_sum double, n_unigram long, n_backoff long, train boolean, score boolean"), "lm-scores")
     words = summed.where("train").agg(F.sum("n_words")).first()[0] or 1
     total = F.col("log_sum") - F.col("n_unigram") * float(np.log(max(words, 1)))

@@ -13,7 +13,8 @@ compared, in the order of their sizes: pairs already joined by links are skipped
 apart; what is left is compared exactly.  A block of more than TILE bytes is dealt over tasks as pairs of tiles.  What
 comes out joins all that similar pairs join, with less than one link for each text of a block: never all pairs.
 
-Texts are known by their XXH64, members by that of their words.
+Texts are known by two XXH64 (key, other), members by that of their words.  Members are met under key alone, which is enough to find candidates:
+texts that share it come out both.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, fresh_names, in_parts, only, record_batch, utf8, written
+from .common import bounded, fresh_names, in_parts, join_named, only, record_batch, runs_of, small, utf8, written
 from .components import connected_components
 from .simhash import links, majority, shingle_hashes
 
@@ -37,13 +38,13 @@ BROADCAST_ROWS = 1 << 20
 #: Bytes of sets that a tile holds, bits of a sketch, texts that a task remembers to leave out their copies.
 TILE, PARITY, SEEN = 32 << 20, 1024, 1 << 18
 
-_READ = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary()), ("counts", pa.binary())])
-_READ_SQL = "doc_id long, key long, fp long, n long, sketch binary, members binary, counts binary"
+_READ = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("other", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary()), ("counts", pa.binary())])
+_READ_SQL = "doc_id long, key long, other long, fp long, n long, sketch binary, members binary, counts binary"
 _COUNT = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 _PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64())])
-_SET = pa.schema([("key", pa.int64()), ("members", pa.binary())])
+_SET = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_MEMBER = pa.schema([("block", pa.int64()), ("key", pa.int64())])
+_MEMBER = pa.schema([("block", pa.int64()), ("tid", pa.int64())])
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -132,43 +133,32 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """The runs of rows that agree in the columns by, as they stand."""
-    kept: pa.Table | None = None
-    for b in batches:
-        now = pa.Table.from_batches([b])
-        now = now if kept is None else pa.concat_tables([kept, now]).combine_chunks()
-        if not now.num_rows:
-            continue
-        keys = np.stack([now[c].to_numpy() for c in by])
-        edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1]).tolist()
-        for start, end in zip(edges, edges[1:], strict=False):
-            yield now.slice(start, end - start)
-        kept = now.slice(edges[-1])  # the last run may go on in the next batch
-    if kept is not None:
-        yield kept
-
-
-def semi(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str) -> DataFrame:
     """A semi, anti or left join with written keys; up to BROADCAST_ROWS of them move no row of df."""
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
+def named(text: str, *names: str) -> list[Column]:
+    """Two independent hashes of a text, which together are its identity; the first alone serves to find candidates."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit("other"), text).alias(names[1])]
+
+
 def read(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text) doc_id, key (of the text), fp (SimHash of its shingles) and n (their number);
+    """For each row of docs (doc_id, text) doc_id, key and other (of the text), fp (SimHash of its shingles) and n (their number);
     besides, rows with a null key that count the members which several texts of a chunk have."""
-    keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    keyed = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *named("text", "key", "other"), F.col("text").cast("binary").alias("text"))
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(sets), return_counts=True)
-        return record_batch(_READ, [None], [None], [None], [None], [None], [h[c > 1].tobytes()], [c[c > 1].astype("<u4").tobytes()])
+        return record_batch(_READ, [None], [None], [None], [None], [None], [None], [h[c > 1].tobytes()], [c[c > 1].astype("<u4").tobytes()])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size, seen = [], 0, set()
         only("similar")
         for b in in_parts(batches, 256):
             prints, ns, sketches = np.zeros(b.num_rows, dtype=np.uint64), [], []
-            for i, (key, text) in enumerate(zip(b["key"].to_pylist(), utf8(b["text"]), strict=True)):
+            keys = zip(b["key"].to_pylist(), b["other"].to_pylist(), strict=True)
+            for i, (key, text) in enumerate(zip(keys, utf8(b["text"]), strict=True)):
                 hashes = shingle_hashes(text, SHINGLE)
                 prints[i] = majority(hashes)
                 members = np.unique(hashes)
@@ -182,7 +172,7 @@ def read(docs: DataFrame) -> DataFrame:
                         yield counted(sets)
                         sets, size, seen = [], 0, set()
             none = [None] * b.num_rows
-            yield record_batch(_READ, b["doc_id"], b["key"], prints.view(np.int64), ns, sketches, none, none)
+            yield record_batch(_READ, b["doc_id"], b["key"], b["other"], prints.view(np.int64), ns, sketches, none, none)
         if sets:
             yield counted(sets)
 
@@ -211,21 +201,21 @@ def _common(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """Links (u, v: keys) that join the texts which pairs with a Jaccard similarity of 4/5 or more join.
+def similar_links(docs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v: tids) that join the texts which pairs with a Jaccard similarity of 4/5 or more join.
 
-    table: what read(docs) gave, written.  Equal texts are one; texts without words are in no link.
+    table: what read(docs) gave, texts: tid, key, other, n and sketch of its different texts, both written.  Texts without words are in no link.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_common(table))
-    keyed = docs.select(F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    keyed = docs.select(*named("text", "key", "other"), F.col("text").cast("binary").alias("text")).where("text is not null")
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        """Key and set of each text; copies in one task mostly once."""
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+        """(key, other) and set of each text; copies in one task mostly once."""
         seen = set()
         only("similar")
         for b in in_parts(batches, 256):
-            for key, text in zip(b["key"].to_pylist(), utf8(b["text"]), strict=True):
-                if key not in seen:
+            for *key, text in zip(b["key"].to_pylist(), b["other"].to_pylist(), utf8(b["text"]), strict=True):
+                if (key := tuple(key)) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
@@ -236,7 +226,7 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
         out, size = [], 0
         for key, members in once(batches):
             p = prefix(members, *shared.value)
-            out.append((p.view(np.int64), np.full(len(p), key)))
+            out.append((p.view(np.int64), np.full(len(p), key[0])))
             size += len(p)
             if size >= 1 << 16:
                 yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
@@ -245,45 +235,51 @@ def similar_links(docs: DataFrame, table: DataFrame) -> DataFrame:
             yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
 
     met = written(keyed.mapInArrow(prefixes, "h long, key long"), "similar-prefixes")
-    groups = met.groupBy("h").agg(F.min("key").alias("block"), F.max("key").alias("last")).where("block < last").select("h", "block")
-    sketches = table.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))  # rows of a key are equal
-    blocks = written(met.join(groups, "h").select("block", "key").distinct(), "similar-blocks")
+    groups = met.groupBy("h").agg(F.min("key").alias("block"), F.max("key").alias("last"), F.count("*").alias("rows")).where("block < last")
+    groups = written(groups, "similar-groups")
+    clash = texts.groupBy(F.col("key").alias("block")).count().where("count > 1").select("block", F.col("block").alias("key"))
+    two = groups.where("rows = 2").select("block", F.explode(F.array("block", "last")).alias("key"))
+    more = join_named(met, groups.where("rows > 2").select("h", "block", "rows"), ["h"], "rows").select("block", "key")
+    blocks = written(two.unionByName(more).unionByName(clash).distinct(), "similar-blocks")
     by = ["block", "a", "b"]
 
     def dealt(what: DataFrame, size: Column) -> DataFrame:
         """Rows of blocks, each for every pair of tiles (a, b) that it stands in, sorted by block and pair."""
-        tiles = what.groupBy("block").agg(F.ceil(F.sum(size) / F.lit(TILE)).cast("int").alias("tiles"))
-        mine = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-        out = what.join(tiles, "block").withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiles = what.groupBy("block").agg(F.ceil(F.sum(size) / F.lit(TILE)).cast("int").alias("tiles")).where("tiles > 1")
+        tiles = small(written(tiles, "similar-tiles"))  # few blocks are as large as that
+        mine = F.pmod(F.xxhash64("tid"), F.col("tiles")).cast("int")
+        out = what.join(tiles, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("t", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         out = out.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o")).drop("t", "o", "tiles")
         return out.repartition(*by).sortWithinPartitions(*by)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, by):
+        for run in runs_of(batches, by):
             if run.num_rows > 1:
-                keys = run["key"].combine_chunks()
+                tids = run["tid"].combine_chunks()
                 mask = block_partners(run["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in run["sketch"].to_pylist()])
                 if mask.any():
-                    keys = keys.filter(pa.array(mask))
-                    yield record_batch(_MEMBER, [run["block"][0].as_py()] * len(keys), keys)
+                    tids = tids.filter(pa.array(mask))
+                    yield record_batch(_MEMBER, [run["block"][0].as_py()] * len(tids), tids)
 
-    held = blocks.join(sketches, "key")
-    near = written(dealt(held, F.octet_length("sketch")).mapInArrow(paired, "block long, key long").distinct(), "similar-near")
-    needed = written(near.select("key").distinct(), "similar-needed")
+    held = blocks.join(texts.select("key", "tid", "n", "sketch"), "key").drop("key")
+    near = written(dealt(held, F.octet_length("sketch")).mapInArrow(paired, "block long, tid long").distinct(), "similar-near")
+    needed = written(near.select("tid").distinct().join(texts.select("tid", "key", "other"), "tid"), "similar-needed")
 
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, members in once(batches):
-            yield record_batch(_SET, [key], [members.tobytes()])
+            yield record_batch(_SET, [key[0]], [key[1]], [members.tobytes()])
 
-    sets = semi(keyed, needed, "key", "left_semi").mapInArrow(make_sets, "key long, members binary").dropDuplicates(["key"])
+    known = ["key", "other"]
+    sets = semi(keyed, needed.select(known), known, "left_semi").mapInArrow(make_sets, "key long, other long, members binary").dropDuplicates(known)
+    sets = written(sets.join(needed, known).select("tid", "members"), "similar-sets")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, by):
-            keys = run["key"].to_pylist()
+        for run in runs_of(batches, by):
+            tids = run["tid"].to_pylist()
             if found := block_links([np.frombuffer(x, "<u8") for x in run["members"].to_pylist()]):
-                yield record_batch(_PAIR, [keys[i] for i, _ in found], [keys[j] for _, j in found])
+                yield record_batch(_PAIR, [tids[i] for i, _ in found], [tids[j] for _, j in found])
 
-    return dealt(near.join(sets, "key"), F.octet_length("members")).mapInArrow(search, "u long, v long")
+    return dealt(near.join(sets, "tid"), F.octet_length("members")).mapInArrow(search, "u long, v long")
 
 
 def without_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
@@ -299,24 +295,27 @@ def without_near_copies(docs: DataFrame, radius: int = 2) -> DataFrame:
     table = written(read(docs), "near-read")
     rows = table.where("key is not null")
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    texts = written(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min(low).alias("low"), F.count("*").alias("copies")), "near-texts")
-    first = texts.groupBy("fp").agg(F.min("key").alias("first"))
-    same = texts.join(first, "fp").where("key <> first").select(F.col("key").alias("u"), F.col("first").alias("v"))
-    first = written(first, "near-first")
+    # rows of a text have equal n, fp and sketch
+    texts = rows.groupBy("key", "other").agg(F.min("fp").alias("fp"), F.min(low).alias("low"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "near-texts")
+    first = written(texts.groupBy("fp").agg(F.min("tid").alias("first"), F.count("*").alias("texts")), "near-first")
+    same = join_named(texts.select("tid", "fp"), first, ["fp"], "texts").where("tid <> first").select(F.col("tid").alias("u"), F.col("first").alias("v"))
+    first = first.select("fp", "first")
     near = links(first.select("fp"), radius).join(first.toDF("u", "a"), "u").join(first.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = connected_components(same.unionByName(near).unionByName(similar_links(docs, table)), "near-links").toDF("key", "root")
-    named = texts.join(roots, "key", "left").select("key", "low", "copies", F.coalesce("root", "key").alias("root"))
-    stays = named.groupBy("root").agg(F.min(F.struct("low", "key")).alias("stays"), F.sum("copies").alias("rows")).where("rows > 1")
+    roots = connected_components(same.unionByName(near).unionByName(similar_links(docs, table, texts)), "near-links").toDF("tid", "root")
+    judged = texts.join(roots, "tid", "left").select("key", "other", "low", "copies", F.coalesce("root", "tid").alias("root"))
+    stays = judged.groupBy("root").agg(F.min(F.struct("low", "key", "other")).alias("stays"), F.sum("copies").alias("rows"), F.count("*").alias("texts")).where("rows > 1")
     # of each text with anything to drop: the id of the row that stays, and whether any row does
-    text, kept, stay_id = fresh_names(docs, "text_key", "text_stays", "id_stays")
-    verdict = named.join(stays, "root").select(F.col("key").alias(text), (F.col("key") == F.col("stays.key")).alias(kept), F.col("low.doc_id").alias(stay_id))
-    left = semi(docs.withColumn(text, F.xxhash64("text")), written(verdict, "near-verdict"), text, "left")
+    text, text2, kept, stay_id = fresh_names(docs, "text_key", "text_key2", "text_stays", "id_stays")
+    own = (F.col("key") == F.col("stays.key")) & (F.col("other") == F.col("stays.other"))
+    verdict = join_named(judged, written(stays, "near-stays"), ["root"], "texts").select(F.col("key").alias(text), F.col("other").alias(text2), own.alias(kept), F.col("low.doc_id").alias(stay_id))
+    left = semi(docs.select("*", *named("text", text, text2)), written(verdict, "near-verdict"), [text, text2], "left")
     id_ = F.col("doc_id").cast("long")
-    left = left.where(F.col(kept).isNull() | (F.col(kept) & id_.eqNullSafe(F.col(stay_id)))).select(*docs.columns, text)
-    again = written(rows.groupBy("doc_id", "key").count().where("count > 1").select("key").distinct().toDF(text), "near-again")
+    left = left.where(F.col(kept).isNull() | (F.col(kept) & id_.eqNullSafe(F.col(stay_id)))).select(*docs.columns, text, text2)
+    again = written(rows.groupBy("doc_id", "key", "other").count().where("count > 1").select("key", "other").distinct().toDF(text, text2), "near-again")
     if again.isEmpty():
         return left.select(docs.columns)
     (rank,) = fresh_names(left, "rank")
-    order = Window.partitionBy(id_, text).orderBy(F.to_json(F.struct(*docs.columns)))
-    few = semi(left, again, text, "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
-    return semi(left, again, text, "left_anti").select(docs.columns).unionByName(few.select(docs.columns))
+    order = Window.partitionBy(id_, text, text2).orderBy(F.to_json(F.struct(*docs.columns)))
+    few = semi(left, again, [text, text2], "left_semi").withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1)
+    return semi(left, again, [text, text2], "left_anti").select(docs.columns).unionByName(few.select(docs.columns))

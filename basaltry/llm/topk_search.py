@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import record_batch, written
 from .vectors import best, first_of_equals, matrix, query_classes, salt, same_width, usable
 
-#: Pivots at most (they are broadcast), vectors and queries of a cell that one task holds, points of a leaf of data and of queries.
-PIVOTS, SAMPLE, BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 256, 8192, 2048, 4096, 64, 16
+#: Pivots at most (they are broadcast), vectors (at least, and bytes of them at most) and queries of a cell that one task holds, points of a leaf of data and of queries.
+PIVOTS, SAMPLE, BLOCK, BLOCK_BYTES, QUERY_BLOCK, LEAF, QUERY_LEAF = 256, 8192, 2048, 16 << 20, 4096, 64, 16
 #: Points that a query group looks at before its worst kth score is taken anew.
 STEP = 256
 #: Scores beyond this (either sign) count as this; it leaves a lower long to mark empty places.
@@ -172,14 +172,14 @@ def _select(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024, block_size: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024, block_size: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """vectors, queries (vec_id, embedding) to query_id, rank (from 1), vec_id, score.
 
     Each component x counts as floor(scale * x).  A query's own id is no candidate.  Ties go to the
     smaller vec_id.  Left out are rows with a null id or vector, null or non-finite
     components.  Scores are exact; one beyond 2^63 - 2 (or under its negative) counts as that.
     Shorter vectors, empty ones too, count as filled up with zeros.  Repeated rows (same id, same vector) count once; an id with
-    two vectors is two candidates, and a query with each.  Fewer candidates than k give fewer rows.
+    two vectors is two candidates, and a query with each: it gets the best of what they find.  Fewer candidates than k give fewer rows.
     """
     spark = vectors.sparkSession
 
@@ -189,12 +189,15 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
 
     whole = lambda df: usable(df, empty=True).select("vec_id", F.transform("v", count).alias("v"))
     data = written(first_of_equals(whole(vectors).distinct(), k + 1), "topk-data")
-    classes, members = query_classes(whole(queries).distinct())
-    classes, members = written(classes, "topk-queries"), written(members, "topk-members")
-
-    n = data.count()
+    classes, members, own = query_classes(whole(queries).distinct())
+    deep = k + own
+
+    n, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
+    width = width or 1
+    if block_size is None:  # larger blocks meet fewer copies of queries, smaller ones more tasks
+        most = max(BLOCK, min(16 * BLOCK, BLOCK_BYTES // (8 * width)))
+        block_size = max(BLOCK, min(most, n // (2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     some = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"].tolist()
-    width = data.agg(F.max(F.size("v"))).first()[0] or 1
     sample = np.zeros((len(some), width))
     for i, v in enumerate(some):
         sample[i, : len(v)] = v
@@ -228,7 +231,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
         q, x = same_width(matrix(left["v"]), matrix(right["v"]))
         ids = right["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        rows, found, scores = dual_tree(q, x[order], ids[order], k + 1, left["floor"].to_numpy().astype(np.float64))
+        rows, found, scores = dual_tree(q, x[order], ids[order], deep, left["floor"].to_numpy().astype(np.float64))
         return pa.Table.from_batches([record_batch(_FOUND, left["id"].to_numpy()[rows], ids[order][found], scores)])
 
     def joined(pairs: DataFrame) -> DataFrame:
@@ -242,7 +245,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
     n_queries = max(1, -(-asked.count() // query_block))
     first = asked.select("id", F.lit(float("-inf")).alias("floor"), "v", "cell", salt("id", F.coalesce(salt_of[F.col("cell")], F.lit(1))).alias("salt"), salt("id", n_queries).alias("part"))
     seeds = written(joined(first), "topk-first")
-    floors = seeds.withColumn("r", F.row_number().over(_by_score())).where(F.col("r") == k + 1).select(F.col("q").alias("id"), F.col("score").cast("double").alias("floor"))
+    floors = seeds.withColumn("r", F.row_number().over(_by_score())).where(F.col("r") == deep).select(F.col("q").alias("id"), F.col("score").cast("double").alias("floor"))
     known = asked.join(floors, "id", "left").select("id", "cell", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
 
     # second pass: the cells whose bound reaches the query's kth score
@@ -267,7 +270,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 1024
 
     pairs = known.select("id", "floor", "v").mapInArrow(surviving, "id long, floor double, v array<double>, cell int, salt int, part int").withColumn("part", salt("id", n_queries))
     found = seeds.unionByName(joined(pairs))
-    return best(found, members, k).select("query_id", "rank", "vec_id", "score")
+    return best(found, classes, members, k, deep)
 
 
 def _by_score():

@@ -25,14 +25,14 @@ from .vectors import finite, matrix
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Components beyond this after scaling (either sign) count as this, so that sums of squares are longs.
 MOST = 1 << 26
-#: Parts that are compared with a codebook at a time.
-STEP = 1024
+#: Parts that are compared with a codebook at a time; share of pairs up to which they are looked at one by one.
+STEP, DENSE = 1024, 0.05
 
 
 def segments(width: int) -> list[int]:
-    """Numbers of segments, coarse to fine, ending above pairs of components."""
+    """Numbers of segments, coarse to fine, ending above runs of four components."""
     out = [1]
-    while out[-1] * 2 <= width // 2:
+    while out[-1] * 2 <= width // 4:
         out.append(out[-1] * 2)
     return out
 
@@ -46,49 +46,64 @@ def profile(x: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([sums / np.sqrt(length), np.sqrt(rest)], axis=1)
 
 
+def _firsts(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in the order of their rows the place of each row's first smallest value, and that value."""
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    lowest = np.minimum.reduceat(values, starts)
+    place = np.flatnonzero(values == np.repeat(lowest, np.diff(np.append(starts, len(rows)))))
+    return place[np.concatenate([[True], rows[place][1:] != rows[place][:-1]])], lowest
+
+
 def nearest(x: np.ndarray, book: np.ndarray, looked: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(entry, squared distance) of the nearest row of book for each row of x, ties to the lower entry; whole numbers, exact.
 
-    looked gets the number of integer distances that were computed, for tests.
+    While many pairs are left in a block, its bounds and distances are made by products, else pair by pair.
+    looked gets the number of pairs whose integer distances were asked for, for tests.
     """
     best, far = np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int64)
     if not x.shape[1] or not len(x):
         return best, far
-    counts = segments(x.shape[1])
-    books = [profile(book, n) for n in counts]
-    lengths = (books[0] ** 2).sum(axis=1)
+    levels = [profile(book, n) for n in segments(x.shape[1])]
+    lengths = [(p**2).sum(axis=1) for p in levels]
+    whole, squares = book.astype(np.float64), (book.astype(np.float64) ** 2).sum(axis=1)
+    most = (float(np.abs(x).max()) + float(np.abs(book).max())) ** 2 * x.shape[1]
     for at in range(0, len(x), STEP):
         some = x[at : at + STEP]
-        every = np.arange(len(some))
-
-        def exact(rows: np.ndarray, entries: np.ndarray, some: np.ndarray = some) -> np.ndarray:
-            if looked is not None:
-                looked.append(len(rows))
-            return ((some[rows] - book[entries]) ** 2).sum(axis=1)
-
-        own = profile(some, counts[0])
-        size = (own**2).sum(axis=1)[:, None] + lengths
-        bound = size - 2 * own @ books[0].T
-        slack = 1e-12 * size + 1e-6  # more than what rounding can do
-        least = exact(every, bound.argmin(axis=1))
-        rows, entries = np.nonzero(bound - slack <= least[:, None])
-        for n, fine in zip(counts[1:], books[1:], strict=True):
+        least, left, rows, entries = None, None, None, None
+        for n, fine, length in zip(segments(x.shape[1]), levels, lengths, strict=True):
             own = profile(some, n)
-            gap = ((own[rows] - fine[entries]) ** 2).sum(axis=1)
-            slack = 1e-12 * ((own[rows] ** 2).sum(axis=1) + gap) + 1e-6
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))  # each row has an entry left
-            lowest = np.minimum.reduceat(gap, starts)
-            place = np.flatnonzero(gap == np.repeat(lowest, np.diff(np.append(starts, len(rows)))))
-            firsts = place[np.concatenate([[True], rows[place][1:] != rows[place][:-1]])]
-            least = np.minimum(least, exact(rows[firsts], entries[firsts]))
-            keep = gap - slack <= least[rows]
-            rows, entries = rows[keep], entries[keep]
-        d = exact(rows, entries)
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        lowest = np.minimum.reduceat(d, starts)
-        place = np.flatnonzero(d == np.repeat(lowest, np.diff(np.append(starts, len(rows)))))
-        firsts = place[np.concatenate([[True], rows[place][1:] != rows[place][:-1]])]  # entries ascend in a row
-        best[at : at + len(some)], far[at : at + len(some)] = entries[firsts], lowest
+            if rows is None:  # many are left: bounds of all pairs by one product
+                size = (own**2).sum(axis=1)[:, None] + length
+                bound = size - 2 * own @ fine.T - (1e-12 * size + 1e-6)  # rounding does less
+                if left is not None:
+                    bound[~left] = np.inf
+                guess = ((some - book[bound.argmin(axis=1)]) ** 2).sum(axis=1)
+                least = guess if least is None else np.minimum(least, guess)
+                left = bound <= least[:, None]
+                if np.count_nonzero(left) < DENSE * left.size:
+                    rows, entries = np.nonzero(left)
+            else:
+                mine = own[rows]
+                bound = ((mine - fine[entries]) ** 2).sum(axis=1)
+                bound -= 1e-12 * ((mine**2).sum(axis=1) + bound) + 1e-6
+                first, _ = _firsts(rows, bound)
+                least = np.minimum(least, ((some[rows[first]] - book[entries[first]]) ** 2).sum(axis=1))
+                keep = bound <= least[rows]
+                rows, entries = rows[keep], entries[keep]
+        if looked is not None:
+            looked.append(np.count_nonzero(left) if rows is None else len(rows))
+        if rows is None and most < 2**52:  # whole numbers below 2^53 are exact in doubles
+            own = some.astype(np.float64)
+            d = (own**2).sum(axis=1)[:, None] + squares - 2 * own @ whole.T
+            d[~left] = np.inf
+            found = d.argmin(axis=1)
+            best[at : at + len(some)], far[at : at + len(some)] = found, d[np.arange(len(some)), found].astype(np.int64)
+            continue
+        if rows is None:
+            rows, entries = np.nonzero(left)
+        d = ((some[rows] - book[entries]) ** 2).sum(axis=1)
+        first, lowest = _firsts(rows, d)  # entries ascend in a row
+        best[at : at + len(some)], far[at : at + len(some)] = entries[first], lowest
     return best, far
 
 

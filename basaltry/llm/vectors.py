@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_named, written
+
 
 def finite(v: Column) -> Column:
     """Whether an array is not null and holds neither null nor non-finite components."""
@@ -30,18 +32,35 @@ def first_of_equals(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def query_classes(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(q, v): each different query vector once, q the smallest id that has it; (query_id, q)."""
-    classes = queries.groupBy("v").agg(F.min("vec_id").alias("q"))
-    members = queries.join(classes, "v").select(F.col("vec_id").alias("query_id"), "q")
-    return classes.select("q", "v"), members
+#: Vectors, or lists of found neighbours, that a join broadcasts at most.
+FEW = 1 << 12
+
 
+def query_classes(queries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(q, v, members): each different vector of queries (vec_id, v; no row twice) once, q being its own number; (query_id, q);
+    the number of vectors of the id that has most of them.
+
+    A class is named by a number, not by an id: an id may have several vectors, and then belongs to several classes.
+    """
+    queries = written(queries, "asked")
+    classes = written(queries.groupBy("v").agg(F.count("*").alias("members")).withColumn("q", F.monotonically_increasing_id()), "asked-classes")
+    members = join_named(queries, classes, ["v"], "members", FEW).select(F.col("vec_id").alias("query_id"), "q")
+    most = queries.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
+    return classes, written(members, "asked-members"), most
 
-def best(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """found (q, vec_id, score), k + 1 or more for each q, to query_id, rank, vec_id, score."""
+
+def best(found: DataFrame, classes: DataFrame, members: DataFrame, k: int, deep: int) -> DataFrame:
+    """found (q, vec_id, score), the deep best of each q, to query_id, rank, vec_id, score.
+
+    deep is k and what an id's own vectors can take.  An id with several vectors gets the best of what they find;
+    equal (vec_id, score) count once.
+    """
     better = [F.desc("score"), F.asc("vec_id")]
-    top = found.distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*better))).where(F.col("r") <= k + 1).drop("r")
-    own = members.distinct().join(top, "q").where("query_id <> vec_id")
+    top = found.distinct().withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(*better))).where(F.col("r") <= deep)
+    lists = top.groupBy("q").agg(F.collect_list(F.struct("vec_id", "score")).alias("top"))
+    lists = written(lists.join(classes.select("q", "members"), "q"), "asked-best")
+    each = join_named(members, lists, ["q"], "members", FEW).select("query_id", F.explode("top").alias("t")).select("query_id", "t.vec_id", "t.score")
+    own = each.where("query_id <> vec_id").distinct()
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*better))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
