@@ -33,17 +33,18 @@ from .simhash import links, majority, shingle_hashes
 SHINGLE = 5
 #: Members of texts that are counted together, and members at most whose counts order the prefixes (they are broadcast).
 CHUNK, COMMON = 1 << 21, 1 << 20
-#: Keys that a join broadcasts at most; beyond it is shuffled.
-BROADCAST_ROWS = 1 << 20
+#: Keys that a join broadcasts at most; beyond it is shuffled.  Texts from which on a member is hot: its rows are not sent to one task.
+BROADCAST_ROWS, HOT = 1 << 20, 1 << 16
 #: Bytes of sets that a tile holds, bits of a sketch, texts that a task remembers to leave out their copies.
 TILE, PARITY, SEEN = 32 << 20, 1024, 1 << 18
 
 _READ = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("other", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary()), ("counts", pa.binary())])
 _READ_SQL = "doc_id long, key long, other long, fp long, n long, sketch binary, members binary, counts binary"
 _COUNT = pa.schema([("h", pa.int64()), ("c", pa.int64())])
-_PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64())])
+_PREFIX = pa.schema([("h", pa.int64()), ("key", pa.int64()), ("hot", pa.bool_())])
 _SET = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("members", pa.binary())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_TEXT = pa.schema([("block", pa.int64()), ("key", pa.int64())])
 _MEMBER = pa.schema([("block", pa.int64()), ("tid", pa.int64())])
 
 
@@ -60,6 +61,21 @@ def prefix(members: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.nda
     return members[np.lexsort((members, rank))[: n + (-4 * n) // 5 + 1]]
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, key), sorted, to (block, key): block is the smallest key of an h that several keys have."""
+    last, block = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, key = b["h"].to_numpy(), b["key"].to_numpy()
+        new = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
+        firsts = np.concatenate([[block], key[new]])  # the run that the last batch ended with, then those that begin here
+        blocks = firsts[np.cumsum(new)]
+        last, block = h[-1], int(blocks[-1])
+        own = np.unique(blocks[key != blocks])
+        yield record_batch(_TEXT, np.concatenate([blocks[key != blocks], own]), np.concatenate([key[key != blocks], own]))
+
+
 def parity(members: np.ndarray) -> np.ndarray:
     """A bit for each hash class: whether the set has an odd number of members in it.  Large sets have longer sketches."""
     bits = min(1 << 16, max(PARITY, 1 << int(2 * len(members)).bit_length()))
@@ -209,6 +225,8 @@ def similar_links(docs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(_common(table))
     keyed = docs.select(*named("text", "key", "other"), F.col("text").cast("binary").alias("text")).where("text is not null")
 
+    limit = HOT
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
         """(key, other) and set of each text; copies in one task mostly once."""
         seen = set()
@@ -224,9 +242,11 @@ def similar_links(docs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFr
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
+        common, often = shared.value
+        most = common[often >= limit]
         for key, members in once(batches):
-            p = prefix(members, *shared.value)
-            out.append((p.view(np.int64), np.full(len(p), key[0])))
+            p = prefix(members, common, often)
+            out.append((p.view(np.int64), np.full(len(p), key[0]), np.isin(p, most)))
             size += len(p)
             if size >= 1 << 16:
                 yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
@@ -234,13 +254,13 @@ def similar_links(docs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFr
         if out:
             yield record_batch(_PREFIX, *map(np.concatenate, zip(*out, strict=True)))
 
-    met = written(keyed.mapInArrow(prefixes, "h long, key long"), "similar-prefixes")
-    groups = met.groupBy("h").agg(F.min("key").alias("block"), F.max("key").alias("last"), F.count("*").alias("rows")).where("block < last")
-    groups = written(groups, "similar-groups")
+    met = written(keyed.mapInArrow(prefixes, "h long, key long, hot boolean"), "similar-prefixes")
+    # few members are hot: their smallest keys are broadcast; of the others each one's texts pass through a task in order
+    hot = met.where("hot").select("h", "key")
+    lowest = small(written(hot.groupBy("h").agg(F.min("key").alias("block")), "similar-hot"))
+    cold = met.where("not hot").select("h", "key").repartition("h").sortWithinPartitions("h", "key").mapInArrow(groups, "block long, key long")
     clash = texts.groupBy(F.col("key").alias("block")).count().where("count > 1").select("block", F.col("block").alias("key"))
-    two = groups.where("rows = 2").select("block", F.explode(F.array("block", "last")).alias("key"))
-    more = join_named(met, groups.where("rows > 2").select("h", "block", "rows"), ["h"], "rows").select("block", "key")
-    blocks = written(two.unionByName(more).unionByName(clash).distinct(), "similar-blocks")
+    blocks = written(cold.unionByName(hot.join(lowest, "h").select("block", "key")).unionByName(clash).distinct(), "similar-blocks")
     by = ["block", "a", "b"]
 
     def dealt(what: DataFrame, size: Column) -> DataFrame:

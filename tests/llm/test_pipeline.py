@@ -70,9 +70,10 @@ def planted(n, seed):
     return out
 
 
-@pytest.mark.parametrize("tile", [32 << 20, 4000])
-def test_near_dedup_joins_what_brute_force_joins(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "hot"), [(32 << 20, 1 << 16), (4000, 2)])
+def test_near_dedup_joins_what_brute_force_joins(spark, monkeypatch, tile, hot):
     monkeypatch.setattr(similar, "TILE", tile)  # small: blocks are dealt as pairs of tiles
+    monkeypatch.setattr(similar, "HOT", hot)  # small: members of several texts are grouped by their smallest keys
     monkeypatch.setattr(similar, "CHUNK", 2000)
     texts = [t for seed in range(4) for t in planted(30, seed)]
     random.Random(5).shuffle(texts)
@@ -95,6 +96,16 @@ def test_near_dedup_judges_rows_by_id_and_text(spark):
     assert p.near_dedup(spark, rows_of(spark, odd), "").columns == rows_of(spark, odd).columns
 
 
+def test_groups_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, 5), (2, 3), (2, 3), (2, 4), (2, 9), (3, 7), (3, 7), (4, 1), (4, 2)]
+    want = {(3, 3), (3, 4), (3, 9), (1, 1), (1, 2)}
+    for cut in range(len(rows) + 1):
+        parts = [pa.RecordBatch.from_arrays([pa.array([h for h, _ in p], pa.int64()), pa.array([k for _, k in p], pa.int64())], names=["h", "key"]) for p in (rows[:cut], rows[cut:])]
+        assert {(r["block"], r["key"]) for b in similar.groups(iter(parts)) for r in b.to_pylist()} == want
+
+
 def test_block_links_are_spanning_and_few():
     sets = [similar.shingles(t.encode()) for t in planted(80, 9)]
     links = similar.block_links(sets)
