@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import drop, written
+from .matrix import as_lists, block
 from .svd import SVDParams, chebyshev_diff, symmetric_svd_rows
 
 
@@ -207,6 +208,112 @@ def local_cluster(edges: DataFrame, seeds: list, params: PPRParams | None = None
             return best, cond
 
 
+# -- many seeds in one plan -----------------------------------------------------------------------------
+
+#: Rows of a frontier that are broadcast to the edges at most; larger ones are joined.
+FRONTIER = 1 << 14
+
+
+def diffuse_many(edges: DataFrame, starts: DataFrame, params: PPRParams | None = None) -> DataFrame:
+    """(seed, vertex, degree, y): the diffusions of time_dependent_ppr from many seeds at once.
+
+    starts (seed, vertex, mass) says where the diffusion named seed begins.  The state of all diffusions is one table of (seed,
+    vertex); a round solves for all vertices that are over their bounds, joins them with the edges and adds up what they pass
+    on, so a round costs one plan for however many seeds, and nothing of it is on the driver.
+    """
+    p = params or PPRParams()
+    n = collocation_size(p)
+    m, c = _diffusion_matrix(n, p.gamma), _residual_bound(p)
+    pick = [t * n // p.times for t in range(p.times)]
+    deg = degrees(edges)
+    arcs = written(edges.join(deg.select(F.col("vertex").alias("dst"), "degree"), "dst").select("src", "dst", "degree"), "diffuse-arcs")
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    state = starts.join(deg, "vertex").select("seed", "vertex", "degree", F.concat(zeros(n - 1), F.array(F.col("mass").cast("double"))).alias("r"), zeros(p.times).alias("y"), F.lit(True).alias("hot"))
+    state = written(state, "diffuse")
+    schema = state.drop("hot").withColumn("sent", zeros(n)).schema
+
+    def solve(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, y, degree = block(b["r"]), block(b["y"]), b["degree"].to_numpy()
+            hot = b["hot"].to_numpy(zero_copy_only=False)
+            delta = r @ m.T
+            y = np.where(hot[:, None], y + delta[:, pick], y)
+            sent = np.concatenate([delta[:, : n - 1] * (p.alpha / degree)[:, None], np.zeros((len(r), 1))], axis=1)
+            sent[~hot] = 0.0
+            left = np.where(hot[:, None], 0.0, r)
+            yield pa.RecordBatch.from_arrays([b["seed"], b["vertex"], b["degree"], as_lists(left), as_lists(y), as_lists(sent)], names=schema.names)
+
+    total = lambda name, k: F.array(*[F.sum(F.col(name)[i]) for i in range(k)]).alias(name)
+    for _ in range(p.rounds):
+        hot = state.where("hot")
+        busy = hot.count()
+        if not busy:
+            return state.where(F.col("y")[0] != 0).select("seed", "vertex", "degree", "y")
+        solved = state.mapInArrow(solve, schema)
+        front = hot.mapInArrow(solve, schema).select("seed", F.col("vertex").alias("src"), "sent")
+        front = F.broadcast(front) if busy <= FRONTIER else front
+        moved = arcs.join(front, "src").select("seed", F.col("dst").alias("vertex"), "degree", F.col("sent").alias("r"), zeros(p.times).alias("y"))
+        both = solved.drop("sent").unionByName(moved)
+        sums = both.groupBy("seed", "vertex").agg(F.max("degree").alias("degree"), total("r", n), total("y", p.times))
+        over = F.array_max(F.transform("r", F.abs)) > c * F.col("degree")
+        old, state = state, written(sums.withColumn("hot", over), "diffuse")
+        drop(old)
+    raise RuntimeError(f"the diffusion has not come to rest after {p.rounds} rounds: raise epsilon or rounds")
+
+
+def sweep_many(edges: DataFrame, y: DataFrame, times: int, total: int) -> DataFrame:
+    """(seed, t, conductance, position, members) of the best prefix at each time t; y (written): what diffuse_many gave.
+
+    Vertices of a diffusion are ranked within it (a local method: they are few); an edge is looked at once for all times.
+    """
+    ranked = y.select("seed", "vertex", "degree", F.array(*[F.row_number().over(Window.partitionBy("seed").orderBy(F.desc(F.col("y")[t] / F.col("degree")), "vertex")) for t in range(times)]).alias("place"))
+    ranked = written(ranked, "sweep-places")
+    inner = ranked.select("seed", "vertex", "place").join(edges.select(F.col("src").alias("vertex"), "dst"), "vertex")
+    inner = inner.join(ranked.select("seed", F.col("vertex").alias("dst"), F.col("place").alias("other")), ["seed", "dst"])
+    inside = inner.groupBy("seed", "vertex").agg(*[F.count_if(F.col("other")[t] < F.col("place")[t]).alias(f"in{t}") for t in range(times)])
+    steps = written(ranked.join(inside, ["seed", "vertex"], "left"), "sweep-inside")
+    every = F.array(*[F.struct(F.lit(t).alias("t"), F.col("place")[t].alias("position"), (F.col("degree") - 2 * F.coalesce(F.col(f"in{t}"), F.lit(0))).alias("cut")) for t in range(times)])
+    each = steps.select("seed", "degree", F.explode(every).alias("e")).select("seed", "degree", "e.*")
+    so_far = Window.partitionBy("seed", "t").orderBy("position")
+    cuts = each.select("seed", "t", "position", F.sum("degree").over(so_far).alias("volume"), F.sum("cut").over(so_far).alias("cut"))
+    low = F.least(F.col("volume"), F.lit(total) - F.col("volume"))
+    cuts = cuts.withColumn("conductance", F.when(low > 0, F.col("cut") / low).otherwise(1.0))
+    best = cuts.groupBy("seed", "t").agg(F.min(F.struct("conductance", "position")).alias("b"))
+    # the first time counts, and any later one that is better by more than rounding
+    tops = best.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("t", "b.conductance", "b.position"))).alias("tops"))
+    better = lambda a, x: F.when(a["t"].isNull() | (x["conductance"] < 0.999999 * a["conductance"]), x).otherwise(a)
+    none = F.struct(F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("conductance"), F.lit(None).cast("int").alias("position"))
+    chosen = tops.select("seed", F.aggregate("tops", none, better).alias("c")).select("seed", "c.*")
+    members = ranked.join(chosen, "seed").where(F.expr("place[t]") <= F.col("position"))
+    return members.select("seed", "t", "conductance", "position", "vertex")
+
+
+def clusters_of(edges: DataFrame, seeds: DataFrame, params: PPRParams | None = None, recursive: bool = False) -> DataFrame:
+    """(seed, vertex, conductance): a row for each member of the local cluster of every seed of seeds (seed: its vertex), as local_cluster
+    finds them one by one.  recursive starts again from the clusters found while that improves them.  Seeds without edges are left out."""
+    p, spark = params or PPRParams(), edges.sparkSession
+    total = num_edges(edges)
+    starts = seeds.select("seed", F.col("seed").alias("vertex"), F.lit(1.0).alias("mass"))
+    done: DataFrame | None = None
+    while True:
+        y = written(diffuse_many(edges, starts, p), "cluster-diffused")
+        found = written(sweep_many(edges, y, p.times, total).select("seed", "vertex", "conductance"), "cluster-found")
+        if done is None:
+            done, better = found, found
+        else:
+            old = done.groupBy("seed").agg(F.min("conductance").alias("old"))
+            now = found.groupBy("seed").agg(F.min("conductance").alias("new"))
+            gain = written(now.join(old, "seed").where("new < 0.999999 * old").select("seed"), "cluster-better")
+            better = found.join(gain, "seed", "left_semi")
+            done = written(done.join(gain, "seed", "left_anti").unionByName(better), "cluster-best")
+        if not recursive or better.isEmpty():
+            return done
+        size = better.groupBy("seed").agg((1.0 / F.count("*")).alias("mass"))
+        starts = better.select("seed", "vertex").join(size, "seed")
+
+
 #: Directed edges up to which a graph is broadcast as an array of neighbours (eight bytes each).
 HELD_EDGES = 1 << 25
 
@@ -283,17 +390,16 @@ class _Held:
 def communities(edges: DataFrame, seeds: list | None = None, params: PPRParams | None = None, recursive: bool = False) -> DataFrame:
     """(seed, cluster, conductance): the local cluster of every seed, of every vertex if none are named; seeds without edges are left out.
 
-    A graph of up to HELD_EDGES edges is broadcast, and seeds are dealt over tasks.  For a larger one the driver takes seed after seed by
-    local_cluster, whose steps are distributed themselves.
+    A graph of up to HELD_EDGES edges is broadcast, and seeds are dealt over tasks.  For a larger one all seeds diffuse in one plan
+    (clusters_of).
     """
     p, spark, kind = params or PPRParams(), edges.sparkSession, dict(edges.dtypes)["src"]
     edges = written(edges.select("src", "dst"), "community-edges")
-    schema = f"seed {kind}, cluster array<{kind}>, conductance double"
     index = written(vertex_index(edges), "community-index")
-    wanted = index if seeds is None else index.join(F.broadcast(spark.createDataFrame([(s,) for s in seeds], f"vertex {kind}")), "vertex", "left_semi")
+    wanted = index if seeds is None else index.join(spark.createDataFrame([(s,) for s in seeds], f"vertex {kind}"), "vertex", "left_semi")
     if edges.count() > HELD_EDGES:
-        rows = ((r[0], *local_cluster(edges, [r[0]], p, recursive)) for r in wanted.select("vertex").toLocalIterator())
-        return spark.createDataFrame(rows, schema)
+        found = clusters_of(edges, wanted.select(F.col("vertex").alias("seed")), p, recursive)
+        return found.groupBy("seed").agg(F.sort_array(F.collect_set("vertex")).alias("cluster"), F.max("conductance").alias("conductance"))
     arcs, _ = adjacency(edges, index)
     table = arcs.select("i", "j").orderBy("i", "j").toArrow()
     starts = np.searchsorted(table["i"].to_numpy(), np.arange(index.count() + 1))

@@ -1,8 +1,7 @@
 """Distance and kernel matrices.
 
-`gram(x, y, kernel)` is relational: every row of x with every row of y by a nested-loop join, for a y that is
-broadcast when Spark finds it small; `gram_block` is the same in numpy and serves maps over
-rows against a small y.
+A y of few bytes is broadcast, and the matrix is a map over the rows of x; beyond, tiles of both sides meet (see
+`pairs`).  Column expressions (`value`) give single values.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import pairs, sketch
 
 # -- distances -------------------------------------------------------------------------------------------
 
@@ -53,13 +52,9 @@ def distance_block(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.select(F.col("row_id").alias("i"), F.col("features").alias("x")).crossJoin(y.select(F.col("row_id").alias("j"), F.col("features").alias("y")))
-
-
 def distance_matrix(x: DataFrame, y: DataFrame, kind: str = "euclidean", alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None) -> DataFrame:
     """alpha D + beta C as (i, j, v); D is squared for 'euclidean'.  The result has a row for each pair."""
-    out = _pairs(x, y).select("i", "j", (alpha * DISTANCES[kind](F.col("x"), F.col("y"))).alias("v"))
+    out = pairs.values(x, y, lambda a, b: distance_block(kind, a, b)).select("i", "j", (alpha * F.col("v")).alias("v"))
     if c is not None and beta:
         out = out.join(c.withColumnRenamed("v", "c"), ["i", "j"], "left").select("i", "j", (F.col("v") + beta * F.coalesce("c", F.lit(0.0))).alias("v"))
     return out
@@ -69,7 +64,7 @@ def symmetric_distance_matrix(x: DataFrame, kind: str = "euclidean") -> DataFram
     """The lower triangle (i >= j) of the distances within x."""
     if kind == "expsemigroup":
         raise ValueError("this distance has no symmetric form")
-    return distance_matrix(x, x, kind).where("i >= j")
+    return pairs.values(x, None, lambda a, b: distance_block(kind, a, b))
 
 
 # -- kernels ------------------------------------------------------------------------------------------
@@ -87,10 +82,11 @@ class Kernel:
 
     def gram(self, x: DataFrame, y: DataFrame) -> DataFrame:
         """(i, j, v) for all pairs."""
-        return _pairs(x, y).select("i", "j", self.value(F.col("x"), F.col("y")).alias("v"))
+        return pairs.values(x, y, self.block)
 
     def symmetric_gram(self, x: DataFrame) -> DataFrame:
-        return self.gram(x, x).where("i >= j")
+        """The lower triangle (i >= j)."""
+        return pairs.values(x, None, self.block)
 
     def features(self, S: int, kind: str = "regular", seed: int = 0, counter: int = 0, stream: str = "threefry") -> sketch.Sketch:
         """A feature map z with z(x).z(y) near the kernel; kind: regular, fast or quasi; stream: that of its random numbers."""
@@ -210,27 +206,26 @@ def from_json(text: str) -> Kernel:
     return KERNELS[d.pop("kernel_type")](**{k: v for k, v in d.items() if k != "object_type"})
 
 
-
-
-#: Rows of y that may be broadcast as one block; beyond it pairs are joined.
-BROADCAST_ROWS = 20_000
+#: Bytes of y that may be broadcast as one block; beyond, tiles of both sides meet.
+BROADCAST = 16 << 20
 
 
 def against(x: DataFrame, y: DataFrame, block_fn) -> DataFrame | None:
-    """RowDF of block_fn(x, y), a row of the matrix each, for a y of few rows (its size is checked); else None."""
-    from .matrix import map_rows
+    """RowDF of block_fn(x, y), a row of the matrix each, for a y of few bytes (checked); else None."""
+    from .matrix import block, map_rows, width_of
 
-    few = y.orderBy("row_id").limit(BROADCAST_ROWS + 1).select("features").collect()
-    if len(few) > BROADCAST_ROWS:
+    width = width_of(y) or 1
+    most = BROADCAST // (8 * width)
+    if y.select("row_id").limit(most + 1).count() > most:
         return None
-    shared = x.sparkSession.sparkContext.broadcast(np.array([r[0] for r in few], dtype=np.float64))
+    few = block(y.orderBy("row_id").select("features").toArrow()["features"].combine_chunks())
+    shared = x.sparkSession.sparkContext.broadcast(few)
     return map_rows(x, lambda v: block_fn(v, shared.value))
 
 
-def row_summary(x: DataFrame, y: DataFrame, what: Kernel | str) -> DataFrame:
-    """(i, total, largest) over j of a kernel's or distance's matrix."""
+def row_summary(x: DataFrame, y: DataFrame | None, what: Kernel | str) -> DataFrame:
+    """(i, total, largest) over j of a kernel's or distance's matrix; without y of x with itself."""
     fn = (lambda a, b: distance_block(what, a, b)) if isinstance(what, str) else what.block
-    if (rows := against(x, y, fn)) is not None:
+    if (rows := against(x, x if y is None else y, fn)) is not None:
         return rows.select(F.col("row_id").alias("i"), F.aggregate("features", F.lit(0.0), lambda a, b: a + b).alias("total"), F.array_max("features").alias("largest"))
-    pairs = distance_matrix(x, y, what) if isinstance(what, str) else what.gram(x, y)
-    return pairs.groupBy("i").agg(F.sum("v").alias("total"), F.max("v").alias("largest"))
+    return pairs.summary(x, y, fn)

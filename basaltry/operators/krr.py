@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import krylov, sketch
 from .coding import dummy_coding, label_order
 from .kernels import Gaussian, Kernel
-from .matrix import as_lists, block, map_rows, reduce_blocks, to_numpy, width_of
+from .matrix import as_lists, block, features, map_rows, parts_of, reduce_blocks, to_numpy, width_of
 from .models import FeatureModel, KernelModel
 
 #: Rows up to which a Gram matrix is formed on the driver (8,000 squared doubles are 0.5 GB); bytes of rows that a kernel model holds.
@@ -102,12 +102,12 @@ def _woodbury(z: np.ndarray, lam: float):
 
 def _moments(rows: DataFrame, target: str, z) -> tuple[np.ndarray, np.ndarray]:
     """Z'Z and Z'Y in one pass; z maps a block of features."""
-    frame = rows.select("features", _array(rows, target).alias("t"))
+    frame = rows.select(*parts_of(rows), _array(rows, target).alias("t"))
     k = frame.select(F.size("t")).first()[0]
     s = z(np.zeros((1, width_of(rows)))).shape[1]
 
     def part(b):
-        f, t = z(block(b["features"])), block(b["t"])
+        f, t = z(features(b)), block(b["t"])
         return f.T @ np.concatenate([f, t], axis=1)
 
     both = reduce_blocks(frame, part, (s, s + k))
@@ -116,13 +116,13 @@ def _moments(rows: DataFrame, target: str, z) -> tuple[np.ndarray, np.ndarray]:
 
 def _row_sketched(rows: DataFrame, target: str, z, s: int, p: KRRParams) -> tuple[np.ndarray, np.ndarray]:
     """A sketch of the rows of (Z, Y) to 4 s rows."""
-    frame = rows.select("row_id", "features", _array(rows, target).alias("t"))
+    frame = rows.select("row_id", *parts_of(rows), _array(rows, target).alias("t"))
     k = frame.select(F.size("t")).first()[0]
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b["row_id"], as_lists(np.concatenate([z(block(b["features"])), block(b["t"])], axis=1))], names=["row_id", "features"])
+                yield pa.RecordBatch.from_arrays([b["row_id"], as_lists(np.concatenate([z(features(b)), block(b["t"])], axis=1))], names=["row_id", "features"])
 
     made = frame.mapInArrow(run, "row_id long, features array<double>")
     n = (rows.agg(F.max("row_id")).first()[0] or 0) + 1
@@ -187,7 +187,7 @@ def large_scale_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam:
     """
     p = params or KRRParams(tolerance=1e-1, iter_lim=20)
     maps = _maps(kernel, s, kernel.N, p)
-    frame = rows.select("features", _array(rows, target).alias("t")).persist()
+    frame = rows.select(*parts_of(rows), _array(rows, target).alias("t")).persist()
     k = frame.select(F.size("t")).first()[0]
     model = FeatureModel(maps, [np.zeros((m.S, k)) for m in maps], scaled=True)
     factors: list[np.ndarray | None] = [None] * len(maps)
@@ -199,7 +199,7 @@ def large_scale_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam:
                 shared = sc.broadcast(model)
 
                 def part(b, j=j, shared=shared, first=factors[j] is None):
-                    x = block(b["features"])
+                    x = features(b)
                     z = shared.value.features(j, x)
                     zr = z.T @ (block(b["t"]) - shared.value.decision(x))
                     return np.concatenate([z.T @ z, zr], axis=1) if first else zr

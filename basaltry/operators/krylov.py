@@ -1,4 +1,4 @@
-"""Iterative solvers: loops on the driver over distributed products.
+"""Iterative solvers: loops on the driver over distributed products.  Rows may be dense or sparse.
 
 `Operator` is what a solver needs of a matrix: products with a small dense block from either side.
 A RowDF becomes one whose `mul` maps rows against a broadcast n x k block and whose results of
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import Context
-from .matrix import block, reduce_blocks, width_of
+from .matrix import block, features, parts_of, reduce_blocks, width_of
 
 EPS = float(np.finfo(np.float64).eps)
 
@@ -39,11 +39,11 @@ class NormalOperator:
     """v -> A'A v for a RowDF A, one pass over A for a block of vectors."""
 
     def __init__(self, rows: DataFrame, shift: float = 0.0):
-        self.rows, self.n, self.shift = rows.select("features"), width_of(rows), shift
+        self.rows, self.n, self.shift = rows.select(*parts_of(rows)), width_of(rows), shift
 
     def __call__(self, v: np.ndarray) -> np.ndarray:
         b = self.rows.sparkSession.sparkContext.broadcast(v)
-        out = reduce_blocks(self.rows, lambda t: (x := block(t["features"])).T @ (x @ b.value), (self.n, v.shape[1])) + self.shift * v
+        out = reduce_blocks(self.rows, lambda t: (x := features(t)).T @ (x @ b.value), (self.n, v.shape[1])) + self.shift * v
         b.unpersist()
         return out
 
@@ -106,7 +106,7 @@ class Tall:
         self.rows, self.n = rows, width_of(rows)
         kind = dict(rows.dtypes)[target]
         u = F.col(target) if kind.startswith("array") else F.array(F.col(target).cast("double"))
-        self.frame = rows.select("features", F.transform(u, lambda v: v.cast("double")).alias("u"))
+        self.frame = rows.select(*parts_of(rows), F.transform(u, lambda v: v.cast("double")).alias("u"))
         self.k = self.frame.select(F.size("u")).first()[0]
 
     def transposed(self, weights: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ class Tall:
 
         def part(b):
             u = block(b["u"]) / weights
-            return np.vstack([block(b["features"]).T @ u, (u * u).sum(axis=0)])
+            return np.vstack([features(b).T @ u, (u * u).sum(axis=0)])
 
         return reduce_blocks(self.frame, part, (self.n + 1, self.k))
 
@@ -124,7 +124,7 @@ class Tall:
 
         def part(b):
             d, x = shared.value
-            a = block(b["features"])
+            a = features(b)
             left = block(b["u"]) - a @ x
             return np.vstack([a.T @ (a @ d), a.T @ left, (left * left).sum(axis=0)])
 

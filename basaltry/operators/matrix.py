@@ -1,6 +1,6 @@
 """Matrices as DataFrames.
 
-RowDF is (row_id, features: array<double>), a row of the matrix each; CoordDF is (i, j, v), zeros absent
+RowDF is (row_id, features: array<double>), a row of the matrix each, or in sparse form (row_id, size, indices, values); CoordDF is (i, j, v), zeros absent
 and duplicates summed.  Small matrices (features x features, sketch x features) are numpy arrays on the driver.
 """
 
@@ -15,6 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sparse
+from .sparse import CSR
+
 # -- forms -----------------------------------------------------------------------------------------------
 
 
@@ -25,6 +28,9 @@ def row_df(df: DataFrame, id_col: str, columns: list[str] | str) -> DataFrame:
 
 
 def to_coords(rows: DataFrame, keep_zeros: bool = False) -> DataFrame:
+    if is_sparse(rows):
+        out = coo_sum(sparse.to_coords(rows)) if not keep_zeros else sparse.to_coords(rows).groupBy("i", "j").agg(F.sum("v").alias("v"))
+        return out
     out = rows.select(F.col("row_id").alias("i"), F.posexplode("features").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
     return out if keep_zeros else out.where("v <> 0")
 
@@ -83,11 +89,23 @@ def to_numpy(rows: DataFrame) -> np.ndarray:
 
 
 def height(coords: DataFrame) -> int:
-    return (coords.agg(F.max("i")).first()[0] or -1) + 1
+    """Rows of a CoordDF: one more than the largest index, none without entries."""
+    last = coords.agg(F.max("i")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def is_sparse(rows: DataFrame) -> bool:
+    return "features" not in rows.columns
+
+
+def parts_of(rows: DataFrame) -> list[str]:
+    """The columns that hold the matrix."""
+    return sparse.COLUMNS if is_sparse(rows) else ["features"]
 
 
 def width_of(rows: DataFrame) -> int:
-    return rows.select(F.size("features")).first()[0]
+    """Columns of a RowDF; all rows agree on it."""
+    return rows.select("size" if is_sparse(rows) else F.size("features")).first()[0]
 
 
 def same_matrix(a: DataFrame, b: DataFrame) -> bool:
@@ -117,6 +135,11 @@ def as_lists(a: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1], pa.array(a.ravel()))
 
 
+def features(b: pa.RecordBatch) -> np.ndarray | CSR:
+    """The rows of a batch as a block, dense or sparse as they are."""
+    return block(b["features"]) if "features" in b.schema.names else sparse.block_of(b)
+
+
 @dataclass
 class Tuning:
     """block_rows: rows that dense maps work on at a time; it bounds memory and never changes a result."""
@@ -128,14 +151,17 @@ TUNING = Tuning()
 
 
 def map_rows(rows: DataFrame, fn: Callable[..., np.ndarray], *more: str) -> DataFrame:
-    """Replace features by fn(block of features, *other columns as numpy); other columns stay.  No shuffle."""
-    schema, step = rows.schema, TUNING.block_rows
+    """Replace features by fn(block of features, *other columns as numpy); other columns stay.  No shuffle.
+
+    Sparse rows give a sparse block, and become dense rows."""
+    step = TUNING.block_rows
+    schema = rows.drop(*sparse.COLUMNS).withColumn("features", F.array(F.lit(0.0))).schema if is_sparse(rows) else rows.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
-                made = as_lists(fn(block(b["features"]), *[b[c].to_numpy(zero_copy_only=False) for c in more]))
+                made = as_lists(fn(features(b), *[b[c].to_numpy(zero_copy_only=False) for c in more]))
                 yield pa.RecordBatch.from_arrays([made if f.name == "features" else b[f.name] for f in schema], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -191,11 +217,11 @@ def gram(rows: DataFrame, other: str | None = None) -> np.ndarray:
     """A'A, or A'B for an array column B of the same rows (a scalar column counts as one column)."""
     width = width_of(rows)
     if other is None:
-        return reduce_blocks(rows.select("features"), lambda b: (x := block(b["features"])).T @ x, (width, width))
+        return reduce_blocks(rows.select(*parts_of(rows)), lambda b: (x := features(b)).T @ x, (width, width))
     if dict(rows.dtypes)[other].startswith("array"):
         m = rows.select(F.size(other)).first()[0]
-        return reduce_blocks(rows.select("features", other), lambda b: block(b["features"]).T @ block(b[other]), (width, m))
-    return reduce_blocks(rows.select("features", other), lambda b: block(b["features"]).T @ b[other].to_numpy(zero_copy_only=False).astype(np.float64)[:, None], (width, 1))
+        return reduce_blocks(rows.select(*parts_of(rows), other), lambda b: features(b).T @ block(b[other]), (width, m))
+    return reduce_blocks(rows.select(*parts_of(rows), other), lambda b: features(b).T @ b[other].to_numpy(zero_copy_only=False).astype(np.float64)[:, None], (width, 1))
 
 
 # -- multiplication ------------------------------------------------------------------------------------
@@ -292,11 +318,11 @@ def _tsqr_r(rows: DataFrame) -> np.ndarray:
         r = np.zeros((0, n))
         for b in batches:
             if b.num_rows:
-                r = np.linalg.qr(np.vstack([r, block(b["features"])]), mode="r")
+                r = np.linalg.qr(np.vstack([r, sparse.dense(features(b))]), mode="r")
         if len(r):
             yield pa.RecordBatch.from_arrays([as_lists(r)], names=["features"])
 
-    parts = rows.select("features").mapInArrow(reduce, "features array<double>")
+    parts = rows.select(*parts_of(rows)).mapInArrow(reduce, "features array<double>")
     parts = parts.repartition(max(1, int(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))).mapInArrow(reduce, "features array<double>")
     r = np.linalg.qr(np.array([x[0] for x in parts.collect()]), mode="r")
     r = np.vstack([r, np.zeros((max(0, n - len(r)), n))])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import krylov, sketch
-from .matrix import block, gram, reduce_blocks, to_numpy, tsqr, width_of
+from .matrix import features, gram, is_sparse, parts_of, reduce_blocks, to_numpy, tsqr, width_of
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,12 @@ class Problem:
             raise NotImplementedError(f"no solver for {self.kind}, {self.penalty}, {self.regularization}")
 
 
+def _array(rows: DataFrame, target: str):
+    return F.col(target) if dict(rows.dtypes)[target].startswith("array") else F.array(F.col(target).cast("double"))
+
+
 def _moments(rows: DataFrame, target: str) -> tuple[np.ndarray, np.ndarray]:
-    return gram(rows.select("features")), gram(rows.select("features", target), target)
+    return gram(rows.select(*parts_of(rows))), gram(rows, target)
 
 
 def normal_equations(rows: DataFrame, target: str) -> np.ndarray:
@@ -45,8 +49,7 @@ def normal_equations(rows: DataFrame, target: str) -> np.ndarray:
 def semi_normal(rows: DataFrame, target: str) -> np.ndarray:
     """R'R x = A'b with R from TSQR."""
     _, r = tsqr(rows)
-    b = gram(rows.select("features", target), target)
-    return np.linalg.solve(r, np.linalg.solve(r.T, b))
+    return np.linalg.solve(r, np.linalg.solve(r.T, gram(rows, target)))
 
 
 def exact_qr(rows: DataFrame, target: str) -> np.ndarray:
@@ -63,6 +66,23 @@ def exact_svd(rows: DataFrame, target: str, rcond: float = 1e-12) -> np.ndarray:
     return vt[keep].T @ ((u.T @ gram(q.select("features", target), target))[keep] / s[keep][:, None])
 
 
+def ridge(rows: DataFrame, target: str, lam: float, params: krylov.Params | None = None) -> np.ndarray:
+    """(A'A + lambda I) x = A'b by conjugate gradients, scaled by its diagonal: a pass over the rows for each step, no square matrix."""
+    n = width_of(rows)
+    frame = rows.select(*parts_of(rows), _array(rows, target).alias("t"))
+    k = frame.select(F.size("t")).first()[0]
+
+    def part(b):
+        x = features(b)
+        own = (x**2).sum(axis=0) if isinstance(x, np.ndarray) else np.bincount(x.at, weights=x.v**2, minlength=n)
+        return np.concatenate([x.T @ b["t"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), own[:, None]], axis=1)
+
+    both = reduce_blocks(frame, part, (n, k + 1))
+    scale = both[:, -1:] + lam
+    scale[scale == 0] = 1.0
+    return krylov.cg(krylov.NormalOperator(rows, lam), both[:, :-1], params or krylov.Params(1e-12, 10 * min(n, 1000)), lambda r: r / scale).x
+
+
 def iterative(rows: DataFrame, target: str, params: krylov.Params | None = None) -> np.ndarray:
     return krylov.lsqr(rows, target, params).x
 
@@ -71,7 +91,13 @@ def _sketched(rows: DataFrame, target: str | None, transform: sketch.Sketch) ->
     """S A and S b in one pass: the target stands as further columns beside the features."""
     d = width_of(rows)
     if target is None:
-        return to_numpy(transform.apply(rows.select("row_id", "features"), "columnwise")), None
+        return to_numpy(transform.apply(rows.select("row_id", *parts_of(rows)), "columnwise")), None
+    if is_sparse(rows):
+        b = _array(rows, target)
+        k = rows.select(F.size(b)).first()[0]
+        wide = rows.select("row_id", (F.col("size") + k).alias("size"), F.concat("indices", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.col("size") + i)).alias("indices"), F.concat("values", F.transform(b, lambda x: x.cast("double"))).alias("values"))
+        both = to_numpy(transform.apply(wide, "columnwise"))
+        return both[:, :d], both[:, d:]
     b = F.col(target) if dict(rows.dtypes)[target].startswith("array") else F.array(F.col(target).cast("double"))
     both = to_numpy(transform.apply(rows.select("row_id", F.concat("features", b).alias("features")), "columnwise"))
     return both[:, :d], both[:, d:]
@@ -148,10 +174,10 @@ def residual(rows: DataFrame, target: str, x: np.ndarray) -> float:
 
     def part(b):
         t = b["t"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-        return np.array([[((block(b["features"]) @ shared.value - t) ** 2).sum()]])
+        return np.array([[((features(b) @ shared.value - t) ** 2).sum()]])
 
     t = F.col(target) if dict(rows.dtypes)[target].startswith("array") else F.array(F.col(target).cast("double"))
-    return math.sqrt(reduce_blocks(rows.select("features", t.alias("t")), part, (1, 1))[0, 0])
+    return math.sqrt(reduce_blocks(rows.select(*parts_of(rows), t.alias("t")), part, (1, 1))[0, 0])
 
 
 def compare(rows: DataFrame, target: str, methods: list[str] | None = None) -> list[tuple[str, float, float]]:

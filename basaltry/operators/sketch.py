@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.rng import Context
-from .matrix import block, from_numpy, map_rows, reduce_blocks, to_coords, to_rows, width_of
+from .matrix import features, from_numpy, is_sparse, map_rows, parts_of, reduce_blocks, to_coords, to_rows, width_of
+from .sparse import CSR
 
 REGISTRY: dict[str, type[Sketch]] = {}
 VERSION = "1"
@@ -56,9 +57,9 @@ class Sketch:
         """W, S x N, or only some of its columns."""
         raise NotImplementedError(f"{type(self).__name__} is not a matrix")
 
-    def map_block(self, x: np.ndarray) -> np.ndarray:
+    def map_block(self, x: np.ndarray | CSR) -> np.ndarray:
         """Rows of x (n x N) to n x S."""
-        return x @ _whole(self).T
+        return project(self, x, _whole, self.matrix)
 
     def apply(self, rows: DataFrame, dimension: str = "columnwise") -> DataFrame:
         if dimension == "rowwise":
@@ -71,9 +72,24 @@ class Sketch:
 
     def _columnwise(self, rows: DataFrame) -> DataFrame:
         d = width_of(rows)
-        total = reduce_blocks(rows.select("row_id", "features"), lambda b: self.matrix(b["row_id"].to_numpy()) @ block(b["features"]), (self.S, d))
+        if is_sparse(rows) and self.S * d > SQUARE:
+            raise ValueError(f"a dense {self.S} x {d} result: columnwise_coords() gives its entries")
+        total = reduce_blocks(rows.select("row_id", *parts_of(rows)), lambda b: _from_left(self.matrix(b["row_id"].to_numpy()), features(b)), (self.S, d))
         return from_numpy(rows.sparkSession, total)
 
+    def columnwise_coords(self, rows: DataFrame) -> DataFrame:
+        """The columnwise sketch of sparse rows as a CoordDF, however wide they are: each task adds up the columns that its rows have entries in."""
+
+        def run(batches):
+            for b in batches:
+                for first, x in features(b).parts(max(1, SQUARE // self.S // 8)):
+                    used, x = x.columns()
+                    w = self.matrix(b["row_id"].to_numpy()[first : first + len(x)])
+                    made = _from_left(w, x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(self.S), len(used))), pa.array(np.tile(used, self.S)), pa.array(made.ravel())], names=["i", "j", "v"])
+
+        return rows.select("row_id", *parts_of(rows)).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
     def __mul__(self, rows: DataFrame) -> DataFrame:
         return self.apply(rows, "columnwise")
 
@@ -84,6 +100,32 @@ class Sketch:
         return self.apply(rows, "rowwise")
 
 
+#: Numbers of a random matrix that a worker makes whole and keeps; of larger ones only the columns that a sparse block has entries in, so many
+#: numbers at a time.
+SQUARE, SOME = 1 << 25, 1 << 22
+
+
+def _from_left(w: np.ndarray, x: np.ndarray | CSR) -> np.ndarray:
+    return (x.T @ w.T).T if isinstance(x, CSR) else w @ x
+
+
+def project(t: Sketch, x: np.ndarray | CSR, whole, some) -> np.ndarray:
+    """x W' for a transform's random matrix W: whole(t), or some(columns) for a sparse block of a wide matrix."""
+    if not isinstance(x, CSR) or t.N * t.S <= SQUARE:
+        return x @ whole(t).T
+    used, x = x.columns()
+    out, step = np.zeros((len(x), t.S)), max(1, SOME // t.S)
+    order = np.argsort(x.at, kind="stable")
+    rows, at, v = x.rows[order], x.at[order], x.v[order]
+    for k in range(0, len(used), step):
+        a, b = np.searchsorted(at, [k, k + step])
+        # entries of these columns, in the order of their rows
+        again = np.argsort(rows[a:b], kind="stable")
+        starts = np.searchsorted(rows[a:b][again], np.arange(len(x) + 1))
+        out += CSR(starts, (at[a:b] - k)[again], v[a:b][again], step) @ some(used[k : k + step]).T
+    return out
+
+
 @functools.lru_cache(maxsize=8)
 def _whole(t: Sketch) -> np.ndarray:
     """W of a transform, made once in each process."""
@@ -164,6 +206,9 @@ class Hashing(Sketch):
         moved = coords.select(self.bucket(F.col(k)).alias(k), F.col(other), (self.value(F.col(k)) * F.col("v")).alias("v"))
         return moved.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
+    def columnwise_coords(self, rows: DataFrame) -> DataFrame:
+        return self.coords(to_coords(rows, True))
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(n, bucket, value) for every place."""
         return spark.range(self.N).select(F.col("id").alias("n"), self.bucket(F.col("id")).alias("bucket"), self.value(F.col("id")).alias("value"))
@@ -186,8 +231,11 @@ class Hashing(Sketch):
         got = self.table(rows.sparkSession).orderBy("n").toArrow()  # two numbers for each feature of a row
         shared = rows.sparkSession.sparkContext.broadcast((got["bucket"].to_numpy(), got["value"].to_numpy()))
 
-        def add(x: np.ndarray) -> np.ndarray:
+        def add(x: np.ndarray | CSR) -> np.ndarray:
             out = np.zeros((self.S, len(x)))
+            if isinstance(x, CSR):
+                np.add.at(out, (shared.value[0][x.at], x.rows), x.v * shared.value[1][x.at])
+                return out.T
             np.add.at(out, shared.value[0], (x * shared.value[1]).T)
             return out.T
 
@@ -278,6 +326,8 @@ class RFUT(Sketch):
         return self.context.sample("rademacher", self.counter, np.arange(self.N))
 
     def map_block(self, x):
+        if isinstance(x, CSR):
+            return x.by_parts(self.map_block)
         y = x * self.signs()
         return dct(y) if self.transform == "dct" else dht(y)
 
@@ -320,6 +370,8 @@ class FJLT(Sketch):
         return self.context.integers(self.N, self.counter + self.N, np.arange(self.S))
 
     def map_block(self, x):
+        if isinstance(x, CSR):  # entries in closed form cost less than a mixed row
+            return project(self, x, _whole, self.matrix)
         return self._mixer().map_block(x)[:, self.samples()] * math.sqrt(self.N / self.S)
 
     def matrix(self, columns=None):
@@ -350,6 +402,8 @@ class UST(Sketch):
         return np.argsort(rng.Portable(self.seed).words(0, np.arange(self.N)), kind="stable")[: self.S]
 
     def map_block(self, x):
+        if isinstance(x, CSR):
+            return x.by_parts(self.map_block)
         return x[:, self.samples()]
 
     def matrix(self, columns=None):
@@ -368,7 +422,7 @@ class UST(Sketch):
     def _columnwise(self, rows):
         drawn = self.drawn(rows)
         drawn = F.broadcast(drawn) if self.S <= 1_000_000 else drawn
-        return rows.join(drawn, "row_id").select(F.col("k").alias("row_id"), "features")
+        return rows.join(drawn, "row_id").select(F.col("k").alias("row_id"), *parts_of(rows))
 
 
 @register
@@ -437,7 +491,10 @@ class PPT(Sketch):
             h = ctx.integers(self.S, at, np.arange(self.N + 1))
             s = ctx.sample("rademacher", at + self.N + 1, np.arange(self.N + 1))
             y = np.zeros((len(x), self.S))
-            np.add.at(y.T, h[: self.N], (x * s[: self.N] * math.sqrt(self.gamma)).T)
+            if isinstance(x, CSR):
+                np.add.at(y, (x.rows, h[x.at]), x.v * s[x.at] * math.sqrt(self.gamma))
+            else:
+                np.add.at(y.T, h[: self.N], (x * s[: self.N] * math.sqrt(self.gamma)).T)
             y[:, h[self.N]] += math.sqrt(self.c) * s[self.N]
             f = np.fft.rfft(y, axis=1)
             out = f if out is None else out * f
@@ -448,27 +505,33 @@ class PPT(Sketch):
 class Features(Sketch):
     """z = scale f(W x + shift) for a random W; only rowwise."""
 
-    def frequencies(self) -> np.ndarray:
+    def frequencies(self, columns: np.ndarray | None = None) -> np.ndarray:
+        """W, S x N, or only some of its columns."""
         raise NotImplementedError
 
     def shifts(self) -> np.ndarray:
         return self.context.uniform(self.counter + 4 * self.N * self.S, np.arange(self.S)) * 2 * math.pi
 
     def map_block(self, x):
-        frequencies, shifts = _waves(self)
-        return math.sqrt(2.0 / self.S) * np.cos(x @ frequencies.T + shifts)
+        return math.sqrt(2.0 / self.S) * np.cos(project(self, x, _frequencies, self.frequencies) + _shifts(self))
 
     def _columnwise(self, rows):
         raise ValueError("feature maps work on rows: dimension 'rowwise'")
 
-    def _draw(self, dist: str) -> np.ndarray:
-        return self.context.sample(dist, self.counter, np.arange(self.N)[None, :] * self.S + np.arange(self.S)[:, None])
+    def _draw(self, dist: str, columns: np.ndarray | None = None) -> np.ndarray:
+        at = np.arange(self.N) if columns is None else np.asarray(columns)
+        return self.context.sample(dist, self.counter, at[None, :] * self.S + np.arange(self.S)[:, None])
+
+
+@functools.lru_cache(maxsize=64)
+def _frequencies(t: Features) -> np.ndarray:
+    """Frequencies of a feature map, made once in each process."""
+    return t.frequencies()
 
 
 @functools.lru_cache(maxsize=64)
-def _waves(t: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and shifts of a feature map, made once in each process."""
-    return t.frequencies(), t.shifts()
+def _shifts(t: Features) -> np.ndarray:
+    return t.shifts()
 
 
 def _degrees(nu: float) -> int:
@@ -483,8 +546,8 @@ def _degrees(nu: float) -> int:
 class GaussianRFT(Features):
     sigma: float = 1.0
 
-    def frequencies(self):
-        return self._draw("normal") / self.sigma
+    def frequencies(self, columns=None):
+        return self._draw("normal", columns) / self.sigma
 
 
 @register
@@ -492,8 +555,8 @@ class GaussianRFT(Features):
 class LaplacianRFT(Features):
     sigma: float = 1.0
 
-    def frequencies(self):
-        return self._draw("cauchy") / self.sigma
+    def frequencies(self, columns=None):
+        return self._draw("cauchy", columns) / self.sigma
 
 
 @register
@@ -502,9 +565,9 @@ class MaternRFT(Features):
     nu: float = 1.0
     l: float = 1.0  # noqa: E741
 
-    def frequencies(self):
+    def frequencies(self, columns=None):
         chi = self.context.chi_square(_degrees(self.nu), self.counter + 2 * self.N * self.S, np.arange(self.S))
-        return self._draw("normal") / self.l * np.sqrt(2 * self.nu / chi)[:, None]
+        return self._draw("normal", columns) / self.l * np.sqrt(2 * self.nu / chi)[:, None]
 
 
 @dataclass(frozen=True)
@@ -520,8 +583,8 @@ class QuasiFeatures(Features):
     def shifts(self):
         return 2 * math.pi * self._points[:, self.N]
 
-    def _draw(self, dist):
-        return rng.quantile(dist, self._points[:, : self.N])
+    def _draw(self, dist, columns=None):
+        return rng.quantile(dist, self._points[:, : self.N] if columns is None else self._points[:, columns])
 
 
 @register
@@ -545,11 +608,11 @@ class ExpSemigroupRLT(Features):
 
     beta: float = 1.0
 
-    def frequencies(self):
-        return self._draw("levy") * self.beta**2 / 2
+    def frequencies(self, columns=None):
+        return self._draw("levy", columns) * self.beta**2 / 2
 
     def map_block(self, x):
-        return np.exp(-(x @ _waves(self)[0].T)) / math.sqrt(self.S)
+        return np.exp(-project(self, x, _frequencies, self.frequencies)) / math.sqrt(self.S)
 
 
 @register
@@ -569,7 +632,7 @@ class FastGaussianRFT(Features):
     def _row_scale(self, blocks: int) -> np.ndarray:
         return np.full((blocks, self.N), 1.0 / (self.sigma * math.sqrt(self.N)))
 
-    def frequencies(self):
+    def frequencies(self, columns=None):
         """For each block its signs, scales of the middle, permutation and scales of the outputs."""
         blocks, ctx, n = -(-self.S // self.N), self.context, self.N
         scale, out = self._row_scale(blocks), []
@@ -580,7 +643,9 @@ class FastGaussianRFT(Features):
         return out
 
     def map_block(self, x):
-        blocks, shifts = _waves(self)
+        if isinstance(x, CSR):
+            return x.by_parts(self.map_block)
+        blocks, shifts = _frequencies(self), _shifts(self)
         w = np.concatenate([dct(dct(x * b)[:, p] * g) * scale for b, g, p, scale in blocks], axis=1)[:, : self.S]
         return math.sqrt(2.0 / self.S) * np.cos(w + shifts)
 

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rng import Context
-from . import sketch
+from . import sketch, tiles
 from .krylov import NormalOperator
 from ..sources.tables import written
-from .matrix import as_lists, from_numpy, gram, mirror, reduce_blocks, times, to_rows, tsqr, width_of
+from .matrix import as_lists, from_numpy, gram, mirror, parts_of, reduce_blocks, times, to_rows, tsqr, width_of
 
 
 @dataclass(frozen=True)
@@ -41,10 +41,10 @@ def power_iteration(rows: DataFrame, v: np.ndarray | str, iterations: int, ortho
     """
     normal = NormalOperator(rows)
     if start == "left":
-        v = gram(rows.select("features", v), v)
+        v = gram(rows, v)
     for _ in range(iterations):
         v = normal(_orth(v) if orthogonalize else v)
-    return v if result == "right" else times(rows.select("row_id", "features"), v)
+    return v if result == "right" else times(rows.select("row_id", *parts_of(rows)), v)
 
 
 def approximate_svd(rows: DataFrame, rank: int, params: SVDParams | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def approximate_svd(rows: DataFrame, rank: int, params: SVDParams | None = None,
     if rank > min(m, n):
         raise ValueError("the rank exceeds the smaller dimension")
     k = _size(rank, min(m, n), p)
-    rows = rows.select("row_id", "features").persist()
+    rows = rows.select("row_id", *parts_of(rows)).persist()
     try:
         omega = sketch.JLT(n, k, seed).matrix().T
         v = power_iteration(rows, omega, 1 + p.num_iterations, not p.skip_qr)  # A'(A omega): the range of A' A
@@ -124,17 +124,12 @@ def symmetric_svd_rows(triangle: DataFrame, n: int, rank: int, params: SVDParams
         return from_numpy(spark, v), values
     full = written(mirror(triangle, lower), "symmetric")
 
-    def start(batches):
-        for b in batches:
-            i = b["id"].to_numpy()
-            yield pa.RecordBatch.from_arrays([b["id"], as_lists(Context(seed).sample("normal", 0, i[:, None] * k + np.arange(k)))], names=["row_id", "features"])
-
     def product(v: DataFrame) -> DataFrame:
         parts = full.join(v.withColumnRenamed("row_id", "j"), "j").select("i", "v", F.posexplode("features").alias("at", "x"))
         sums = parts.groupBy("i", "at").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
         return written(to_rows(sums.select("i", F.col("at").alias("j"), "v"), k), "symmetric-product")
 
-    v = product(spark.range(n).mapInArrow(start, "row_id long, features array<double>"))
+    v = product(_random_rows(spark, n, k, seed))
     for _ in range(p.num_iterations):
         v = product(tsqr(v)[0])
     q = written(tsqr(v)[0], "symmetric-basis")
@@ -145,6 +140,59 @@ def symmetric_svd_rows(triangle: DataFrame, n: int, rank: int, params: SVDParams
     return times(q, w[:, top]), values[top]
 
 
+def _random_rows(spark, n: int, k: int, seed: int) -> DataFrame:
+    """An n x k Gaussian matrix as rows, each made where it is."""
+
+    def start(batches):
+        for b in batches:
+            i = b["id"].to_numpy()
+            yield pa.RecordBatch.from_arrays([b["id"], as_lists(Context(seed).sample("normal", 0, i[:, None] * k + np.arange(k)))], names=["row_id", "features"])
+
+    return spark.range(n).mapInArrow(start, "row_id long, features array<double>")
+
+
+def sparse_svd(entries: DataFrame, height: int, width: int, rank: int, params: SVDParams | None = None, seed: int = 0, side: int = tiles.SIDE) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """U, s, V of the leading rank triplets of a CoordDF, U and V as RowDFs: neither side is ever in one place.
+
+    The matrix stands in tiles, products from right and left move tiles, and bases on either side come from TSQR of rows.  A random
+    block finds the range, num_iterations power steps sharpen it, and the small factor that is left is decomposed on the driver.
+    Rows and columns without entries have no rows in U and V, where they are 0.
+    """
+    p, spark = params or SVDParams(), entries.sparkSession
+    if rank > min(height, width):
+        raise ValueError("the rank exceeds the smaller dimension")
+    k = _size(rank, min(height, width), p)
+    a = tiles.from_coords(entries, height, width, side)
+    a = tiles.Tiles(written(a.frame, "svd-tiles"), height, width, side)
+    turned = tiles.Tiles(written(a.T.frame, "svd-turned"), width, height, side)
+
+    def image(m: tiles.Tiles, x: DataFrame) -> DataFrame:
+        """M X as rows, written."""
+        small = tiles.from_rows(x, m.width, k, side)
+        return written(tiles.multiply(m, tiles.Tiles(written(small.frame, "svd-block"), m.width, k, side)).rows(), "svd-image")
+
+    y = image(a, _random_rows(spark, width, k, seed))
+    for _ in range(p.num_iterations):
+        z = image(turned, tsqr(y)[0])
+        y = image(a, tsqr(z)[0] if not p.skip_qr else z)
+    q = written(tsqr(y)[0], "svd-basis")
+    other, r = tsqr(image(turned, q))  # A'Q = other R, so Q Q'A = Q R' other'
+    left, s, right = np.linalg.svd(r.T)
+    left, right = left[:, :rank], right[:rank].T
+    signs = _signs_of(times(other, right), rank)
+    return times(q, left * signs), s[:rank], times(other, right * signs)
+
+
+def _signs_of(v: DataFrame, k: int) -> np.ndarray:
+    """1 or -1 for each column, so that its largest component (of those the one with the smallest row_id) is positive."""
+    cells = v.select("row_id", F.posexplode("features").alias("j", "x"))
+    tops = cells.groupBy("j").agg(F.max_by("x", F.struct(F.round(F.abs("x"), 9), -F.col("row_id"))).alias("x")).collect()
+    out = np.ones(k)
+    for j, x in tops:
+        out[j] = -1.0 if x < 0 else 1.0
+    return out
+
+
 @dataclass(frozen=True)
 class Condition:
     """cond = sigma_max / sigma_min with certificates: unit vectors with A v = sigma u; lower: a lower value for sigma_min (the
@@ -168,7 +216,7 @@ def condest(rows: DataFrame, power_steps: int = 300, iter_lim: int = 1000, seed:
     Codes: -1 solved exactly, -2 small residual, -3 small error, -4 ill-conditioned, -6 limit.
     """
     n = width_of(rows)
-    _, r = tsqr(rows.select("row_id", "features"))
+    _, r = tsqr(rows.select("row_id", *parts_of(rows)))
     ctx = Context(seed)
     v = ctx.sample("normal", ctx.allocate(n), np.arange(n))
     v /= np.linalg.norm(v)
@@ -195,7 +243,7 @@ def condest(rows: DataFrame, power_steps: int = 300, iter_lim: int = 1000, seed:
     t = t / alpha if alpha else t
     direction, phi, rho = t.copy(), size, alpha
     alphas, betas = [alpha], []
-    low, best, code, more = math.inf, x, -6, None
+    low, best, code, more = size, x, -6, None  # x itself, of unit length, is the first certificate
     for it in range(iter_lim):
         u = r @ t - alpha * u
         beta = float(np.linalg.norm(u))

@@ -706,4 +706,4 @@ def random_matrix(spark, sf_dir):
     return matrix.to_coords(x, True).select("i", "j", F.round("v", 9).alias("v"))
 
 
-from . import catalog_learning, catalog_sources  # noqa: E402, F401  (they register their queries)
+from . import catalog_learning, catalog_scale, catalog_sources  # noqa: E402, F401  (they register their queries)

@@ -45,7 +45,8 @@ def read_libsvm(spark: SparkSession, path: str | list[str], sparse: bool = False
     )
     if max_n is not None:
         parsed = parsed.orderBy("row_id").limit(max_n)
-    d = max(min_d, (parsed.agg(F.max(F.array_max(F.transform("e", lambda p: p["j"])))).first()[0] or -1) + 1)
+    last = parsed.agg(F.max(F.array_max(F.transform("e", lambda p: p["j"])))).first()[0]
+    d = max(min_d, 0 if last is None else last + 1)
     if sparse:
         return parsed.select("row_id", "labels", F.lit(d).alias("size"), F.transform("e", lambda p: p["j"]).alias("indices"), F.transform("e", lambda p: p["v"]).alias("values"))
     def fill(batches):
