@@ -35,6 +35,8 @@ SHINGLE = 5
 CHUNK, COMMON = 1 << 21, 1 << 20
 #: Keys that a join broadcasts at most; beyond it is shuffled.  Texts from which on a member is hot: its rows are not sent to one task.
 BROADCAST_ROWS, HOT = 1 << 20, 1 << 16
+#: Members of prefixes that a task sorts, about.
+SORTED = 1 << 20
 #: Bytes of sets that a tile holds, bits of a sketch, texts that a task remembers to leave out their copies.
 TILE, PARITY, SEEN = 32 << 20, 1024, 1 << 18
 
@@ -258,7 +260,8 @@ def similar_links(docs: DataFrame, table: DataFrame, texts: DataFrame) -> DataFr
     # few members are hot: their smallest keys are broadcast; of the others each one's texts pass through a task in order
     hot = met.where("hot").select("h", "key")
     lowest = small(written(hot.groupBy("h").agg(F.min("key").alias("block")), "similar-hot"))
-    cold = met.where("not hot").select("h", "key").repartition("h").sortWithinPartitions("h", "key").mapInArrow(groups, "block long, key long")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), met.count() // SORTED)  # so that a task sorts little at a time
+    cold = met.where("not hot").select("h", "key").repartition(parts, "h").sortWithinPartitions("h", "key").mapInArrow(groups, "block long, key long")
     clash = texts.groupBy(F.col("key").alias("block")).count().where("count > 1").select("block", F.col("block").alias("key"))
     blocks = written(cold.unionByName(hot.join(lowest, "h").select("block", "key")).unionByName(clash).distinct(), "similar-blocks")
     by = ["block", "a", "b"]
