@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import krylov, sketch
+from ..sources.tables import drop, written
+from . import krylov, pairs, sketch
 from .coding import dummy_coding, label_order
 from .kernels import Gaussian, Kernel
 from .matrix import as_lists, block, features, map_rows, parts_of, reduce_blocks, to_numpy, width_of
@@ -144,6 +145,84 @@ def approximate_kernel_ridge(rows: DataFrame, target: str, kernel: Kernel, lam:
     return FeatureModel([t], [_ridge(*_moments(rows, target, t.map_block), lam)])
 
 
+@dataclass(frozen=True)
+class RowsModel:
+    """K(x, support) coefficients where support rows and their coefficients (row_id, features, coefficients) stay a table."""
+
+    kernel: Kernel
+    support: DataFrame
+    labels: list | None = None
+
+    def scores(self, rows: DataFrame) -> DataFrame:
+        """(row_id, features): the scores of each row."""
+        return pairs.product(rows, self.support, self.kernel.block, "coefficients")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """(row_id, prediction): a label, or the value (an array for several targets)."""
+        out, scores = self.scores(rows), F.col("features")
+        if self.labels is None:
+            one = self.support.select(F.size("coefficients")).first()[0] == 1
+            return out.select("row_id", (scores[0] if one else scores).alias("prediction"))
+        return out.select("row_id", F.element_at(F.array(*[F.lit(x) for x in self.labels]), F.array_position("features", F.array_max("features")).cast("int")).alias("prediction"))
+
+
+def kernel_ridge_rows(rows: DataFrame, target: str, kernel: Kernel, lam: float, s: int = 0, params: KRRParams | None = None) -> RowsModel:
+    """(K + lambda I) a = y for any number of rows: conjugate gradients whose vectors stand beside the rows.
+
+    A step is a product with K by pairs of tiles, and sums for the step's lengths; with s random features their Woodbury form is
+    the preconditioner, a pass that sums Z'r and a map.  Nothing as long as the rows is on the driver or in one task.
+    """
+    p = params or KRRParams(tolerance=1e-10)
+    state = rows.select("row_id", "features", F.transform(_array(rows, target), lambda x: x.cast("double")).alias("r"))
+    state = written(state.withColumn("a", F.transform("r", lambda _: F.lit(0.0))), "ridge-state")
+    k = state.select(F.size("r")).first()[0]
+    t = kernel.features(s, p.feature_kind, p.seed, stream=p.stream) if s else None
+    inner = lam * np.eye(s) + _moments(state, "r", t.map_block)[0] if s else None
+
+    def over(df: DataFrame, fn, *names: str) -> DataFrame:
+        """df with the array columns names made anew by fn(batch)."""
+        kept = [c for c in df.columns if c not in names]
+        schema = df.select(*kept, *[F.array(F.lit(0.0)).alias(c) for c in names]).schema
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], *map(as_lists, fn(b))], names=[*kept, *names])
+
+        return df.mapInArrow(run, schema)
+
+    def dots(df: DataFrame, left: str, right: str) -> np.ndarray:
+        return reduce_blocks(df.select(*{left, right}), lambda b: (block(b[left]) * block(b[right])).sum(axis=0)[None], (1, k))[0]
+
+    def scaled(df: DataFrame) -> DataFrame:
+        """df with z, the preconditioned residual."""
+        if t is None:
+            return df.withColumn("z", F.col("r"))
+        w = np.linalg.solve(inner, reduce_blocks(df.select("features", "r"), lambda b: t.map_block(block(b["features"])).T @ block(b["r"]), (s, k)))
+        return over(df, lambda b: [(block(b["r"]) - t.map_block(block(b["features"])) @ w) / lam], "z")
+
+    bound = p.tolerance * np.sqrt(dots(state, "r", "r"))
+    now = scaled(state)
+    state = written(now.withColumn("p", F.col("z")), "ridge-state")
+    rho = dots(state, "r", "z")
+    for _ in range(p.iter_lim):
+        image = pairs.product(state.select("row_id", "features", "p"), None, kernel.block, "p").withColumnRenamed("features", "q")
+        moved = written(over(state.join(image, "row_id"), lambda b: [block(b["q"]) + lam * block(b["p"])], "q"), "ridge-product")
+        alpha = krylov._ratio(rho, dots(moved, "p", "q"))
+        step = over(moved, lambda b, alpha=alpha: [block(b["a"]) + alpha * block(b["p"]), block(b["r"]) - alpha * block(b["q"])], "a", "r").drop("q", "z")
+        new = written(scaled(step), "ridge-step")
+        if (np.sqrt(dots(new, "r", "r")) <= bound).all():
+            state = new
+            break
+        fresh = dots(new, "r", "z")
+        beta = krylov._ratio(fresh, rho)
+        old, rho = state, fresh
+        state = written(over(new, lambda b, beta=beta: [block(b["z"]) + beta * block(b["p"])], "p"), "ridge-state")
+        for done in (old, moved, new):
+            drop(done)
+    return RowsModel(kernel, state.select("row_id", "features", F.col("a").alias("coefficients")))
+
+
 def _splits(s: int, d: int, max_split: int) -> list[int]:
     """Sizes of feature blocks: d wide, or half of max_split; the last takes what is left, up to twice that."""
     size = min(s, d if not max_split else max(1, max_split // 2))

@@ -133,6 +133,16 @@ class Tall:
         return out[: self.n], out[self.n : -1], out[-1]
 
 
+class _Same:
+    """The identity matrix, of which nothing is stored."""
+
+    def __init__(self, n: int):
+        self.shape, self.T = (n, n), self
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return v
+
+
 def lsqr(rows: DataFrame, target: str, params: Params | None = None, precondition: np.ndarray | None = None) -> Result:
     """min |A x - b| for several right sides, x = N y for a right preconditioner N.
 
@@ -146,7 +156,7 @@ def lsqr(rows: DataFrame, target: str, params: Params | None = None, preconditio
     tall = Tall(rows, target)
     start = tall.transposed(np.ones(tall.k))
     bb = start[-1]
-    n_ = np.eye(tall.n) if precondition is None else precondition
+    n_ = _Same(tall.n) if precondition is None else precondition
     s = n_.T @ start[:-1]
     first = np.linalg.norm(s, axis=0)
     if not first.any():
@@ -187,7 +197,7 @@ def chebyshev_ls(rows: DataFrame, target: str, sigma_low: float, sigma_high: flo
     steps = max(1, int((math.log(tolerance) - math.log(2)) / math.log((sigma_high - sigma_low) / (sigma_high + sigma_low))) + 1) if sigma_high > sigma_low else 1
     d, c = (sigma_high**2 + sigma_low**2) / 2, (sigma_high**2 - sigma_low**2) / 2
     tall, normal = Tall(rows, target), NormalOperator(rows)
-    n_ = np.eye(tall.n) if precondition is None else precondition
+    n_ = _Same(tall.n) if precondition is None else precondition
     atb = n_.T @ tall.transposed(np.ones(tall.k))[:-1]
     y = np.zeros((n_.shape[1], tall.k))
     r, p, alpha = atb.copy(), np.zeros_like(y), 0.0

@@ -41,12 +41,13 @@ def _dealt(rows: DataFrame, mine: int, others: int, own: str, other: str, same:
 
 def tile_pairs(x: DataFrame, y: DataFrame | None, reduce: Callable[[pa.Table, pa.Table, bool], Iterator[pa.RecordBatch]], schema: dict[str, str], columns: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
     """reduce(left rows, right rows, twice) of every pair of tiles; without y of x with itself, each unordered pair once, where
-    twice says that the pair stands for both its orders (it does not for a tile with itself)."""
-    columns = ("row_id", "features", *columns)
+    twice says that the pair stands for both its orders (it does not for a tile with itself).  columns go along with the right rows
+    (within one matrix with both)."""
+    own = ("row_id", "features")
     n = tiles_of(x, tile)
     same = y is None
-    left = _dealt(x.select(*columns), n, n if same else (m := tiles_of(y, tile)), "a", "b", same)
-    right = _dealt((x if same else y).select(*columns), n if same else m, n, "b", "a", same)
+    left = _dealt(x.select(*own, *(columns if same else ())), n, n if same else (m := tiles_of(y, tile)), "a", "b", same)
+    right = _dealt((x if same else y).select(*own, *columns), n if same else m, n, "b", "a", same)
 
     right = right.toDF(*[f"{c}_" for c in right.columns])  # the two sides may be one table, whose columns Spark must tell apart
 

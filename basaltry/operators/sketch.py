@@ -454,14 +454,19 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(rng.word(seed, F.col(key)), key).limit(n)
 
 
+#: Rows of a block of weighted_sample.
+BLOCK = 1 << 20
+
+
 def weighted_sample(df: DataFrame, key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement, a row's chance proportional to its weight: (draw, key).
 
     Running sums of weights become intervals; draws are matched by a range join.  Sums run within hash
-    blocks of keys first, so no task orders all rows.
+    blocks of keys first, about BLOCK rows each however many there are, so no task orders many rows.
     """
-    blocks = 256
-    rows = df.where(F.col(weight) > 0).select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w"), (rng.word(f"{seed}b", F.col(key)) % blocks).alias("block"))
+    some = df.where(F.col(weight) > 0)
+    blocks = max(256, -(-some.count() // BLOCK))
+    rows = some.select(F.col(key).alias("key"), F.col(weight).cast("double").alias("w"), (rng.word(f"{seed}b", F.col(key)) % blocks).alias("block"))
     sums = rows.groupBy("block").agg(F.sum("w").alias("total")).select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("before"), F.sum("total").over(Window.partitionBy()).alias("all"))
     upto = F.sum("w").over(Window.partitionBy("block").orderBy("key"))
     spans = rows.withColumn("upto", upto).join(F.broadcast(sums), "block").select("key", ((F.col("before") + F.col("upto") - F.col("w")) / F.col("all")).alias("low"), ((F.col("before") + F.col("upto")) / F.col("all")).alias("high"))
