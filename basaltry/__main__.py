@@ -40,6 +40,13 @@ def run_svd(spark, a):
         coords = text_formats.read_arc_list(spark, a.input) if a.format == "arc_list" else matrix.to_coords(_read(spark, a))
         n = max(matrix.height(coords), matrix.height(matrix.transpose(coords)))
         v, s = svd.approximate_symmetric_svd(coords, n, a.rank, p, a.seed, a.lower)
+    elif a.format in ("libsvm_sparse", "parquet_sparse", "arc_list"):  # both sides stay distributed
+        coords = text_formats.read_arc_list(spark, a.input) if a.format == "arc_list" else matrix.to_coords(_read(spark, a))
+        u, s, v = svd.sparse_svd(coords, matrix.height(coords), matrix.height(matrix.transpose(coords)), a.rank, p, a.seed)
+        text_formats.write_matrix(u, f"{a.prefix}.U", a.text)
+        text_formats.write_matrix(v, f"{a.prefix}.V", a.text)
+        _small(f"{a.prefix}.S", s)
+        return
     else:
         u, s, v = svd.approximate_svd(_read(spark, a).select("row_id", "features"), a.rank, p, a.seed)
         text_formats.write_matrix(u, f"{a.prefix}.U", a.text)

@@ -18,6 +18,9 @@ def test_svd_linear_and_learners(spark, tmp_path, capsys):
     x, y = _data(f)
     main(["svd", str(f), "--rank", "4", "--prefix", str(tmp_path / "s")], spark)
     assert np.allclose(np.loadtxt(tmp_path / "s.S"), np.linalg.svd(x)[1], atol=1e-2)
+    main(["svd", str(f), "--rank", "4", "--format", "libsvm_sparse", "--prefix", str(tmp_path / "t")], spark)
+    assert np.allclose(np.loadtxt(tmp_path / "t.S"), np.linalg.svd(x)[1], atol=1e-2)
+    assert spark.read.parquet(str(tmp_path / "t.V")).count() == x.shape[1]
     main(["linear", str(f), "-p", "--prefix", str(tmp_path / "l")], spark)
     assert np.allclose(np.loadtxt(tmp_path / "l.x").ravel(), np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-3)
     main(["krr", str(f), "--model", str(tmp_path / "m"), "-g", "3", "-f", "40", "--test", str(f)], spark)
