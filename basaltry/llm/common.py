@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop as drop_written
 from ..sources.tables import fresh_path, written
 
-__all__ = ["bounded", "drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "join_named", "keeps", "only", "record_batch", "runs_of", "small", "utf8", "written"]
+__all__ = ["bounded", "drop_written", "fresh_names", "fresh_path", "id_hash_mod", "in_parts", "join_named", "keeps", "only", "record_batch", "released", "runs_of", "small", "utf8", "written"]
 
 def id_hash_mod(col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
@@ -69,6 +69,11 @@ def only(name: str) -> None:
     for other, forget in _KEPT.items():
         if other != name:
             forget()
+    released()
+
+
+def released() -> None:
+    """Freed memory of this process goes back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call

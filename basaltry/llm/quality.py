@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, only, record_batch, utf8, written
+from .common import bounded, only, record_batch, released, utf8, written
 from .vectors import top_of
 
 #: Labelled documents of each class that are kept as voters, those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 1024
 WORDS, TRIPLES, REPEATS, RANK, NEIGHBOURS, SHARPNESS = 2048, 4096, 16, 64, 15, 20.0
 TERMS = WORDS + TRIPLES + REPEATS
+#: Voters whose weighted terms are held at a time.
+BLOCK = 256
 #: Cosines are told apart to so many places; equal ones go to the voter that comes first.
 PLACES = 9
 
@@ -87,24 +89,57 @@ class NeighbourVote:
         return np.where((z == 0).all(axis=1), self.prior, np.clip(out, 0.0, 1.0))
 
 
+def leading(a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the k largest eigenvalues of a symmetric matrix and their vectors.  Of a large matrix a decomposition of the whole takes several
+    times its memory: there a block wider than k goes through short Krylov spaces, whose best vectors begin the next, until nothing is left of A v - value v."""
+    wide = k + k // 2
+    if len(a) <= 8 * wide:
+        return np.linalg.eigh(a)
+    start = np.random.default_rng(0).standard_normal((len(a), wide)).astype(a.dtype)
+    for _ in range(40):
+        parts = [np.linalg.qr(start)[0]]
+        for _ in range(3):
+            parts.append(np.linalg.qr(a @ parts[-1])[0])
+        basis = np.linalg.qr(np.concatenate(parts, axis=1).astype(np.float64))[0].astype(a.dtype)
+        image = a @ basis
+        values, turn = np.linalg.eigh((basis.T @ image).astype(np.float64))
+        values, turn = values[-wide:], turn[:, -wide:].astype(a.dtype)
+        start, image = basis @ turn, image @ turn
+        if (np.linalg.norm(image - start * values.astype(a.dtype), axis=0)[-k:] <= 2e-6 * values[-1]).all():
+            return values, start
+    return np.linalg.eigh(a)
+
+
 def fit(counts: np.ndarray, labels: np.ndarray, totals: dict[int, int]) -> NeighbourVote:
     """counts (voters, terms), labels 0 or 1; totals: training labels of each class, for the votes' weights."""
     every = sum(totals.values())
     prior = totals.get(1, 0) / every if every else 0.5
     if len(counts) < 2:
         return NeighbourVote(np.ones(TERMS, np.float32), np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
-    x = np.log1p(counts)
-    x *= idf.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    mean = x.mean(axis=0, dtype=np.float64)
-    x -= mean.astype(np.float32)
-    # leading right singular vectors, from the smaller Gram matrix
-    values, left = np.linalg.eigh(x @ x.T)
+    blocks = range(0, len(counts), BLOCK)
+    idf = np.log((1 + len(counts)) / (1 + sum((counts[i : i + BLOCK] > 0).sum(axis=0) for i in blocks))) + 1
+
+    def weighted(i: int) -> np.ndarray:
+        x = np.log1p(counts[i : i + BLOCK])
+        x *= idf.astype(np.float32)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+        return x
+
+    mean = sum(weighted(i).sum(axis=0, dtype=np.float64) for i in blocks) / len(counts)
+    # leading right singular vectors, from the smaller Gram matrix; few rows are weighted at a time, so that counts are the only large array
+    gram = np.empty((len(counts), len(counts)), dtype=np.float32)
+    for i in blocks:
+        x = weighted(i) - mean.astype(np.float32)
+        for j in range(0, i + 1, BLOCK):
+            gram[i : i + BLOCK, j : j + BLOCK] = x @ (weighted(j) - mean.astype(np.float32)).T
+            gram[j : j + BLOCK, i : i + BLOCK] = gram[i : i + BLOCK, j : j + BLOCK].T
+    values, left = leading(gram, RANK)
+    del gram
     keep = np.argsort(-values)[: min(RANK, len(values))]
     keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
-    axes = (x.T @ (left[:, keep] / np.sqrt(values[keep])).astype(np.float32)).astype(np.float64)
-    del x, left
+    left = (left[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+    axes = sum(((weighted(i) - mean.astype(np.float32)).T @ left[i : i + BLOCK]).astype(np.float64) for i in blocks)
+    del left
     share = {q: totals[q] / max(1, int((labels == q).sum())) for q in totals}
     weights = np.array([share[int(q)] for q in labels])
     made = NeighbourVote(idf, mean, axes, np.zeros((0, axes.shape[1])), labels.astype(np.float64), weights / weights.max(), prior)
@@ -118,6 +153,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
     A document with both labels votes for both; of several texts with one id that with the smallest hash is learned from.
     Voters stand in the order of their ids.
     """
+    only("quality")  # what earlier stages keep in the driver's Python goes
     named = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     named = written(named.join(docs.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
     totals = dict(named.groupBy("quality").count().collect())
@@ -139,7 +175,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS
         counts[i, np.frombuffer(r[2], "<i4")] = np.frombuffer(r[3], np.float32)
     kinds = np.array([r[1] for r in rows])
     del rows
-    return fit(counts, kinds, totals)
+    made = fit(counts, kinds, totals)
+    del counts
+    released()
+    return made
 
 
 def score(docs: DataFrame, model: NeighbourVote) -> DataFrame:
