@@ -6,7 +6,8 @@ ROWS minima but for a chance of (1 - J^ROWS)^BANDS: 7e-10 at J = 0.85, far less
 form a group; a group's smallest class names a block, and a block is all classes that some group with this name
 holds, so any two classes of a group are together in a block.  A block is searched twice.  First by signatures: classes go that no
 other one of the block agrees with in as many minima as similar sets do (but for a chance of 1e-9).  Of what
-is left the sets are fetched, and pairs are counted exactly, but for those that links already join.  A
+is left one text of each class goes to its blocks (a set takes 8 bytes a word and hardly packs, a text less), its set is made
+there, and pairs are counted exactly, but for those that links already join.  A
 block that is too large for a task is dealt as pairs of tiles.  So what comes out joins all that similar pairs
 join, with fewer links than members: never all pairs.
 """
@@ -24,18 +25,20 @@ from pyspark.sql import functions as F
 from .common import bounded, in_parts, join_named, only, record_batch, runs_of, small, utf8, written
 from .components import connected_components
 from .simhash import shingle_hashes
+from .similar import SORTED, groups
 
 SHINGLE, PERCENT, BANDS, ROWS = 3, 85, 36, 5
 #: Signatures, and bytes of sets, that a tile holds; texts that a task remembers to leave out their copies.
 TILE, TILE_BYTES, SEEN = 8192, 24 << 20, 1 << 18
 #: Members that are hashed at a time.
 STEP = 1024
+#: Texts to fetch whose names (8 bytes each) a join broadcasts at most; beyond it all texts are shuffled.
+WANTED = 1 << 22
 
-_READ = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("words", pa.int64()), ("sig", pa.binary())])
-_READ_SQL = "doc_id long, key binary, n long, words long, sig binary"
-_BAND = pa.schema([("h", pa.int64()), ("cid", pa.int64())])
+_READ = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("mark", pa.int64()), ("sig", pa.binary())])
+_READ_SQL = "doc_id long, key binary, n long, mark long, sig binary"
+_BAND = pa.schema([("h", pa.int64()), ("key", pa.int64())])
 _MEMBER = pa.schema([("block", pa.int64()), ("cid", pa.int64())])
-_SET = pa.schema([("key", pa.binary()), ("members", pa.binary())])
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -128,10 +131,15 @@ def _key(members: np.ndarray) -> bytes:
     return xxh3_128_digest(members.tobytes())
 
 
+def _mark() -> Column:
+    """XXH64 of a row's doc_id and text, which names one row of a class whose text is fetched."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("mark")
+
+
 def read(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """For each row of docs (doc_id, text) doc_id, key (128 bits of its set, null if empty), n (its size), words (XXH64 of
-    the text) and sig (its signature, at the first of the copies that a task sees)."""
-    given = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("words"), F.col("text").cast("binary").alias("text"))
+    """For each row of docs (doc_id, text) doc_id, key (128 bits of its set, null if empty), n (its size), mark
+    and sig (its signature, at the first of the copies that a task sees)."""
+    given = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), _mark(), F.col("text").cast("binary").alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         functions, seen = family(bands * rows), set()
@@ -144,21 +152,24 @@ def read(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-            yield record_batch(_READ, b["doc_id"], keys, [0 if s is None else len(s) for s in sets], b["words"], sigs)
+            yield record_batch(_READ, b["doc_id"], keys, [0 if s is None else len(s) for s in sets], b["mark"], sigs)
 
     return given.mapInArrow(make, _READ_SQL)
 
 
-def _dealt(what: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """Rows of blocks, each for every pair of tiles (a, b) that it stands in, sorted by block and pair.
+def _tiled(what: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Rows of blocks, each for every pair of tiles (a, b) that it stands in.
 
     sizes: (block, size); blocks of more than most are cut into tiles.  There are few of those, each being large.
     """
     large = small(written(sizes.where(F.col("size") > most).select("block", F.ceil(F.col("size") / F.lit(most)).cast("int").alias("tiles")), "minhash-tiles"))
     out = what.join(large, "block", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     out = out.withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    out = out.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o")).drop("t", "o", "tiles")
-    return out.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
+    return out.withColumn("a", F.least("t", "o")).withColumn("b", F.greatest("t", "o")).drop("t", "o", "tiles")
+
+
+def _dealt(tiled: DataFrame) -> DataFrame:
+    return tiled.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b")
 
 
 def candidate_blocks(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -172,17 +183,15 @@ def candidate_blocks(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -
             found = [xxh64_intdigest(sig[k * size : (k + 1) * size], k) for sig in b["sig"].to_pylist() for k in range(bands)]
             yield record_batch(_BAND, np.array(found, dtype=np.uint64).view(np.int64), np.repeat(b["cid"].to_numpy(), bands))
 
-    met = classes.select("cid", "sig").mapInArrow(cut, "h long, cid long")
-    groups = written(met.groupBy("h").agg(F.min("cid").alias("block"), F.max("cid").alias("last"), F.count("*").alias("members")).where("members > 1"), "minhash-groups")
-    two = groups.where("members = 2").select("block", F.explode(F.array("block", "last")).alias("cid"))
-    more = join_named(met, groups.where("members > 2").select("h", "block", "members"), ["h"], "members").select("block", "cid")
-    return two.unionByName(more).distinct()
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), bands * classes.count() // SORTED)  # so that a task sorts little at a time
+    met = classes.select("cid", "sig").mapInArrow(cut, "h long, key long").repartition(parts, "h").sortWithinPartitions("h", "key")
+    return met.mapInArrow(groups, "block long, key long").toDF("block", "cid").distinct()
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Links (u, v: cids) that join the classes which pairs of similarity percent / 100 or more join.
 
-    classes (written): cid, key, n, words, sig, one row for each different set of docs that is not empty.
+    classes (written): cid, key, n, mark, sig, one row for each different set of docs that is not empty.
     """
     least = least_agreement(bands * rows, percent)
     by = ["block", "a", "b"]
@@ -196,35 +205,30 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int = SHINGLE, p
                 yield record_batch(_MEMBER, [run["block"][0].as_py()] * len(cids), cids)
 
     counted = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    near = written(_dealt(blocks.join(classes.select("cid", "n", "sig"), "cid"), counted, TILE).mapInArrow(verified, "block long, cid long").distinct(), "minhash-near")
+    near = written(_dealt(_tiled(blocks.join(classes.select("cid", "n", "sig"), "cid"), counted, TILE)).mapInArrow(verified, "block long, cid long").distinct(), "minhash-near")
     needed = written(near.select("cid").distinct().join(classes, "cid"), "minhash-needed")
 
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for _, sets in _sets(batches, shingle):
-            for members in sets:
-                if members is not None and (key := _key(members)) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(key)
-                    yield record_batch(_SET, [key], [members.tobytes()])
-
-    # a class is fetched from the copies of one of its texts; another text with that hash has another key, and goes
-    texts = docs.select(F.xxhash64("text").alias("words"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    wanted = small(needed.select("words").distinct())
-    sets = texts.join(wanted, "words", "left_semi").mapInArrow(fetched, "key binary, members binary").dropDuplicates(["key"])
-    members = written(needed.select("cid", "key", "sig").join(sets, "key").drop("key"), "minhash-sets")
+    # of each class one row's text; another row with that mark has another key, and goes
+    marks = needed.select("mark")
+    texts = docs.select(_mark(), F.col("text").cast("binary").alias("text")).where("text is not null")
+    texts = texts.join(F.broadcast(marks) if marks.count() <= WANTED else marks, "mark", "left_semi").repartition("mark").distinct()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("minhash")
         for run in runs_of(batches, by):
-            if run.num_rows > 1:
-                cids = run["cid"].to_pylist()
-                if found := spanning_links([np.frombuffer(x, "<u8") for x in run["members"].to_pylist()], sigs(run), percent, least):
-                    yield record_batch(_PAIR, [cids[i] for i, _ in found], [cids[j] for _, j in found])
+            if run.num_rows < 2:
+                continue
+            own: dict[int, tuple[int, np.ndarray]] = {}
+            for at, (cid, key, text) in enumerate(zip(run["cid"].to_pylist(), run["key"].to_pylist(), run["text"], strict=True)):
+                if cid not in own and _key(members := np.unique(shingle_hashes(text.as_py(), shingle))) == key:
+                    own[cid] = at, members
+            cids = list(own)
+            if len(own) > 1 and (found := spanning_links([x for _, x in own.values()], sigs(run)[[at for at, _ in own.values()]], percent, least)):
+                yield record_batch(_PAIR, [cids[i] for i, _ in found], [cids[j] for _, j in found])
 
-    held = near.join(members, "cid")
     weights = near.join(needed.select("cid", "n"), "cid").groupBy("block").agg(F.sum(8 * F.col("n") + 512).alias("size"))
-    return _dealt(held, weights, TILE_BYTES).mapInArrow(search, "u long, v long")
+    going = _tiled(near, weights, TILE_BYTES).join(needed.drop("n"), "cid")
+    return _dealt(texts.join(going, "mark").drop("mark")).mapInArrow(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -238,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """
     table = written(read(docs, shingle, bands, rows), "minhash-read")
     same: Column = F.max("sig")  # equal sets have equal signatures
-    found = table.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("words").alias("words"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), same.alias("sig"))
+    found = table.where("key is not null").groupBy("key").agg(F.max("n").alias("n"), F.min("mark").alias("mark"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), same.alias("sig"))
     classes = written(found.withColumn("cid", F.monotonically_increasing_id()), "minhash-classes")
     roots = connected_components(similar_links(docs, classes, shingle, percent, bands, rows), "minhash-links").toDF("cid", "root")
     named = classes.select("cid", "key", "low", "copies").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))

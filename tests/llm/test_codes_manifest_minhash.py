@@ -250,6 +250,22 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
     _check(spark, _planted(40, 5))
 
 
+def test_rows_that_come_again_among_near_copies(spark):
+    rows = _planted(6, 9)
+    _check(spark, rows + rows[::3] + [(None, text) for _, text in rows[::2]] * 2)
+
+
+def test_bands_move_once_and_texts_of_near_copies_instead_of_their_sets(spark, monkeypatch):
+    made, write = {}, minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: made.setdefault(name, write(df, name)))
+    docs = spark.createDataFrame(_planted(6, 9), "doc_id long, text string")
+    assert minhash.near_duplicates(docs).where("not kept").count()
+    assert not any("members" in df.columns for df in made.values())  # 8 bytes for each word
+    assert "minhash-groups" not in made  # for which all bands were shuffled twice
+    plan = minhash.candidate_blocks(made["minhash-classes"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [h#") == 1 and "Join" not in plan
+
+
 def test_near_duplicates_of_the_small_table(spark):
     docs = queries.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
